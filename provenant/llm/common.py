@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -15,9 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_BATCH = 500
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts vary from nothing to megabytes: hand them to Python a few hundred at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
+    """Texts vary from nothing to megabytes: hand them to Python a few hundred at a time. Every operator sets its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,9 +55,9 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def uniform_buckets(n_rows: int, rows_per_bucket: int = 20_000) -> int:
-    """How many buckets of a uniform hash hold about ``rows_per_bucket`` rows each."""
-    return max(1, -(-n_rows // rows_per_bucket))
+def uniform_buckets(n_rows: int, least: int = 1_000) -> int:
+    """How many buckets of a uniform hash to cut ``n_rows`` into: about as many as each has rows, once these are ``least``."""
+    return max(1, -(-n_rows // max(least, math.isqrt(n_rows))))
 
 
 def running_sum(

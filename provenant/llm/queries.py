@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import cws, mixing
+from provenant.llm import cws, embeddings, langid, lines, mixing, packing, secrets, simhash, warc
 from provenant.llm.common import stored
 
 
@@ -15,6 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.deduplicate(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.page_report(records)
+
+
+def op2_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+def op4_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.edit_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,9 +44,32 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn(docs.where(~langid.held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_rotation_codes": op2_rotation_codes,
+    "op3_nnls_packing": op3_nnls_packing,
+    "op4_bit_sliced_simhash": op4_bit_sliced_simhash,
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "op7_rank_order_language": op7_rank_order_language,
+    "op9_line_chunks": op9_line_chunks,
+    "op10_linked_credentials": op10_linked_credentials,
 }
 
 ORACLES: dict[str, str] = {}

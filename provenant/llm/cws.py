@@ -91,12 +91,19 @@ def fingerprints(docs: DataFrame, keys: list[str], samples: int = SAMPLES) -> Da
     )
 
 
-def _bucket(bounds: list[int], step: int = 32) -> Column:
-    """0-based number of the last bound that is not above doc_id; null ids belong to the last bucket."""
-    every, coarse = F.lit(bounds), F.lit(bounds[::step])
-    first = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id"))) - 1
-    within = F.size(F.filter(F.slice(every, first * step + 1, F.lit(step)), lambda b: b <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) - 1)).otherwise(first * step + within - 1)
+def _bucket(bounds: list[int], step: int = 64) -> Column:
+    """0-based number of the last bound that is not above doc_id; null ids belong to the last bucket.
+
+    Written without lambda functions: their variables would keep Spark from reusing the exchange of the dealt texts.
+    """
+
+    def last(among: Column) -> Column:
+        at = F.array_position(F.sort_array(F.array_append(among, F.col("doc_id"))), F.col("doc_id"))
+        return at - 2 + F.array_contains(among, F.col("doc_id")).cast("int")
+
+    every, coarse = F.lit(bounds).cast("array<bigint>"), F.lit(bounds[::step]).cast("array<bigint>")
+    first = (last(coarse) * step).cast("int")
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) - 1)).otherwise(first + last(F.slice(every, first + 1, F.lit(step))))
 
 
 def neighbours(docs: DataFrame, bucket_chars: int = 500_000, most_buckets: int = 4096) -> DataFrame:

@@ -214,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     counted = texts.mapInArrow(lambda b: _count_batches(b, tokenizer), "doc_id long, key long, doc_tokens long")
     grouped = counted.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_tokens").alias("doc_tokens"))
-    counts, _ = stored(grouped.select("doc_id", "key", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).cast("long").alias("copy"), "doc_tokens"), "counts")
+    counts, _ = stored(grouped.select("doc_id", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "doc_tokens"), "counts")
     placed = pieces(counts, window)
     lists = placed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("copy", "start", "length", "sequence_id", "offset")).alias("pieces")).select(
         F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "pieces"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import cws, embeddings, langid, lines, mixing, packing, secrets, simhash, warc
+from provenant.llm import cws, embeddings, langid, lines, mixing, packing, secrets, simhash, substring, warc
 from provenant.llm.common import stored
 
 
@@ -51,6 +51,11 @@ def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_curriculum_mix": op6_curriculum_mix,
     "op7_rank_order_language": op7_rank_order_language,
+    "op8_suffix_automata": op8_suffix_automata,
     "op9_line_chunks": op9_line_chunks,
     "op10_linked_credentials": op10_linked_credentials,
 }

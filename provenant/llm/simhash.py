@@ -120,7 +120,7 @@ def near_lanes(
 def bit_planes(padded: np.ndarray) -> np.ndarray:
     """Rows (a multiple of 64) as 64 vertical planes: word w of plane p has bit p of rows 64 w to 64 w + 63."""
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def block_labels(prints: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> np.ndarray:

@@ -9,7 +9,9 @@ two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,36 +25,70 @@ from provenant.llm.common import running_sum, small_batches, stored, text_key, u
 WINDOW, END_ID = 4096, 2
 #: Lengths of the two shorter members of a combination of three are multiples of this.
 GRID = 64
-#: Words kept with their token ids by a worker before it starts afresh.
-CACHE_WORDS = 400_000
+#: Parts of words kept with their token ids by a worker before it starts afresh.
+CACHE_PARTS = 700_000
 SPACES = str.maketrans({c: " " for c in "\t\n\r"})
+#: What the cutting below is known to do as the tokenizer does: printable ASCII, line ends, and Latin letters whose lower case is one letter.
+SIMPLE = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
+# Fixed value: the tokenizer's cutting pattern, for such words.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class _Filled(dict):
+    """A dict that computes what it lacks."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.compute(key)
+        return value
 
 
 class WordTokens:
-    """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers, by the tokenizer file at ``path``.
+    """Token ids of texts, as bytes of little-endian unsigned 16-bit numbers, by the tokenizer file at ``path``.
 
-    The pre-tokenizer never joins characters across a space, tab or line end, so the ids of a text are those of
-    its space-separated parts, one after another; each part's ids are computed once and kept.
+    The ids of a text are those of its parts (runs of letters, single digits, runs of signs), one after another. Each part's are
+    computed once and kept. Only texts of plain letters, digits and signs are cut here; of any other, the space-separated words
+    that are not plain go to the tokenizer as they are, which never joins characters across a space, tab or line end.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").translate(SPACES).split(" ") for t in texts]
-        fresh = list({w for p in parts for w in p if w not in self.known})
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list({w for p in parts for w in p})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, p)) for p in parts]
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("token ids must fit 16 bits")
+        kinds = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
+        rest = [b for b in range(256) if b not in kinds]
+        # byte-level pieces: printable bytes stand for themselves, the others for code points from 256 on
+        self.visible = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.parts = _Filled(self._part)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H", ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.visible)
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
+
+    def _plain(self, text: str) -> bytes | None:
+        if "<|" in text or not (text.isascii() and text.isprintable()) and not SIMPLE.fullmatch(text):
+            return None
+        return b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        found = self._plain(word)
+        return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids) if found is None else found
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        found = self._plain(text)
+        return b"".join(map(self._word, text.translate(SPACES).split(" "))) if found is None else found
 
 
 @lru_cache(maxsize=2)
@@ -66,10 +102,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _token_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    tokens, end = _tokens(path), array("H", [end_id]).tobytes()
     for batch in batches:
-        lengths = [len(x) // 4 + 1 for x in _tokens(path)(batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(lengths, type=pa.int64())], names=["doc_id", "key", "doc_tokens"])
+        ids = [tokens(t) + end for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("key"), pa.array([len(x) // 2 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary())],
+            names=["doc_id", "key", "doc_tokens", "ids"],
+        )
 
 
 def combinations(window: int = WINDOW, grid: int = GRID) -> list[tuple[int, ...]]:
@@ -187,16 +227,15 @@ def pieces(counts: DataFrame, window: int = WINDOW, seed: int = 11) -> DataFrame
     return wholes.unionByName(combined).unionByName(greedy)
 
 
-def _crc_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    end = int(end_id).to_bytes(4, "little")
+def _crc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for doc, ids, placed in zip(batch.column("doc_id").to_pylist(), _tokens(path)(batch.column("text").to_pylist()), batch.column("pieces").to_pylist()):
-            ids += end
+        for doc, raw, placed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("pieces").to_pylist()):
+            ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
             for p in placed:
-                crc = zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])])
-                for column, value in zip(out, (doc, p["copy"], p["start"], p["length"], crc, len(ids) // 4, p["sequence_id"], p["offset"])):
+                crc = zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+                for column, value in zip(out, (doc, p["copy"], p["start"], p["length"], crc, len(ids), p["sequence_id"], p["offset"])):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in out], names=names)
 
@@ -206,24 +245,20 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     A document's ids are those of the tokenizer file at ``tokenizer``, which every executor must have, and ``end_id``. Null text: empty
     (the end id alone). Rows that repeat a doc_id and a text are documents of their own, told apart by ``copy``. Sequence ids are dense.
-    Texts are tokenised twice, to count and, once the cuts are known, to sum up the pieces; no ids are stored between.
+    Ids are computed once and kept in the shared folder, two bytes each; they join their pieces by document.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(lambda b: _count_batches(b, tokenizer), "doc_id long, key long, doc_tokens long")
-    grouped = counted.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_tokens").alias("doc_tokens"))
+    tokens, _ = stored(texts.mapInArrow(lambda b: _token_batches(b, tokenizer, end_id), "doc_id long, key long, doc_tokens long, ids binary"), "tokens")
+    grouped = tokens.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_tokens").alias("doc_tokens"))
     counts, _ = stored(grouped.select("doc_id", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "doc_tokens"), "counts")
     placed = pieces(counts, window)
     lists = placed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("copy", "start", "length", "sequence_id", "offset")).alias("pieces")).select(
         F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "pieces"
     )
-    joined = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
-    single = joined.select("doc_id", "key", "text", "pieces")
-    if counts.where("copy > 1").limit(1).count():
-        single = single.dropDuplicates(["doc_id", "key"])
-    return single.select("doc_id", "text", "pieces").mapInArrow(
-        lambda b: _crc_batches(b, tokenizer, end_id),
-        "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+    single = tokens.dropDuplicates(["doc_id", "key"]) if counts.where("copy > 1").limit(1).count() else tokens
+    joined = single.join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", "ids", "pieces")
+    return joined.mapInArrow(
+        _crc_batches, "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from provenant.llm.common import small_batches, stored, text_key
 
 WINDOW, GRAM = 50, 10
-#: Segments of one minimiser from which its windows are routed one by one, by their own hashes.
+#: Occurrences of one minimiser from which the windows of its distinct segments are routed one by one, by their own digests.
 SHARD_SEGMENTS = 1_000
 #: Words with their hashes that a worker keeps.
 CACHE_WORDS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-SEGMENTS = "shard long, hash_a long, hash_b long, doc_id long, key long, first int, n int, segment binary"
+SEGMENTS = "shard long, hash_a long, hash_b long, doc_id long, key long, first int, n int, hot boolean, segment binary"
 
 
 class SuffixAutomaton:
@@ -157,10 +157,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _digest(body: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(body)
+    return _signed(d >> 64), _signed(d & (1 << 64) - 1)
+
+
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their shared segments' numbers -> the segments; those of hot minimisers window by window."""
+    """Documents with their shared segments' numbers -> the segments."""
     word_hashes = WordHashes()
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
@@ -168,21 +173,15 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("shared").to_pylist()
         ):
             words = text.as_py().split()
-            hashes = word_hashes(words)
-            mins = minimisers(hashes)
+            mins = minimisers(word_hashes(words))
             first, count = segments(mins)
-            own = None
             for item in shared:
-                a, n = int(first[item["no"]]), int(count[item["no"]])
-                if item["hot"] and own is None:
-                    own = _rolling(hashes, WINDOW).view(np.int64)
-                for at, size, shard in ([(a + i, 1, int(own[a + i])) for i in range(n)] if item["hot"] else [(a, n, int(mins[a]))]):
-                    body = b" ".join(words[at : at + size + WINDOW - 1])
-                    d = xxhash.xxh3_128_intdigest(body)
-                    rows.append((shard, _signed(d >> 64), _signed(d & (1 << 64) - 1), doc, key, at, size, body))
-                    if len(rows) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
+                at, n = int(first[item["no"]]), int(count[item["no"]])
+                body = b" ".join(words[at : at + n + WINDOW - 1])
+                rows.append((int(mins[at]), *_digest(body), doc, key, at, n, item["hot"], body))
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -231,6 +230,22 @@ def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out(done)
 
 
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct segments of hot minimisers -> their windows: digest of the window, hashes of the segment, number in it."""
+    names = ["window_a", "window_b", "shard", "hash_a", "hash_b", "low", "at"]
+    for batch in batches:
+        rows: list[tuple] = []
+        for shard, a, b, low, segment in zip(*(batch.column(n).to_pylist() for n in ("shard", "hash_a", "hash_b", "low", "segment"))):
+            words = segment.split(b" ")
+            for at in range(len(words) - WINDOW + 1):
+                rows.append((*_digest(b" ".join(words[at : at + WINDOW])), shard, a, b, low, at))
+            if len(rows) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=names)
+
+
 def _remove_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, totals, removed, kept_text = [], [], [], []
@@ -261,9 +276,9 @@ def repeated_windows(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> D
     start in a smaller document: those numbered in ``some``, or all n if it is null.
 
     1. Minimisers alone are dealt; those of one document end here. 2. Shared segments are cut from the texts and equal ones become one,
-    with their smallest document, before they are shuffled. A minimiser with more than ``shard_segments`` segments (a passage that
-    very many documents hold in different surroundings) has its windows routed by their own hashes instead, which spreads it; no case
-    is dropped. 3. Each shard's automaton. 4. The verdicts go back to the documents.
+    with their smallest document, before they are shuffled. 3. Each shard's automaton. A minimiser with more than ``shard_segments``
+    occurrences (a passage that very many documents hold, maybe in different surroundings) has the windows of its distinct segments
+    routed by their own digests instead, which spreads it; no case is dropped. 4. The verdicts go back to the documents.
     """
     mins, _ = stored(docs.mapInArrow(_minimiser_batches, "shard long, doc_id long, key long, no int"), "minimisers")
     shared = mins.groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select(
@@ -272,11 +287,21 @@ def repeated_windows(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> D
     wanted = mins.join(shared, F.col("shard") == F.col("_s")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("no", "hot")).alias("shared"))
     texts = docs.join(wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "shared"), (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")))
     cut, _ = stored(texts.select("doc_id", "key", "text", "shared").mapInArrow(_segment_batches, SEGMENTS), "segments")
-    distinct = cut.groupBy("shard", "hash_a", "hash_b", "segment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    seen = (
-        distinct.repartition("shard").sortWithinPartitions("shard", "low", "hash_a", "hash_b")
+    distinct = cut.groupBy("shard", "hash_a", "hash_b", "segment", "hot").agg(F.min("doc_id").alias("low"))
+    by_automaton = (
+        distinct.where("NOT hot").repartition("shard").sortWithinPartitions("shard", "low", "hash_a", "hash_b")
         .mapInArrow(_shard_batches, "shard long, hash_a long, hash_b long, low long, lows array<long>")
-        .select(F.col("shard").alias("_s"), F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), "low", "lows")
+    )
+    windows = distinct.where("hot").mapInArrow(
+        _window_batches, "window_a long, window_b long, shard long, hash_a long, hash_b long, low long, at long"
+    )
+    least = windows.groupBy(F.col("window_a").alias("_wa"), F.col("window_b").alias("_wb")).agg(F.min("low").alias("_least"))
+    per_segment = ["shard", "hash_a", "hash_b", "low"]
+    by_window = windows.join(least, (F.col("window_a") == F.col("_wa")) & (F.col("window_b") == F.col("_wb"))).groupBy(*per_segment).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "_least"))), lambda w: w["_least"]).alias("lows")
+    )
+    seen = by_automaton.unionByName(by_window).select(
+        F.col("shard").alias("_s"), F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), "low", "lows"
     )
     same = (F.col("shard") == F.col("_s")) & (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b"))
     # the numbers of the windows whose smallest document is smaller than this one

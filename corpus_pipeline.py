@@ -64,8 +64,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     words = F.expr("array_join(slice(split(ltrim(translate(text, '\\t\\n\\x0B\\f\\r', '     ')), ' +'), 1, int(_words)), ' ')")
     cut = each.withColumn("text", F.when(F.col("_words") < F.col("size"), words).otherwise(F.col("text")))
     ordered = _recounted(cut).select(*COLUMNS, "position")
-    parts = max(2, spark.sparkContext.defaultParallelism * 2)
-    return ordered.repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
+    return ordered.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

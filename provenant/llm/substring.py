@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import small_batches, stored, text_key
+from provenant.llm.common import drop_path, release, small_batches, stored, text_key
 
 WINDOW, GRAM = 50, 10
 #: Occurrences of one minimiser from which the windows of its distinct segments are routed one by one, by their own digests.
@@ -280,13 +280,16 @@ def repeated_windows(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> D
     occurrences (a passage that very many documents hold, maybe in different surroundings) has the windows of its distinct segments
     routed by their own digests instead, which spreads it; no case is dropped. 4. The verdicts go back to the documents.
     """
-    mins, _ = stored(docs.mapInArrow(_minimiser_batches, "shard long, doc_id long, key long, no int"), "minimisers")
+    spark = docs.sparkSession
+    mins, mins_path = stored(docs.mapInArrow(_minimiser_batches, "shard long, doc_id long, key long, no int"), "minimisers")
     shared = mins.groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select(
         F.col("shard").alias("_s"), (F.col("n") > shard_segments).alias("hot")
     )
     wanted = mins.join(shared, F.col("shard") == F.col("_s")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("no", "hot")).alias("shared"))
     texts = docs.join(wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "shared"), (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")))
-    cut, _ = stored(texts.select("doc_id", "key", "text", "shared").mapInArrow(_segment_batches, SEGMENTS), "segments")
+    cut, cut_path = stored(texts.select("doc_id", "key", "text", "shared").mapInArrow(_segment_batches, SEGMENTS), "segments")
+    drop_path(spark, mins_path)
+    release(spark)
     distinct = cut.groupBy("shard", "hash_a", "hash_b", "segment", "hot").agg(F.min("doc_id").alias("low"))
     by_automaton = (
         distinct.where("NOT hot").repartition("shard").sortWithinPartitions("shard", "low", "hash_a", "hash_b")
@@ -307,7 +310,10 @@ def repeated_windows(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> D
     # the numbers of the windows whose smallest document is smaller than this one
     some = F.filter(F.transform("lows", lambda d, i: F.when(d < F.col("doc_id"), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     hits = cut.drop("segment").join(seen, same).withColumn("some", some).where("(lows IS NULL AND low < doc_id) OR size(some) > 0")
-    return hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "some")).alias("hits"))
+    out, _ = stored(hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "some")).alias("hits")), "hits")
+    drop_path(spark, cut_path)
+    release(spark)
+    return out
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:

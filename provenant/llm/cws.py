@@ -127,7 +127,9 @@ def neighbours(docs: DataFrame, bucket_chars: int = 500_000, most_buckets: int =
     extra = F.struct(F.pmod(F.col("_at") + F.lit(total - 1), F.lit(total)).cast("int").alias("bucket"), F.lit(True).alias("spare"))
     dealt = place.select(
         "doc_id", "text", text_key().alias("_key"), F.explode(F.when(leads, F.array(own, extra)).otherwise(F.array(own))).alias("_p")
-    ).select("_p.bucket", "_p.spare", "doc_id", "text", "_key").repartition(max(8, -(-total // 8)), "bucket")
+    ).select("_p.bucket", "_p.spare", "doc_id", "text", "_key")
+    # a join on bucket implies this filter on one side only; stated here, both sides read one exchange
+    dealt = dealt.where("bucket IS NOT NULL").repartition(max(8, -(-total // 8)), "bucket")
     w = Window.partitionBy("bucket").orderBy("spare", F.col("doc_id").asc_nulls_last(), "_key")
     return dealt.withColumn("rid", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("_key")
 

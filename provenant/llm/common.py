@@ -57,6 +57,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def signed(x: int) -> int:
+    """An unsigned 64-bit number as a long."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def text_key(text: str | Column = "text") -> Column:
     """Tells rows of one doc_id apart by their texts (null counts as empty)."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +53,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components have not settled")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merge_labels(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Merge the classes of the pairs of rows, within one task; ``label`` has each row's lowest known row and is fully resolved on return."""
+    while len(left):
+        a, b = label[left], label[right]
+        differ = a != b
+        if not differ.any():
+            return
+        left, right, a, b = left[differ], right[differ], a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]

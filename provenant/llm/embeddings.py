@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.llm.common import stored
-from provenant.llm.components import connected_components
+from provenant.llm.components import connected_components, merge_labels
 
 THRESHOLD, ROTATION_SEED = 0.93, 20_240_229
 #: Rows of a chunk; a task compares one pair of chunks at a time.
@@ -56,7 +57,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa
     turns: dict[int, np.ndarray] = {}
     for batch in batches:
         vectors = batch.column("embedding")
-        lengths = np.array([0 if x is None else x for x in pa.compute.list_value_length(vectors).to_pylist()])
+        lengths = np.array([0 if x is None else x for x in pc.list_value_length(vectors).to_pylist()])
         for dim in {int(x) for x in np.unique(lengths)} - {0}:
             at = np.flatnonzero(lengths == dim)
             flat = vectors.take(pa.array(at)).flatten().cast(pa.float64())
@@ -108,18 +109,6 @@ def near_pairs(
         yield x[hit], y[hit]
 
 
-def _union(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    while len(left):
-        a, b = label[left], label[right]
-        differ = a != b
-        if not differ.any():
-            return
-        left, right, a, b = left[differ], right[differ], a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: float, epsilon: float | None, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block (label, dim, i, j) with their chunk c -> link counts per row, and edges that join what is linked."""
     turns: dict[int, np.ndarray] = {}
@@ -139,7 +128,7 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], threshold: float, epsilo
         links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         for x, y in near_pairs((units[p], codes[p], factors[p]), (units[q], codes[q], factors[q]), threshold, spread, turns[dim], i == j):
             links += np.bincount(p[x], minlength=len(ids)) + np.bincount(q[y], minlength=len(ids))
-            _union(label, p[x], q[y])
+            merge_labels(label, p[x], q[y])
         out = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[out]), pa.array(links[out]), pa.array(ids[out]), pa.array(ids[label[out]])], names=["vec_id", "links", "u", "v"]

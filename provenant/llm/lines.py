@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import small_batches, stored, text_key
+from provenant.llm.common import signed, small_batches, stored, text_key
 
 #: Lines under the rolling hash, and the mean number of lines between boundaries (a power of two).
 WINDOW_LINES, MEAN_LINES = 2, 4
@@ -55,10 +55,6 @@ def chunks(text: str) -> list[list[str]]:
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _chunk_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
@@ -72,7 +68,7 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
                     continue
                 body = "\n".join(lines)
                 d = xxhash.xxh3_128_intdigest(body.encode("utf-8", "surrogatepass"))
-                rows.append((doc, key, no, len(lines), _signed(d >> 64), _signed(d & (1 << 64) - 1), body if with_text else None))
+                rows.append((doc, key, no, len(lines), signed(d >> 64), signed(d & (1 << 64) - 1), body if with_text else None))
         columns = list(zip(*rows)) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.llm.common import small_batches, stored
-from provenant.llm.components import connected_components
+from provenant.llm.components import connected_components, merge_labels
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Rows that a block may have before it is split into pairs of chunks.
@@ -150,27 +150,11 @@ def block_labels(prints: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -
             lane, bit = np.nonzero(hits)
             left, right = q[lane], row_at[w[lane] * 64 + bit]
             keep = (right >= 0) & (right > left)
-            _union(label, left[keep], right[keep])
+            merge_labels(label, left[keep], right[keep])
         row = upto
     return label
 
 
-def _union(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Merge the classes of the pairs; ``label`` points to each row's lowest known row, fully resolved on return."""
-    while len(left):
-        a, b = label[left], label[right]
-        differ = a != b
-        if not differ.any():
-            return
-        left, right, a, b = left[differ], right[differ], a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            next_label = label[label]
-            if (next_label == label).all():
-                break
-            label[:] = next_label
-
-
 def _block_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (t, key, i, j, fp), sorted by block -> edges (u, v) that join what is linked within each block."""
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import drop_path, release, small_batches, stored, text_key
+from provenant.llm.common import drop_path, release, signed, small_batches, stored, text_key
 
 WINDOW, GRAM = 50, 10
 #: Occurrences of one minimiser from which the windows of its distinct segments are routed one by one, by their own digests.
@@ -153,13 +153,9 @@ def _minimiser_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "doc_id", "key", "no"])
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _digest(body: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_intdigest(body)
-    return _signed(d >> 64), _signed(d & (1 << 64) - 1)
+    return signed(d >> 64), signed(d & (1 << 64) - 1)
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,4 +210,4 @@ def matching_paths(paths: DataFrame, focus: DataFrame) -> DataFrame:
     escaped = F.regexp_replace("pattern", r"([.+^$(){}|\\])", r"\\$1")
     regex = F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
     globs = focus.where(wild).select(regex.alias("_g"))
-    return plain.select("path").unionByName(paths.join(globs, F.col("path").rlike(F.col("_g"))).select("path")).distinct()
+    return plain.select("path").unionByName(paths.join(globs, F.regexp_like("path", F.col("_g"))).select("path")).distinct()

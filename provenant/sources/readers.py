@@ -36,7 +36,7 @@ def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None,
     at = F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})")
     rows = files.select(at.alias("path"), F.col("length").alias("size_bytes"), "content")
     kept = rows.where(admitted(F.col("path"), F.col("size_bytes"), exclude or [], most_bytes))
-    return kept.select("path", "size_bytes", F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return kept.select("path", "size_bytes", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
 
 
 def listing(files: DataFrame, n: int) -> DataFrame:
@@ -88,7 +88,7 @@ def search(lines: DataFrame, queries: DataFrame, path: str, cap: int, regex: boo
     if good.count() > 10_000:
         raise ValueError("search takes at most 10,000 queries at a time")
     terms = good.select("query_id", F.explode("terms").alias("_t"))
-    meet = F.col("text").rlike(F.col("_t")) if regex else F.instr(F.col("text"), F.col("_t")) > 0
+    meet = F.regexp_like("text", F.col("_t")) if regex else F.instr(F.col("text"), F.col("_t")) > 0
     hits = lines.join(F.broadcast(terms), meet).select("query_id", path, "line_no").distinct()
     w = Window.partitionBy("query_id")
     ranked = hits.withColumn("_rn", F.row_number().over(w.orderBy(path, "line_no"))).withColumn("truncated", F.count(F.lit(1)).over(w) > cap)

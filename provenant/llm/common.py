@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Words, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The characters between words, but for the space.
+SPACES = "\t\n\x0b\f\r"
 #: Rows that one Arrow batch of texts may hold, so that a worker's memory follows this and not the partition.
 TEXT_BATCH = 500
 

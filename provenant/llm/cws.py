@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenant.llm.common import text_key
+from provenant.llm.common import SPACES, text_key
 
 #: Samples in a fingerprint, and samples computed side by side in one aggregation.
 SAMPLES, ABREAST = 32, 8
@@ -28,8 +28,8 @@ def _unit(h: Column, shift: int, bits: int) -> Column:
 
 
 def _words(text: str) -> Column:
-    """Hashes of the words, one for each occurrence."""
-    return F.expr(f"explode(split(translate({text}, '\\t\\n\\x0B\\f\\r', '     '), ' '))")
+    """The words, a row for each occurrence, and empty texts between spaces that follow each other."""
+    return F.explode(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "))
 
 
 def sample_values(bags: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from provenant.llm.common import running_sum, small_batches, stored, text_key, uniform_buckets
 
@@ -244,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """``docs(doc_id, text)`` -> a row for each piece: doc_id, copy, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the tokenizer file at ``tokenizer``, which every executor must have, and ``end_id``. Null text: empty
-    (the end id alone). Rows that repeat a doc_id and a text are documents of their own, told apart by ``copy``. Sequence ids are dense.
+    (the end id alone). Rows that repeat a doc_id, or a doc_id and a text, are documents of their own, told apart by ``copy``. Sequence ids are dense.
     Ids are computed once and kept in the shared folder, two bytes each; they join their pieces by document.
     An empty table gives an empty result.
     """
@@ -252,12 +253,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     tokens, _ = stored(texts.mapInArrow(lambda b: _token_batches(b, tokenizer, end_id), "doc_id long, key long, doc_tokens long, ids binary"), "tokens")
     grouped = tokens.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_tokens").alias("doc_tokens"))
-    counts, _ = stored(grouped.select("doc_id", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "doc_tokens"), "counts")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = grouped.withColumn("_from", earlier + 1).select("doc_id", "key", "doc_tokens", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("n") - 1)).alias("copy"))
+    counts, _ = stored(each.select("doc_id", "key", "copy", "doc_tokens"), "counts")
     placed = pieces(counts, window)
     lists = placed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("copy", "start", "length", "sequence_id", "offset")).alias("pieces")).select(
         F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "pieces"
     )
-    single = tokens.dropDuplicates(["doc_id", "key"]) if counts.where("copy > 1").limit(1).count() else tokens
+    repeated = counts.count() > counts.select("doc_id", "key").distinct().count()
+    single = tokens.dropDuplicates(["doc_id", "key"]) if repeated else tokens
     joined = single.join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", "ids", "pieces")
     return joined.mapInArrow(
         _crc_batches, "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import langid, lines, mixing, packing, simhash
-from provenant.llm.common import stored, text_key
+from provenant.llm.common import SPACES, stored, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,7 +61,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     joined = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
     uses = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
     each = joined.withColumn("_use", uses).withColumn("_words", F.least("size", F.col("taken") - (F.col("_use") - 1) * F.col("size")))
-    words = F.expr("array_join(slice(split(ltrim(translate(text, '\\t\\n\\x0B\\f\\r', '     ')), ' +'), 1, int(_words)), ' ')")
+    found = F.split(F.ltrim(F.translate("text", SPACES, " " * len(SPACES))), " +")
+    words = F.array_join(F.slice(found, F.lit(1), F.col("_words").cast("int")), " ")
     cut = each.withColumn("text", F.when(F.col("_words") < F.col("size"), words).otherwise(F.col("text")))
     ordered = _recounted(cut).select(*COLUMNS, "position")
     return ordered.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)

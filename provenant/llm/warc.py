@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import new_path, small_batches
+from provenant.llm.common import drop_path, new_path, small_batches
 
 CRLF = "\r\n"
 #: Payloads below this many bytes are always stored in full.
 LEAST_PAYLOAD = 100
-#: Payload bytes aimed at in one archive file, and records it may hold at most.
+#: Payload bytes aimed at in one archive file (by the mean size of a record), and records it may hold at most.
 FILE_BYTES, FILE_RECORDS = 8 << 20, 2_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,10 +77,13 @@ def _head(kind: str, rid: Column, url: Column, page_id: Column, digest: Column,
     return F.concat(F.concat_ws(CRLF, *fields), F.lit(CRLF))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write a column of whole records as gzipped WARC files, each of ``FILE_RECORDS`` records at most."""
+def write_archives(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+    """Write a column of whole records as gzipped WARC files, each of ``file_records`` records at most.
+
+    Gzip works at its fastest level: it takes most of the time, and archives are read back soon.
+    """
     (records.select(F.col(records.columns[0]).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip")
-     .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path))
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -196,10 +199,11 @@ def deduplicate(pages: DataFrame, out: str | None = None, least: int = LEAST_PAY
     unique = pages.select("page_id", "url", "html")
     raw, final = new_path(spark, "warc-raw"), out or new_path(spark, "warc")
     total = unique.agg(F.sum(F.octet_length("html")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    files = max(1, -(-(total["b"] or 0) // FILE_BYTES), -(-total["n"] // FILE_RECORDS))
-    write_archives(response_records(unique.repartition(files)), raw)
+    each = max(1, min(FILE_RECORDS, FILE_BYTES * total["n"] // max(1, total["b"] or 0)))
+    write_archives(response_records(unique), raw, each)
     decisions = resolve(read_archives(spark, raw), least)
-    write_archives(deduplicated_records(read_archives(spark, raw, True), decisions), final)
+    write_archives(deduplicated_records(read_archives(spark, raw, True), decisions), final, each)
+    drop_path(spark, raw)
     return read_archives(spark, final), final
 
 

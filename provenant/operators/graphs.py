@@ -192,3 +192,40 @@ def nested_values(df: DataFrame, key: str, payload: str, name: str) -> DataFrame
         return texts.map(one)
 
     return df.select(key, F.explode(harvest(payload)).alias("value"))
+
+
+# How each kind of request is answered: mode, relations, direction.
+BOTH_WAYS = ("relationship", ("calls", "references"), "both")
+RESOLVERS = {
+    "definition": ("definition", (), ""), "callers": ("relationship", ("calls",), "in"), "callees": ("relationship", ("calls",), "out"),
+    "references": ("relationship", ("references",), "in"), "imports": ("relationship", ("imports",), "both"), "readers": ("relationship", ("references",), "both"),
+    "writers": ("relationship", ("references",), "both"), "credential_consumer": BOTH_WAYS, "middleware": BOTH_WAYS, "route": BOTH_WAYS, "sibling_handlers": BOTH_WAYS,
+    "authorization_decision": BOTH_WAYS, "security_control": BOTH_WAYS, "store_relationship": BOTH_WAYS, "configuration": ("relationship", ("references", "imports"), "both"),
+    "environment_usage": ("relationship", ("references", "imports"), "both"), "flow": BOTH_WAYS, "search": ("label_search", (), ""), "knowledge": ("label_search", (), ""),
+    "window": ("window", (), ""),
+}
+
+
+def typed_lookup(requests: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """``requests(id, kind, path, symbol, query)``, ``nodes(node_id, label, path, line)``, ``edges(source, target, relation)`` -> ``id, node_id, rank, truncated``.
+
+    definition: nodes of that label (in the path, if one is given); relationship: their neighbours by the kind's relations and direction;
+    label_search: nodes whose label holds every term of the query. The first ``most`` by path, line and id. Windows and unknown kinds give no node.
+    """
+    table = requests.sparkSession.createDataFrame([(k, m, list(r), d) for k, (m, r, d) in RESOLVERS.items()], "kind string, mode string, relations array<string>, direction string")
+    asked = requests.join(F.broadcast(table), "kind")
+    n = nodes.select("node_id", "label", F.col("path").alias("_p"), "line")
+    here = F.col("path").isNull() | (F.col("path") == "") | (F.col("path") == F.col("_p"))
+    seeds = asked.where("mode IN ('definition', 'relationship')").join(n, (F.col("symbol") == F.col("label")) & here)
+    found = seeds.where("mode = 'definition'").select("id", "node_id")
+    related = seeds.where("mode = 'relationship'").select("id", "node_id", F.explode("relations").alias("_r"), "direction")
+    e = edges.select("source", "target", F.lower("relation").alias("_rel"))
+    out = related.where("direction <> 'in'").join(e, (F.col("node_id") == F.col("source")) & (F.col("_r") == F.col("_rel"))).select("id", F.col("target").alias("node_id"))
+    back = related.where("direction <> 'out'").join(e, (F.col("node_id") == F.col("target")) & (F.col("_r") == F.col("_rel"))).select("id", F.col("source").alias("node_id"))
+    words = F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z0-9_$.-]+)"), F.lit(1)), lambda w: F.length(w) > 1)
+    wanted = asked.where("mode = 'label_search'").withColumn("_w", words).where("size(_w) > 0")
+    matched = wanted.join(n, here & F.forall("_w", lambda w: F.instr(F.lower(F.col("label")), w) > 0)).select("id", "node_id")
+    every = found.unionByName(out).unionByName(back).unionByName(matched).distinct().join(nodes.select("node_id", "path", "line"), "node_id")
+    w = Window.partitionBy("id")
+    ranked = every.withColumn("rank", F.row_number().over(w.orderBy("path", "line", "node_id"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
+    return ranked.where(F.col("rank") <= most).select("id", "node_id", F.col("rank").cast("long").alias("rank"), "truncated")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from provenant.llm import langid, lines, mixing, queries, simhash
 from provenant.llm.common import stored
+from tests import oracle
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -19,6 +20,8 @@ def test_query(spark, sf_dir, name):
     assert df.select(key).distinct().count() == ids.count()
     if not name.startswith("op3_"):
         assert df.count() == ids.count()
+    if name in queries.ORACLES:
+        oracle.check(df, oracle.connect(sf_dir), queries.ORACLES[name])
 
 
 def test_pipeline(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,7 @@ def reverse_reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """``start(node)`` -> ``node, depth``: nodes from which a start node is reached within so many steps, with the least depth.
 
     Breadth first: each round joins the frontier with the edges and drops nodes seen before. The rounds are at most
-    ``hops`` (a dozen) and each is checkpointed to the shared folder where one is set, so the plan stays short.
+    ``hops`` (a dozen) and each is checkpointed to the shared folder, so the plan stays short.
     """
     spark = start.sparkSession
     e = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct()
@@ -27,8 +29,10 @@ def reverse_reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 
 def _cut(df: DataFrame, spark) -> DataFrame:
-    """Cut the lineage where the session has a checkpoint folder; without one the plan just grows with the rounds."""
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+    """Cut the lineage in the session's checkpoint folder, which driver and executors share; a temporary one only where none is set."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenant-"))
+    return df.checkpoint()
 
 
 def fan_out(edges: DataFrame, nodes: DataFrame, start: DataFrame, hops: int, most: int) -> DataFrame:

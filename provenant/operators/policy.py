@@ -106,3 +106,27 @@ def expand_requests(requests: DataFrame, symbols: DataFrame, calls: DataFrame, i
     w = Window.partitionBy("id", "kind")
     ranked = found.withColumn("rank", F.row_number().over(w.orderBy("fact"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
     return ranked.where(F.col("rank") <= most)
+
+
+def expand_source(requests: DataFrame, files: DataFrame, routes: DataFrame, reach: int, most: int) -> DataFrame:
+    """``requests(id, kind, path, line, target)`` of the kinds window, search and route, over ``files(path, lines)`` and ``routes(path, line_no, route)``.
+
+    -> ``id, kind, rank, path, line, content, truncated``: the lines around a place, lines that hold a text, registrations that hold a route.
+    """
+    from pyspark.sql.window import Window
+
+    from provenant.operators.intervals import context_window
+
+    f = files.select(F.col("path").alias("_p"), "lines")
+    around = requests.where("kind = 'window'").join(f, F.col("path") == F.col("_p")).where((F.col("line") >= 1) & (F.col("line") <= F.size("lines"))).select(
+        "id", "kind", F.col("_p").alias("path"), F.col("line"), context_window(F.col("lines"), F.col("line"), F.lit(reach), 16_000)["content"].alias("content"))
+    text = f.select(F.col("_p").alias("path"), F.posexplode("lines").alias("_n", "content"))
+    wanted = requests.where("kind = 'search' AND length(target) > 1").select("id", "kind", "target")
+    found = text.join(wanted, F.instr(F.col("content"), F.col("target")) > 0).select("id", "kind", "path", (F.col("_n") + 1).alias("line"), "content")
+    r = routes.select(F.col("path").alias("_p"), "line_no", "route")
+    at = requests.where("kind = 'route'").select("id", "kind", "target").join(r, F.endswith(F.lower("route"), F.lower("target"))).select(
+        "id", "kind", F.col("_p").alias("path"), F.col("line_no").alias("line"), F.col("route").alias("content"))
+    w = Window.partitionBy("id", "kind")
+    every = around.unionByName(found).unionByName(at)
+    ranked = every.withColumn("rank", F.row_number().over(w.orderBy("path", "line"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
+    return ranked.where(F.col("rank") <= most)

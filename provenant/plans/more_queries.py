@@ -36,10 +36,10 @@ SCOPE = "select o_orderkey from orders where (o_orderkey % 3 = 0 or o_custkey =
 
 
 def wildcard_filter(spark, d):
-    return table(spark, d, "part").where(X.contains_any(["p_name", "p_type"], F.lit("n_t"))).select("p_partkey")
+    return table(spark, d, "part").where(X.contains_any(["p_name", "p_type"], F.lit("d_w"))).select("p_partkey")
 
 
-WILDCARD = "select p_partkey from part where p_name ilike '%n_t%' or p_type ilike '%n_t%'"
+WILDCARD = "select p_partkey from part where p_name ilike '%d_w%' or p_type ilike '%d_w%'"
 
 
 def evidence_present(spark, d):

@@ -334,3 +334,45 @@ def test_ranked_search_and_prefixes(spark):
     b = frame(spark, [("k", 1, 5), ("k", 2, 9), ("k", 3, 2)], "k string, n int, size int")
     assert [r[1] for r in values(R.prefix_within(b, "k", ["n"], "size", 8), "n")] == [1]
     assert [r[1] for r in values(R.fill_within(b, "k", ["n"], "size", 8), "n")] == [1, 3]
+
+
+def test_region_plan(spark):
+    from provenant.plans import regions as Q
+
+    content = "\n".join(f"line {i} {'jwt.decode' if i in (5, 60) else ''}" for i in range(1, 101))
+    q = frame(spark, [(1, "q1", ["JWT.decode".lower()], ["**"], ["t1"]), (2, "q2", ["jwt.decode"], ["**"], ["t2"]), (3, "q3", ["a\nb"], ["**"], ["t3"])], "ord int, query_id string, terms array<string>, globs array<string>, task_ids array<string>")
+    f = frame(spark, [("a.js", content)], "path string, content string")
+    s = frame(spark, [("a.js", "f", 1, 30, 0), ("a.js", "g", 55, 70, 1)], "path string, span_id string, start_line int, end_line int, ord int")
+    plan = Q.plan_regions(q, f, s, reach=5)
+    assert values(plan["regions"], "start_line") == [("a.js", 1, 10, "symbol", "f", ["t1", "t2"], 1), ("a.js", 55, 65, "symbol", "g", ["t1", "t2"], 1)]
+    assert [tuple(r) for r in plan["uncovered"].select("start_line", "end_line").orderBy("start_line").collect()] == [(11, 54), (66, 100)]
+    assert plan["invalid"].count() == 1
+    assert Q.worksets(plan["regions"], f).count() == 2
+
+
+def test_requests(spark):
+    r = frame(spark, [(1, "window", "a.js", 2, ""), (2, "search", "", 0, "two"), (3, "route", "", 0, "/Login")], "id int, kind string, path string, line int, target string")
+    f = frame(spark, [("a.js", ["one", "two", "three", "four"])], "path string, lines array<string>")
+    routes = frame(spark, [("a.js", 3, "POST /login")], "path string, line_no int, route string")
+    got = {(x["id"], x["line"], x["content"]) for x in P.expand_source(r, f, routes, 1, 5).collect()}
+    assert got == {(1, 2, "one\ntwo\nthree"), (2, 2, "two"), (3, 3, "POST /login")}
+
+
+def test_prepare(spark):
+    from provenant.operators import snapshots as Q
+
+    old = frame(spark, [("a", "h1"), ("b", "h2")], "path string, content_hash string")
+    syms = frame(spark, [("s1", "a", "x"), ("s2", "b", "y"), ("s3", "b", "z")], "symbol_id string, path string, content_hash string")
+    now = syms.withColumn("content_hash", F.when(F.col("symbol_id") == "s2", "new").otherwise(F.col("content_hash")))
+    edges = frame(spark, [("s1", "s2")], "source string, target string")
+    assert Q.prepare(old, syms, old, syms, edges, False).reused
+    p = Q.prepare(old, syms, old.withColumn("content_hash", F.when(F.col("path") == "b", "h9").otherwise(F.col("content_hash"))), now, edges, False)
+    assert (values(p.changed_symbols), values(p.affected, "node"), p.reused_percent) == ([("s2", "changed")], [("s1", 1), ("s2", 0)], 67)
+
+
+def test_compact(spark):
+    from provenant.operators import filters as X
+
+    items = F.array(*[F.lit(x) for x in ("a", "focus b", "c")])
+    assert one(spark, X.compact(items, F.lit("focus"), 2)) == ["focus b", "a"]
+    assert one(spark, X.compact(items, F.lit("focus"), 3)) == ["a", "focus b", "c"]

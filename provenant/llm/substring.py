@@ -22,7 +22,8 @@ from provenant.llm.common import drop_path, release, signed, small_batches, stor
 
 WINDOW, GRAM = 50, 10
 #: Occurrences of one minimiser from which the windows of its distinct segments are routed one by one, by their own digests.
-SHARD_SEGMENTS = 1_000
+#: An automaton of so many segments of some 70 words, none shared, takes about 150 MB and a second or two.
+SHARD_SEGMENTS = 5_000
 #: Words with their hashes that a worker keeps.
 CACHE_WORDS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -294,11 +295,16 @@ def repeated_windows(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> D
     windows = distinct.where("hot").mapInArrow(
         _window_batches, "window_a long, window_b long, shard long, hash_a long, hash_b long, low long, at long"
     )
-    least = windows.groupBy(F.col("window_a").alias("_wa"), F.col("window_b").alias("_wb")).agg(F.min("low").alias("_least"))
+    # a window that one distinct segment has alone keeps that segment's document: only shared ones are joined back
+    least = windows.groupBy(F.col("window_a").alias("_wa"), F.col("window_b").alias("_wb")).agg(
+        F.min("low").alias("_least"), F.count(F.lit(1)).alias("_n")
+    ).where("_n > 1")
+    found = windows.join(least, (F.col("window_a") == F.col("_wa")) & (F.col("window_b") == F.col("_wb"))).where("_least < low")
     per_segment = ["shard", "hash_a", "hash_b", "low"]
-    by_window = windows.join(least, (F.col("window_a") == F.col("_wa")) & (F.col("window_b") == F.col("_wb"))).groupBy(*per_segment).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "_least"))), lambda w: w["_least"]).alias("lows")
-    )
+    shared_lows = found.groupBy(*per_segment).agg(F.map_from_entries(F.collect_list(F.struct("at", "_least"))).alias("_m"))
+    segment_list = distinct.where("hot").select(*per_segment, (F.size(F.split(F.col("segment").cast("string"), " ")) - (WINDOW - 1)).alias("_k"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_k").cast("long") - 1), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.col("low")))
+    by_window = segment_list.join(shared_lows, per_segment, "left").select(*per_segment, F.when(F.col("_m").isNotNull(), each).alias("lows"))
     seen = by_automaton.unionByName(by_window).select(
         F.col("shard").alias("_s"), F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), "low", "lows"
     )

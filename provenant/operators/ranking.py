@@ -21,10 +21,9 @@ def balanced_sample(df: DataFrame, area: str, order: list[str], limit: int) -> D
     return chosen.join(flags, F.col(area) == F.col("_b")).drop("_rn", "_b")
 
 
-def demote_past(df: DataFrame, key: str | None, score: str, order: list[str], budget: int, state: str, demoted: str) -> DataFrame:
-    """Rank by score, highest first; rows past the budget keep their place but get the demoted state. Adds ``rank``."""
-    w = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), *order)))
+def demote_past(df: DataFrame, key: str, score: str, order: list[str], budget: int, state: str, demoted: str) -> DataFrame:
+    """Rank each key's rows by score, highest first; rows past the budget keep their place but get the demoted state. Adds ``rank``."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *order)))
     return ranked.withColumn(state, F.when(F.col("rank") > budget, F.lit(demoted)).otherwise(F.col(state)))
 
 

@@ -1,6 +1,6 @@
 """All registered queries of the library proper and their SQL counterparts."""
 
-from provenant.plans import events_queries, relation_queries, text_queries
+from provenant.plans import events_queries, more_queries, relation_queries, text_queries
 
-QUERIES = {**events_queries.QUERIES, **relation_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**events_queries.ORACLES, **relation_queries.ORACLES, **text_queries.ORACLES}
+QUERIES = {**events_queries.QUERIES, **relation_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES}
+ORACLES = {**events_queries.ORACLES, **relation_queries.ORACLES, **text_queries.ORACLES, **more_queries.ORACLES}

@@ -376,3 +376,13 @@ def test_compact(spark):
     items = F.array(*[F.lit(x) for x in ("a", "focus b", "c")])
     assert one(spark, X.compact(items, F.lit("focus"), 2)) == ["focus b", "a"]
     assert one(spark, X.compact(items, F.lit("focus"), 3)) == ["a", "focus b", "c"]
+
+
+def test_config(spark, tmp_path):
+    from provenant.sources import config as C
+
+    (tmp_path / "policy.yml").write_text("# policy\nminimum_confidence: 0.8\nexclude:\n  - docs/*\nwarn_severities: [low, 'medium']\n")
+    (tmp_path / "context.md").write_text("# hello")
+    got = C.read_config(spark, str(tmp_path))
+    assert (got["minimum_confidence"], got["exclude"], got["warn_severities"], got["context"], got["guidelines"]) == (0.8, ["docs/*"], ["low", "medium"], "# hello", "")
+    assert C.read_config(spark, str(tmp_path / "none"))["block_severities"] == ["critical", "high"]

@@ -150,6 +150,13 @@ def occurrence_fold(spark, d):
     return L.occurrence_fold(e)
 
 
+OCCURRENCES = """with recursive e as (select user_id, epoch_us(ts) as t, event_type as k, row_number() over (partition by user_id order by event_id) as n from events),
+f as (select user_id, 0::bigint as n, null::varchar as status, 0::bigint as reopened, null::bigint as last from (select distinct user_id from events)
+ union all select f.user_id, e.n, case when coalesce(e.t < f.last, false) then f.status when k in ('click', 'error') then 'open' when k = 'purchase' then 'fixed' when k = 'view' then 'duplicate' else f.status end,
+ f.reopened + (not coalesce(e.t < f.last, false) and k in ('click', 'error') and coalesce(f.status = 'fixed', false))::bigint, greatest(f.last, e.t) from f join e on e.user_id = f.user_id and e.n = f.n + 1)
+select user_id as key, arg_max(status, n) as status, max(reopened) as reopened, max(last) as last_at from f group by 1"""
+
+
 def budget_prefix(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
     return R.prefix_within(docs, "source", ["doc_id"], "n_chars", 20_000)
@@ -267,6 +274,6 @@ QUERIES = {
 }
 ORACLES = {
     "acceptance_metrics": ACCEPTANCE, "status_counts": STATUS, "monthly_cost": MONTHLY, "rolling_daily_quota": ROLLING, "latest_per_user": LATEST, "version_bumps": VERSIONS, "idempotent_enqueue": ENQUEUE,
-    "lease_next": LEASE, "late_run_guard": LATE, "triage_fold": TRIAGE, "budget_prefix": BUDGET, "usage_telemetry": USAGE, "priority_rank": PRIORITY, "obligation_reconcile": OBLIGATIONS,
+    "lease_next": LEASE, "late_run_guard": LATE, "triage_fold": TRIAGE, "occurrence_fold": OCCURRENCES, "budget_prefix": BUDGET, "usage_telemetry": USAGE, "priority_rank": PRIORITY, "obligation_reconcile": OBLIGATIONS,
     "batch_reconcile": BATCHES, "merge_policy": MERGE, "scan_policy": SCAN, "json_props": JSON,
 }

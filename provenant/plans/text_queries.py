@@ -133,6 +133,11 @@ def chunk_chars(spark, d):
     return I.chunk_chars(_lines(spark, d), "doc_id", 1600)
 
 
+CHARS = """with recursive l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, length(unnest(string_split(text, chr(10)))) + 1 as n from documents),
+f as (select doc_id, i, i as s, n as c from l where i = 1 union all select l.doc_id, l.i, case when f.c + l.n <= 1600 then f.s else l.i end, case when f.c + l.n <= 1600 then f.c + l.n else l.n end from f join l on l.doc_id = f.doc_id and l.i = f.i + 1)
+select doc_id, s::integer as start_line, max(i)::integer as end_line, max(c)::integer as chars from f group by doc_id, s"""
+
+
 def canonical_queries(spark, d):
     q = table(spark, d, "part").select(
         F.col("p_partkey").alias("ord"), F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.split("p_type", " ").alias("terms"), F.array(F.lit("**"), F.concat(F.pmod("p_size", F.lit(3)).cast("string"), F.lit("/*"))).alias("globs"), F.array("p_brand").alias("task_ids"))
@@ -162,5 +167,5 @@ QUERIES = {
 }
 ORACLES = {
     "balanced_sample": SAMPLE, "knowledge_search": SEARCH, "page": PAGE, "redact": _sql_redact(), "literal_hits": HITS, "hit_regions": REGIONS, "url_normalise": URLS, "tokens_stemmed": STEMS, "exact_dedupe": DEDUPE,
-    "jaccard_pairs": JACCARD, "chunk_lines": CHUNK, "canonical_queries": CANONICAL, "change_relevance": RELEVANCE,
+    "jaccard_pairs": JACCARD, "chunk_lines": CHUNK, "chunk_chars": CHARS, "canonical_queries": CANONICAL, "change_relevance": RELEVANCE,
 }

@@ -91,42 +91,65 @@ def fingerprints(docs: DataFrame, keys: list[str], samples: int = SAMPLES) -> Da
     )
 
 
-def _bucket(bounds: list[int], step: int = 64) -> Column:
-    """0-based number of the last bound that is not above doc_id; null ids belong to the last bucket.
+def _last(among: Column) -> Column:
+    """0-based place of the last of some sorted ids that is not above doc_id, the first of them being no larger.
 
     Written without lambda functions: their variables would keep Spark from reusing the exchange of the dealt texts.
     """
+    at = F.array_position(F.sort_array(F.array_append(among, F.col("doc_id"))), F.col("doc_id"))
+    return (at - 2 + F.array_contains(among, F.col("doc_id")).cast("int")).cast("int")
 
-    def last(among: Column) -> Column:
-        at = F.array_position(F.sort_array(F.array_append(among, F.col("doc_id"))), F.col("doc_id"))
-        return at - 2 + F.array_contains(among, F.col("doc_id")).cast("int")
 
+def _bucket(bounds: list[int], step: int = 64) -> Column:
+    """0-based number of the last bound that is not above doc_id; null ids belong to the last bucket."""
     every, coarse = F.lit(bounds).cast("array<bigint>"), F.lit(bounds[::step]).cast("array<bigint>")
-    first = (last(coarse) * step).cast("int")
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) - 1)).otherwise(first + last(F.slice(every, first + 1, F.lit(step))))
+    first = _last(coarse) * step
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) - 1)).otherwise(first + _last(F.slice(every, first + 1, F.lit(step))))
+
 
+def _cuts(n: int) -> Column:
+    return F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)
 
-def neighbours(docs: DataFrame, bucket_chars: int = 500_000, most_buckets: int = 4096) -> DataFrame:
+
+def _ranges(base: DataFrame, n: int, low: int | None, most: int, parts: int) -> tuple[DataFrame, int]:
+    """Adds ``_at`` (number of the row's range of doc_id) and ``_leads`` (its id is the range's smallest); the number of ranges.
+
+    Up to ``most`` ranges have their bounds in the plan. For more, each of ``most`` ranges is cut into up to ``parts`` by bounds of its own; these
+    go to the tasks as a broadcast of at most most * parts numbers, 8 MB by default.
+    """
+    if low is None:
+        return base.withColumn("_at", F.lit(0)).withColumn("_leads", F.lit(True)), 1
+    bounds = [low]
+    if n > 1:
+        bounds = sorted({low, *base.agg(_cuts(min(n, most))).first()[0]})
+    placed = base.withColumn("_at", _bucket(bounds).cast("int"))
+    if n <= most:
+        return placed.withColumn("_leads", F.col("doc_id").eqNullSafe(F.element_at(F.lit(bounds), F.col("_at") + 1))), len(bounds)
+    own = placed.groupBy("_at").agg(F.sort_array(F.array_distinct(F.array_append(_cuts(min(parts, -(-n // most))), F.min("doc_id")))).alias("_own"))
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    table = own.select(F.col("_at").alias("_c"), "_own", F.coalesce(F.sum(F.size("_own")).over(before), F.lit(0)).cast("int").alias("_start"))
+    total = table.agg(F.max(F.col("_start") + F.size("_own"))).first()[0]
+    within = F.when(F.col("doc_id").isNull(), F.size("_own") - 1).otherwise(_last(F.col("_own")))
+    fine = placed.join(F.broadcast(table), F.col("_at") == F.col("_c")).withColumn("_i", within)
+    leads = F.col("doc_id").eqNullSafe(F.element_at("_own", F.col("_i") + 1))
+    return fine.select("doc_id", "text", (F.col("_start") + F.col("_i")).alias("_at"), leads.alias("_leads")), total
+
+
+def neighbours(docs: DataFrame, bucket_chars: int = 500_000, most_buckets: int = 4096, parts: int = 256) -> DataFrame:
     """``docs(doc_id, text)`` -> ``bucket, rid, spare, doc_id, text, next_text``: every row beside its successor.
 
-    Rows are dealt by ranges of doc_id (bounds: at most ``most_buckets`` approximate percentiles); the first
+    Rows are dealt by ranges of doc_id of about ``bucket_chars`` characters (bounds: approximate percentiles); the first
     row of each range is also sent, as a spare, behind the last of the range before (of the first, behind the very last).
     Within a range rows go by doc_id, then by a hash of the text, so repeated ids are well defined; null ids come last.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seen = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("low")).first()
-    n = max(1, min(most_buckets, -(-(seen["chars"] or 0) // bucket_chars), seen["n"] or 1))
-    bounds = [seen["low"] or 0]
-    if n > 1 and seen["low"] is not None:
-        cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
-        bounds = sorted({*bounds, *cuts})
-    total = len(bounds)
-    place = base.withColumn("_at", _bucket(bounds).cast("int"))
-    leads = F.col("doc_id").eqNullSafe(F.element_at(F.lit(bounds), F.col("_at") + 1)) if seen["low"] is not None else F.lit(True)
+    n = max(1, min(most_buckets * parts, -(-(seen["chars"] or 0) // bucket_chars), seen["n"] or 1))
+    place, total = _ranges(base, n, seen["low"], most_buckets, parts)
     own = F.struct(F.col("_at").alias("bucket"), F.lit(False).alias("spare"))
     extra = F.struct(F.pmod(F.col("_at") + F.lit(total - 1), F.lit(total)).cast("int").alias("bucket"), F.lit(True).alias("spare"))
     dealt = place.select(
-        "doc_id", "text", text_key().alias("_key"), F.explode(F.when(leads, F.array(own, extra)).otherwise(F.array(own))).alias("_p")
+        "doc_id", "text", text_key().alias("_key"), F.explode(F.when(F.col("_leads"), F.array(own, extra)).otherwise(F.array(own))).alias("_p")
     ).select("_p.bucket", "_p.spare", "doc_id", "text", "_key")
     # a join on bucket implies this filter on one side only; stated here, both sides read one exchange
     dealt = dealt.where("bucket IS NOT NULL").repartition(max(8, -(-total // 8)), "bucket")

@@ -297,6 +297,16 @@ def test_fingerprints(spark, corpus):
     assert cws.edit_report(frame(spark, [], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_neighbours_over_many_ranges(spark, corpus, most):
+    rows = [*corpus, *[(10_000 + 7 * i, f"text {i}", "en", "s", 0) for i in range(200)], (None, "last", "en", "s", 4)]
+    got = cws.neighbours(frame(spark, rows, DOCS).select("doc_id", "text"), 100, most, 5).where("NOT spare")
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    want = [(r[0], r[1] or "", ordered[(i + 1) % len(ordered)][1] or "") for i, r in enumerate(ordered)]
+    assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert got.select("bucket").distinct().count() > (3 if most == 3 else 20)
+
+
 def test_collision_rate_is_generalised_jaccard(spark):
     rng = random.Random(9)
     pairs, rows = [], []

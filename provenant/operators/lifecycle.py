@@ -98,31 +98,38 @@ def current_rows(runs: DataFrame, key: str, at: str, arrival: list[str]) -> Data
     return runs.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *arrival)).alias("_r")).select(key, "_r.*")
 
 
-def occurrence_fold(events: DataFrame) -> DataFrame:
-    """``events(key, ord, outcome, at)`` -> ``key, status, reopened, last_at``: the life of one finding in one scope.
+#: The life of a finding in one scope: status, times reopened, time of the last accepted event, whether the scope has ended.
+Life = tuple[str | None, int, int | None, bool]
+BORN: Life = (None, 0, None, False)
+ENDINGS = {"closed": "closed", "merged": "merged"}
+
+
+def advance(life: Life, outcome: str, at: int) -> Life:
+    """One event. observed: open, counted as reopened if it was fixed; fixed and duplicate set their status; others carry it on.
 
-    observed: open, counted as reopened if it was fixed; duplicate and fixed set their status; carried changes nothing; an event older than the
-    last accepted one is ignored; closed retires an open one and ends the scope; merged ends it too.
+    An event older than the last accepted one is ignored; closed and merged retire an open finding and end the scope whenever they come.
     """
+    status, reopened, last, over = life
+    if over:
+        return life
+    if outcome in ENDINGS:
+        return (ENDINGS[outcome] if status == "open" else status, reopened, last, True)
+    if last is not None and at < last:
+        return life
+    if outcome == "observed":
+        return ("open", reopened + (status == "fixed"), at, False)
+    return (outcome if outcome in ("fixed", "duplicate") else status, reopened, at, False)
+
+
+def occurrence_fold(events: DataFrame) -> DataFrame:
+    """``events(key, ord, outcome, at)`` -> ``key, status, reopened, last_at``: each key's events in order, from ``BORN``."""
     kind = events.schema["key"].dataType.simpleString()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, reopened, last, over = None, 0, None, False
+        life = BORN
         for r in pdf.sort_values("ord").itertuples():
-            if over or (last is not None and r.at < last and r.outcome not in ("closed", "merged")):
-                continue
-            if r.outcome == "observed":
-                reopened += status == "fixed"
-                status = "open"
-            elif r.outcome in ("fixed", "duplicate"):
-                status = r.outcome
-            elif r.outcome == "closed":
-                status, over = "closed" if status == "open" else status, True
-            elif r.outcome == "merged":
-                status, over = "merged" if status == "open" else status, True
-            if r.outcome not in ("closed", "merged"):
-                last = r.at
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "status": [status], "reopened": [reopened], "last_at": [last]})
+            life = advance(life, r.outcome, r.at)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "status": [life[0]], "reopened": [life[1]], "last_at": [life[2]]})
 
     return events.groupBy("key").applyInPandas(fold, f"key {kind}, status string, reopened long, last_at long")
 

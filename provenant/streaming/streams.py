@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from provenant.operators.lifecycle import BORN, advance
+
 
 def enqueue_once(events: DataFrame, key: list[str], at: str, horizon: str) -> DataFrame:
     """The first request of each key. A repeat within the horizon is dropped; the watermark only bounds the state."""
@@ -44,21 +46,11 @@ def occurrences(events: DataFrame) -> DataFrame:
     kind = events.schema["key"].dataType.simpleString()
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, reopened, last, over = state.get if state.exists else ("", 0, -(1 << 62), False)
+        life = state.get if state.exists else BORN
         for r in pd.concat(list(frames)).sort_values("ord").itertuples():
-            ends = r.outcome in ("closed", "merged")
-            if over or (r.at < last and not ends):
-                continue
-            if r.outcome == "observed":
-                reopened += int(status == "fixed")
-                status = "open"
-            elif r.outcome in ("fixed", "duplicate"):
-                status = r.outcome
-            elif ends:
-                status, over = r.outcome if status == "open" else status, True
-            last = last if ends else int(r.at)
-        state.update((status, int(reopened), int(last), bool(over)))
-        yield pd.DataFrame({"key": [k[0]], "status": [status or None], "reopened": [reopened], "last_at": [last]})
+            life = advance(life, r.outcome, int(r.at))
+        state.update(life)
+        yield pd.DataFrame({"key": [k[0]], "status": [life[0]], "reopened": [life[1]], "last_at": [life[2]]})
 
     return events.groupBy("key").applyInPandasWithState(
         fold, f"key {kind}, status string, reopened long, last_at long", "status string, reopened long, last_at long, over boolean", "update", GroupStateTimeout.NoTimeout

@@ -97,18 +97,18 @@ from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and
 
 
 def _symbols(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", F.replace("p_type", F.lit(" "), F.lit("_")), F.concat(F.lit("f"), F.pmod("p_size", F.lit(5)).cast("string"))).alias("name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", F.replace("p_type", F.lit(" "), F.lit("_")), F.concat(F.lit("f"), F.pmod("p_partkey", F.lit(500)).cast("string"))).alias("name"))
 
 
 def edge_resolution(spark, d):
     s = _symbols(spark, d)
     calls = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 40 = 1").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select(
-        "path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.pmod("l_suppkey", F.lit(7)).cast("string")).alias("callee")).distinct()
+        "path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.pmod("l_suppkey", F.lit(700)).cast("string")).alias("callee")).distinct()
     return J.resolve_edges(calls, s).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("target_id").alias("targets"))
 
 
-EDGES = """with s as (select p_partkey as id, p_brand as path, replace(p_type, ' ', '_') || '.f' || (p_size % 5) as name, 'f' || (p_size % 5) as last from part),
-c as (select distinct path, name as caller, 'f' || (l_suppkey % 7) as callee from lineitem join s on id = l_partkey where l_linenumber = 1 and l_orderkey % 40 = 1),
+EDGES = """with s as (select p_partkey as id, p_brand as path, replace(p_type, ' ', '_') || '.f' || (p_partkey % 500) as name, 'f' || (p_partkey % 500) as last from part),
+c as (select distinct path, name as caller, 'f' || (l_suppkey % 700) as callee from lineitem join s on id = l_partkey where l_linenumber = 1 and l_orderkey % 40 = 1),
 e as (select distinct a.id as x, b.id as y from c join s a on a.path = c.path and a.name = c.caller join s b on b.last = c.callee where a.id <> b.id) select x as source_id, count(*) as n, sum(y)::bigint as targets from e group by 1"""
 
 

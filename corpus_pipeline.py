@@ -38,13 +38,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of rows that repeat its id, the first by text hash."""
+    """Of each group of near-duplicates one document stays: the one with the smallest doc_id (null comes last), then with the least text hash.
+
+    Groups are components of fingerprints, so documents without an id, or that share one, stay if their texts are not near-duplicates.
+    """
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    heads = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("component_id").alias("_head"))
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
+    heads = groups.groupBy("root").agg(F.min(place).alias("_first")).select(F.col("_first.doc_id").alias("_doc"), F.col("_first.key").alias("_first"))
     unique = docs.select(*COLUMNS).withColumn("_key", text_key())
-    firsts = unique.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("_key").alias("_first"))
-    chosen = heads.join(firsts, F.col("_head").eqNullSafe(F.col("_doc"))).select("_head", "_first")
-    kept = unique.join(chosen, F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("_key") == F.col("_first")))
+    kept = unique.join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_first")))
     return kept.dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import small_batches, stored
+from provenant.llm.common import small_batches, stored, text_key
 from provenant.llm.components import connected_components, merge_labels
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -56,15 +56,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints)], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, fp``: a row for each row, the fingerprint as a signed long."""
+    """``docs(doc_id, text)`` -> ``doc_id, key, fp``: a row for each row, the text's key and the fingerprint as signed longs."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(_fingerprint_batches, "doc_id long, key long, fp long")
 
 
 def _exceeds(digits: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -218,10 +217,11 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, fingerprint, fp, component_id``: one row for each row.
+    """``docs(doc_id, text)`` -> ``doc_id, key, fingerprint, fp, root, component_id``: one row for each row.
 
     ``component_id``: the smallest doc_id of all documents reachable by links, itself included (nulls don't count; null
-    if no document of the component has an id). Null and empty texts have fingerprint zero and are linked like any other.
+    if no document of the component has an id). ``root``: the component's smallest fingerprint, which tells components apart
+    whatever their ids; ``key``: the text's, as ``text_key`` has it. Null and empty texts have fingerprint zero and are linked like any other.
     Copies share a fingerprint and are compared once. An empty table gives an empty result.
     """
     rows, _ = stored(fingerprints(docs), "fingerprints")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "fp", "low", F.coalesce("component", "fp").alias("root")
     )
     tops = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    known, _ = stored(members.join(tops, "root").select(F.col("fp").alias("_fp"), "component_id"), "members")
+    known, _ = stored(members.join(tops, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "members")
     return rows.join(known, rows["fp"] == known["_fp"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id"
+        "doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "root", "component_id"
     )

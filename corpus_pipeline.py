@@ -53,21 +53,19 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix that the sources' targets ask for: a document comes once for each full use; one cut short keeps its first words.
 
-    Documents that the mix does not reach go. Rows are range-sorted by training position.
+    Documents that the mix does not reach go. Each use has a training position of its own; rows are range-sorted by it.
     """
     keyed = docs.select(*COLUMNS).withColumn("_key", text_key())
     sizes, _ = stored(keyed.select("doc_id", "source", "_key", mixing.n_words().alias("size")), "sizes")
     mixed = mixing.mix(sizes).where("taken > 0").select(
-        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "size", "taken", "position"
+        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "size", "taken", "positions"
     ).dropDuplicates(["_d", "_k"])
     joined = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    uses = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
-    each = joined.withColumn("_use", uses).withColumn("_words", F.least("size", F.col("taken") - (F.col("_use") - 1) * F.col("size")))
+    each = joined.select("*", F.posexplode("positions").alias("_use", "position")).withColumn("_words", F.least("size", F.col("taken") - F.col("_use") * F.col("size")))
     found = F.split(F.ltrim(F.translate("text", SPACES, " " * len(SPACES))), " +")
     words = F.array_join(F.slice(found, F.lit(1), F.col("_words").cast("int")), " ")
     cut = each.withColumn("text", F.when(F.col("_words") < F.col("size"), words).otherwise(F.col("text")))
-    ordered = _recounted(cut).select(*COLUMNS, "position")
-    return ordered.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
+    return mixing.schedule(_recounted(cut).select(*COLUMNS, "taken", "position")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

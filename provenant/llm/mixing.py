@@ -104,12 +104,13 @@ def mix(
     schedules: dict[int, Sequence[tuple[float, float]]] | None = None,
     seed: int = 7,
 ) -> DataFrame:
-    """``docs(doc_id, source, size)`` -> adds ``source_size, weight, target, taken, position``.
+    """``docs(doc_id, source, size)`` -> adds ``source_size, weight, target, taken, position, positions``.
 
     ``taken``: the words of the document that the mix uses, repeats counted. A source's rows are laid
     end to end in a seeded order; the target takes whole passes and the first part of one more, so a
     source's taken words meet its target to the word and at most one document is cut.
-    ``position``: training time in [0, 1] of the document's first use.
+    ``positions``: training time in [0, 1] of each use of the document, the one cut short included; ``position``: of the first
+    (documents that take nothing have no positions, and in ``position`` the place they lie at).
     Null sources form one source, last in order; empty documents take nothing; repeated rows are rows of
     their own; ``size`` must not be null. An empty table gives an empty table. Other columns stay.
     A source with most of the rows is spread over buckets of a hash for its running sum.
@@ -125,20 +126,27 @@ def mix(
     whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    share = F.when(goal > 0, F.least(F.lit(1.0), F.col("_before") / goal)).otherwise(0.0).cast("double")
-    position = None
-    for weight, knots in sorted(kinds.items()):
-        here = F.col("weight") == float(weight)
-        at = _inverse_schedule(share, knots)
-        position = F.when(here, at) if position is None else position.when(here, at)
+
+    def at(use: Column) -> Column:
+        """The training time of a use, counted from 0: passes of a source follow each other."""
+        share = F.when(goal > 0, F.least(F.lit(1.0), (use * F.col("source_size") + F.col("_before")) / goal)).otherwise(0.0).cast("double")
+        out = None
+        for weight, knots in sorted(kinds.items()):
+            here, time = F.col("weight") == float(weight), _inverse_schedule(share, knots)
+            out = F.when(here, time) if out is None else out.when(here, time)
+        return out.otherwise(share)
+
+    uses = F.ceil(F.col("taken") / F.col("size")).cast("long")
+    each = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), uses - 1)), at))
     return (
         with_target.withColumn("taken", (F.col("size") * whole + part).cast("long"))
-        .withColumn("position", position.otherwise(share))
+        .withColumn("position", at(F.lit(0)))
+        .withColumn("positions", F.coalesce(each, F.array().cast("array<double>")))
         .drop("_before")
     )
 
 
-def schedule(mixed: DataFrame, partitions: int) -> DataFrame:
-    """Range-sort the taken documents by training position."""
-    taken = mixed.where("taken > 0")
-    return taken.repartitionByRange(partitions, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+def schedule(mixed: DataFrame) -> DataFrame:
+    """Range-sort by training position; documents that take nothing come last."""
+    by = [F.col("taken") <= 0, F.col("position"), F.col("doc_id")]
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)

@@ -41,7 +41,8 @@ def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size"))
     sized, _ = stored(docs, "sizes")
-    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position")
+    mixed = mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
+    return mixing.schedule(mixed)
 
 
 def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from provenant.llm import simhash
+from provenant.llm import mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,3 +26,26 @@ def test_simhash_stage_keeps_documents_without_an_id_of_their_own(spark, sf_dir)
     kept = corpus_pipeline.simhash_stage(spark, spark.createDataFrame([*rows, *copies], DOCS), sf_dir).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(zip([9, None, None, 5, 5, 1], texts), key=str)
     assert len({simhash.fingerprint(t.encode()) for t in texts}) == 6
+
+
+def test_each_use_has_a_position(spark, sf_dir):
+    rows = [(i, words(random.Random(i), 20), "en", "big" if i < 60 else "small", 0) for i in range(75)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs.select("doc_id", "source", mixing.n_words().alias("size"))).collect()}
+    small = [r for i, r in mixed.items() if i >= 60]
+    assert all(r["taken"] == 60 for r in small)
+    assert all(len(r["positions"]) == -(-r["taken"] // r["size"]) for r in mixed.values())
+    assert all(r["positions"][:1] == [r["position"]] for r in mixed.values() if r["taken"])
+    # Weight 2: the demand rises from 0.5 to 1.5, whose integral is (t + t * t) / 2; position is its inverse at each use's share.
+    got = np.sort([p for r in small for p in r["positions"]])
+    assert np.abs((got + got * got) / 2 - np.arange(45) / 45).max() < 1e-9
+    out = corpus_pipeline.mixing_stage(spark, docs, sf_dir).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).orderBy("_p", "_i").collect()
+    got = [r["doc_id"] for r in out]
+    want = sorted((p, i) for i, r in mixed.items() for p in r["positions"])
+    assert got == [i for _, i in want]
+
+
+def test_scheduled_by_position(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", i % 40) for i in range(500)], "doc_id long, source string, size long")
+    got = [(r["taken"] <= 0, r["position"]) for r in mixing.schedule(mixing.mix(docs)).collect()]
+    assert len(got) == 500 and got == sorted(got)

@@ -7,7 +7,8 @@ are removed, all but the first; equality is decided on the chunks' bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,10 @@ CHUNKS = "doc_id long, key long, no int, n_lines int, hash_a long, hash_b long,
 
 
 def boundaries(hashes: np.ndarray, window: int = WINDOW_LINES, mean: int = MEAN_LINES) -> list[int]:
-    """Ends of the chunks of lines with these hashes. A line ends a chunk if the rolling hash of the ``window`` lines up to it says so."""
+    """Ends of the chunks of lines with these hashes. A line ends a chunk if the rolling hash of the ``window`` lines up to it says so.
+
+    No chunk is shorter than ``LEAST_LINES``, unless the whole text is: ends too close to the one before, or to the last line, don't count.
+    """
     n = len(hashes)
     if not n:
         return []
@@ -40,8 +44,12 @@ def boundaries(hashes: np.ndarray, window: int = WINDOW_LINES, mean: int = MEAN_
         mixed = (rolling ^ rolling >> np.uint64(29)) * MULTIPLIER
     cut = (mixed >> np.uint64(40)) & np.uint64(mean - 1) == 0
     cut[: window - 1] = False
-    cut[-1] = True
-    return (np.flatnonzero(cut) + 1).tolist()
+    ends, last = [], 0
+    for end in (np.flatnonzero(cut) + 1).tolist():
+        if end - last >= LEAST_LINES and n - end >= LEAST_LINES:
+            ends.append(end)
+            last = end
+    return [*ends, n]
 
 
 def chunks(text: str) -> list[list[str]]:
@@ -121,12 +129,82 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null and empty texts have no lines and stay as they are. Rows equal in doc_id and text are one document: both keep or lose the same
     chunks. Single lines are never removed. An empty table gives an empty result. Columns of these names are replaced.
     """
+    return _removed(docs, repeated_chunks, _rebuild_batches)
+
+
+#: Runs of lines of a document, by the SHA-256 of their bytes.
+WINDOWS = "doc_id long, key long, at int, sha binary"
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run of ``LEAST_LINES`` lines that are not all blank."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, key, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "key", "text"))):
+            found = text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+            for at in range(len(found) - LEAST_LINES + 1):
+                part = found[at : at + LEAST_LINES]
+                if any(x.strip() for x in part):
+                    rows.append((doc, key, at, hashlib.sha256(b"\n".join(part)).digest()))
+        columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["doc_id", "key", "at", "sha"])
+
+
+def without_passages(lines: list[str], starts: list[int]) -> list[str]:
+    """The lines outside the runs of ``LEAST_LINES`` lines that start there; blank lines between two removed ones go as well."""
+    drop = {s + i for s in starts for i in range(LEAST_LINES)}
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and end not in drop and not lines[end].strip():
+            end += 1
+        if end > at and at - 1 in drop and end in drop:
+            drop.update(range(at, end))
+        at = max(end, at + 1)
+    return [x for i, x in enumerate(lines) if i not in drop]
+
+
+def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, before, removed = [], [], []
+        for text, starts in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            found = text.split("\n") if text else []
+            held = without_passages(found, starts) if starts else found
+            texts.append("\n".join(held) if starts and found else text)
+            before.append(len(found))
+            removed.append(len(found) - len(held))
+        names = [n for n in batch.schema.names if n not in ("gone", "text")]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(n) for n in names], pa.array(texts, type=pa.string()), pa.array(before, type=pa.int64()), pa.array(removed, type=pa.int64())],
+            names=[*names, "text", "n_lines", "n_lines_removed"],
+        )
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, key, text)`` -> ``doc_id, key, gone``: where the runs of ``LEAST_LINES`` lines start that occur earlier.
+
+    Runs overlap, so a repeated passage is found whole wherever it lies. The first occurrence, by (doc_id, key, line), stays; null ids come last.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key", "at")
+    found = docs.mapInArrow(_window_batches, WINDOWS)
+    firsts = found.withColumn("_place", place).groupBy("sha").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lost = found.join(firsts.select(F.col("sha").alias("_sha"), "first"), F.col("sha") == F.col("_sha")).where(~place.eqNullSafe(F.col("first")))
+    return lost.groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone"))
+
+
+def _removed(docs: DataFrame, find: Callable, rebuild: Callable) -> DataFrame:
     small_batches(docs.sparkSession)
     base = docs.drop("n_lines", "n_lines_removed").withColumn("_key", text_key())
     slim = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
-    gone = repeated_chunks(slim).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "gone")
+    gone = find(slim).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "gone")
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k", "_key")
     kept = [f for f in joined.schema.fields if f.name not in ("gone", "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, n_lines long, n_lines_removed long"
-    done = joined.mapInArrow(_rebuild_batches, schema)
+    done = joined.mapInArrow(rebuild, schema)
     return done.select(*[c for c in docs.columns if c not in ("n_lines", "n_lines_removed")], "n_lines", "n_lines_removed")
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` by overlapping runs of lines: of a passage of ``LEAST_LINES`` lines or more that occurs earlier, no line stays."""
+    return _removed(docs, repeated_passages, _passage_batches)

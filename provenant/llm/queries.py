@@ -58,7 +58,7 @@ def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = lines.remove_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from provenant.llm import mixing, simhash
+from provenant.llm import lines, mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +49,26 @@ def test_scheduled_by_position(spark):
     docs = spark.createDataFrame([(i, f"s{i % 3}", i % 40) for i in range(500)], "doc_id long, source string, size long")
     got = [(r["taken"] <= 0, r["position"]) for r in mixing.schedule(mixing.mix(docs)).collect()]
     assert len(got) == 500 and got == sorted(got)
+
+
+def test_passages_go_whole(spark):
+    rng = random.Random(12)
+    rows, n = [], 0
+    for size in (2, 3, 5, 8, 12, 20):
+        for _ in range(10):
+            shared = [words(rng, 6) for _ in range(size)]
+            for _ in range(2):
+                rows.append((n, "\n".join([*(words(rng, 6) for _ in range(rng.randrange(1, 5))), *shared, *(words(rng, 6) for _ in range(rng.randrange(1, 5)))]), size))
+                n += 1
+    rows += [(n, "one\n\n\n\ntwo\nown a", 0), (n + 1, "one\n\n\n\ntwo\nown b", 0), (n + 2, None, 0), (n + 3, "\n\n", 0), (n + 4, "\n\n", 0)]
+    got = {r["doc_id"]: r for r in lines.remove_passages(spark.createDataFrame(rows, "doc_id long, text string, size int")).collect()}
+    for i, _, size in rows[:n]:
+        assert got[i]["n_lines_removed"] == (size if i % 2 else 0)
+    assert (got[n]["n_lines_removed"], got[n + 1]["text"], got[n + 2]["text"], got[n + 4]["text"]) == (0, "own b", None, "\n\n")
+
+
+def test_no_chunk_of_one_line():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 50, 400):
+        ends = lines.boundaries(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert ends[-1] == n and (n < 2 or min(np.diff([0, *ends])) >= lines.LEAST_LINES)

@@ -37,6 +37,21 @@ def resolve_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.join(callees, F.col("_t") == F.col("_last")).where("source_id <> target_id").select("source_id", "target_id").distinct()
 
 
+def resolve_edge_totals(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``resolve_edges`` by source: ``source_id, n, targets`` (number and sum of the distinct targets); each symbol_id must have one row.
+
+    Targets are counted once for each short name, so a name that many symbols share costs a row for each caller and not one for each pair.
+    """
+    callers = symbols.select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.col("symbol_id").alias("source_id"))
+    names = symbols.groupBy(last_segment(F.col("name")).alias("_last")).agg(F.count(F.lit(1)).alias("_c"), F.sum("symbol_id").alias("_s"))
+    called = calls.join(callers, (F.col("path") == F.col("_p")) & (F.col("caller") == F.col("_n"))).select(
+        "source_id", last_segment(F.col("callee")).alias("_t"), last_segment(F.col("caller")).alias("_own")).distinct()
+    own = (F.col("_t") == F.col("_own")).cast("long")
+    found = called.join(names, F.col("_t") == F.col("_last")).groupBy("source_id").agg(
+        F.sum(F.col("_c") - own).alias("n"), F.sum(F.col("_s") - own * F.col("source_id")).alias("targets"))
+    return found.where("n > 0")
+
+
 def resolve_unique(left: DataFrame, targets: DataFrame, on: Column, left_key: str, target_key: str) -> DataFrame:
     """Adds ``n_targets`` (distinct) and ``target`` (null unless there is exactly one): rows with none or several stay, unresolved."""
     found = left.join(targets, on, "left").groupBy(left_key).agg(

@@ -107,6 +107,14 @@ def edge_resolution(spark, d):
     return J.resolve_edges(calls, s).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("target_id").alias("targets"))
 
 
+def edge_resolution_whole(spark, d):
+    """The calls of all orders, to names that a fifth of all symbols share."""
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", F.replace("p_type", F.lit(" "), F.lit("_")), F.concat(F.lit("f"), F.pmod("p_size", F.lit(5)).cast("string"))).alias("name"))
+    calls = table(spark, d, "lineitem").where("l_linenumber = 1").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select(
+        "path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.pmod("l_suppkey", F.lit(7)).cast("string")).alias("callee")).distinct()
+    return J.resolve_edge_totals(calls, s)
+
+
 EDGES = """with s as (select p_partkey as id, p_brand as path, replace(p_type, ' ', '_') || '.f' || (p_partkey % 500) as name, 'f' || (p_partkey % 500) as last from part),
 c as (select distinct path, name as caller, 'f' || (l_suppkey % 700) as callee from lineitem join s on id = l_partkey where l_linenumber = 1 and l_orderkey % 40 = 1),
 e as (select distinct a.id as x, b.id as y from c join s a on a.path = c.path and a.name = c.caller join s b on b.last = c.callee where a.id <> b.id) select x as source_id, count(*) as n, sum(y)::bigint as targets from e group by 1"""
@@ -292,7 +300,7 @@ select p_partkey, greatest(1, x.a)::bigint as start, greatest(1, y.b, x.a)::bigi
 
 QUERIES = {
     "changed_paths": changed_paths, "effective_overlay": effective_overlay, "effective_chain": effective_chain, "graph_delta": graph_delta, "upsert_rows": upsert_rows, "packet": packet, "overlay_lookup": overlay_lookup,
-    "edge_resolution": edge_resolution, "unique_resolution": unique_resolution, "enclosing_span": enclosing_span, "asof_symbol": asof_symbol, "interval_overlap": interval_overlap, "nearest_support": nearest_support,
+    "edge_resolution": edge_resolution, "edge_resolution_whole": edge_resolution_whole, "unique_resolution": unique_resolution, "enclosing_span": enclosing_span, "asof_symbol": asof_symbol, "interval_overlap": interval_overlap, "nearest_support": nearest_support,
     "alias_join": alias_join, "greedy_match": greedy_match, "reverse_reach": reverse_reach, "fanout_capped": fanout_capped, "components": components, "neighbourhood": neighbourhood,
     "neighbourhood_hash": neighbourhood_hash, "stale_dependencies": stale_dependencies, "merge_windows": merge_windows, "subtract_ranges": subtract_ranges, "line_mapping": line_mapping,
 }

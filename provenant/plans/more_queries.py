@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from provenant.functions import ids
@@ -373,12 +375,13 @@ def changed_symbols(spark, d):
 SYMBOLS = """select p_partkey as symbol_id, case when p_partkey % 11 = 0 then 'removed' else 'changed' end as change from part where p_brand in (select p_brand from part where p_partkey <= 20) and (p_partkey % 11 = 0 or p_partkey % 4 = 0)"""
 
 
-def typed_lookup(spark, d):
+def typed_lookup(spark, d, whole=False):
     p = table(spark, d, "part")
+    n_targets = p.count() if whole else 150
     nodes = p.select(F.col("p_partkey").alias("node_id"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("label"), F.col("p_brand").alias("path"), F.col("p_size").alias("line"))
-    edges = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("source"), (F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey"), F.lit(150)) + 1).alias("target"), F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "Calls").otherwise("references").alias("relation"))
+    edges = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("source"), (F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey"), F.lit(n_targets)) + 1).alias("target"), F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "Calls").otherwise("references").alias("relation"))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("definition", "callers", "callees", "references", "flow", "search")]), (F.pmod("p_partkey", F.lit(6)) + 1).cast("int"))
-    req = p.where("p_partkey <= 120").select(F.col("p_partkey").alias("id"), kinds.alias("kind"), F.lit("").alias("path"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("symbol"), F.element_at(F.split("p_type", " "), -1).alias("query"))
+    req = p.where("true" if whole else "p_partkey <= 120").select(F.col("p_partkey").alias("id"), kinds.alias("kind"), F.lit("").alias("path"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("symbol"), F.element_at(F.split("p_type", " "), -1).alias("query"))
     return G.typed_lookup(req, nodes, edges)
 
 
@@ -409,6 +412,8 @@ QUERIES = {
     "canonical_classes": canonical_classes, "routing": routing, "relationships": relationships, "dispositions": dispositions, "grounding": grounding, "known_outcomes": known_outcomes, "recheck_plan": recheck_plan,
     "promotion": promotion, "claims": claims, "current_rows": current_rows, "journal": journal, "changed_symbols": changed_symbols, "typed_lookup": typed_lookup, "merged_evidence": merged_evidence,
 }
+#: Over whole tables; the SQL counterparts speak of the narrower queries.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (typed_lookup,)}
 ORACLES = {
     "effective_scope": SCOPE, "wildcard_filter": WILDCARD, "evidence_present": PRESENT, "reusable_reports": REUSABLE, "insert_absent": INSERT, "replace_rows": REPLACE, "update_columns": UPDATE,
     "replace_children": CHILDREN, "guarded_update": GUARDED, "sparse_layer": SPARSE, "fill_missing": FILL, "baseline_cascade": CASCADE, "existing_elsewhere": EXISTING, "nodes_in_ranges": RANGES,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from provenant.operators import graphs as G
@@ -181,9 +183,9 @@ SUPPORT = """with s as (select conv_id as conv, turn as pos, min(role) as role,
 select b.conv, b.pos, max(a.pos) as support from s b left join s a on a.conv = b.conv and a.pos < b.pos and a.role <> b.role and a.n % 3 = b.n % 3 group by 1, 2"""
 
 
-def alias_join(spark, d):
+def alias_join(spark, d, whole=False):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace("p_type", " ", ".").alias("name"))
-    names = p.where("id % 25 = 0").select("id", F.element_at(F.split("name", r"\."), -1).alias("short"))
+    names = (p if whole else p.where("id % 25 = 0")).select("id", F.element_at(F.split("name", r"\."), -1).alias("short"))
     return J.alias_join(names, p, "short", "name").groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.sum("right_id").alias("rights"))
 
 
@@ -192,13 +194,13 @@ select left_id, count(*) as n, sum(right_id)::bigint as rights from (select dist
 
 
 def greedy_match(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.pmod("o_custkey", F.lit(20)).alias("case"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.pmod("o_orderkey", F.lit(17)).alias("v"))
-    e = table(spark, d, "events").where("event_id % 5 = 0").select(F.pmod("user_id", F.lit(20)).alias("case"), F.col("event_id").alias("id"), F.col("event_id").alias("ord"), F.pmod("event_id", F.lit(17)).alias("v"))
+    o = table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(20)).alias("case"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.pmod("o_orderkey", F.lit(17)).alias("v"))
+    e = table(spark, d, "events").select(F.pmod("user_id", F.lit(20)).alias("case"), F.col("event_id").alias("id"), F.col("event_id").alias("ord"), F.pmod("event_id", F.lit(17)).alias("v"))
     return J.greedy_match(o, e, "case", lambda a, b: abs(a["v"] - b["v"]) <= 1)
 
 
-def _supplier_edges(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
+def _supplier_edges(spark, d, whole):
+    li = table(spark, d, "lineitem").where("true" if whole else "l_orderkey % 50 = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
     nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("target"))
     return li.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("source"), "target").distinct()
 
@@ -206,18 +208,18 @@ def _supplier_edges(spark, d):
 EDGE_SQL = "e as (select distinct a.l_suppkey as s, b.l_suppkey as t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_orderkey % 50 = 1)"
 
 
-def reverse_reach(spark, d):
+def reverse_reach(spark, d, whole=False):
     start = table(spark, d, "supplier").where("s_suppkey <= 2").select(F.col("s_suppkey").alias("node"))
-    return G.reverse_reach(_supplier_edges(spark, d), start, 3).select("node", F.col("depth").cast("long").alias("depth"))
+    return G.reverse_reach(_supplier_edges(spark, d, whole), start, 3).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 REACH = f"""with recursive {EDGE_SQL}, r(node, depth) as (select s_suppkey, 0::bigint from supplier where s_suppkey <= 2 union select e.s, r.depth + 1 from r join e on e.t = r.node where r.depth < 3)
 select node, min(depth) as depth from r group by 1"""
 
 
-def fanout_capped(spark, d):
+def fanout_capped(spark, d, whole=False):
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    return G.fan_out(_supplier_edges(spark, d), nodes, nodes.where("node <= 2"), 2, 20)
+    return G.fan_out(_supplier_edges(spark, d, whole), nodes, nodes.where("node <= 2"), 2, 20)
 
 
 FANOUT = f"""with recursive {EDGE_SQL}, r(node, depth) as (select s_suppkey, 0 from supplier where s_suppkey <= 2 union select e.s, r.depth + 1 from r join e on e.t = r.node where r.depth < 2),
@@ -225,9 +227,9 @@ m as (select node, min(depth) as depth from r group by 1), c as (select (select
 select s_suppkey as node, (select all_ from c) or s_suppkey in (select node from m) as invalid from supplier"""
 
 
-def components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 8 = 0").select("o_orderkey", F.col("o_custkey").alias("target"))
-    t = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("l_partkey % 4 = 0").select("target", F.concat_ws(":", F.col("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM")).alias("node"))
+def components(spark, d, whole=False):
+    o = table(spark, d, "orders").where("true" if whole else "o_orderkey % 8 = 0").select("o_orderkey", F.col("o_custkey").alias("target"))
+    t = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("true" if whole else "l_partkey % 4 = 0").select("target", F.concat_ws(":", F.col("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM")).alias("node"))
     none = t.select(F.col("node").alias("source"), F.col("node").alias("target")).limit(0)
     return G.target_groups(t, none)
 
@@ -236,9 +238,9 @@ COMPONENTS = """with recursive t as (select distinct o_custkey as c, l_partkey::
 p as (select distinct a.c as x, b.c as y from t a join t b using (n)), r(x, y) as (select x, y from p union select r.x, p.y from r join p on p.x = r.y) select x as target, min(y) as component from r group by 1"""
 
 
-def neighbourhood(spark, d):
-    e = _supplier_edges(spark, d).withColumn("relation", F.when(F.pmod("source", F.lit(2)) == 0, "CALLS").otherwise("refs"))
-    nodes = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("node"))
+def neighbourhood(spark, d, whole=False):
+    e = _supplier_edges(spark, d, whole).withColumn("relation", F.when(F.pmod("source", F.lit(2)) == 0, "CALLS").otherwise("refs"))
+    nodes = table(spark, d, "supplier").where("true" if whole else "s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("node"))
     return G.neighbours(e, nodes, "both", ["calls"], 4)
 
 
@@ -276,10 +278,10 @@ MERGE_W = """with e as (select user_id, epoch_us(ts) // 60000000 as s from event
 g as (select *, sum(n) over (partition by user_id order by s rows unbounded preceding) as i from f) select user_id, min(s) as start, max(s + 5) as "end", count(*) as n from g group by user_id, i"""
 
 
-def subtract_ranges(spark, d):
+def subtract_ranges(spark, d, whole=False):
     e = _seconds(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", F.floor(F.col("s") / 60).cast("long").alias("start"))
     covered = e.select("user_id", "start", (F.col("start") + 30).alias("end"))
-    ranges = e.where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("id"), (F.col("start") - 20).alias("start"), (F.col("start") + 100).alias("end"))
+    ranges = e.where("true" if whole else "event_id % 10 = 0").select("user_id", F.col("event_id").alias("id"), (F.col("start") - 20).alias("start"), (F.col("start") + 100).alias("end"))
     return I.subtract(ranges, covered, "user_id").groupBy("id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("minutes"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
@@ -304,6 +306,8 @@ QUERIES = {
     "alias_join": alias_join, "greedy_match": greedy_match, "reverse_reach": reverse_reach, "fanout_capped": fanout_capped, "components": components, "neighbourhood": neighbourhood,
     "neighbourhood_hash": neighbourhood_hash, "stale_dependencies": stale_dependencies, "merge_windows": merge_windows, "subtract_ranges": subtract_ranges, "line_mapping": line_mapping,
 }
+#: The same over whole tables; their SQL counterparts speak of the narrower ones above.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (alias_join, reverse_reach, fanout_capped, components, neighbourhood, subtract_ranges)}
 ORACLES = {
     "changed_paths": CHANGED, "effective_overlay": EFFECTIVE, "effective_chain": CHAIN, "graph_delta": DELTA, "upsert_rows": UPSERT, "packet": PACKET, "overlay_lookup": LOOKUP, "edge_resolution": EDGES,
     "unique_resolution": UNIQUE, "enclosing_span": ENCLOSING, "asof_symbol": ASOF, "interval_overlap": OVERLAP, "nearest_support": SUPPORT, "alias_join": ALIAS, "reverse_reach": REACH, "fanout_capped": FANOUT,

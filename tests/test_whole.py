@@ -26,3 +26,19 @@ def test_edge_totals(spark):
     for s, t in J.resolve_edges(calls, symbols).collect():
         want.setdefault(s, []).append(t)
     assert {r[0]: (r[1], r[2]) for r in J.resolve_edge_totals(calls, symbols).collect()} == {s: (len(t), sum(t)) for s, t in want.items()}
+
+
+def test_relations(spark, sf_dir):
+    every_order = (" where a.l_orderkey % 50 = 1", "")
+    whole(spark, sf_dir, "reverse_reach", every_order)
+    whole(spark, sf_dir, "fanout_capped", every_order)
+    whole(spark, sf_dir, "neighbourhood", every_order, ("node % 3 = 0 and ", ""))
+    whole(spark, sf_dir, "components", (" where o_orderkey % 8 = 0 and l_partkey % 4 = 0", ""))
+    whole(spark, sf_dir, "alias_join", (" where id % 25 = 0", ""))
+    whole(spark, sf_dir, "subtract_ranges", (" where event_id % 10 = 0", ""))
+    whole(spark, sf_dir, "typed_lookup", ("% 150 + 1", "% (select count(*) from part) + 1"), (" where p_partkey <= 120", ""))
+
+
+def test_greedy_match_takes_all_orders(spark, sf_dir):
+    got = registry.QUERIES["greedy_match"](spark, sf_dir)
+    assert got.select("expectation").distinct().count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()

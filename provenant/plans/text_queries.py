@@ -103,10 +103,10 @@ DEDUPE = r"""with t as (select doc_id, n_chars, lower(trim(regexp_replace(text,
 select fp, arg_max(doc_id, (n_chars, -doc_id)) as doc_id, count(*) as n, least(20, count(*) - 1)::bigint as n_support from f group by 1"""
 
 
-def jaccard_pairs(spark, d):
+def jaccard_pairs(spark, d, whole=False):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))
-    docs = table(spark, d, "documents").where("lang = 'en' AND n_chars < 3000").select(F.col("doc_id").alias("id"), "lang", "source", words.alias("tokens"))
-    return E.similar_pairs(docs, ["lang", "source"], "tokens", 0.6).select("a", "b", "shared")
+    docs = table(spark, d, "documents").where("true" if whole else "lang = 'en' AND n_chars < 3000").select(F.col("doc_id").alias("id"), "source", words.alias("tokens"))
+    return E.similar_pairs(docs, ["source"], "tokens", 0.6).select("a", "b", "shared")
 
 
 JACCARD = """with t as (select distinct doc_id as id, source, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from documents where lang = 'en' and n_chars < 3000), n as (select id, count(*) as n from t group by 1),
@@ -114,8 +114,8 @@ p as (select x.id as a, y.id as b, count(*) as shared from t x join t y on x.w =
 
 
 def greedy_cluster(spark, d):
-    words = F.slice(T.stemmed_words(F.col("text")), 1, 6)
-    docs = table(spark, d, "documents").where("lang = 'en'").select(
+    words = F.coalesce(T.stemmed_words(F.col("text")), F.array().cast("array<string>"))
+    docs = table(spark, d, "documents").select(
         F.col("source").alias("path"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), (F.pmod("doc_id", F.lit(10)) / 10).alias("confidence"), F.lit("").alias("structural_key"), F.lit("").alias("semantic_key"),
         F.array().cast("array<string>").alias("classes"), words.alias("words"), F.pmod("n_chars", F.lit(400)).alias("start_line"), (F.pmod("n_chars", F.lit(400)) + 9).alias("end_line"))
     return E.cluster_candidates(docs)
@@ -165,6 +165,7 @@ QUERIES = {
     "tokens_stemmed": tokens_stemmed, "exact_dedupe": exact_dedupe, "jaccard_pairs": jaccard_pairs, "greedy_cluster": greedy_cluster, "chunk_lines": chunk_lines, "chunk_chars": chunk_chars,
     "canonical_queries": canonical_queries, "change_relevance": change_relevance,
 }
+QUERIES["jaccard_pairs_whole"] = lambda spark, d: jaccard_pairs(spark, d, whole=True)
 ORACLES = {
     "balanced_sample": SAMPLE, "knowledge_search": SEARCH, "page": PAGE, "redact": _sql_redact(), "literal_hits": HITS, "hit_regions": REGIONS, "url_normalise": URLS, "tokens_stemmed": STEMS, "exact_dedupe": DEDUPE,
     "jaccard_pairs": JACCARD, "chunk_lines": CHUNK, "chunk_chars": CHARS, "canonical_queries": CANONICAL, "change_relevance": RELEVANCE,

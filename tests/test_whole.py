@@ -42,3 +42,9 @@ def test_relations(spark, sf_dir):
 def test_greedy_match_takes_all_orders(spark, sf_dir):
     got = registry.QUERIES["greedy_match"](spark, sf_dir)
     assert got.select("expectation").distinct().count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_documents_of_all_languages_and_lengths(spark, sf_dir):
+    whole(spark, sf_dir, "jaccard_pairs", (" where lang = 'en' and n_chars < 3000", ""))
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    assert registry.QUERIES["greedy_cluster"](spark, sf_dir).count() == ids.count()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import math
+import re
 import tempfile
 import uuid
 
@@ -15,48 +15,64 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words, but for the space.
 SPACES = "\t\n\x0b\f\r"
-#: Rows that one Arrow batch of texts may hold, so that a worker's memory follows this and not the partition.
-TEXT_BATCH = 500
+#: Bytes that one Arrow batch of texts aims at, so that a worker's memory follows this and the longest text, not the partition.
+BATCH_BYTES = 8 << 20
+#: Drops a statement's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Texts vary from nothing to megabytes: hand them to Python a few hundred at a time. Every operator sets its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Texts vary from nothing to megabytes: they go to Python by bytes, not by rows. One value for all operators, so that it
+    doesn't matter which of them was built last when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share. Where none is set, a folder of this machine stands in if Spark runs on it
+    alone (tests); on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="provenant-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for a scratch table below the application's own folder. What isn't dropped before, because a lazy result still
+    reads it, goes with that folder when the driver ends."""
+    run = f"{scratch_dir(spark)}/provenant-{spark.sparkContext.applicationId}"
+    where, store = _folder(spark, run)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage of ``df`` with a table in the shared folder: a lost executor costs no recomputation."""
+    """Cut the lineage of ``df`` with a table in the shared folder: a lost executor costs no recomputation, and the shuffle files
+    that led to it go at once."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing will read again."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished work now; otherwise they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    where, store = _folder(spark, path)
+    store.delete(where, True)
 
 
 def signed(x: int) -> int:

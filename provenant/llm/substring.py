@@ -1,11 +1,15 @@
 """Substring dedup by suffix automata of reference shards.
 
 A window is 50 consecutive words of a document; a word goes if it lies in a window whose words also start in a document
-with a smaller doc_id. Broadcasting the automata of all reference shards to all documents would take work in
-proportion to shards times documents, so documents are routed to shards instead: every window has a minimiser, the smallest hash of
+with a smaller doc_id. An automaton of every shard broadcast to every document would take work in proportion to shards times
+documents, so a shard's automaton goes only where it can match: every window has a minimiser, the smallest hash of
 its word 10-grams, equal windows have equal minimisers, and consecutive windows with one minimiser form a segment.
 A shard holds the segments of one minimiser. Its automaton is grown by documents in rising order, and each segment is
 streamed through it first: where its matching statistics reach 50 words, the window has been seen in a smaller document.
+
+No shard is larger than ``SHARD_SEGMENTS``: one that would be (a passage that very many documents hold in different surroundings) is
+split by the two smallest hashes of a window instead of the smallest, then by four, and so on up to the window itself. Equal
+windows stay together at every step, so each part has its own automaton and nothing is compared across parts.
 """
 
 from __future__ import annotations
@@ -18,17 +22,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import drop_path, release, signed, small_batches, stored, text_key
+from provenant.llm.common import drop_path, signed, small_batches, stored, text_key
 
 WINDOW, GRAM = 50, 10
-#: Occurrences of one minimiser from which the windows of its distinct segments are routed one by one, by their own digests.
-#: An automaton of so many segments of some 70 words, none shared, takes about 150 MB and a second or two.
-SHARD_SEGMENTS = 5_000
+#: Distinct segments that one automaton is made of, at most, and windows that one segment has, at most: with some 70 words a segment
+#: an automaton takes about 30 MB.
+SHARD_SEGMENTS, SEGMENT_WINDOWS = 1_000, 1_000
+#: How many of a window's smallest hashes tell its shard, step by step; the last stands for the whole window.
+STEPS = (1, 2, 4, 8, 16, WINDOW)
 #: Words with their hashes that a worker keeps.
 CACHE_WORDS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-SEGMENTS = "shard long, hash_a long, hash_b long, doc_id long, key long, first int, n int, hot boolean, segment binary"
+SEGMENTS = "shard long, hash_a long, hash_b long, doc_id long, key long, first int, n int, often boolean, segment binary"
+PIECES = "up_shard long, up_a long, up_b long, at int, n int, shard long, hash_a long, hash_b long, low long, segment binary"
 
 
 class SuffixAutomaton:
@@ -130,10 +137,29 @@ def minimisers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np
     return least.view(np.int64)
 
 
-def segments(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each run with one minimiser."""
+def finer(hashes: np.ndarray, smallest: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """A hash of each window's ``smallest`` least 10-gram hashes, or of the whole window if it has no more."""
+    span = window - gram + 1
+    if smallest >= span:
+        return _rolling(hashes, window).view(np.int64)
+    grams = np.lib.stride_tricks.sliding_window_view(_rolling(hashes, gram), span)
+    least = np.sort(np.partition(grams, smallest - 1, axis=1)[:, :smallest], axis=1)
+    out = np.zeros(len(least), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(smallest):
+            out = (out ^ least[:, i]) * MULTIPLIER
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def segments(mins: np.ndarray, longest: int = SEGMENT_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run with one minimiser; longer runs are cut."""
     first = np.flatnonzero(np.append(True, mins[1:] != mins[:-1])) if len(mins) else np.zeros(0, dtype=np.int64)
-    return first, np.diff(np.append(first, len(mins)))
+    count = np.diff(np.append(first, len(mins)))
+    if len(count) and count.max() > longest:
+        first = np.concatenate([np.arange(f, f + n, longest) for f, n in zip(first.tolist(), count.tolist())])
+        count = np.diff(np.append(first, len(mins)))
+    return first, count
 
 
 def _minimiser_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +201,7 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for item in shared:
                 at, n = int(first[item["no"]]), int(count[item["no"]])
                 body = b" ".join(words[at : at + n + WINDOW - 1])
-                rows.append((int(mins[at]), *_digest(body), doc, key, at, n, item["hot"], body))
+                rows.append((int(mins[at]), *_digest(body), doc, key, at, n, item["often"], body))
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
                     rows = []
@@ -183,6 +209,30 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+def _piece_batches(batches: Iterator[pa.RecordBatch], smallest: int) -> Iterator[pa.RecordBatch]:
+    """Distinct segments of a shard that is too large -> their pieces by finer shards, each with the segment it lies in."""
+    word_hashes = WordHashes()
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 4 + [pa.binary()]
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for shard, a, b, low, segment in zip(*(batch.column(n).to_pylist() for n in ("shard", "hash_a", "hash_b", "low", "segment"))):
+            words = segment.split(b" ")
+            keys = finer(word_hashes(words), smallest)
+            for at, n in zip(*(x.tolist() for x in segments(keys))):
+                body = b" ".join(words[at : at + n + WINDOW - 1])
+                rows.append((shard, a, b, at, n, int(keys[at]), *_digest(body), low, body))
+            if len(rows) >= 20_000:
+                yield out(rows)
+                rows = []
+        if rows:
+            yield out(rows)
+
+
 def shard_windows(found: list[tuple[list[bytes], int]], window: int = WINDOW) -> list[list[int]]:
     """Segments (words, smallest document) of one shard, by rising document -> for each of its windows the smallest document with it."""
     automaton, out = SuffixAutomaton(), []
@@ -227,22 +277,6 @@ def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out(done)
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments of hot minimisers -> their windows: digest of the window, hashes of the segment, number in it."""
-    names = ["window_a", "window_b", "shard", "hash_a", "hash_b", "low", "at"]
-    for batch in batches:
-        rows: list[tuple] = []
-        for shard, a, b, low, segment in zip(*(batch.column(n).to_pylist() for n in ("shard", "hash_a", "hash_b", "low", "segment"))):
-            words = segment.split(b" ")
-            for at in range(len(words) - WINDOW + 1):
-                rows.append((*_digest(b" ".join(words[at : at + WINDOW])), shard, a, b, low, at))
-            if len(rows) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=names)
-
-
 def _remove_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, totals, removed, kept_text = [], [], [], []
@@ -268,53 +302,76 @@ def _remove_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         )
 
 
+SHARD = ["shard", "hash_a", "hash_b"]
+
+
+def _automata(distinct: DataFrame) -> DataFrame:
+    """``distinct(shard, hash_a, hash_b, low, segment)`` -> ``shard, hash_a, hash_b, low, lows``: each shard's automaton in one task."""
+    return distinct.select(*SHARD, "low", "segment").repartition("shard").sortWithinPartitions("shard", "low", "hash_a", "hash_b").mapInArrow(
+        _shard_batches, "shard long, hash_a long, hash_b long, low long, lows array<long>"
+    )
+
+
+def _smallest(often: DataFrame, step: int, shard_segments: int, scratch: list[str]) -> DataFrame:
+    """As ``_automata``, for shards that may have more than ``shard_segments`` distinct segments.
+
+    Those that do are cut into pieces by the next of ``STEPS``; equal pieces become one, and what is found for the pieces is put
+    together again for the segments. The last step gives each window a shard of its own, so none is left too large.
+    """
+    if step + 1 == len(STEPS):
+        return _automata(often)
+    large = often.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > shard_segments).select(F.col("shard").alias("_l"))
+    marked = often.join(large, F.col("shard") == F.col("_l"), "left")
+    cut, path = stored(marked.where("_l IS NOT NULL").select(*SHARD, "low", "segment").mapInArrow(lambda b: _piece_batches(b, STEPS[step + 1]), PIECES), "pieces")
+    scratch.append(path)
+    done = _automata(marked.where("_l IS NULL"))
+    if cut.isEmpty():
+        return done
+    pieces, path = stored(cut.groupBy(*SHARD, "segment").agg(F.min("low").alias("low")), "distinct-pieces")
+    scratch.append(path)
+    found = _smallest(pieces, step + 1, shard_segments, scratch)
+    seen = found.select(F.col("shard").alias("_s"), F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), F.col("low").alias("_low"), "lows")
+    same = (F.col("shard") == F.col("_s")) & (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b"))
+    lows = F.coalesce("lows", F.expr("array_repeat(_low, n)"))
+    parts = cut.select("up_shard", "up_a", "up_b", "at", "n", *SHARD, F.col("low").alias("up_low")).join(seen, same).select(
+        F.col("up_shard").alias("shard"), F.col("up_a").alias("hash_a"), F.col("up_b").alias("hash_b"), F.col("up_low").alias("low"), "at", lows.alias("lows")
+    )
+    whole = parts.groupBy(*SHARD, "low").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "lows"))), lambda p: p["lows"])).alias("lows"))
+    return done.unionByName(whole)
+
+
 def repeated_windows(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """``docs(doc_id, key, text)`` -> ``doc_id, key, hits``: for each document, segments (first, n, some) with the windows that also
     start in a smaller document: those numbered in ``some``, or all n if it is null.
 
     1. Minimisers alone are dealt; those of one document end here. 2. Shared segments are cut from the texts and equal ones become one,
-    with their smallest document, before they are shuffled. 3. Each shard's automaton. A minimiser with more than ``shard_segments``
-    occurrences (a passage that very many documents hold, maybe in different surroundings) has the windows of its distinct segments
-    routed by their own digests instead, which spreads it; no case is dropped. 4. The verdicts go back to the documents.
+    with their smallest document, before they are shuffled. 3. Each shard's automaton; shards that would have more than ``shard_segments``
+    distinct segments are split first, step by step. 4. The verdicts go back to the documents.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, []
     mins, mins_path = stored(docs.mapInArrow(_minimiser_batches, "shard long, doc_id long, key long, no int"), "minimisers")
     shared = mins.groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select(
-        F.col("shard").alias("_s"), (F.col("n") > shard_segments).alias("hot")
+        F.col("shard").alias("_s"), (F.col("n") > shard_segments).alias("often")
     )
-    wanted = mins.join(shared, F.col("shard") == F.col("_s")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("no", "hot")).alias("shared"))
+    wanted = mins.join(shared, F.col("shard") == F.col("_s")).groupBy("doc_id", "key").agg(F.collect_set(F.struct("no", "often")).alias("shared"))
     texts = docs.join(wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "shared"), (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")))
     cut, cut_path = stored(texts.select("doc_id", "key", "text", "shared").mapInArrow(_segment_batches, SEGMENTS), "segments")
     drop_path(spark, mins_path)
-    release(spark)
-    distinct = cut.groupBy("shard", "hash_a", "hash_b", "segment", "hot").agg(F.min("doc_id").alias("low"))
-    by_automaton = (
-        distinct.where("NOT hot").repartition("shard").sortWithinPartitions("shard", "low", "hash_a", "hash_b")
-        .mapInArrow(_shard_batches, "shard long, hash_a long, hash_b long, low long, lows array<long>")
-    )
-    windows = distinct.where("hot").mapInArrow(
-        _window_batches, "window_a long, window_b long, shard long, hash_a long, hash_b long, low long, at long"
-    )
-    # a window that one distinct segment has alone keeps that segment's document: only shared ones are joined back
-    least = windows.groupBy(F.col("window_a").alias("_wa"), F.col("window_b").alias("_wb")).agg(
-        F.min("low").alias("_least"), F.count(F.lit(1)).alias("_n")
-    ).where("_n > 1")
-    found = windows.join(least, (F.col("window_a") == F.col("_wa")) & (F.col("window_b") == F.col("_wb"))).where("_least < low")
-    per_segment = ["shard", "hash_a", "hash_b", "low"]
-    shared_lows = found.groupBy(*per_segment).agg(F.map_from_entries(F.collect_list(F.struct("at", "_least"))).alias("_m"))
-    segment_list = distinct.where("hot").select(*per_segment, (F.size(F.split(F.col("segment").cast("string"), " ")) - (WINDOW - 1)).alias("_k"))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_k").cast("long") - 1), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.col("low")))
-    by_window = segment_list.join(shared_lows, per_segment, "left").select(*per_segment, F.when(F.col("_m").isNotNull(), each).alias("lows"))
-    seen = by_automaton.unionByName(by_window).select(
+    scratch.append(cut_path)
+    distinct = cut.groupBy(*SHARD, "segment").agg(F.min("doc_id").alias("low"), F.max("often").alias("often"))
+    few = _automata(distinct.where("NOT often"))
+    often, path = stored(distinct.where("often").drop("often"), "often")
+    scratch.append(path)
+    seen = few.unionByName(_smallest(often, 0, shard_segments, scratch)).select(
         F.col("shard").alias("_s"), F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), "low", "lows"
     )
     same = (F.col("shard") == F.col("_s")) & (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b"))
     # the numbers of the windows whose smallest document is smaller than this one
     some = F.filter(F.transform("lows", lambda d, i: F.when(d < F.col("doc_id"), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     hits = cut.drop("segment").join(seen, same).withColumn("some", some).where("(lows IS NULL AND low < doc_id) OR size(some) > 0")
-    out, _ = stored(hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "some")).alias("hits")), "hits")
-    drop_path(spark, cut_path)
-    release(spark)
+    out, _ = stored(hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n", "some")).alias("hits")), "hits")
+    for path in scratch:
+        drop_path(spark, path)
     return out
 
 

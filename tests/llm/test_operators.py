@@ -426,18 +426,41 @@ def brute_substring(rows, window=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_substring(spark, corpus, hot, monkeypatch):
+@pytest.mark.parametrize("bound", [1, 3, 1000])
+def test_substring(spark, corpus, bound, monkeypatch):
     rng = random.Random(3)
     passage = words(rng, 64, 5000)
     rows = [*corpus, corpus[3], (None, corpus[3][1], "en", "s", 0)] + [(5000 + i, f"{words(rng, i % 9, 9000)} {passage if i % 3 else passage[40:]} {words(rng, 60, 9000)}", "en", "s", 0) for i in range(30)]
+    rows += [(6000, "b " * 1500, "en", "s", 0), (6001, "c " + "b " * 900, "en", "s", 0), (6002, "b " * 30, "en", "s", 0)]
     plain = substring.repeated_windows
-    monkeypatch.setattr(substring, "repeated_windows", lambda d: plain(d, hot))
+    monkeypatch.setattr(substring, "repeated_windows", lambda d: plain(d, bound))
     got = substring.remove_repeated(frame(spark, rows, DOCS).withColumn("hits", F.lit("clash")).withColumn("key", F.lit(1))).collect()
     assert sorted(map(tuple, got), key=str) == brute_substring(rows)
     assert substring.remove_repeated(frame(spark, [], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 5_001, 50_000])
+def test_substring_hot_groups(spark, size):
+    """Every document holds one passage of 60 words, each in surroundings of its own: all but the smallest lose just that passage."""
+    own = "array_join(transform(sequence(1, 30), i -> concat('{0}', i, 'w', hex(xxhash64(id, i, '{0}')))), ' ')"
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.range(size).selectExpr("id + 7 AS doc_id", f"concat_ws(' ', {own.format('a')}, '{passage}', {own.format('b')}) AS text")
+    done = substring.remove_repeated(docs)
+    got = {tuple(r) for r in done.groupBy("n_words", "n_removed").agg(F.count("*"), F.min("doc_id")).collect()}
+    assert got == {(120, 0, 1, 7), (120, 60, size - 1, 8)}
+
+
+def test_finer_shards_keep_equal_windows_together():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    moved = np.concatenate([rng.integers(0, 1 << 63, 17, dtype=np.uint64), hashes])
+    assert (substring.finer(hashes, 1) == substring.finer(moved, 1)[17:]).all()
+    for smallest in substring.STEPS[1:]:
+        assert (substring.finer(hashes, smallest) == substring.finer(moved, smallest)[17:]).all()
+    first, count = substring.segments(np.zeros(2500, dtype=np.int64))
+    assert first.tolist() == [0, 1000, 2000] and count.tolist() == [1000, 1000, 500]
+
+
 def test_suffix_automaton():
     rng = random.Random(7)
     for _ in range(60):

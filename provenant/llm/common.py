@@ -6,6 +6,8 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,16 +58,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage of ``df`` with a table in the shared folder: a lost executor costs no recomputation, and the shuffle files
-    that led to it go at once."""
-    spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Statements that run inside drop their shuffle files as they end."""
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cut the lineage of ``df`` with a table in the shared folder: a lost executor costs no recomputation, and the shuffle files
+    that led to it go at once."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with short_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -85,7 +94,7 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def uniform_buckets(n_rows: int, least: int = 1_000) -> int:
+def uniform_buckets(n_rows: int, least: int = 200) -> int:
     """How many buckets of a uniform hash to cut ``n_rows`` into: about as many as each has rows, once these are ``least``."""
     return max(1, -(-n_rows // max(least, math.isqrt(n_rows))))
 

@@ -18,39 +18,36 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` with any comparable node type -> ``(node, component)``, component = smallest node.
 
     Only nodes with an edge to another node come back; loops, repeats, both directions and nulls are
-    allowed (an edge with a null end is ignored). Every round is written to the shared folder, so the
+    allowed (an edge with a null end is ignored). Steps go on until one changes nothing. Every table is written to the shared folder, so the
     lineage stays short and a lost executor is harmless. A node with very many edges is reduced by a
-    map-side minimum; the join back can be split by skew handling. Nothing is collected but a checksum.
+    map-side minimum; the minima are a table of their own, so both sides of the join back are plain shuffles, which
+    skew handling can split. Nothing is collected but a checksum.
     """
     spark = edges.sparkSession
     clean = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     now, path = stored(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        least, least_path = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
+        large, large_path = stored(
+            both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+        )
+        low, low_path = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "low")
         small = (
             large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
         after, after_path = stored(small, "edges")
-        after_mark = _mark(after)
-        drop_path(spark, path)
-        now, path = after, after_path
-        if after_mark == mark:
+        for done in (path, least_path, large_path, low_path):
+            drop_path(spark, done)
+        now, path, before = after, after_path, mark
+        mark = _mark(now)
+        if mark == before:
             break
-        mark = after_mark
-    else:
-        raise RuntimeError("components have not settled")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

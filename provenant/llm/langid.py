@@ -14,13 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from provenant.llm.common import small_batches
+from provenant.llm.common import drop_path, small_batches, stored
 
 #: N-grams in a profile.
 PROFILE = 300
 #: Bound on the training sample: about this many labelled documents of each language, chosen by a hash of doc_id and text.
 SAMPLE_DOCS = 4_000
+#: Languages whose profiles go to every task: 50 MB of ranks.
+MOST_LANGUAGES = 20_000
+#: Characters of one text counted at a time.
+PART_CHARS = 1 << 20
 UNDETERMINED = "und"
 SHIFT = 21
 
@@ -42,21 +48,33 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
     A code holds up to three code points, 21 bits each, the first lowest; a blank is 1. Runs of anything but letters are one blank.
     """
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letters = _letters()[points]
+    letters = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     is_letter = letters > 0
     if not is_letter.any():
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    line = np.concatenate([[1], np.where(is_letter, letters, 1)[keep], [1]]).astype(np.int64)
+    one = np.ones(1, dtype=np.int32)
+    line = np.concatenate([one, np.where(is_letter, letters, 1)[keep], one])
     blank = line == 1
-    solid = np.append(True, ~(blank[1:] & blank[:-1]))
-    line, blank = line[solid], blank[solid]
-    one = line[~blank]
-    two = line[:-1] | line[1:] << SHIFT
-    three = line[:-2] | line[1:-1] << SHIFT | line[2:] << 2 * SHIFT
-    codes = np.concatenate([one, two, three[~blank[1:-1]]])
+    line = line[np.append(True, ~(blank[1:] & blank[:-1]))]
+    # parts that share their last two characters with the next one's first
+    found = [_part_counts(line[at : at + PART_CHARS + 2], at + PART_CHARS + 2 >= len(line)) for at in range(0, max(1, len(line) - 2), PART_CHARS)]
+    if len(found) == 1:
+        return found[0]
+    codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(back, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+
+
+def _part_counts(part: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and numbers of the n-grams that start in this part of a line, but for its last two characters unless it is the last one."""
+    line = part.astype(np.int64)
+    blank = line == 1
+    own = len(line) if last else len(line) - 2
+    one = line[:own][~blank[:own]]
+    two = (line[:-1] | line[1:] << SHIFT)[:own]
+    three = (line[:-2] | line[1:-1] << SHIFT | line[2:] << 2 * SHIFT)[~blank[1:-1]]
+    codes = np.concatenate([one, two, three])
     codes.sort()
     first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
     return codes[first], np.diff(np.append(first, len(codes)))
@@ -89,17 +107,25 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, profile: int = PR
     """``labelled(doc_id, text, lang)`` -> the profile of each language. Null texts and languages teach nothing.
 
     About ``sample_docs`` documents of each language are used: those whose hash falls below the share of it that they are.
-    The result is bounded by the number of languages times ``profile``.
+    The result is bounded by ``MOST_LANGUAGES`` times ``profile``; more languages are an error. Of a language's n-grams only the ``profile``
+    best leave the task that summed them.
     """
     small_batches(labelled.sparkSession)
     base = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     sizes = base.groupBy("lang").count().withColumnRenamed("lang", "_l")
     draw = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = base.join(F.broadcast(sizes), F.col("lang") == F.col("_l")).where(draw < F.lit(float(sample_docs)) / F.col("count"))
+    chosen = base.join(sizes, F.col("lang") == F.col("_l")).where(draw < F.lit(float(sample_docs)) / F.col("count"))
     counted = chosen.select("text", "lang").mapInArrow(_sum_batches, "lang string, code long, n long")
     totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = totals.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code"))), 1, profile).alias("top"))
-    return {row["lang"]: [x["code"] for x in row["top"]] for row in best.orderBy("lang").collect()}
+    best = totals.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("place") <= profile)
+    kept, path = stored(best.select("lang", "place", "code"), "profiles")
+    if kept.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found: dict[str, list[int]] = {}
+    for row in kept.orderBy("lang", "place").collect():
+        found.setdefault(row["lang"], []).append(row["code"])
+    drop_path(labelled.sparkSession, path)
+    return found
 
 
 class Profiles:
@@ -152,8 +178,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PRO
     """
     small_batches(docs.sparkSession)
     base = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(lambda b: _predict_batches(b, profiles, profile), f"{schema}, lang_pred string, score double")
+    schema = StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return base.mapInArrow(lambda b: _predict_batches(b, profiles, profile), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of a window of lines decides, from the content alone, where a chunk ends, so an inserted
 or removed line shifts no boundary but those near it. Chunks of several lines that occur again anywhere in the corpus
-are removed, all but the first; equality is decided on the chunks' bytes.
+are removed, all but the first; equality is decided on the chunks' bytes. A repeated passage is only in part made of whole chunks:
+``remove_passages`` also takes what lies between its ends and the chunks, by runs of two lines, told by SHA-256.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from provenant.llm.common import signed, small_batches, stored, text_key
+from provenant.llm.common import drop_path, signed, small_batches, stored, text_key
 
 #: Lines under the rolling hash, and the mean number of lines between boundaries (a power of two).
 WINDOW_LINES, MEAN_LINES = 2, 4
@@ -82,27 +84,30 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
 
 
 def _rebuild_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text, the numbers of the chunks and the starts of the runs that go -> row, text, number of lines, of lines removed."""
     for batch in batches:
-        gone = batch.column("gone").to_pylist()
-        texts, before, after = [], [], []
-        for text, drop in zip(batch.column("text").to_pylist(), gone):
-            n = 0 if not text else text.count("\n") + 1
-            before.append(n)
-            if drop and text:
-                found, out = set(drop), chunks(text)
-                n -= sum(len(x) for i, x in enumerate(out) if i in found)
-                text = "\n".join(line for i, x in enumerate(out) if i not in found for line in x)
-            texts.append(text)
-            after.append(before[-1] - n)
-        names = [n for n in batch.schema.names if n not in ("gone", "text")]
+        texts, before, removed = [], [], []
+        for text, chunk_numbers, starts in zip(*(batch.column(n).to_pylist() for n in ("text", "chunks", "starts"))):
+            found = text.split("\n") if text else []
+            drop = set()
+            if chunk_numbers and found:
+                at, gone = 0, set(chunk_numbers)
+                for no, part in enumerate(chunks(text)):
+                    if no in gone:
+                        drop.update(range(at, at + len(part)))
+                    at += len(part)
+            held = without_lines(found, drop, starts) if starts else [x for i, x in enumerate(found) if i not in drop] if drop else found
+            texts.append("\n".join(held) if len(held) < len(found) else text)
+            before.append(len(found))
+            removed.append(len(found) - len(held))
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in names], pa.array(texts, type=pa.string()), pa.array(before, type=pa.int64()), pa.array(after, type=pa.int64())],
-            names=[*names, "text", "n_lines", "n_lines_removed"],
+            [batch.column("row"), pa.array(texts, type=pa.string()), pa.array(before, type=pa.int64()), pa.array(removed, type=pa.int64())],
+            names=["row", "text", "n_lines", "n_lines_removed"],
         )
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, key, text)`` -> ``doc_id, key, gone``: numbers of the chunks to remove from each document that loses any.
+    """``docs(doc_id, key, text)`` -> ``doc_id, key, chunks``: numbers of the chunks to remove from each document that loses any.
 
     First, hashes alone are dealt (their counts are combined before the shuffle). Only chunks whose hash occurs more than once are
     then compared by their bytes, as groups of equal text: a hash collision removes nothing. The first occurrence, by (doc_id, key, chunk
@@ -113,23 +118,29 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b")
     )
     bodies = docs.mapInArrow(lambda b: _chunk_batches(b, True), CHUNKS)
-    again, _ = stored(bodies.join(often, (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b")), "left_semi"), "chunks")
+    again, again_path = stored(bodies.join(often, (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b")), "left_semi"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key", "no")
     digest = F.sha2("chunk", 256)
     firsts = again.withColumn("_place", place).groupBy("hash_a", "hash_b", "chunk").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n"))
-    known = firsts.where("n > 1").select(F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), digest.alias("_c"), "first")
+    # a table of its own: both sides of the join are plain shuffles then, which skew handling can split where a chunk is very common
+    known, known_path = stored(
+        firsts.where("n > 1").select(F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), digest.alias("_c"), "first"), "first-chunks"
+    )
     same = (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b")) & (F.col("_sha") == F.col("_c"))
     lost = again.withColumn("_sha", digest).drop("chunk").join(known, same).where(~place.eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone"))
+    gone, _ = stored(lost.groupBy("doc_id", "key").agg(F.collect_set("no").alias("chunks")), "gone-chunks")
+    for path in (again_path, known_path):
+        drop_path(docs.sparkSession, path)
+    return gone
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> the same rows and columns, ``text`` without repeated chunks, and ``n_lines, n_lines_removed``.
 
     Null and empty texts have no lines and stay as they are. Rows equal in doc_id and text are one document: both keep or lose the same
-    chunks. Single lines are never removed. An empty table gives an empty result. Columns of these names are replaced.
+    chunks. Single lines are never removed. An empty table gives an empty result. Columns of these names are replaced; any other names may occur.
     """
-    return _removed(docs, repeated_chunks, _rebuild_batches)
+    return _removed(docs, lambda slim: repeated_chunks(slim).withColumn("starts", F.lit(None).cast("array<int>")))
 
 
 #: Runs of lines of a document, by the SHA-256 of their bytes.
@@ -151,9 +162,9 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["doc_id", "key", "at", "sha"])
 
 
-def without_passages(lines: list[str], starts: list[int]) -> list[str]:
-    """The lines outside the runs of ``LEAST_LINES`` lines that start there; blank lines between two removed ones go as well."""
-    drop = {s + i for s in starts for i in range(LEAST_LINES)}
+def without_lines(lines: list[str], drop: set[int], starts: list[int] | None) -> list[str]:
+    """The lines outside ``drop`` and the runs of ``LEAST_LINES`` lines that start there; blank lines between two removed ones go as well."""
+    drop = drop | {s + i for s in starts or () for i in range(LEAST_LINES)}
     at = 0
     while at < len(lines):
         end = at
@@ -165,46 +176,44 @@ def without_passages(lines: list[str], starts: list[int]) -> list[str]:
     return [x for i, x in enumerate(lines) if i not in drop]
 
 
-def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, before, removed = [], [], []
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-            found = text.split("\n") if text else []
-            held = without_passages(found, starts) if starts else found
-            texts.append("\n".join(held) if starts and found else text)
-            before.append(len(found))
-            removed.append(len(found) - len(held))
-        names = [n for n in batch.schema.names if n not in ("gone", "text")]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in names], pa.array(texts, type=pa.string()), pa.array(before, type=pa.int64()), pa.array(removed, type=pa.int64())],
-            names=[*names, "text", "n_lines", "n_lines_removed"],
-        )
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, key, text)`` -> ``doc_id, key, gone``: where the runs of ``LEAST_LINES`` lines start that occur earlier.
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, key, text)`` -> ``doc_id, key, starts``: where the runs of ``LEAST_LINES`` lines start that occur earlier.
 
     Runs overlap, so a repeated passage is found whole wherever it lies. The first occurrence, by (doc_id, key, line), stays; null ids come last.
     """
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key", "at")
     found = docs.mapInArrow(_window_batches, WINDOWS)
     firsts = found.withColumn("_place", place).groupBy("sha").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lost = found.join(firsts.select(F.col("sha").alias("_sha"), "first"), F.col("sha") == F.col("_sha")).where(~place.eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone"))
+    known, path = stored(firsts.select(F.col("sha").alias("_sha"), "first"), "first-runs")
+    lost = found.join(known, F.col("sha") == F.col("_sha")).where(~place.eqNullSafe(F.col("first")))
+    gone, _ = stored(lost.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts")), "gone-runs")
+    drop_path(docs.sparkSession, path)
+    return gone
 
 
-def _removed(docs: DataFrame, find: Callable, rebuild: Callable) -> DataFrame:
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, key, text)`` -> ``doc_id, key, chunks, starts``: the repeated chunks, and the runs that complete them."""
+    chunk, run = repeated_chunks(docs), repeated_runs(docs)
+    a, b = (F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("i"), "key").alias(n) for n in ("_a", "_b"))
+    both = chunk.select("doc_id", "key", "chunks", a).join(run.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "starts", b), F.col("_a") == F.col("_b"), "full_outer")
+    return both.select(F.coalesce("doc_id", "_d").alias("doc_id"), F.coalesce("key", "_k").alias("key"), "chunks", "starts")
+
+
+def _removed(docs: DataFrame, find: Callable) -> DataFrame:
     small_batches(docs.sparkSession)
-    base = docs.drop("n_lines", "n_lines_removed").withColumn("_key", text_key())
-    slim = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
-    gone = find(slim).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "gone")
-    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k", "_key")
-    kept = [f for f in joined.schema.fields if f.name not in ("gone", "text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, n_lines long, n_lines_removed long"
-    done = joined.mapInArrow(rebuild, schema)
-    return done.select(*[c for c in docs.columns if c not in ("n_lines", "n_lines_removed")], "n_lines", "n_lines_removed")
+    added = ("n_lines", "n_lines_removed")
+    kept = [c for c in docs.columns if c not in (*added, "text")]
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"),
+        F.col("text").cast("string").alias("text"),
+    )
+    gone = find(base.select("doc_id", "key", "text")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "chunks", "starts")
+    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("row", "text", "chunks", "starts")
+    schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_lines_removed", LongType())])
+    done = joined.mapInArrow(_rebuild_batches, schema)
+    return done.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
-    """``remove_repeats`` by overlapping runs of lines: of a passage of ``LEAST_LINES`` lines or more that occurs earlier, no line stays."""
-    return _removed(docs, repeated_passages, _passage_batches)
+    """``remove_repeats`` of chunks and of runs: of a passage of ``LEAST_LINES`` lines or more that occurs earlier, no line stays."""
+    return _removed(docs, repeated_passages)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenant.llm.common import WORD, running_sum, stored, uniform_buckets
+from provenant.llm.common import WORD, drop_path, running_sum, stored, uniform_buckets
 
 #: (time, relative demand) knots of the default schedule: flat for weight 1, rising for 2, falling for 3.
 SCHEDULES: dict[int, Sequence[tuple[float, float]]] = {
@@ -34,48 +34,38 @@ def source_targets(sizes: DataFrame, cycle: int = 3, max_repeats: float = 3.0) -
 
     Sources by code point, null last, weigh 1, 2, .., ``cycle``, repeating. All words are shared by weight;
     a target above ``max_repeats`` times its source stops there and the excess is shared again among
-    the others, until none is above. Each round is one aggregate over the sources that returns one
-    row; the rounds end because each of them caps at least one more source.
+    the others, until none is above. Sorted by cap / weight, the sources that stop are the first ones: with prefix sums of caps
+    and weights, the level of the others is that of the first source which does not stop when all before it do.
     """
-    ranked = _ranked_sources(sizes).withColumn("weight", (F.pmod(F.col("_rank"), F.lit(cycle)) + 1).cast("double"))
-    cap = F.lit(float(max_repeats)) * F.col("source_size")
-    level, capped = None, -1
-    while True:
-        over = F.lit(False) if level is None else F.lit(level) * F.col("weight") > cap
-        row = ranked.agg(
-            F.sum(F.col("source_size").cast("double")).alias("all"),
-            F.sum(F.when(over, cap).otherwise(0.0)).alias("fixed"),
-            F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("free"),
-            F.count(F.when(over, 1)).alias("n"),
-        ).first()
-        if row["n"] == capped or not row["free"]:
-            break
-        capped, level = row["n"], (row["all"] - row["fixed"]) / row["free"]
-    share = cap if level is None else F.least(F.lit(level) * F.col("weight"), cap)
-    return ranked.withColumn("target", share.cast("double")).drop("_rank")
-
-
-def _ranked_sources(sizes: DataFrame) -> DataFrame:
-    """0-based rank of each source by code point, null last, without gathering the sources in one task.
-
-    Sources are dealt by range into partitions, ranked inside them, and shifted by the sizes of the
+    ranked = _prefix_sums(sizes.withColumn("_one", F.lit(1)), [F.col("source").isNull(), F.col("source")], {"_rank": F.col("_one")}, "ranks")
+    weighed = ranked.withColumn("weight", (F.pmod(F.col("_rank"), F.lit(cycle)) + 1).cast("double")).drop("_one", "_rank")
+    capped = weighed.withColumn("_cap", F.lit(float(max_repeats)) * F.col("source_size"))
+    ratio = F.col("_cap") / F.col("weight")
+    laid = _prefix_sums(capped, [ratio, F.col("source").isNull(), F.col("source")], {"_caps": F.col("_cap"), "_weights": F.col("weight")}, "caps")
+    total = laid.agg(F.sum("source_size").cast("double").alias("all"), F.sum("weight").alias("w")).first()
+    level = (F.lit(total["all"]) - F.col("_caps")) / (F.lit(total["w"]) - F.col("_weights"))
+    first = laid.where(level <= ratio).agg(F.min_by(level, F.struct(ratio, F.col("source").isNull(), "source"))).first()[0]
+    share = F.col("_cap") if first is None else F.least(F.lit(first) * F.col("weight"), F.col("_cap"))
+    return laid.withColumn("target", share.cast("double")).drop("_cap", "_caps", "_weights")
+
+
+def _prefix_sums(table: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """Adds to each row the sums over the rows before it in the order, without gathering the rows in one task.
+
+    Rows are dealt by range into partitions, summed inside them, and shifted by the totals of the
     partitions before; the table is stored first, so both readings see the same ranges.
     """
-    nulls = F.col("source").isNull().alias("_null")
-    dealt, _ = stored(
-        sizes.withColumn("_null", nulls).repartitionByRange(8, "_null", "source").withColumn("_p", F.spark_partition_id()),
-        "sources",
-    )
-    inside = Window.partitionBy("_p").orderBy("_null", "source")
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    ).drop("_n")
-    out, _ = stored(
-        dealt.withColumn("_i", F.row_number().over(inside) - 1).join(starts, "_p")
-        .withColumn("_rank", F.col("_start") + F.col("_i")).drop("_p", "_null", "_i", "_start"),
-        "ranks",
-    )
+    placed = table.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    by = [f"_o{i}" for i in range(len(order))]
+    dealt, path = stored(placed.repartitionByRange(8, *by).withColumn("_p", F.spark_partition_id()), name)
+    inside = Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(F.col("_p").alias("_q")).agg(*[F.sum(c).alias(f"_t{k}") for k, c in sums.items()])
+    starts = totals.select("_q", *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_s{k}") for k in sums])
+    both = dealt.join(starts, F.col("_p") == F.col("_q"))
+    summed = both.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_s{k}") for k, c in sums.items()})
+    out, _ = stored(summed.drop("_p", "_q", *by, *[f"_s{k}" for k in sums]), name)
+    drop_path(table.sparkSession, path)
     return out
 
 
@@ -112,16 +102,20 @@ def mix(
     ``positions``: training time in [0, 1] of each use of the document, the one cut short included; ``position``: of the first
     (documents that take nothing have no positions, and in ``position`` the place they lie at).
     Null sources form one source, last in order; empty documents take nothing; repeated rows are rows of
-    their own; ``size`` must not be null. An empty table gives an empty table. Other columns stay.
+    their own; ``size`` must not be null. An empty table gives an empty table. Other columns stay, whatever their names; those named like
+    one that is added are replaced.
     A source with most of the rows is spread over buckets of a hash for its running sum.
     """
     kinds = schedules or SCHEDULES
-    sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    added = ["source_size", "weight", "target", "taken", "position", "positions"]
+    kept = [c for c in docs.columns if c not in added]
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "doc_id", "source", "size")
+    sizes = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = source_targets(sizes, cycle, max_repeats)
     most = targets.agg(F.max("_rows")).first()[0] or 0
     targets = targets.drop("_rows").withColumnRenamed("source", "_source")
-    laid = running_sum(docs, "source", ["doc_id", "size"], "size", "_before", uniform_buckets(most), seed)
-    with_target = laid.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    laid = running_sum(slim, "source", ["doc_id", "size"], "size", "_before", uniform_buckets(most), seed)
+    with_target = laid.join(targets, F.col("source").eqNullSafe(F.col("_source")))
     goal = F.round(F.col("target")).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - whole * F.col("source_size")
@@ -138,12 +132,12 @@ def mix(
 
     uses = F.ceil(F.col("taken") / F.col("size")).cast("long")
     each = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), uses - 1)), at))
-    return (
+    done = (
         with_target.withColumn("taken", (F.col("size") * whole + part).cast("long"))
         .withColumn("position", at(F.lit(0)))
         .withColumn("positions", F.coalesce(each, F.array().cast("array<double>")))
-        .drop("_before")
     )
+    return done.select(*[F.col("row").getField(c).alias(c) for c in kept], *added)
 
 
 def schedule(mixed: DataFrame) -> DataFrame:

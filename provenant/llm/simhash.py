@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import small_batches, stored, text_key
+from provenant.llm.common import drop_path, small_batches, stored, text_key
 from provenant.llm.components import connected_components, merge_labels
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: Shingles of one text hashed at a time.
+PART_SHINGLES = 1 << 16
 #: Rows that a block may have before it is split into pairs of chunks.
 BLOCK_ROWS = 4096
 #: Lanes (a query and 64 fingerprints) compared in one sweep.
@@ -41,15 +43,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64
-    )
+    digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
+    for at in range(0, n, PART_SHINGLES):
+        low, high = starts[at : min(n, at + PART_SHINGLES)].tolist(), ends[at + shingle - 1 : min(n, at + PART_SHINGLES) + shingle - 1].tolist()
+        part = np.array([digest(joined[a:b], seed) for a, b in zip(low, high)], dtype=np.uint64)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +225,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Copies share a fingerprint and are compared once. An empty table gives an empty result.
     """
     rows, _ = stored(fingerprints(docs), "fingerprints")
-    lowest, _ = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    lowest, lowest_path = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     labels = connected_components(near_edges(lowest.select("fp"), radius))
     members = lowest.join(labels, lowest["fp"] == labels["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root")
     )
     tops = members.groupBy("root").agg(F.min("low").alias("component_id"))
     known, _ = stored(members.join(tops, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "members")
+    drop_path(docs.sparkSession, lowest_path)
     return rows.join(known, rows["fp"] == known["_fp"]).select(
         "doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "root", "component_id"
     )

@@ -2,8 +2,8 @@
 
 Records are complete WARC/1.1 records (header block, HTTP block, payload, two line ends), many to a gzip file.
 Spark's text writer writes them, its record separator being the two line ends that close a WARC record; Spark's
-binaryFile reader reads them back, so both work on any store that Spark reaches. Files are bounded in
-size: a reader holds one at a time.
+binaryFile reader reads them back, so both work on any store that Spark reaches. Records go to files by size class, so that a
+file holds about ``FILE_BYTES`` at most, or one record that is larger: a reader holds one file at a time.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import drop_path, new_path, small_batches
+from provenant.llm.common import drop_path, new_path, short_shuffles, small_batches, stored
 
 CRLF = "\r\n"
 #: Payloads below this many bytes are always stored in full.
 LEAST_PAYLOAD = 100
-#: Payload bytes aimed at in one archive file (by the mean size of a record), and records it may hold at most.
+#: Payload bytes that one archive file may hold, unless a single record has more, and records it may hold at most.
 FILE_BYTES, FILE_RECORDS = 8 << 20, 2_000
+#: Payload sizes up to which records share files, ``FILE_BYTES`` divided by that size to a file; larger ones have a file each.
+SIZE_CLASSES = (4 << 10, 64 << 10, 1 << 20)
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -33,8 +35,8 @@ READ = (
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
-    """A stable record id for a page: a UUID made of a hash of its id and payload digest."""
-    h = F.md5(F.concat_ws(":", F.lit("page"), page_id.cast("string"), digest))
+    """The record id of a row: a UUID made of a hash of its page id, its payload digest and its place in the table, so that repeated rows differ."""
+    h = F.md5(F.concat_ws(":", F.lit("page"), page_id.cast("string"), digest, F.monotonically_increasing_id().cast("string")))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -48,7 +50,7 @@ def _clean_header(value: Column) -> Column:
 
 
 def response_records(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> ``record``: a response record for each row. Null html: empty; null url: urn:page:<id>."""
+    """``pages(page_id, url, html)`` -> ``record, size_class``: a response record for each row. Null html: empty; null url: urn:page:<id>."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     size = F.octet_length(payload)
     http = F.concat(
@@ -60,7 +62,7 @@ def response_records(pages: DataFrame) -> DataFrame:
     length = F.octet_length(http) + size
     return pages.select(
         F.concat(head, F.lit("Content-Type: application/http;msgtype=response" + CRLF + "Content-Length: "), length.cast("string"),
-                 F.lit(CRLF * 2), http, payload).alias("record")
+                 F.lit(CRLF * 2), http, payload).alias("record"), size_class(size).alias("size_class")
     )
 
 
@@ -77,13 +79,23 @@ def _head(kind: str, rid: Column, url: Column, page_id: Column, digest: Column,
     return F.concat(F.concat_ws(CRLF, *fields), F.lit(CRLF))
 
 
-def write_archives(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write a column of whole records as gzipped WARC files, each of ``file_records`` records at most.
+def write_archives(records: DataFrame, path: str, classes: list[int] | None = None) -> None:
+    """Write ``records(record, size_class)`` as gzipped WARC files below ``path``, each size class with as many records to a file as fit.
 
-    Gzip works at its fastest level: it takes most of the time, and archives are read back soon.
+    Gzip works at its fastest level: it takes most of the time, and archives are read back soon. ``classes``: those that occur; None: all.
     """
-    (records.select(F.col(records.columns[0]).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path))
+    for c in range(len(SIZE_CLASSES) + 1) if classes is None else classes:
+        each = min(FILE_RECORDS, FILE_BYTES // SIZE_CLASSES[c]) if c < len(SIZE_CLASSES) else 1
+        (records.where(F.col("size_class") == c).select(F.col("record").alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip")
+         .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", each).text(f"{path}/class-{c}"))
+
+
+def size_class(size: Column) -> Column:
+    """Number of the first of ``SIZE_CLASSES`` that a payload of that many bytes fits, or of the class beyond."""
+    out = None
+    for c, most in enumerate(SIZE_CLASSES):
+        out = F.when(size <= most, c) if out is None else out.when(size <= most, c)
+    return out.otherwise(len(SIZE_CLASSES))
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -138,7 +150,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iter
 
 def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """A row for each record: ids, type, stated and recomputed payload digest, payload length; the payload only if asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     small_batches(spark)
     return files.mapInArrow(lambda b: _read_batches(b, with_payload), READ + (", payload binary" if with_payload else ""))
 
@@ -162,11 +174,11 @@ def resolve(headers: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 
 
 def deduplicated_records(records: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``records`` with payload, ``decisions(record_id, original_id, original_url)`` -> ``record`` with fresh headers.
+    """``records`` with payload, ``decisions(record_id, original_id, original_url)`` -> ``record, size_class`` with fresh headers.
 
     Revisits keep the HTTP head, name the original record and drop the payload.
     """
-    slim = decisions.select(F.col("record_id").alias("_r"), "original_id", "original_url").dropDuplicates(["_r"])
+    slim = decisions.select(F.col("record_id").alias("_r"), "original_id", "original_url")
     both = records.join(slim.hint("shuffle_hash"), F.col("record_id") == F.col("_r"))
     payload = F.col("payload").cast("string")
     size = F.col("payload_bytes")
@@ -184,32 +196,35 @@ def deduplicated_records(records: DataFrame, decisions: DataFrame) -> DataFrame:
         F.col("original_url"), F.lit(CRLF + "Content-Type: application/http;msgtype=response"), ends, F.octet_length(http).cast("string"),
         F.lit(CRLF * 2), http,
     )
-    return both.select(F.when(F.col("original_id").isNull(), full).otherwise(revisit).alias("record"))
+    # a revisit has no payload, but a class by its record alone would ask for more files
+    return both.select(F.when(F.col("original_id").isNull(), full).otherwise(revisit).alias("record"), size_class(size).alias("size_class"))
 
 
 def deduplicate(pages: DataFrame, out: str | None = None, least: int = LEAST_PAYLOAD) -> tuple[DataFrame, str]:
     """``pages(page_id, url, html)`` -> the records read back from deduplicated archives, and the archives' folder.
 
-    Every row gets a record. Rows with equal page_id and equal html share a record id and are treated alike (all response, or all
-    revisits of one original). A null page_id comes last in the choice of the original.
-    Payloads travel twice: into the first archives and, with their decisions, into the second.
-    An empty table gives empty archives.
+    Every row gets a record of its own, repeated rows too: of rows equal in page_id and html one is the response, the others revisit it.
+    A null page_id comes last in the choice of the original. Payloads travel twice: into the first archives and, with their
+    decisions, into the second. An empty table gives empty archives.
     """
     spark = pages.sparkSession
     unique = pages.select("page_id", "url", "html")
     raw, final = new_path(spark, "warc-raw"), out or new_path(spark, "warc")
-    total = unique.agg(F.sum(F.octet_length("html")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    each = max(1, min(FILE_RECORDS, FILE_BYTES * total["n"] // max(1, total["b"] or 0)))
-    write_archives(response_records(unique), raw, each)
-    decisions = resolve(read_archives(spark, raw), least)
-    write_archives(deduplicated_records(read_archives(spark, raw, True), decisions), final, each)
+    found = unique.agg(F.collect_set(size_class(F.coalesce(F.octet_length("html"), F.lit(0))))).first()[0]  # four numbers at most
+    classes = sorted(found) or [0]
+    with short_shuffles(spark):
+        write_archives(response_records(unique), raw, classes)
+        decisions, decided = stored(resolve(read_archives(spark, raw), least).select("record_id", "original_id", "original_url"), "decisions")
+        for c in classes:
+            write_archives(deduplicated_records(read_archives(spark, f"{raw}/class-{c}", True), decisions), final, [c])
     drop_path(spark, raw)
+    drop_path(spark, decided)
     return read_archives(spark, final), final
 
 
 def page_report(records: DataFrame) -> DataFrame:
     """Records of deduplicated archives -> page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id), record_id."""
-    targets = records.where("record_type = 'response'").select(F.col("record_id").alias("_t"), F.col("page_id").alias("refers_to")).dropDuplicates(["_t"])
+    targets = records.where("record_type = 'response'").select(F.col("record_id").alias("_t"), F.col("page_id").alias("refers_to"))
     return records.join(targets, F.col("refers_to_id") == F.col("_t"), "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"
     )

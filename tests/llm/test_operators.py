@@ -76,7 +76,7 @@ def test_warc_round_trip(spark):
         b = (text or "").encode()
         return (i is None, i, len(b), hashlib.sha256(b).hexdigest(), kind, to)
 
-    want = [row(5, big, "revisit", 3), row(3, big), row(3, big), row(9, "short"), row(8, "short"), row(7, None), row(1, rows[5][2]), row(2, rows[6][2], "revisit", 1), row(None, big, "revisit", 3)]
+    want = [row(5, big, "revisit", 3), row(3, big), row(3, big, "revisit", 3), row(9, "short"), row(8, "short"), row(7, None), row(1, rows[5][2]), row(2, rows[6][2], "revisit", 1), row(None, big, "revisit", 3)]
     assert got == sorted(want, key=str)
     full = warc.read_archives(spark, path, True).where("record_type = 'response'").collect()
     assert all(hashlib.sha256(bytes(r["payload"])).hexdigest() == r["payload_digest"] == r["actual_digest"] for r in full)
@@ -108,20 +108,29 @@ def brute_embeddings(rows, threshold):
 
 
 @pytest.mark.parametrize("chunk", [7, 1000])
-def test_embeddings(spark, chunk):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings(spark, chunk, kind):
     rng = np.random.default_rng(2)
     rows = []
     for i in range(160):
         v = rng.standard_normal(24)
         if i % 3 and rows:
             v = np.array(rows[rng.integers(len(rows))][1]) + rng.standard_normal(24) * rng.choice([0.05, 0.3, 0.4])
-        rows.append((1000 - i, [float(x) for x in v], int(i % 2)))
-    rows += [(2000, None, 0), (2001, [0.0] * 24, 0), (2002, [float("nan")] * 24, 0), (2003, rows[0][1], None), (2004, [1.0, None] + [0.0] * 22, 0), (2005, [], 1), (2006, [x * 1e-30 for x in rows[0][1]], 0), (2007, [1.0, 2.0], 0), (2008, [2.0, 4.0], 0)]
-    df = frame(spark, rows, "vec_id long, embedding array<double>, label int").withColumn("links", F.lit(1))
+        rows.append((1000 - i, np.float32(v).astype(float).tolist(), int(i % 2)))
+    rows += [(2000, None, 0), (2001, [0.0] * 24, 0), (2002, [float("nan")] * 24, 0), (2003, rows[0][1], None), (2004, [1.0, None] + [0.0] * 22, 0), (2005, [], 1), (2006, [x * 2.0**-90 for x in rows[0][1]], 0), (2007, [1.0, 2.0], 0), (2008, [2.0, 4.0], 0)]
+    rows += [(3000 + i, rows[5][1], rows[5][2]) for i in range(40)]
+    df = frame(spark, rows, f"vec_id long, embedding array<{kind}>, label int").withColumn("links", F.lit(1)).withColumn("da", F.lit(1))
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, chunk_rows=chunk).collect()}
     assert got == brute_embeddings(rows, 0.93)
 
 
+def test_embeddings_repeated_ids_and_text_labels(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "a"), (4, [1.0, 0.0], "b"), (5, [1.0, 0.0], "b"), (None, [1.0, 0.0], "b")]
+    got = sorted(map(tuple, embeddings.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label string")).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_embeddings_estimate_is_unbiased():
     rng = np.random.default_rng(4)
     o, q = rng.standard_normal((2, 64))
@@ -129,11 +138,37 @@ def test_embeddings_estimate_is_unbiased():
     found = []
     for seed in range(600):
         turn = embeddings.rotation(64, seed)
-        code, factor = embeddings.encode(o[None], turn)
-        found.append(float(embeddings.signs(code, 64)[0] @ (turn @ q)) / factor[0])
+        code = embeddings.encode(o[None], turn)
+        signs = np.where(code.levels[0] >= 128, 1, -1) / 8
+        found.append(float(signs @ (turn @ q)) / code.factor[0])
     assert abs(np.mean(found) - o @ q) < 4 * np.std(found) / 600**0.5
 
 
+@pytest.mark.parametrize("dim", [3, 64, 100])
+def test_codes_lose_no_pair_and_leave_few_open(dim):
+    rng = np.random.default_rng(dim)
+    heads = rng.standard_normal((60, dim))
+    rows = np.concatenate([heads, *[heads + rng.standard_normal((60, dim)) * x for x in (0.1, 0.3, 0.38, 0.42, 0.5)]])
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    turn = embeddings.rotation(dim)
+    codes = embeddings.encode(units, turn)
+    cosine = units @ units.T
+    assert (np.linalg.norm(units @ turn.T - codes.values(), axis=1) <= codes.error + 1e-12).all()
+    passed = np.zeros(cosine.shape, dtype=int)
+    for x, y in embeddings.may_link(codes, codes, 0.93, np.sqrt(1 - 0.93**2)):
+        np.add.at(passed, (x, y), 1)
+    assert passed.max() == 1 and (passed[cosine >= 0.93] == 1).all()
+    if dim > 3:
+        assert passed.mean() < 0.1
+    sure, between = np.zeros(cosine.shape, dtype=bool), np.zeros(cosine.shape, dtype=bool)
+    for x, y, open_ in embeddings.decided(codes, codes, 0.93, np.sqrt(1 - 0.93**2), True):
+        sure[x[~open_], y[~open_]] = True
+        between[x[open_], y[open_]] = True
+    below = np.tri(len(units), k=-1, dtype=bool)
+    assert (cosine[sure] >= 0.93).all() and (sure | between)[below & (cosine >= 0.93)].all() and not (sure | between)[~below].any()
+    assert np.abs(cosine[between] - 0.93).max() < 0.03
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -361,6 +396,26 @@ def test_mixing(spark, corpus):
     assert mixing.mix(docs.where("size = 0")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    internal = ["row", "_before", "_source", "_rows", "_h", "_b", "_k", "_sb", "_s", "_cap", "_rank", "_one", "_p", "_q", "_o0", "a.b"]
+    rows = [(i, f"s{i % 4}", i % 5, *[f"{n}{i}" for n in internal], 1.0, 2.0, 3.0) for i in range(40)]
+    names = ", ".join(f"`{n}` string" for n in internal)
+    docs = frame(spark, rows, f"doc_id long, source string, size long, {names}, weight double, target double, position double")
+    got = mixing.mix(docs)
+    plain = mixing.mix(docs.select("doc_id", "source", "size"))
+    same = ["doc_id", "source_size", "target", "taken", "position"]
+    assert sorted(map(tuple, got.select(*same).collect())) == sorted(map(tuple, plain.select(*same).collect()))
+    assert {tuple(r[n] for n in internal) for r in got.collect()} == {r[3 : 3 + len(internal)] for r in rows}
+
+
+def test_many_sources(spark):
+    rng = random.Random(12)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 5, 40, 3000]) for i in range(150)} | {None: 7}
+    got = mixing.source_targets(frame(spark, list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert len(got) == 151 and all(abs(r["target"] - want[r["source"]]) < 1e-6 for r in got)
+
+
 def test_schedule_inverse(spark):
     knots = ((0.0, 0.0), (0.4, 2.0), (1.0, 0.5))
     got = [r[0] for r in spark.range(0, 101).select(mixing._inverse_schedule(F.col("id") / 100.0, knots)).collect()]
@@ -479,8 +534,21 @@ def test_suffix_automaton():
 # -- 9: line dedup ------------------------------------------------------------
 
 
+def brute_chunks(text):
+    """The chunks of a text, line by line: a chunk ends after two lines or more whose last two hash to a multiple of four, if two lines are left."""
+    found, out, mask, factor = text.split("\n"), [[]], (1 << 64) - 1, 0x9E3779B97F4A7C15
+    for i, line in enumerate(found):
+        out[-1].append(line)
+        if i >= 1 and len(out[-1]) >= 2 and len(found) - i - 1 >= 2:
+            last, before = (xxhash.xxh3_64_intdigest(x.encode()) for x in (line, found[i - 1]))
+            rolling = last + before * factor & mask
+            if ((rolling ^ rolling >> 29) * factor & mask) >> 40 & 3 == 0:
+                out.append([])
+    return out
+
+
 def brute_lines(rows):
-    cut = [(r[0], r[1], lines.chunks(r[1]) if r[1] else []) for r in rows]
+    cut = [(r[0], r[1], brute_chunks(r[1]) if r[1] else []) for r in rows]
     first = {}
     for doc, text, chunks in sorted(cut, key=lambda c: (c[0] is None, c[0] or 0, common_key(c[1]))):
         for n, c in enumerate(chunks):
@@ -509,10 +577,13 @@ def test_line_chunks(spark):
         rows.append((i, "\n".join([f"own {i}", *pool[start : start + 9], *(["extra"] if i % 4 == 0 else []), *pool[5:25], f"end {i}"])))
     rows += [(70, None), (71, ""), (72, "one line"), (73, "one line"), (74, "\n\n\n"), (75, "\n\n\n"), (None, rows[0][1]), rows[1], (76, "a\nb\n" * 50)]
     df = frame(spark, rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("gone", F.lit(1))
-    got = lines.remove_repeats(df.drop("gone"))
+    for clash in ("key", "chunks", "starts", "row", "_d", "_k", "_a", "a.b"):
+        df = df.withColumn(clash, F.lit(clash))
+    got = lines.remove_repeats(df)
+    assert {(r["gone"], r["key"], r["row"], r["a.b"]) for r in got.collect()} == {(1, "key", "row", "a.b")}
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_lines_removed"]) for r in got.collect()), key=str) == brute_lines(rows)
     assert got.agg(F.sum("n_lines_removed")).first()[0] > 0
-    assert lines.remove_repeats(df.drop("gone").limit(0)).count() == 0
+    assert lines.remove_repeats(df.limit(0)).count() == 0
 
 
 def test_boundaries_resist_shifts():

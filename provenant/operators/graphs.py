@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,9 +30,14 @@ def reverse_reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 
 def _cut(df: DataFrame, spark) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder, which driver and executors share; a temporary one only where none is set."""
+    """Cut the lineage in the folder that driver and executors share. Where none is set, one of this machine stands in if Spark runs on it alone (tests)."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenant-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="provenant-")
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -72,27 +78,28 @@ def neighbourhood_hashes(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs(a, b)`` and ``nodes(node)`` -> ``node, component``: the smallest node that is linked, itself included.
 
-    Labels flow along edges and then jump to their own label's label, so the rounds grow with the logarithm of the longest path.
+    Each node points to its smallest neighbour, if that is smaller; pointers are doubled until they reach a node that points nowhere, and the edges that are left
+    are drawn between those. Every round drops the edges that have become loops; it ends when none is left. No bound on rounds.
     """
     spark = pairs.sparkSession
-    e = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    e = _cut(e.where("x <> y").distinct(), spark)
+    e = _cut(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct(), spark)
     now = nodes.select("node").distinct().withColumn("component", F.col("node"))
-    before = None
-    for _ in range(most_rounds):
-        labels = now.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        least = e.join(labels, F.col("y") == F.col("_n")).groupBy("x").agg(F.min("_c").alias("_m"))
-        hop = now.join(least, F.col("node") == F.col("x"), "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"))
-        up = hop.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        now = _cut(hop.join(up, F.col("component") == F.col("_n"), "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("component")), spark)
-        mark = now.agg(F.sum(F.xxhash64("node", "component").bitwiseAND(F.lit(0xFFFFFFFF))), F.count_distinct("component")).first()
-        if mark == before:
-            return now
-        before = mark
-    raise RuntimeError("components have not settled")
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        up = _cut(both.groupBy("x").agg(F.min("y").alias("_m")).where("_m < x").select(F.col("x").alias("_n"), F.col("_m").alias("_c")), spark)
+        label, moved = up, True
+        while moved:
+            higher = label.select(F.col("_n").alias("_n2"), F.col("_c").alias("_c2"))
+            step = _cut(label.join(higher, F.col("_c") == F.col("_n2"), "left").select("_n", F.coalesce("_c2", "_c").alias("_c"), F.col("_c2").isNotNull().alias("_up")), spark)
+            label, moved = step.select("_n", "_c"), not step.where("_up").isEmpty()
+        now = _cut(now.join(label, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")), spark)
+        a, b = label.select(F.col("_n").alias("_p"), F.col("_c").alias("_a")), label.select(F.col("_n").alias("_q"), F.col("_c").alias("_b"))
+        moved = e.join(a, F.col("x") == F.col("_p"), "left").join(b, F.col("y") == F.col("_q"), "left").select(F.coalesce("_a", "x").alias("a"), F.coalesce("_b", "y").alias("b"))
+        e = _cut(moved.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct(), spark)
+    return now
 
 
 def target_groups(targets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,26 +217,42 @@ RESOLVERS = {
 }
 
 
+def _grams(label: Column) -> Column:
+    """Distinct runs of two and of three characters of a lower-cased text."""
+    low = F.lower(label)
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substring(low, i, F.lit(n))), lambda g: F.length(g) == n)
+
+    return F.array_distinct(F.concat(runs(2), runs(3)))
+
+
 def typed_lookup(requests: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     """``requests(id, kind, path, symbol, query)``, ``nodes(node_id, label, path, line)``, ``edges(source, target, relation)`` -> ``id, node_id, rank, truncated``.
 
     definition: nodes of that label (in the path, if one is given); relationship: their neighbours by the kind's relations and direction;
     label_search: nodes whose label holds every term of the query. The first ``most`` by path, line and id. Windows and unknown kinds give no node.
+    Equal requests are answered once. A search joins labels by the first characters of its longest term before it looks at whole terms.
     """
     table = requests.sparkSession.createDataFrame([(k, m, list(r), d) for k, (m, r, d) in RESOLVERS.items()], "kind string, mode string, relations array<string>, direction string")
-    asked = requests.join(F.broadcast(table), "kind")
+    what = F.struct("kind", "path", "symbol", "query")
+    asked = requests.select("kind", "path", "symbol", "query", what.alias("what")).distinct().join(F.broadcast(table), "kind")  # the table has twenty rows
     n = nodes.select("node_id", "label", F.col("path").alias("_p"), "line")
     here = F.col("path").isNull() | (F.col("path") == "") | (F.col("path") == F.col("_p"))
     seeds = asked.where("mode IN ('definition', 'relationship')").join(n, (F.col("symbol") == F.col("label")) & here)
-    found = seeds.where("mode = 'definition'").select("id", "node_id")
-    related = seeds.where("mode = 'relationship'").select("id", "node_id", F.explode("relations").alias("_r"), "direction")
+    found = seeds.where("mode = 'definition'").select("what", "node_id")
+    related = seeds.where("mode = 'relationship'").select("what", "node_id", F.explode("relations").alias("_r"), "direction")
     e = edges.select("source", "target", F.lower("relation").alias("_rel"))
-    out = related.where("direction <> 'in'").join(e, (F.col("node_id") == F.col("source")) & (F.col("_r") == F.col("_rel"))).select("id", F.col("target").alias("node_id"))
-    back = related.where("direction <> 'out'").join(e, (F.col("node_id") == F.col("target")) & (F.col("_r") == F.col("_rel"))).select("id", F.col("source").alias("node_id"))
+    out = related.where("direction <> 'in'").join(e, (F.col("node_id") == F.col("source")) & (F.col("_r") == F.col("_rel"))).select("what", F.col("target").alias("node_id"))
+    back = related.where("direction <> 'out'").join(e, (F.col("node_id") == F.col("target")) & (F.col("_r") == F.col("_rel"))).select("what", F.col("source").alias("node_id"))
     words = F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z0-9_$.-]+)"), F.lit(1)), lambda w: F.length(w) > 1)
-    wanted = asked.where("mode = 'label_search'").withColumn("_w", words).where("size(_w) > 0")
-    matched = wanted.join(n, here & F.forall("_w", lambda w: F.instr(F.lower(F.col("label")), w) > 0)).select("id", "node_id")
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = asked.where("mode = 'label_search'").withColumn("_w", words).where("size(_w) > 0").withColumn("_g", F.substring(longest, 1, 3))
+    indexed = n.select("*", F.explode(_grams(F.col("label"))).alias("_n"))
+    matched = wanted.join(indexed, (F.col("_g") == F.col("_n")) & here & F.forall("_w", lambda w: F.instr(F.lower(F.col("label")), w) > 0)).select("what", "node_id")
     every = found.unionByName(out).unionByName(back).unionByName(matched).distinct().join(nodes.select("node_id", "path", "line"), "node_id")
-    w = Window.partitionBy("id")
+    w = Window.partitionBy("what")
     ranked = every.withColumn("rank", F.row_number().over(w.orderBy("path", "line", "node_id"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
-    return ranked.where(F.col("rank") <= most).select("id", "node_id", F.col("rank").cast("long").alias("rank"), "truncated")
+    answers = ranked.where(F.col("rank") <= most).select(F.col("what").alias("_what"), "node_id", F.col("rank").cast("long").alias("rank"), "truncated")
+    return requests.select("id", what.alias("what")).join(answers, F.col("what") == F.col("_what")).select("id", "node_id", "rank", "truncated")

@@ -44,7 +44,7 @@ def merge_windows(windows: DataFrame, gap: int = 20, limit: int = 16_000) -> Dat
 
     def work(rows: list[dict]) -> list[dict]:
         out: list[dict] = []
-        for w in sorted(rows, key=lambda r: (r["start_line"], r["end_line"])):
+        for w in sorted(rows, key=lambda r: (r["start_line"], r["end_line"], r["content"])):
             last = out[-1] if out else None
             if last and w["start_line"] - last["end_line"] <= gap and last["_chars"] + len(w["content"]) <= limit:
                 last["end_line"] = max(last["end_line"], w["end_line"])

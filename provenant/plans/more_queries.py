@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from provenant.functions import ids
@@ -77,11 +75,12 @@ INSERT = f"with {O} select o_orderkey, o_custkey, o_orderstatus, case when o_ord
 
 def replace_rows(spark, d):
     o = _orders(spark, d).drop("o_custkey")
-    writes = table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_partkey").cast("long").alias("cents"), F.col("l_linenumber").alias("w"))
+    key = F.when(F.pmod("l_suppkey", F.lit(2)) == 0, F.col("l_orderkey")).otherwise(-F.col("l_orderkey"))
+    writes = table(spark, d, "lineitem").select(key.alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_partkey").cast("long").alias("cents"), F.col("l_linenumber").alias("w"))
     return V.replace_rows(o, writes, ["o_orderkey"], "w")
 
 
-REPLACE = f"""with {O}, w as (select l_orderkey, l_returnflag, l_partkey from lineitem where l_orderkey % 4 = 0 qualify row_number() over (partition by l_orderkey order by l_linenumber desc) = 1)
+REPLACE = f"""with {O}, l as (select case when l_suppkey % 2 = 0 then l_orderkey else -l_orderkey end as l_orderkey, l_returnflag, l_partkey, l_linenumber from lineitem), w as (select l_orderkey, l_returnflag, l_partkey from l qualify row_number() over (partition by l_orderkey order by l_linenumber desc) = 1)
 select o_orderkey, o_orderstatus, cents from o where o_orderkey not in (select l_orderkey from w) union all select l_orderkey, l_returnflag, l_partkey from w"""
 
 
@@ -245,10 +244,10 @@ select *, 'snap-' || left(sha256(snapshot_id || ':' || tree_hash), 32) as stable
 
 
 def source_hashes(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.source_hash(F.col("text")).alias("h"), T.slug(F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.source_hash(F.col("text")).alias("h"), T.slug(F.substring("text", 1, 40)).alias("slug"))
 
 
-SOURCE = r"""select doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as h, regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents where lang = 'en'"""
+SOURCE = r"""select doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as h, regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents"""
 
 
 def canonical_classes(spark, d):
@@ -279,17 +278,18 @@ RELATIONS = "select l_orderkey, l_linenumber, case when l_returnflag = 'R' then
 
 
 def dispositions(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("obligation_id"))
+    e = table(spark, d, "orders").select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"), "o_orderkey").select(F.concat_ws(":", "o_orderkey", "n").alias("obligation_id"))
     q = F.pmod("l_partkey", F.lit(6))
-    r = table(spark, d, "lineitem").where("l_linenumber = 1 OR (l_linenumber = 2 AND l_orderkey % 9 = 0)").where("l_orderkey % 8 <> 0").select(
-        F.col("l_orderkey").cast("string").alias("obligation_id"), F.when(q == 0, "CANDIDATE_FOUND").when(q == 1, "NEEDS_CONTEXT").when(q == 2, "odd").otherwise("NO_ISSUE").alias("status"),
+    n = F.when(F.pmod("l_orderkey", F.lit(9)) == 0, F.ceil(F.col("l_linenumber") / 2)).otherwise(F.col("l_linenumber"))
+    r = table(spark, d, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", n).alias("obligation_id"), F.when(q == 0, "CANDIDATE_FOUND").when(q == 1, "NEEDS_CONTEXT").when(q == 2, "odd").otherwise("NO_ISSUE").alias("status"),
         F.when((q == 0) | (q == 3), F.array(F.lit("c"))).alias("candidate_ids"), (F.col("l_suppkey") % 2 == 0).alias("grounded"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("n_requests"))
     return E.apply_dispositions(e, r)
 
 
-DISPOSED = """with r as (select l_orderkey as k, l_partkey % 6 as q, l_suppkey % 2 = 0 as g, l_returnflag = 'R' as a, count(*) over (partition by l_orderkey) as n, l_linenumber as ln from lineitem where (l_linenumber = 1 or (l_linenumber = 2 and l_orderkey % 9 = 0)) and l_orderkey % 8 <> 0),
-f as (select * from r qualify row_number() over (partition by k order by ln) = 1),
-j as (select o_orderkey::varchar as obligation_id, q, case when k is null then 'omitted' when n > 1 then 'duplicated' when q = 2 then 'malformed' when q = 0 and not g then 'ungrounded candidate' when q = 3 then 'invalid candidate link' when q = 1 and not a then 'no context request' when q <> 1 and a then 'terminal with request' end as issue from orders left join f on k = o_orderkey)
+DISPOSED = """with r as (select l_orderkey || ':' || case when l_orderkey % 9 = 0 then (l_linenumber + 1) // 2 else l_linenumber end as k, l_partkey % 6 as q, l_suppkey % 2 = 0 as g, l_returnflag = 'R' as a from lineitem),
+c as (select k, count(*) as n from r group by 1), f as (select k, n, q, g, a from c join r using (k) where n = 1 union all select k, n, null, null, null from c where n > 1), o as (select o_orderkey || ':' || i as obligation_id from orders, range(1, 8) t(i)),
+j as (select obligation_id, q, case when k is null then 'omitted' when n > 1 then 'duplicated' when q = 2 then 'malformed' when q = 0 and not g then 'ungrounded candidate' when q = 3 then 'invalid candidate link' when q = 1 and not a then 'no context request' when q <> 1 and a then 'terminal with request' end as issue from o left join f on k = obligation_id)
 select obligation_id, case when issue is not null then 'UNRESOLVED' when q = 0 then 'CANDIDATE_FOUND' when q = 1 then 'NEEDS_CONTEXT' else 'NO_ISSUE' end as status, issue from j"""
 
 
@@ -375,18 +375,18 @@ def changed_symbols(spark, d):
 SYMBOLS = """select p_partkey as symbol_id, case when p_partkey % 11 = 0 then 'removed' else 'changed' end as change from part where p_brand in (select p_brand from part where p_partkey <= 20) and (p_partkey % 11 = 0 or p_partkey % 4 = 0)"""
 
 
-def typed_lookup(spark, d, whole=False):
+def typed_lookup(spark, d):
     p = table(spark, d, "part")
-    n_targets = p.count() if whole else 150
+    n_targets = p.count()
     nodes = p.select(F.col("p_partkey").alias("node_id"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("label"), F.col("p_brand").alias("path"), F.col("p_size").alias("line"))
-    edges = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("source"), (F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey"), F.lit(n_targets)) + 1).alias("target"), F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "Calls").otherwise("references").alias("relation"))
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), (F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey"), F.lit(n_targets)) + 1).alias("target"), F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "Calls").otherwise("references").alias("relation"))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("definition", "callers", "callees", "references", "flow", "search")]), (F.pmod("p_partkey", F.lit(6)) + 1).cast("int"))
-    req = p.where("true" if whole else "p_partkey <= 120").select(F.col("p_partkey").alias("id"), kinds.alias("kind"), F.lit("").alias("path"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("symbol"), F.element_at(F.split("p_type", " "), -1).alias("query"))
+    req = p.select(F.col("p_partkey").alias("id"), kinds.alias("kind"), F.lit("").alias("path"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("symbol"), F.element_at(F.split("p_type", " "), -1).alias("query"))
     return G.typed_lookup(req, nodes, edges)
 
 
-TYPED = """with n as (select p_partkey as id, replace(p_type, ' ', '_') as label, p_brand as path, p_size as line from part), e as (select l_partkey as s, (l_partkey * 7 + l_suppkey) % 150 + 1 as t, case when l_suppkey % 2 = 0 then 'calls' else 'references' end as r from lineitem where l_linenumber = 1),
-q as (select p_partkey as id, p_partkey % 6 as k, replace(p_type, ' ', '_') as symbol, lower(list_extract(string_split(p_type, ' '), -1)) as w from part where p_partkey <= 120),
+TYPED = """with n as (select p_partkey as id, replace(p_type, ' ', '_') as label, p_brand as path, p_size as line from part), e as (select l_partkey as s, (l_partkey * 7 + l_suppkey) % (select count(*) from part) + 1 as t, case when l_suppkey % 2 = 0 then 'calls' else 'references' end as r from lineitem),
+q as (select p_partkey as id, p_partkey % 6 as k, replace(p_type, ' ', '_') as symbol, lower(list_extract(string_split(p_type, ' '), -1)) as w from part),
 sd as (select q.id, q.k, n.id as node from q join n on n.label = q.symbol where k <= 4),
 f as (select id, node from sd where k = 0 union select sd.id, e.s from sd join e on e.t = node and ((k = 1 and r = 'calls') or (k = 3 and r = 'references') or k = 4) union select sd.id, e.t from sd join e on e.s = node and ((k = 2 and r = 'calls') or k = 4)
  union select q.id, n.id from q join n on k = 5 and contains(lower(label), w)),
@@ -412,8 +412,6 @@ QUERIES = {
     "canonical_classes": canonical_classes, "routing": routing, "relationships": relationships, "dispositions": dispositions, "grounding": grounding, "known_outcomes": known_outcomes, "recheck_plan": recheck_plan,
     "promotion": promotion, "claims": claims, "current_rows": current_rows, "journal": journal, "changed_symbols": changed_symbols, "typed_lookup": typed_lookup, "merged_evidence": merged_evidence,
 }
-#: Over whole tables; the SQL counterparts speak of the narrower queries.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (typed_lookup,)}
 ORACLES = {
     "effective_scope": SCOPE, "wildcard_filter": WILDCARD, "evidence_present": PRESENT, "reusable_reports": REUSABLE, "insert_absent": INSERT, "replace_rows": REPLACE, "update_columns": UPDATE,
     "replace_children": CHILDREN, "guarded_update": GUARDED, "sparse_layer": SPARSE, "fill_missing": FILL, "baseline_cascade": CASCADE, "existing_elsewhere": EXISTING, "nodes_in_ranges": RANGES,

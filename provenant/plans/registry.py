@@ -1,6 +1,7 @@
 """All registered queries of the library proper and their SQL counterparts."""
 
-from provenant.plans import events_queries, more_queries, relation_queries, text_queries
+from provenant.plans import events_queries, more_queries, region_queries, relation_queries, text_queries
 
-QUERIES = {**events_queries.QUERIES, **relation_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES}
-ORACLES = {**events_queries.ORACLES, **relation_queries.ORACLES, **text_queries.ORACLES, **more_queries.ORACLES}
+PARTS = (events_queries, relation_queries, text_queries, more_queries, region_queries)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from provenant.operators import graphs as G
@@ -89,37 +87,38 @@ select l_partkey, row_number() over (order by p, l_partkey) - 1 as ord from u qu
 
 def overlay_lookup(spark, d):
     o = _orders(spark, d)
-    ids = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("ord"))
+    ids = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
     top = o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
     return J.overlay_lookup(ids, top, o.where("o_orderkey % 7 <> 0"), "o_orderkey", ["o_orderstatus", "cents"])
 
 
-LOOKUP = """select l_orderkey as o_orderkey, l_partkey as ord, case when l_orderkey % 5 = 0 then 'X' else o_orderstatus end as o_orderstatus, cast(round(o_totalprice * 100) as bigint) as cents
-from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and (l_orderkey % 5 = 0 or l_orderkey % 7 <> 0)"""
+LOOKUP = """select l_orderkey as o_orderkey, l_partkey * 10 + l_linenumber as ord, case when l_orderkey % 5 = 0 then 'X' else o_orderstatus end as o_orderstatus, cast(round(o_totalprice * 100) as bigint) as cents
+from lineitem join orders on l_orderkey = o_orderkey where l_orderkey % 5 = 0 or l_orderkey % 7 <> 0"""
 
 
-def _symbols(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", F.replace("p_type", F.lit(" "), F.lit("_")), F.concat(F.lit("f"), F.pmod("p_partkey", F.lit(500)).cast("string"))).alias("name"))
+def call_edges(spark, d):
+    """Each edge, between names that a handful of symbols share."""
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", "p_brand", F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 4).cast("string"))).alias("name"))
+    calls = table(spark, d, "lineitem").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select(
+        "path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.floor(F.col("l_suppkey") / 3).cast("string")).alias("callee"))
+    return J.resolve_edges(calls, s)
 
 
-def edge_resolution(spark, d):
-    s = _symbols(spark, d)
-    calls = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 40 = 1").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select(
-        "path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.pmod("l_suppkey", F.lit(700)).cast("string")).alias("callee")).distinct()
-    return J.resolve_edges(calls, s).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("target_id").alias("targets"))
+CALLS = """with s as (select p_partkey as id, p_brand as path, p_brand || '.f' || (p_partkey // 4) as name, 'f' || (p_partkey // 4) as last from part), c as (select distinct path, name as caller, 'f' || (l_suppkey // 3) as callee from lineitem join s on id = l_partkey)
+select distinct a.id as source_id, b.id as target_id from c join s a on a.path = c.path and a.name = c.caller join s b on b.last = c.callee where a.id <> b.id"""
 
 
-def edge_resolution_whole(spark, d):
-    """The calls of all orders, to names that a fifth of all symbols share."""
+def edge_resolution(spark, d):
+    """The calls of all lines, to names that a fifth of all symbols share."""
     s = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", F.replace("p_type", F.lit(" "), F.lit("_")), F.concat(F.lit("f"), F.pmod("p_size", F.lit(5)).cast("string"))).alias("name"))
-    calls = table(spark, d, "lineitem").where("l_linenumber = 1").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select(
+    calls = table(spark, d, "lineitem").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select(
         "path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.pmod("l_suppkey", F.lit(7)).cast("string")).alias("callee")).distinct()
     return J.resolve_edge_totals(calls, s)
 
 
-EDGES = """with s as (select p_partkey as id, p_brand as path, replace(p_type, ' ', '_') || '.f' || (p_partkey % 500) as name, 'f' || (p_partkey % 500) as last from part),
-c as (select distinct path, name as caller, 'f' || (l_suppkey % 700) as callee from lineitem join s on id = l_partkey where l_linenumber = 1 and l_orderkey % 40 = 1),
-e as (select distinct a.id as x, b.id as y from c join s a on a.path = c.path and a.name = c.caller join s b on b.last = c.callee where a.id <> b.id) select x as source_id, count(*) as n, sum(y)::bigint as targets from e group by 1"""
+EDGES = """with s as (select p_partkey as id, p_brand as path, replace(p_type, ' ', '_') || '.f' || (p_size % 5) as name, 'f' || (p_size % 5) as last from part),
+c as (select distinct path, name as caller, last as own, 'f' || (l_suppkey % 7) as callee from lineitem join s on id = l_partkey), x as (select distinct a.id, c.own, c.callee from c join s a on a.path = c.path and a.name = c.caller), k as (select last, count(*) as n, sum(id) as t from s group by 1)
+select x.id as source_id, sum(n - case when own = callee then 1 else 0 end)::bigint as n, sum(t - case when own = callee then x.id else 0 end)::bigint as targets from x join k on k.last = x.callee group by 1 having sum(n - case when own = callee then 1 else 0 end) > 0"""
 
 
 def unique_resolution(spark, d):
@@ -183,13 +182,13 @@ SUPPORT = """with s as (select conv_id as conv, turn as pos, min(role) as role,
 select b.conv, b.pos, max(a.pos) as support from s b left join s a on a.conv = b.conv and a.pos < b.pos and a.role <> b.role and a.n % 3 = b.n % 3 group by 1, 2"""
 
 
-def alias_join(spark, d, whole=False):
+def alias_join(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace("p_type", " ", ".").alias("name"))
-    names = (p if whole else p.where("id % 25 = 0")).select("id", F.element_at(F.split("name", r"\."), -1).alias("short"))
+    names = p.select("id", F.element_at(F.split("name", r"\."), -1).alias("short"))
     return J.alias_join(names, p, "short", "name").groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.sum("right_id").alias("rights"))
 
 
-ALIAS = """with p as (select p_partkey as id, lower(replace(p_type, ' ', '.')) as name from part), a as (select id, unnest([name, list_extract(string_split(name, '.'), -1)]) as al from p), n as (select id, list_extract(string_split(name, '.'), -1) as al from p where id % 25 = 0)
+ALIAS = """with p as (select p_partkey as id, lower(replace(p_type, ' ', '.')) as name from part), a as (select id, unnest([name, list_extract(string_split(name, '.'), -1)]) as al from p), n as (select id, list_extract(string_split(name, '.'), -1) as al from p)
 select left_id, count(*) as n, sum(right_id)::bigint as rights from (select distinct n.id as left_id, a.id as right_id from n join a using (al)) group by 1"""
 
 
@@ -199,27 +198,27 @@ def greedy_match(spark, d):
     return J.greedy_match(o, e, "case", lambda a, b: abs(a["v"] - b["v"]) <= 1)
 
 
-def _supplier_edges(spark, d, whole):
-    li = table(spark, d, "lineitem").where("true" if whole else "l_orderkey % 50 = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
+def _supplier_edges(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("target"))
     return li.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("source"), "target").distinct()
 
 
-EDGE_SQL = "e as (select distinct a.l_suppkey as s, b.l_suppkey as t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_orderkey % 50 = 1)"
+EDGE_SQL = "e as (select distinct a.l_suppkey as s, b.l_suppkey as t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1)"
 
 
-def reverse_reach(spark, d, whole=False):
+def reverse_reach(spark, d):
     start = table(spark, d, "supplier").where("s_suppkey <= 2").select(F.col("s_suppkey").alias("node"))
-    return G.reverse_reach(_supplier_edges(spark, d, whole), start, 3).select("node", F.col("depth").cast("long").alias("depth"))
+    return G.reverse_reach(_supplier_edges(spark, d), start, 3).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 REACH = f"""with recursive {EDGE_SQL}, r(node, depth) as (select s_suppkey, 0::bigint from supplier where s_suppkey <= 2 union select e.s, r.depth + 1 from r join e on e.t = r.node where r.depth < 3)
 select node, min(depth) as depth from r group by 1"""
 
 
-def fanout_capped(spark, d, whole=False):
+def fanout_capped(spark, d):
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    return G.fan_out(_supplier_edges(spark, d, whole), nodes, nodes.where("node <= 2"), 2, 20)
+    return G.fan_out(_supplier_edges(spark, d), nodes, nodes.where("node <= 2"), 2, 20)
 
 
 FANOUT = f"""with recursive {EDGE_SQL}, r(node, depth) as (select s_suppkey, 0 from supplier where s_suppkey <= 2 union select e.s, r.depth + 1 from r join e on e.t = r.node where r.depth < 2),
@@ -227,25 +226,25 @@ m as (select node, min(depth) as depth from r group by 1), c as (select (select
 select s_suppkey as node, (select all_ from c) or s_suppkey in (select node from m) as invalid from supplier"""
 
 
-def components(spark, d, whole=False):
-    o = table(spark, d, "orders").where("true" if whole else "o_orderkey % 8 = 0").select("o_orderkey", F.col("o_custkey").alias("target"))
-    t = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("true" if whole else "l_partkey % 4 = 0").select("target", F.concat_ws(":", F.col("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM")).alias("node"))
+def components(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("target"))
+    t = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("target", F.concat_ws(":", F.col("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM")).alias("node"))
     none = t.select(F.col("node").alias("source"), F.col("node").alias("target")).limit(0)
     return G.target_groups(t, none)
 
 
-COMPONENTS = """with recursive t as (select distinct o_custkey as c, l_partkey::varchar || ':' || strftime(l_shipdate, '%Y-%m') as n from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 8 = 0 and l_partkey % 4 = 0),
+COMPONENTS = """with recursive t as (select distinct o_custkey as c, l_partkey::varchar || ':' || strftime(l_shipdate, '%Y-%m') as n from orders join lineitem on l_orderkey = o_orderkey),
 p as (select distinct a.c as x, b.c as y from t a join t b using (n)), r(x, y) as (select x, y from p union select r.x, p.y from r join p on p.x = r.y) select x as target, min(y) as component from r group by 1"""
 
 
-def neighbourhood(spark, d, whole=False):
-    e = _supplier_edges(spark, d, whole).withColumn("relation", F.when(F.pmod("source", F.lit(2)) == 0, "CALLS").otherwise("refs"))
-    nodes = table(spark, d, "supplier").where("true" if whole else "s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("node"))
+def neighbourhood(spark, d):
+    e = _supplier_edges(spark, d).withColumn("relation", F.when(F.pmod("source", F.lit(2)) == 0, "CALLS").otherwise("refs"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
     return G.neighbours(e, nodes, "both", ["calls"], 4)
 
 
 NEIGHBOURS = f"""with {EDGE_SQL}, p as (select s as node, t as neighbour from e where s % 2 = 0 union select t, s from e where s % 2 = 0),
-r as (select *, row_number() over (partition by node order by neighbour) as rn, count(*) over (partition by node) as n_total from p where node % 3 = 0 and node in (select s_suppkey from supplier))
+r as (select *, row_number() over (partition by node order by neighbour) as rn, count(*) over (partition by node) as n_total from p where node in (select s_suppkey from supplier))
 select node, neighbour, n_total, n_total > 4 as truncated from r where rn <= 4"""
 
 
@@ -260,12 +259,12 @@ select node, count(*) as degree, sha256(string_agg(id, ',' order by id)) as hash
 
 def stale_dependencies(spark, d):
     o = table(spark, d, "orders")
-    rec = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("owner"), F.when(F.pmod("l_orderkey", F.lit(11)) == 0, "unresolved").when(F.col("l_linenumber") == 1, "file").otherwise("node").alias("kind"), F.col("l_orderkey").alias("key"), F.pmod("l_orderkey", F.lit(3)).alias("hash"))
+    rec = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.when(F.pmod("l_orderkey", F.lit(11)) == 0, "unresolved").when(F.col("l_linenumber") == 1, "file").otherwise("node").alias("kind"), F.col("l_orderkey").alias("key"), F.pmod("l_orderkey", F.lit(3)).alias("hash"))
     cur = o.where("o_orderkey % 13 <> 0").select(F.explode(F.array(F.lit("file"), F.lit("node"), F.lit("unresolved"))).alias("kind"), F.col("o_orderkey").alias("key"), F.when(F.pmod("o_orderkey", F.lit(17)) == 0, F.lit(9)).otherwise(F.pmod("o_orderkey", F.lit(3))).alias("hash"))
     return G.mismatch_reasons(rec, cur).select("owner", F.array_join("reasons", ",").alias("reasons"))
 
 
-STALE = """with r as (select l_suppkey as owner, case when l_orderkey % 11 = 0 then 'unresolved' when l_linenumber = 1 then 'file' else 'node' end as kind, l_orderkey as k from lineitem where l_linenumber <= 2)
+STALE = """with r as (select l_suppkey as owner, case when l_orderkey % 11 = 0 then 'unresolved' when l_linenumber = 1 then 'file' else 'node' end as kind, l_orderkey as k from lineitem)
 select owner, string_agg(distinct kind, ',' order by kind) as reasons from r where kind = 'unresolved' or k % 13 = 0 or k % 17 = 0 or k not in (select o_orderkey from orders) group by 1"""
 
 
@@ -278,14 +277,14 @@ MERGE_W = """with e as (select user_id, epoch_us(ts) // 60000000 as s from event
 g as (select *, sum(n) over (partition by user_id order by s rows unbounded preceding) as i from f) select user_id, min(s) as start, max(s + 5) as "end", count(*) as n from g group by user_id, i"""
 
 
-def subtract_ranges(spark, d, whole=False):
+def subtract_ranges(spark, d):
     e = _seconds(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", F.floor(F.col("s") / 60).cast("long").alias("start"))
     covered = e.select("user_id", "start", (F.col("start") + 30).alias("end"))
-    ranges = e.where("true" if whole else "event_id % 10 = 0").select("user_id", F.col("event_id").alias("id"), (F.col("start") - 20).alias("start"), (F.col("start") + 100).alias("end"))
+    ranges = e.select("user_id", F.col("event_id").alias("id"), (F.col("start") - 20).alias("start"), (F.col("start") + 100).alias("end"))
     return I.subtract(ranges, covered, "user_id").groupBy("id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("minutes"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
-SUBTRACT = """with e as (select user_id, event_id, epoch_us(ts) // 60000000 as s from events), r as (select user_id, event_id as id, unnest(range(s - 20, s + 101)) as m from e where event_id % 10 = 0),
+SUBTRACT = """with e as (select user_id, event_id, epoch_us(ts) // 60000000 as s from events), r as (select user_id, event_id as id, unnest(range(s - 20, s + 101)) as m from e),
 c as (select distinct user_id, unnest(range(s, s + 31)) as m from e) select id, count(*) as minutes, min(m) as first, max(m) as last from r anti join c using (user_id, m) group by 1"""
 
 
@@ -302,14 +301,12 @@ select p_partkey, greatest(1, x.a)::bigint as start, greatest(1, y.b, x.a)::bigi
 
 QUERIES = {
     "changed_paths": changed_paths, "effective_overlay": effective_overlay, "effective_chain": effective_chain, "graph_delta": graph_delta, "upsert_rows": upsert_rows, "packet": packet, "overlay_lookup": overlay_lookup,
-    "edge_resolution": edge_resolution, "edge_resolution_whole": edge_resolution_whole, "unique_resolution": unique_resolution, "enclosing_span": enclosing_span, "asof_symbol": asof_symbol, "interval_overlap": interval_overlap, "nearest_support": nearest_support,
+    "edge_resolution": edge_resolution, "call_edges": call_edges, "unique_resolution": unique_resolution, "enclosing_span": enclosing_span, "asof_symbol": asof_symbol, "interval_overlap": interval_overlap, "nearest_support": nearest_support,
     "alias_join": alias_join, "greedy_match": greedy_match, "reverse_reach": reverse_reach, "fanout_capped": fanout_capped, "components": components, "neighbourhood": neighbourhood,
     "neighbourhood_hash": neighbourhood_hash, "stale_dependencies": stale_dependencies, "merge_windows": merge_windows, "subtract_ranges": subtract_ranges, "line_mapping": line_mapping,
 }
-#: The same over whole tables; their SQL counterparts speak of the narrower ones above.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (alias_join, reverse_reach, fanout_capped, components, neighbourhood, subtract_ranges)}
 ORACLES = {
-    "changed_paths": CHANGED, "effective_overlay": EFFECTIVE, "effective_chain": CHAIN, "graph_delta": DELTA, "upsert_rows": UPSERT, "packet": PACKET, "overlay_lookup": LOOKUP, "edge_resolution": EDGES,
+    "changed_paths": CHANGED, "effective_overlay": EFFECTIVE, "effective_chain": CHAIN, "graph_delta": DELTA, "upsert_rows": UPSERT, "packet": PACKET, "overlay_lookup": LOOKUP, "edge_resolution": EDGES, "call_edges": CALLS,
     "unique_resolution": UNIQUE, "enclosing_span": ENCLOSING, "asof_symbol": ASOF, "interval_overlap": OVERLAP, "nearest_support": SUPPORT, "alias_join": ALIAS, "reverse_reach": REACH, "fanout_capped": FANOUT,
     "components": COMPONENTS, "neighbourhood": NEIGHBOURS, "neighbourhood_hash": NHASH, "stale_dependencies": STALE, "merge_windows": MERGE_W, "subtract_ranges": SUBTRACT, "line_mapping": LINES,
 }

@@ -39,7 +39,7 @@ PAGE = "select doc_id, source, (select count(*) from documents) as total, greate
 
 
 def redact(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted"))
 
 
@@ -47,7 +47,7 @@ def _sql_redact() -> str:
     out = "text"
     for pattern, to in T.REDACTIONS:
         out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
-    return f"select doc_id, sha256({out}) as redacted from documents where lang = 'en'"
+    return f"select doc_id, sha256({out}) as redacted from documents"
 
 
 TERMS = {"q1": ["password", "token"], "q2": ["All rights reserved"], "q3": ["AKIA"]}
@@ -85,38 +85,38 @@ select page_id, case when s in ('http', 'https') and h <> '' then s || '://' ||
 
 def tokens_stemmed(spark, d):
     words = T.stemmed_words(F.col("text"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(words).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(words), " ")).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(words), " ")).alias("h"))
 
 
-STEMS = f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents where lang = 'en'), f as (select doc_id, w from w where length(w) >= 3 and w not in ({", ".join(f"'{w}'" for w in T.FAMILY_WORDS)})),
+STEMS = f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), f as (select doc_id, w from w where length(w) >= 3 and w not in ({", ".join(f"'{w}'" for w in T.FAMILY_WORDS)})),
 s as (select distinct doc_id, case when w like '%ing' and length(w) >= 6 then w[:-4] when w like '%es' and length(w) >= 5 then w[:-3] when w like '%s' and length(w) >= 4 then w[:-2] when w like '%ed' and length(w) >= 5 then w[:-3] else w end as w from f)
-select d.doc_id, count(s.w) as n, md5(coalesce(string_agg(s.w, ' ' order by s.w), '')) as h from documents d left join s using (doc_id) where lang = 'en' group by 1"""
+select d.doc_id, count(s.w) as n, md5(coalesce(string_agg(s.w, ' ' order by s.w), '')) as h from documents d left join s using (doc_id) group by 1"""
 
 
 def exact_dedupe(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select(T.plain_text(F.col("text")).alias("_t"), F.col("n_chars").cast("double").alias("confidence"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("evidence"))
+    docs = table(spark, d, "documents").select(T.plain_text(F.col("text")).alias("_t"), F.col("n_chars").cast("double").alias("confidence"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("evidence"))
     out = E.exact_dedupe(docs.withColumn("fp", E.candidate_fingerprint([F.lit("repo"), F.col("_t")])).drop("_t"), "fp", "confidence", "ord", "evidence")
     return out.select("fp", F.col("ord").alias("doc_id"), "n", F.size("support").cast("long").alias("n_support"))
 
 
-DEDUPE = r"""with t as (select doc_id, n_chars, lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as t from documents where lang = 'en'), f as (select doc_id, n_chars, left(sha256('repo' || chr(31) || regexp_replace(replace(t, chr(92), '/'), '\b[0-9]+\b', '#', 'g')), 24) as fp from t)
+DEDUPE = r"""with t as (select doc_id, n_chars, lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as t from documents), f as (select doc_id, n_chars, left(sha256('repo' || chr(31) || regexp_replace(replace(t, chr(92), '/'), '\b[0-9]+\b', '#', 'g')), 24) as fp from t)
 select fp, arg_max(doc_id, (n_chars, -doc_id)) as doc_id, count(*) as n, least(20, count(*) - 1)::bigint as n_support from f group by 1"""
 
 
-def jaccard_pairs(spark, d, whole=False):
+def jaccard_pairs(spark, d):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))
-    docs = table(spark, d, "documents").where("true" if whole else "lang = 'en' AND n_chars < 3000").select(F.col("doc_id").alias("id"), "source", words.alias("tokens"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", words.alias("tokens"))
     return E.similar_pairs(docs, ["source"], "tokens", 0.6).select("a", "b", "shared")
 
 
-JACCARD = """with t as (select distinct doc_id as id, source, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from documents where lang = 'en' and n_chars < 3000), n as (select id, count(*) as n from t group by 1),
+JACCARD = """with t as (select distinct doc_id as id, source, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from documents), n as (select id, count(*) as n from t group by 1),
 p as (select x.id as a, y.id as b, count(*) as shared from t x join t y on x.w = y.w and x.source = y.source and x.id < y.id group by 1, 2) select a, b, shared from p join n u on u.id = a join n v on v.id = b where shared >= (u.n + v.n - shared) * 0.6"""
 
 
 def greedy_cluster(spark, d):
     words = F.coalesce(T.stemmed_words(F.col("text")), F.array().cast("array<string>"))
     docs = table(spark, d, "documents").select(
-        F.col("source").alias("path"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), (F.pmod("doc_id", F.lit(10)) / 10).alias("confidence"), F.lit("").alias("structural_key"), F.lit("").alias("semantic_key"),
+        F.coalesce("source", F.lit("")).alias("path"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), (F.pmod("doc_id", F.lit(10)) / 10).alias("confidence"), F.lit("").alias("structural_key"), F.lit("").alias("semantic_key"),
         F.array().cast("array<string>").alias("classes"), words.alias("words"), F.pmod("n_chars", F.lit(400)).alias("start_line"), (F.pmod("n_chars", F.lit(400)) + 9).alias("end_line"))
     return E.cluster_candidates(docs)
 
@@ -165,7 +165,6 @@ QUERIES = {
     "tokens_stemmed": tokens_stemmed, "exact_dedupe": exact_dedupe, "jaccard_pairs": jaccard_pairs, "greedy_cluster": greedy_cluster, "chunk_lines": chunk_lines, "chunk_chars": chunk_chars,
     "canonical_queries": canonical_queries, "change_relevance": change_relevance,
 }
-QUERIES["jaccard_pairs_whole"] = lambda spark, d: jaccard_pairs(spark, d, whole=True)
 ORACLES = {
     "balanced_sample": SAMPLE, "knowledge_search": SEARCH, "page": PAGE, "redact": _sql_redact(), "literal_hits": HITS, "hit_regions": REGIONS, "url_normalise": URLS, "tokens_stemmed": STEMS, "exact_dedupe": DEDUPE,
     "jaccard_pairs": JACCARD, "chunk_lines": CHUNK, "chunk_chars": CHARS, "canonical_queries": CANONICAL, "change_relevance": RELEVANCE,

@@ -77,8 +77,7 @@ def slug(value: Column, separator: str = "-") -> Column:
 def words(text: Column, dropped: list[str], least: int = 3) -> Column:
     """Distinct alphanumeric words of the lower-cased text, in order, without short and dropped ones."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))
-    out = F.lit(list(dropped))
-    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= least) & ~F.array_contains(out, w)))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*dropped)))
 
 
 def stem(word: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,40 +97,32 @@ def current_rows(runs: DataFrame, key: str, at: str, arrival: list[str]) -> Data
     return runs.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *arrival)).alias("_r")).select(key, "_r.*")
 
 
-#: The life of a finding in one scope: status, times reopened, time of the last accepted event, whether the scope has ended.
-Life = tuple[str | None, int, int | None, bool]
-BORN: Life = (None, 0, None, False)
-ENDINGS = {"closed": "closed", "merged": "merged"}
-
-
-def advance(life: Life, outcome: str, at: int) -> Life:
-    """One event. observed: open, counted as reopened if it was fixed; fixed and duplicate set their status; others carry it on.
-
-    An event older than the last accepted one is ignored; closed and merged retire an open finding and end the scope whenever they come.
-    """
-    status, reopened, last, over = life
-    if over:
-        return life
-    if outcome in ENDINGS:
-        return (ENDINGS[outcome] if status == "open" else status, reopened, last, True)
-    if last is not None and at < last:
-        return life
-    if outcome == "observed":
-        return ("open", reopened + (status == "fixed"), at, False)
-    return (outcome if outcome in ("fixed", "duplicate") else status, reopened, at, False)
+ENDINGS = ("closed", "merged")
 
 
 def occurrence_fold(events: DataFrame) -> DataFrame:
-    """``events(key, ord, outcome, at)`` -> ``key, status, reopened, last_at``: each key's events in order, from ``BORN``."""
-    kind = events.schema["key"].dataType.simpleString()
+    """``events(key, ord, outcome, at)`` -> ``key, status, reopened, last_at``: each key's events in order.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        life = BORN
-        for r in pdf.sort_values("ord").itertuples():
-            life = advance(life, r.outcome, r.at)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "status": [life[0]], "reopened": [life[1]], "last_at": [life[2]]})
+    observed: open, counted as reopened if it was fixed; fixed and duplicate set their status; others carry it on. An event older than the last
+    accepted one is ignored; closed and merged retire an open finding and end the scope whenever they come. The fold is an expression over a
+    key's ordered events.
+    """
+    seq = F.transform(F.array_sort(F.collect_list(F.struct("ord", "outcome", F.col("at").cast("long").alias("at")))), lambda e: F.struct(e["outcome"].alias("o"), e["at"].alias("a")))
+    zero = F.struct(F.lit(None).cast("string").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("t"), F.lit(False).alias("over"))
+
+    def step(acc: Column, e: Column) -> Column:
+        ends = e["o"].isin(*ENDINGS)
+        late = acc["t"].isNotNull() & (e["a"] < acc["t"])
+        live, fixed = ~acc["over"], F.coalesce(acc["s"] == "fixed", F.lit(False))
+        seen, set_ = e["o"] == "observed", e["o"].isin("fixed", "duplicate")
+        status = F.when(ends, F.when(acc["s"] == "open", e["o"]).otherwise(acc["s"])).when(late, acc["s"]).when(seen, "open").when(set_, e["o"]).otherwise(acc["s"])
+        return F.struct(
+            F.when(live, status).otherwise(acc["s"]).alias("s"), (acc["n"] + F.when(live & ~ends & ~late & seen & fixed, 1).otherwise(0)).alias("n"),
+            F.when(live & ~ends & ~late, e["a"]).otherwise(acc["t"]).alias("t"), (acc["over"] | ends).alias("over"),
+        )
 
-    return events.groupBy("key").applyInPandas(fold, f"key {kind}, status string, reopened long, last_at long")
+    done = events.groupBy("key").agg(F.aggregate(seq, zero, step).alias("_l"))
+    return done.select("key", F.col("_l.s").alias("status"), F.col("_l.n").alias("reopened"), F.col("_l.t").alias("last_at"))
 
 
 def promote(pr_rows: DataFrame, branch: DataFrame, closings: DataFrame) -> DataFrame:

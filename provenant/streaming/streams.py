@@ -9,7 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provenant.operators.lifecycle import BORN, advance
+from provenant.operators.lifecycle import ENDINGS
+
+#: The life of a finding in one scope: status, times reopened, time of the last accepted event, whether the scope has ended.
+Life = tuple[str | None, int, int | None, bool]
+BORN: Life = (None, 0, None, False)
+
+
+def advance(life: Life, outcome: str, at: int) -> Life:
+    """One event of ``lifecycle.occurrence_fold``, for state that is kept between batches."""
+    status, reopened, last, over = life
+    if over:
+        return life
+    if outcome in ENDINGS:
+        return (outcome if status == "open" else status, reopened, last, True)
+    if last is not None and at < last:
+        return life
+    if outcome == "observed":
+        return ("open", reopened + (status == "fixed"), at, False)
+    return (outcome if outcome in ("fixed", "duplicate") else status, reopened, at, False)
 
 
 def enqueue_once(events: DataFrame, key: list[str], at: str, horizon: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provenant.functions import text as T
 from provenant.operators import ledger as K
 from provenant.plans.events_queries import table
+from provenant.plans.text_queries import URLS
 
 CENTS = "cast(round(o_totalprice * 100) as bigint)"
 
@@ -170,12 +171,12 @@ RELATED = """with e as (select distinct o_custkey as key, 'orders' as kind, o_or
 
 def preserved_evidence(spark, d):
     li = table(spark, d, "lineitem")
-    rows = li.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_suppkey")).alias("id"), F.col("l_suppkey").alias("path"), _mod("l_partkey", 100).alias("start_line"), (_mod("l_partkey", 100) + 3).alias("end_line"), F.col("l_returnflag").alias("excerpt"))
+    rows = li.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("path"), _mod("l_partkey", 100).alias("start_line"), (_mod("l_partkey", 100) + 3).alias("end_line"), F.col("l_returnflag").alias("excerpt"))
     regions = table(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), F.lit(20).alias("start_line"), F.lit(60).alias("end_line"))
     return K.preserved(rows, regions)
 
 
-PRESERVED = """select (l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey as id, l_suppkey as path, l_partkey % 100 as start_line, l_partkey % 100 + 3 as end_line, case when l_partkey % 100 between 20 and 57 and l_suppkey in (select s_suppkey from supplier) then '' else l_returnflag end as excerpt from lineitem"""
+PRESERVED = """select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as id, l_suppkey as path, l_partkey % 100 as start_line, l_partkey % 100 + 3 as end_line, case when l_partkey % 100 between 20 and 57 and l_suppkey in (select s_suppkey from supplier) then '' else l_returnflag end as excerpt from lineitem"""
 
 
 def coverage_observations(spark, d):
@@ -205,7 +206,10 @@ RETRIEVAL = "select p_partkey, p_name || case when p_partkey % 3 = 0 then ' ' ||
 
 def cited_pages(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
-    return K.cited(p, p.where("page_id % 10 = 0").select(F.concat("url", F.lit("#frag")).alias("url"))).select("page_id")
+    return K.cited(p, p.where("page_id % 10 = 0").select(F.concat("url", F.lit("/")).alias("url"))).select("page_id")
+
+
+CITED = f"with n as ({URLS}) select page_id from n where url in (select url from n where page_id % 10 = 0)"
 
 
 def add_knowledge(spark, d):
@@ -389,7 +393,7 @@ QUERIES = {
 ORACLES = {
     "get_or_create": CREATE, "tenant_controls": CONTROLS, "usage_quota": QUOTA, "context_documents": DOCUMENTS, "ledger_revisions": REVISIONS, "version_writes": VERSIONS, "symbol_links": LINKS, "reloaded_graphs": RELOADED, "symbol_slices": SLICES,
     "literal_fallback": FALLBACK, "summary_selection": SUMMARIES, "surface_grounding": GROUNDED, "rebound_investigations": REBOUND, "region_construction": CONSTRUCTION, "related_facts": RELATED, "preserved_evidence": PRESERVED,
-    "coverage_observations": OBSERVED, "surface_inventory": INVENTORY, "retrieval_texts": RETRIEVAL, "add_knowledge": KNOWLEDGE, "journal_reads": JOURNAL, "attempts": ATTEMPTS, "extended_baseline": EXTENDED, "trimmed_windows": TRIMMED,
+    "coverage_observations": OBSERVED, "surface_inventory": INVENTORY, "retrieval_texts": RETRIEVAL, "cited_pages": CITED, "add_knowledge": KNOWLEDGE, "journal_reads": JOURNAL, "attempts": ATTEMPTS, "extended_baseline": EXTENDED, "trimmed_windows": TRIMMED,
     "context_by_prefix": PREFIX, "adapted_candidates": ADAPTED, "activity_ledger": ACTIVITY, "promoted_baseline": PROMOTED, "typed_contexts": TYPED, "continuation": CONTINUATION, "rebuilt_traces": REBUILT, "filled_history": FILLED,
     "bounded_hashes": _sql_bounded(), "carried_locations": CARRIED, "numbered_windows": NUMBERED, "report_rows": REPORT, "exact_targets": EXACT,
 }

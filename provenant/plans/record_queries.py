@@ -163,13 +163,13 @@ FRONTIER = "select l_suppkey, o, l_quantity from (select *, (l_orderkey * 10 + l
 
 
 def greedy_fill(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("o"), F.col("l_quantity").cast("int").alias("n"))
-    return R.fill_within(li, "l_orderkey", ["o"], "n", 60)
+    li = table(spark, d, "lineitem").select("l_partkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("o"), F.col("l_quantity").cast("int").alias("n"))
+    return R.fill_within(li, "l_partkey", ["o"], "n", 160)
 
 
-FILL = """with recursive l as (select l_orderkey, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as o, l_quantity::integer as n, row_number() over (partition by l_orderkey order by l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey) as i from lineitem),
-f as (select l_orderkey, i, o, n, n <= 60 as k, case when n <= 60 then n else 0 end as used from l where i = 1 union all select l.l_orderkey, l.i, l.o, l.n, f.used + l.n <= 60, case when f.used + l.n <= 60 then f.used + l.n else f.used end from f join l on l.l_orderkey = f.l_orderkey and l.i = f.i + 1)
-select l_orderkey, o, n, used::bigint as used from f where k"""
+FILL = """with recursive l as (select l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey as o, l_quantity::integer as n, row_number() over (partition by l_partkey order by (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey) as i from lineitem),
+f as (select l_partkey, i, o, n, n <= 160 as k, case when n <= 160 then n else 0 end as used from l where i = 1 union all select l.l_partkey, l.i, l.o, l.n, f.used + l.n <= 160, case when f.used + l.n <= 160 then f.used + l.n else f.used end from f join l on l.l_partkey = f.l_partkey and l.i = f.i + 1)
+select l_partkey, o, n, used::bigint as used from f where k"""
 
 
 def all_sources(spark, d):
@@ -430,18 +430,24 @@ select doc_id, a::integer as start_line, b as end_line, md5(left(t, 400)) as con
 
 
 def greedy_pairs(spark, d):
-    """Expectations and findings of one order's lines, paired in order."""
-    li = table(spark, d, "lineitem").withColumn("id", (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")))
-    e = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
-    f = li.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("case"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
+    """Expectations and findings of one part's lines, paired in order."""
+    li = table(spark, d, "lineitem").withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey"))
+    e = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("case"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
+    f = li.where("l_returnflag <> 'R'").select(F.col("l_partkey").alias("case"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
     return J.greedy_match(e, f, "case", lambda a, b: abs(a["v"] - b["v"]) <= 1)
 
 
-PAIRS = """with recursive l as (select l_orderkey as c, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as id, l_suppkey % 4 as v, l_returnflag = 'R' as e from lineitem), e as materialized (select c, id, v, row_number() over (partition by c order by id) as i from l where e),
-f as materialized (select c, list(struct_pack(id := id, v := v) order by id) as fs from l where not e group by 1), w as (select distinct c, 0::bigint as i, null::bigint as eid, null::bigint as hit, []::bigint[] as used from e
- union all select c, i, eid, hit, case when hit is null then used else list_append(used, hit) end from (select e.c, e.i, e.id as eid, w.used, list_filter(coalesce(f.fs, []), lambda x: abs(x.v - e.v) <= 1 and not list_contains(w.used, x.id))[1].id as hit from w join e on e.c = w.c and e.i = w.i + 1 left join f on f.c = e.c))
+def _pairs_sql(expected: str, found: str, matches: str) -> str:
+    """``expected`` and ``found``: c, id, v. Each expectation, in order of id, takes the first finding of its case that is still free and matches."""
+    return f"""with recursive e as materialized (select c, id, v, row_number() over (partition by c order by id) as i from ({expected})), f as materialized (select c, list(struct_pack(id := id, v := v) order by id) as fs from ({found}) group by 1),
+w as (select e.c, 0::bigint as i, null::bigint as eid, null::bigint as hit, coalesce(any_value(f.fs), []) as free from e left join f on f.c = e.c group by 1
+ union all select c, i, eid, hit, case when hit is null then free else list_filter(free, lambda x: x.id <> hit) end from (select e.c, e.i, e.id as eid, w.free, list_filter(w.free, lambda x: {matches})[1].id as hit from w join e on e.c = w.c and e.i = w.i + 1))
 select c as case, eid as expectation, hit as finding from w where i > 0"""
 
+
+PAIRS = _pairs_sql(*[f"select l_partkey as c, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey as id, l_suppkey % 4 as v from lineitem where l_returnflag {op} 'R'" for op in ("=", "<>")], "abs(x.v - e.v) <= 1")
+MATCHES = _pairs_sql("select o_custkey % 20 as c, o_orderkey as id, o_orderkey % 17 as v from orders", "select user_id % 20 as c, event_id as id, event_id % 17 as v from events", "abs(x.v - e.v) <= 1")
+
 QUERIES = {
     "key_lookup": key_lookup, "active_rows": active_rows, "touched_rows": touched_rows, "compact_items": compact_items, "write_once": write_once, "insert_conflicts": insert_conflicts, "deleted_keys": deleted_keys, "upgraded_columns": upgraded_columns,
     "finding_joins": finding_joins, "slice_packet": slice_packet, "probes": probes, "conditional_counts": conditional_counts, "obligation_ids": obligation_ids, "requirement_obligations": requirement_obligations, "distinct_findings": distinct_findings,
@@ -455,5 +461,5 @@ ORACLES = {
     "probes": PROBES, "conditional_counts": CONDITIONAL, "obligation_ids": OBLIGATION, "requirement_obligations": REQUIREMENTS, "distinct_findings": DISTINCT, "frontier": FRONTIER, "greedy_fill": FILL, "all_sources": UNION, "prepared_snapshot": PREPARED,
     "renewed_leases": RENEWED, "expired_artifacts": EXPIRED, "answered_requests": ANSWERED, "state_moves": MOVES, "scan_statuses": STATUSES, "evidence_roles": ROLES, "expanded_requests": EXPANDED, "guarded_redaction": GUARDED, "path_functions": PATHS,
     "text_functions": TEXTS, "json_functions": JSONS, "admitted_paths": ADMITTED, "route_lines": ROUTES, "diff_tables": DIFFS, "status_listing": LISTING, "normalised_graph": NORMALISED, "source_blobs": BLOBS, "sarif_report": SARIF, "markdown_report": MARKDOWN,
-    "context_windows": CONTEXTS, "greedy_pairs": PAIRS,
+    "context_windows": CONTEXTS, "greedy_pairs": PAIRS, "greedy_match": MATCHES,
 }

@@ -61,13 +61,13 @@ select doc_id, s::integer as start_line, max(i)::integer as end_line, max(c)::in
 
 
 def pack_batches(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"), (F.col("l_quantity") * 1000).cast("int").alias("chars"))
-    return I.pack_batches(li, "l_orderkey", 3, 60_000)
+    li = table(spark, d, "lineitem").select("l_partkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("ord"), (F.col("l_quantity") * 1000).cast("int").alias("chars"))
+    return I.pack_batches(li, "l_partkey", 3, 60_000)
 
 
-BATCHES = """with recursive l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey) as i, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as ord, (l_quantity * 1000)::integer as c from lineitem),
-f as (select l_orderkey, i, ord, c, 0 as b, 1 as n, c as t from l where i = 1 union all select l.l_orderkey, l.i, l.ord, l.c, f.b + case when f.n >= 3 or f.t + l.c > 60000 then 1 else 0 end, case when f.n >= 3 or f.t + l.c > 60000 then 1 else f.n + 1 end, case when f.n >= 3 or f.t + l.c > 60000 then l.c else f.t + l.c end from f join l on l.l_orderkey = f.l_orderkey and l.i = f.i + 1)
-select l_orderkey, ord, c as chars, b as batch, (max(b) over o + 1)::integer as batch_count, (count(*) over o - max(i) over (partition by l_orderkey, b))::integer as remaining from f window o as (partition by l_orderkey)"""
+BATCHES = """with recursive l as (select l_partkey, row_number() over (partition by l_partkey order by (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey) as i, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey as ord, (l_quantity * 1000)::integer as c from lineitem),
+f as (select l_partkey, i, ord, c, 0 as b, 1 as n, c as t from l where i = 1 union all select l.l_partkey, l.i, l.ord, l.c, f.b + case when f.n >= 3 or f.t + l.c > 60000 then 1 else 0 end, case when f.n >= 3 or f.t + l.c > 60000 then 1 else f.n + 1 end, case when f.n >= 3 or f.t + l.c > 60000 then l.c else f.t + l.c end from f join l on l.l_partkey = f.l_partkey and l.i = f.i + 1)
+select l_partkey, ord, c as chars, b as batch, (max(b) over o + 1)::integer as batch_count, (count(*) over o - max(i) over (partition by l_partkey, b))::integer as remaining from f window o as (partition by l_partkey)"""
 
 
 def group_worksets(spark, d):

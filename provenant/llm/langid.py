@@ -106,25 +106,27 @@ def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
     """``labelled(doc_id, text, lang)`` -> the profile of each language. Null texts and languages teach nothing.
 
-    About ``sample_docs`` documents of each language are used: those whose hash falls below the share of it that they are.
+    About ``sample_docs`` documents of each language are used: those whose hash falls below the share of it that they are. The languages' sizes go to
+    every task, so that no text is dealt by language; their number is checked before.
     The result is bounded by ``MOST_LANGUAGES`` times ``profile``; more languages are an error. Of a language's n-grams only the ``profile``
     best leave the task that summed them.
     """
     small_batches(labelled.sparkSession)
     base = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = base.groupBy("lang").count().withColumnRenamed("lang", "_l")
+    sizes, sizes_path = stored(base.groupBy(F.col("lang").alias("_l")).count(), "languages")
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     draw = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = base.join(sizes, F.col("lang") == F.col("_l")).where(draw < F.lit(float(sample_docs)) / F.col("count"))
+    chosen = base.join(F.broadcast(sizes), F.col("lang") == F.col("_l")).where(draw < F.lit(float(sample_docs)) / F.col("count"))
     counted = chosen.select("text", "lang").mapInArrow(_sum_batches, "lang string, code long, n long")
     totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = totals.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("place") <= profile)
     kept, path = stored(best.select("lang", "place", "code"), "profiles")
-    if kept.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found: dict[str, list[int]] = {}
     for row in kept.orderBy("lang", "place").collect():
         found.setdefault(row["lang"], []).append(row["code"])
-    drop_path(labelled.sparkSession, path)
+    for done in (path, sizes_path):
+        drop_path(labelled.sparkSession, done)
     return found
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,20 +61,23 @@ def resolve_unique(left: DataFrame, targets: DataFrame, on: Column, left_key: st
     return left.join(found, left[left_key] == F.col("_lk")).drop("_lk")
 
 
-def enclosing_span(points: DataFrame, spans: DataFrame, key: list[str], narrowest: bool = True) -> DataFrame:
+def enclosing_span(points: DataFrame, spans: DataFrame, key: list[str], narrowest: bool = True, cell: int = 512) -> DataFrame:
     """``points(id, *key, line)``, ``spans(*key, span_id, start_line, end_line, ord)`` -> points with ``span_id`` (null: none).
 
     A span with end_line <= 0 is open-ended. The narrowest span wins, then the first by ``ord``; with ``narrowest`` off, the first.
+    Spans are entered in every cell of ``cell`` lines that they touch and joined on key and cell, so a key with most of the rows is spread; the few
+    open-ended ones are joined on the key alone.
     """
     s = spans.select(*[F.col(k).alias(f"_{k}") for k in key], "span_id", "start_line", "end_line", F.col("ord").alias("_ord"))
-    same = [F.col(k) == F.col(f"_{k}") for k in key]
-    on = (F.col("line") >= F.col("start_line")) & ((F.col("end_line") <= 0) | (F.col("line") <= F.col("end_line")))
-    for c in same:
-        on = on & c
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in key])
     width = F.when(F.col("end_line") <= 0, F.lit(1 << 40)).otherwise(F.greatest(F.lit(1), F.col("end_line") - F.col("start_line")))
     best = F.struct(*([width.alias("w")] if narrowest else []), F.col("_ord").alias("o"), F.col("span_id").alias("s"))
-    inside = points.join(s, on).groupBy("id").agg(F.min(best).alias("_b")).select(F.col("id").alias("_id"), F.col("_b.s").alias("span_id"))
-    return points.join(inside, F.col("id") == F.col("_id"), "left").drop("_id")
+    closed = s.where("end_line > 0 AND start_line <= end_line").withColumn("_c", F.explode(F.sequence(F.floor(F.col("start_line") / cell), F.floor(F.col("end_line") / cell))))
+    at = points.withColumn("_at", F.floor(F.col("line") / cell))
+    inside = at.join(closed, same & (F.col("_at") == F.col("_c")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).select("id", best.alias("_b"))
+    beyond = points.join(s.where("end_line <= 0"), same & (F.col("line") >= F.col("start_line"))).select("id", best.alias("_b"))
+    found = inside.unionByName(beyond).groupBy("id").agg(F.min("_b").alias("_b")).select(F.col("id").alias("_id"), F.col("_b.s").alias("span_id"))
+    return points.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, cell: int) -> DataFrame:
@@ -130,24 +134,25 @@ def alias_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
     return a.join(b, F.col("_a") == F.col("_b")).select("left_id", "right_id").distinct()
 
 
-def nodes_in_ranges(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
+def nodes_in_ranges(ranges: DataFrame, nodes: DataFrame, cell: int = 512) -> DataFrame:
     """``ranges(range_id, path, hash, start_line, end_line, verified)``, ``nodes(node_id, path, line, source_hash)`` -> ``range_id, mapping, nodes``.
 
     ``mapping``: unverified_location, stale_source (the file has nodes, but under another hash), unmapped, mapped, ambiguous (several nodes).
+    Nodes are counted for each file and version, and joined to ranges on file, version and cell of lines, so a file with most of the nodes is spread.
     """
-    n = nodes.select("node_id", F.col("path").alias("_p"), "line", "source_hash")
-    near = ranges.join(n, (F.col("path") == F.col("_p")), "left")
-    same = F.col("hash") == F.col("source_hash")
-    inside = same & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    got = near.groupBy("range_id").agg(
-        F.first("verified").alias("verified"), F.count("node_id").alias("_any"), F.count_if(same).alias("_same"),
-        F.array_sort(F.collect_set(F.when(inside, F.col("node_id")))).alias("nodes"),
-    )
+    n = nodes.select("node_id", F.col("path").alias("_p"), "line", F.col("source_hash").alias("_h"))
+    per_file = n.groupBy("_p").agg(F.count(F.lit(1)).alias("_any"))
+    per_version = n.groupBy(F.col("_p").alias("_q"), "_h").agg(F.count(F.lit(1)).alias("_same"))
+    cells = ranges.where("start_line <= end_line").select("range_id", "path", "hash", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / cell), F.floor(F.col("end_line") / cell))).alias("_c"))
+    hit = cells.join(n.withColumn("_at", F.floor(F.col("line") / cell)), (F.col("path") == F.col("_p")) & (F.col("hash") == F.col("_h")) & (F.col("_c") == F.col("_at")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
+    inside = hit.groupBy(F.col("range_id").alias("_r")).agg(F.array_sort(F.collect_set("node_id")).alias("_nodes"))
+    got = ranges.join(per_file, F.col("path") == F.col("_p"), "left").join(per_version, (F.col("path") == F.col("_q")) & (F.col("hash") == F.col("_h")), "left").join(inside, F.col("range_id") == F.col("_r"), "left")
+    found = F.coalesce("_nodes", F.array().cast(f"array<{nodes.schema['node_id'].dataType.simpleString()}>"))
     kind = (
-        F.when(~F.col("verified"), "unverified_location").when((F.col("_any") > 0) & (F.col("_same") == 0), "stale_source")
-        .when(F.size("nodes") == 0, "unmapped").when(F.size("nodes") == 1, "mapped").otherwise("ambiguous")
+        F.when(~F.col("verified"), "unverified_location").when(F.col("_any").isNotNull() & F.col("_same").isNull(), "stale_source")
+        .when(F.size(found) == 0, "unmapped").when(F.size(found) == 1, "mapped").otherwise("ambiguous")
     )
-    return got.select("range_id", kind.alias("mapping"), "nodes")
+    return got.select("range_id", kind.alias("mapping"), found.alias("nodes"))
 
 
 def greedy_match(expected: DataFrame, found: DataFrame, case: str, matches: Callable[[dict, dict], bool]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,6 +73,8 @@ def text_lines(files: DataFrame, path: str = "path", content: str = "content") -
 
 
 MOST_TERMS, MOST_TERM_CHARS = 20, 2000
+#: Queries whose terms are broadcast together: 8 MB at twenty terms of a hundred characters.
+QUERIES_AT_ONCE = 4_000
 
 
 def valid_query(terms: Column) -> Column:
@@ -81,15 +85,15 @@ def valid_query(terms: Column) -> Column:
 def search(lines: DataFrame, queries: DataFrame, path: str, cap: int, regex: bool = False) -> tuple[DataFrame, DataFrame]:
     """``lines(path, line_no, text)``, ``queries(query_id, terms)`` -> hits ``query_id, path, line_no, truncated`` and the invalid queries.
 
-    Queries are a short, checked list (its size is bounded below) sent to every task; lines are never shuffled but for hits. A line that holds any
-    term is a hit; the first ``cap`` of a query stay and say whether more were there.
+    Lines are never shuffled but for hits: terms are sent to every task, at most ``QUERIES_AT_ONCE`` queries of twenty terms at a time; more are
+    worked through in rounds of that many. A line that holds any term is a hit; the first ``cap`` of a query stay and say whether more were there.
     """
     good = queries.where(valid_query(F.col("terms")))
-    if good.count() > 10_000:
-        raise ValueError("search takes at most 10,000 queries at a time")
-    terms = good.select("query_id", F.explode("terms").alias("_t"))
+    rounds = max(1, -(-good.count() // QUERIES_AT_ONCE))
+    ranks = good.select("query_id", "terms", F.pmod(F.xxhash64("query_id"), F.lit(rounds)).alias("_round")) if rounds > 1 else good.select("query_id", "terms", F.lit(0).alias("_round"))
+    terms = ranks.select("query_id", "_round", F.explode("terms").alias("_t"))
     meet = F.regexp_like("text", F.col("_t")) if regex else F.instr(F.col("text"), F.col("_t")) > 0
-    hits = lines.join(F.broadcast(terms), meet).select("query_id", path, "line_no").distinct()
+    hits = reduce(DataFrame.unionByName, [lines.join(F.broadcast(terms.where(F.col("_round") == i)), meet).select("query_id", path, "line_no") for i in range(rounds)]).distinct()
     w = Window.partitionBy("query_id")
     ranked = hits.withColumn("_rn", F.row_number().over(w.orderBy(path, "line_no"))).withColumn("truncated", F.count(F.lit(1)).over(w) > cap)
     return ranked.where(F.col("_rn") <= cap).drop("_rn"), queries.where(~F.coalesce(valid_query(F.col("terms")), F.lit(False)))

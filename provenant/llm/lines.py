@@ -114,12 +114,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     number), stays; null ids come last. A chunk repeated within one document is removed there too.
     """
     hashed = docs.mapInArrow(lambda b: _chunk_batches(b, False), CHUNKS).select("doc_id", "key", "no", "hash_a", "hash_b")
-    # tables of their own, here and below: both sides of a join are plain shuffles then, which skew handling can split where a chunk is very common
+    # tables of their own, here and below: both sides of a join are plain shuffles then, which skew handling can split where a chunk is very common;
+    # merged at every size, so that a small table's plan is that of a large one
     often, often_path = stored(
         hashed.groupBy("hash_a", "hash_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b")), "often"
     )
     bodies = docs.mapInArrow(lambda b: _chunk_batches(b, True), CHUNKS)
-    again, again_path = stored(bodies.join(often, (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b")), "left_semi"), "chunks")
+    again, again_path = stored(bodies.join(often.hint("merge"), (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b")), "left_semi"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key", "no")
     digest = F.sha2("chunk", 256)
     firsts = again.withColumn("_place", place).groupBy("hash_a", "hash_b", "chunk").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -127,7 +128,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         firsts.where("n > 1").select(F.col("hash_a").alias("_a"), F.col("hash_b").alias("_b"), digest.alias("_c"), "first"), "first-chunks"
     )
     same = (F.col("hash_a") == F.col("_a")) & (F.col("hash_b") == F.col("_b")) & (F.col("_sha") == F.col("_c"))
-    lost = again.withColumn("_sha", digest).drop("chunk").join(known, same).where(~place.eqNullSafe(F.col("first")))
+    lost = again.withColumn("_sha", digest).drop("chunk").join(known.hint("merge"), same).where(~place.eqNullSafe(F.col("first")))
     gone, _ = stored(lost.groupBy("doc_id", "key").agg(F.collect_set("no").alias("chunks")), "gone-chunks")
     for path in (often_path, again_path, known_path):
         drop_path(docs.sparkSession, path)
@@ -185,7 +186,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(_window_batches, WINDOWS)
     firsts = found.withColumn("_place", place).groupBy("sha").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     known, path = stored(firsts.select(F.col("sha").alias("_sha"), "first"), "first-runs")
-    lost = found.join(known, F.col("sha") == F.col("_sha")).where(~place.eqNullSafe(F.col("first")))
+    lost = found.join(known.hint("merge"), F.col("sha") == F.col("_sha")).where(~place.eqNullSafe(F.col("first")))
     gone, _ = stored(lost.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts")), "gone-runs")
     drop_path(docs.sparkSession, path)
     return gone

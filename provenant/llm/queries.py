@@ -81,9 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # The other queries rest on XXH64, gamma variates, a tokenizer, rolling hashes or match positions, which DuckDB lacks; tests hold
 # them against brute force.
-OP1 = """with p as (select page_id, coalesce(html, '') as t, sha256(coalesce(html, '')) as payload_digest from pages), f as (select payload_digest, min(page_id) as first_page from p where strlen(t) >= 100 group by 1)
-select page_id, strlen(t)::bigint as payload_bytes, p.payload_digest, case when strlen(t) >= 100 and page_id <> first_page then 'revisit' else 'response' end as record_type, case when strlen(t) >= 100 and page_id <> first_page then first_page end as refers_to
-from p left join f on p.payload_digest = f.payload_digest and strlen(t) >= 100"""
+OP1 = """with p as (select page_id, coalesce(html, '') as t, sha256(coalesce(html, '')) as d from pages), r as (select page_id, strlen(t) as n, d, strlen(t) >= 100 and row_number() over (partition by d order by page_id) > 1 as again, min(page_id) over (partition by d) as first_page from p)
+select page_id, n::bigint as payload_bytes, d as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first_page end as refers_to from r"""
 OP2 = """with recursive e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), g as (select * from e where label is not null and v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(v, v) > 0),
 l as (select a.vec_id as x, b.vec_id as y from g a join g b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.93),
 r(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from r join l on l.x = r.y), c as (select x, min(y) as m from r group by 1), n as (select x, count(*) as k from l group by 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import cws, embeddings, langid, lines, mixing, packing, secrets, simhash, substring, warc
+from provenant.llm import collocations, cws, embeddings, langid, lines, mixing, packing, secrets, simhash, substring, vectorfit, warc, whitening
 from provenant.llm.common import stored
 
 
@@ -66,6 +66,18 @@ def op10_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorfit.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vectorfit.default_tokenizer())
+
+
+def op13_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_rotation_codes": op2_rotation_codes,
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_automata": op8_suffix_automata,
     "op9_line_chunks": op9_line_chunks,
     "op10_linked_credentials": op10_linked_credentials,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_vector_best_fit": op12_vector_best_fit,
+    "op13_compensated_whitening": op13_compensated_whitening,
 }
 
 # The other queries rest on XXH64, gamma variates, a tokenizer, rolling hashes or match positions, which DuckDB lacks; tests hold
@@ -93,5 +108,15 @@ m as (select h, min(doc_id) as low from k where h is not null group by 1), f as
 c as (select doc_id, word, i, bool_or(hit) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from f),
 o as (select doc_id, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept from c group by 1)
 select n.doc_id, n.n::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from n left join o using (doc_id)"""
-
-ORACLES: dict[str, str] = {"op1_warc_revisits": OP1, "op2_rotation_codes": OP2, "op8_suffix_automata": OP8}
+OP11 = r"""with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p), m as (select lang, w, count(*) as m from w where len(w) > 0 group by all), n as (select lang, sum(m * len(w)) as n from m group by 1),
+g as (select lang, size, m, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase from m, range(1, 6) s(size) where len(w) >= size),
+f as (select lang, phrase, size, sum(m) as f from g group by all having sum(m) >= 100), c as (select lang, phrase, f as a, size, string_split(phrase, ' ') as w, unnest(range(1, size)) as k from f where size > 1),
+s as (select c.lang, c.phrase, a, x.f as l, y.f as r, n, (1000 * a::hugeint * n::hugeint) // (x.f::hugeint * y.f::hugeint) as score, k from c join n on n.lang = c.lang
+ join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select lang, unnest([array_to_string(w[1:size - 1], ' '), array_to_string(w[2:], ' ')]) as inside, a from c where size > 2), h as (select lang, inside, max(a) as longer from o group by all),
+k as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, phrase) as rank from b left join h on h.lang = b.lang and h.inside = b.phrase where longer is null or longer < a)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from k where rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op1_warc_revisits": OP1, "op2_rotation_codes": OP2, "op8_suffix_automata": OP8, "op11_phrase_collocations": OP11}

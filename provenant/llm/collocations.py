@@ -253,11 +253,14 @@ def collocations(
         F.when(F.col(f"f0_{k}").isNotNull(), F.struct(_exact_score(F.col("a"), F.col("n"), F.col(f"f0_{k}"), F.col(f"f1_{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"f0_{k}").alias("l"), F.col(f"f1_{k}").alias("r")))
         for k in cuts
     ]
-    scored = with_n.select("lang", "phrase", "a", "n", F.array_min(F.array(*options)).alias("best"))
+    scored = with_n.select("lang", "phrase", "salt", "a", "n", F.array_min(F.array(*options)).alias("best"))
     inner = F.array(F.array_join(F.slice("words", F.lit(1), size - 1), " "), F.array_join(F.slice("words", F.lit(2), size - 1), " "))
     held = candidates.where("size > 2").select("lang", "a", F.explode(inner).alias("inside")).groupBy("lang", "inside").agg(F.max("a").alias("longer"))
     free = scored.join(held.select(F.col("lang").alias("_l"), "inside", "longer"), (F.col("lang") == F.col("_l")) & (F.col("phrase") == F.col("inside")), "left").where(
         F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * percent))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), F.asc("phrase"))
-    return free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
+    # first within a language's salt, so that what one task ranks for a language is at most salts times top rows
+    order = [F.desc("best.score"), F.desc("a"), F.asc("phrase")]
+    ahead = free.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("_r") <= top)
+    free = ahead.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return free.where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")

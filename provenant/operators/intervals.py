@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators import joins as J
+
 
 def merge_near(df: DataFrame, key: str, gap: int) -> DataFrame:
     """``df(key, start, end)`` -> islands ``key, start, end, n``: intervals whose start lies within ``gap`` after the furthest end so far."""
@@ -106,10 +108,11 @@ def subtract(ranges: DataFrame, covered: DataFrame, key: str) -> DataFrame:
 
 def first_covering(segments: DataFrame, regions: DataFrame, key: str, ratio: float) -> DataFrame:
     """For each segment ``(key, id, start, end)`` the first region ``(key, region, ord, start, end)`` that covers at least the ratio of it; null: none."""
-    r = regions.select(F.col(key).alias("_k"), "region", "ord", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    shared = F.least("end", "_e") - F.greatest("start", "_s") + 1
-    on = (F.col(key) == F.col("_k")) & (shared / (F.col("end") - F.col("start") + 1) >= ratio)
-    best = segments.join(r, on).groupBy(key, "id").agg(F.min_by("region", "ord").alias("region"))
+    met = J.overlapping(segments, regions.withColumn("id", F.struct("region", "ord", "start", "end")), key)
+    shared = F.least("end", "right_id.end") - F.greatest("start", "right_id.start") + 1
+    at = segments.select(F.col(key).alias("_k"), F.col("id").alias("_i"), "start", "end")
+    enough = met.join(at, (F.col(key) == F.col("_k")) & (F.col("left_id") == F.col("_i"))).where(shared / (F.col("end") - F.col("start") + 1) >= ratio)
+    best = enough.groupBy(key, F.col("left_id").alias("id")).agg(F.min_by("right_id.region", "right_id.ord").alias("region"))
     return segments.join(best, [key, "id"], "left")
 
 

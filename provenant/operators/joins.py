@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators import spans as S
+
 
 def overlay_lookup(ids: DataFrame, overlay: DataFrame, base: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``ids(key, ord)`` in order, each with the overlay's row or else the base's; ids in neither are dropped.
@@ -61,41 +62,33 @@ def resolve_unique(left: DataFrame, targets: DataFrame, on: Column, left_key: st
     return left.join(found, left[left_key] == F.col("_lk")).drop("_lk")
 
 
-def enclosing_span(points: DataFrame, spans: DataFrame, key: list[str], narrowest: bool = True, cell: int = 512) -> DataFrame:
+def enclosing_span(points: DataFrame, spans: DataFrame, key: list[str], narrowest: bool = True) -> DataFrame:
     """``points(id, *key, line)``, ``spans(*key, span_id, start_line, end_line, ord)`` -> points with ``span_id`` (null: none).
 
-    A span with end_line <= 0 is open-ended. The narrowest span wins, then the first by ``ord``; with ``narrowest`` off, the first.
-    Spans are entered in every cell of ``cell`` lines that they touch and joined on key and cell, so a key with most of the rows is spread; the few
-    open-ended ones are joined on the key alone.
+    A span with end_line <= 0 is open-ended. The narrowest span wins, then the first by ``ord``; with ``narrowest`` off, the first. Each block of lines
+    keeps its best span before points look into their blocks, so long, open-ended and crowded spans cost no pairs.
     """
-    s = spans.select(*[F.col(k).alias(f"_{k}") for k in key], "span_id", "start_line", "end_line", F.col("ord").alias("_ord"))
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in key])
-    width = F.when(F.col("end_line") <= 0, F.lit(1 << 40)).otherwise(F.greatest(F.lit(1), F.col("end_line") - F.col("start_line")))
-    best = F.struct(*([width.alias("w")] if narrowest else []), F.col("_ord").alias("o"), F.col("span_id").alias("s"))
-    closed = s.where("end_line > 0 AND start_line <= end_line").withColumn("_c", F.explode(F.sequence(F.floor(F.col("start_line") / cell), F.floor(F.col("end_line") / cell))))
-    at = points.withColumn("_at", F.floor(F.col("line") / cell))
-    inside = at.join(closed, same & (F.col("_at") == F.col("_c")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).select("id", best.alias("_b"))
-    beyond = points.join(s.where("end_line <= 0"), same & (F.col("line") >= F.col("start_line"))).select("id", best.alias("_b"))
-    found = inside.unionByName(beyond).groupBy("id").agg(F.min("_b").alias("_b")).select(F.col("id").alias("_id"), F.col("_b.s").alias("span_id"))
+    open_ended = F.col("end_line") <= 0
+    width = F.when(open_ended, F.lit(1 << 42)).otherwise(F.greatest(F.lit(1), F.col("end_line") - F.col("start_line")))
+    best = F.struct(*([width.alias("w")] if narrowest else []), F.col("ord").alias("o"), F.col("span_id").alias("s"))
+    s = spans.withColumn("_start", F.col("start_line")).withColumn("_end", F.when(open_ended, F.lit(S.FARTHEST - 1)).otherwise(F.col("end_line")))
+    found = S.best_holding(points, s, key, "line", best).select(F.col("id").alias("_id"), F.col("_best.s").alias("span_id"))
     return points.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, cell: int) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Pairs of intervals ``(key, id, start, end)`` (inclusive) that meet: ``key, left_id, right_id``, each pair once.
 
-    Intervals are entered in every cell of width ``cell`` that they touch and joined on (key, cell), so a key with most
-    of the rows is spread; a pair is reported in the cell where the later one starts.
+    Two intervals meet where the later one starts: the left one's start lies in the right one, or the right one's, if later, in the left one.
     """
 
-    def cells(df: DataFrame, side: str) -> DataFrame:
-        span = F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))
-        return df.select(F.col(key).alias(f"_{side}k"), F.col("id").alias(f"{side}_id"), F.col("start").alias(f"_{side}s"), F.col("end").alias(f"_{side}e"), F.explode(span).alias(f"_{side}c"))
+    def ends(df: DataFrame, side: str) -> DataFrame:
+        return df.where("start <= end").select(key, F.col("id").alias(f"{side}_id"), F.col("start").alias(f"_{side}s"), F.col("end").alias(f"_{side}e"))
 
-    a, b = cells(left, "left"), cells(right, "right")
-    on = (F.col("_leftk") == F.col("_rightk")) & (F.col("_leftc") == F.col("_rightc"))
-    meet = (F.col("_lefts") <= F.col("_righte")) & (F.col("_rights") <= F.col("_lefte"))
-    once = F.col("_leftc") == F.floor(F.greatest("_lefts", "_rights") / cell)
-    return a.join(b, on).where(meet & once).select(F.col("_leftk").alias(key), "left_id", "right_id")
+    a, b = ends(left, "left"), ends(right, "right")
+    first = S.holding(a, b, [key], "_lefts", "_rights", "_righte")
+    second = S.holding(b, a, [key], "_rights", "_lefts", "_lefte").where("_rights > _lefts")
+    return first.select(key, "left_id", "right_id").unionByName(second.select(key, "left_id", "right_id"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -134,17 +127,17 @@ def alias_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
     return a.join(b, F.col("_a") == F.col("_b")).select("left_id", "right_id").distinct()
 
 
-def nodes_in_ranges(ranges: DataFrame, nodes: DataFrame, cell: int = 512) -> DataFrame:
+def nodes_in_ranges(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``ranges(range_id, path, hash, start_line, end_line, verified)``, ``nodes(node_id, path, line, source_hash)`` -> ``range_id, mapping, nodes``.
 
     ``mapping``: unverified_location, stale_source (the file has nodes, but under another hash), unmapped, mapped, ambiguous (several nodes).
-    Nodes are counted for each file and version, and joined to ranges on file, version and cell of lines, so a file with most of the nodes is spread.
+    Nodes are counted for each file and version, and meet ranges in blocks of lines of a file's version, so a file with most of the nodes is spread.
     """
     n = nodes.select("node_id", F.col("path").alias("_p"), "line", F.col("source_hash").alias("_h"))
     per_file = n.groupBy("_p").agg(F.count(F.lit(1)).alias("_any"))
     per_version = n.groupBy(F.col("_p").alias("_q"), "_h").agg(F.count(F.lit(1)).alias("_same"))
-    cells = ranges.where("start_line <= end_line").select("range_id", "path", "hash", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / cell), F.floor(F.col("end_line") / cell))).alias("_c"))
-    hit = cells.join(n.withColumn("_at", F.floor(F.col("line") / cell)), (F.col("path") == F.col("_p")) & (F.col("hash") == F.col("_h")) & (F.col("_c") == F.col("_at")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
+    spans = ranges.where("start_line <= end_line").select("range_id", F.col("path").alias("_p"), F.col("hash").alias("_h"), "start_line", "end_line")
+    hit = S.holding(n, spans, ["_p", "_h"], "line", "start_line", "end_line")
     inside = hit.groupBy(F.col("range_id").alias("_r")).agg(F.array_sort(F.collect_set("node_id")).alias("_nodes"))
     got = ranges.join(per_file, F.col("path") == F.col("_p"), "left").join(per_version, (F.col("path") == F.col("_q")) & (F.col("hash") == F.col("_h")), "left").join(inside, F.col("range_id") == F.col("_r"), "left")
     found = F.coalesce("_nodes", F.array().cast(f"array<{nodes.schema['node_id'].dataType.simpleString()}>"))

@@ -165,7 +165,7 @@ def _windows(spark, d, status):
 
 
 def interval_overlap(spark, d):
-    return J.overlapping(_windows(spark, d, "O"), _windows(spark, d, "F"), "key", 64).select("key", "left_id", "right_id")
+    return J.overlapping(_windows(spark, d, "O"), _windows(spark, d, "F"), "key").select("key", "left_id", "right_id")
 
 
 OVERLAP = """with o as (select o_custkey as key, o_orderkey as id, o_orderstatus as st, epoch_us(o_orderdate) // 86400000000 as s from orders)

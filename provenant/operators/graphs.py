@@ -22,14 +22,14 @@ def reverse_reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     frontier = seen
     for depth in range(1, hops + 1):
         step = frontier.join(e, F.col("node") == F.col("_to")).select(F.col("_from").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), spark)
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), spark)
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def _cut(df: DataFrame, spark) -> DataFrame:
+def cut(df: DataFrame, spark) -> DataFrame:
     """Cut the lineage in the folder that driver and executors share. Where none is set, one of this machine stands in if Spark runs on it alone (tests)."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -85,20 +85,20 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     are drawn between those. Every round drops the edges that have become loops; it ends when none is left. No bound on rounds.
     """
     spark = pairs.sparkSession
-    e = _cut(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct(), spark)
+    e = cut(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct(), spark)
     now = nodes.select("node").distinct().withColumn("component", F.col("node"))
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        up = _cut(both.groupBy("x").agg(F.min("y").alias("_m")).where("_m < x").select(F.col("x").alias("_n"), F.col("_m").alias("_c")), spark)
+        up = cut(both.groupBy("x").agg(F.min("y").alias("_m")).where("_m < x").select(F.col("x").alias("_n"), F.col("_m").alias("_c")), spark)
         label, moved = up, True
         while moved:
             higher = label.select(F.col("_n").alias("_n2"), F.col("_c").alias("_c2"))
-            step = _cut(label.join(higher, F.col("_c") == F.col("_n2"), "left").select("_n", F.coalesce("_c2", "_c").alias("_c"), F.col("_c2").isNotNull().alias("_up")), spark)
+            step = cut(label.join(higher, F.col("_c") == F.col("_n2"), "left").select("_n", F.coalesce("_c2", "_c").alias("_c"), F.col("_c2").isNotNull().alias("_up")), spark)
             label, moved = step.select("_n", "_c"), not step.where("_up").isEmpty()
-        now = _cut(now.join(label, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")), spark)
+        now = cut(now.join(label, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")), spark)
         a, b = label.select(F.col("_n").alias("_p"), F.col("_c").alias("_a")), label.select(F.col("_n").alias("_q"), F.col("_c").alias("_b"))
         moved = e.join(a, F.col("x") == F.col("_p"), "left").join(b, F.col("y") == F.col("_q"), "left").select(F.coalesce("_a", "x").alias("a"), F.coalesce("_b", "y").alias("b"))
-        e = _cut(moved.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct(), spark)
+        e = cut(moved.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x < y").distinct(), spark)
     return now
 
 
@@ -142,9 +142,9 @@ def flow(edges: DataFrame, start: DataFrame, depth: int, most_edges: int) -> Dat
     seen = start.select("node").distinct()
     frontier, found = seen, None
     for d in range(1, depth + 1):
-        step = _cut(ends.join(frontier, F.col("_x") == F.col("node")).select("edge_id", "ord", "_y", F.lit(d).alias("depth")), spark)
+        step = cut(ends.join(frontier, F.col("_x") == F.col("node")).select("edge_id", "ord", "_y", F.lit(d).alias("depth")), spark)
         found = step if found is None else found.unionByName(step)
-        frontier = _cut(step.select(F.col("_y").alias("node")).distinct().join(seen, "node", "left_anti"), spark)
+        frontier = cut(step.select(F.col("_y").alias("node")).distinct().join(seen, "node", "left_anti"), spark)
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)

@@ -41,6 +41,26 @@ def cut(df: DataFrame, spark) -> DataFrame:
     return df.checkpoint()
 
 
+def ancestors(parents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``parents(revision, parent)`` (null: a root), ``wanted(revision)`` -> ``revision, ancestor, distance``, itself at 0. A cycle raises.
+
+    Pointers are doubled: a round extends what is known of each wanted revision by as many steps as it has, so a chain of n takes log2(n) rounds.
+    """
+    spark = parents.sparkSession
+    known = wanted.select("revision").distinct().select("revision", F.col("revision").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
+    jumps = parents.where("parent IS NOT NULL").select(F.col("revision").alias("_from"), F.col("parent").alias("_to")).distinct()
+    steps, most = 1, jumps.count()
+    while not jumps.isEmpty():
+        if steps > most:
+            raise ValueError("the chain of revisions has a cycle")
+        further = known.join(jumps, F.col("ancestor") == F.col("_from")).select("revision", F.col("_to").alias("ancestor"), (F.col("distance") + steps).alias("distance"))
+        known = cut(known.unionByName(further), spark)
+        onward = jumps.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+        jumps = cut(jumps.join(onward, F.col("_to") == F.col("_mid")).select("_from", F.col("_end").alias("_to")), spark)
+        steps *= 2
+    return known
+
+
 def fan_out(edges: DataFrame, nodes: DataFrame, start: DataFrame, hops: int, most: int) -> DataFrame:
     """``node, invalid``: reverse reach with a cap that fails closed. If more than ``most`` nodes are reached, or an edge from an
     unreached node still leads into the reached ones, or from a reached node at the last depth, every node is invalid.

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenant.operators import spans as S
+from provenant.operators.graphs import cut
 
 
 def overlay_lookup(ids: DataFrame, overlay: DataFrame, base: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -178,23 +181,49 @@ def first_match(left: DataFrame, key: str, stages: list[tuple[str, DataFrame]])
     return left.select(key).join(best, F.col(key) == F.col("_k"), "left").select(key, "stage", "matched")
 
 
-def claim_once(pairs: DataFrame) -> DataFrame:
-    """``pairs(codebase, ord, id, prior, prior_ord)`` -> ``codebase, id, prior``: in order, each id takes its first prior not yet claimed."""
+#: Rounds in which claims are settled everywhere at once; what is left then is gone through in order.
+ROUNDS = 8
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for (_, i), group in pdf.sort_values(["ord", "id", "prior_ord"]).groupby(["ord", "id"], sort=True):
-            free = [p for p in group["prior"] if p not in used]
-            if free:
-                used.add(free[0])
-                out.append((group["codebase"].iloc[0], i, free[0]))
-        return pd.DataFrame(out, columns=["codebase", "id", "prior"])
 
-    s = pairs.schema
-    return pairs.groupBy("codebase").applyInPandas(
-        claim, ", ".join(f"{c} {s[c].dataType.simpleString()}" for c in ("codebase", "id", "prior"))
-    )
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order of codebase, claimant and prior -> claims, keeping a codebase's claimed priors."""
+    place, who, used = None, None, set()
+    for batch in batches:
+        taken = []
+        for i, (p, row, prior) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("codebase", "id", "prior")))):
+            if p != place:
+                place, who, used = p, None, set()
+            if row != who and prior not in used:
+                who = row
+                used.add(prior)
+                taken.append(i)
+        yield batch.take(pa.array(taken, type=pa.int64())).select(["codebase", "id", "prior"])
+
+
+def claim_once(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pairs(codebase, ord, id, prior, prior_ord)`` -> ``codebase, id, prior``: in order, each id takes its first prior not yet claimed.
+
+    A pair is settled when each is the other's first choice among what is left: no row before can come between. All such pairs of a round are
+    settled at once, and their rows go. What still contends after the rounds (many rows after the same priors) is gone through in order.
+    """
+    spark = pairs.sparkSession
+    left, found = pairs.select("codebase", "ord", "id", "prior", "prior_ord"), []
+    for _ in range(rounds):
+        choice = left.groupBy("codebase", "id").agg(F.min(F.struct("prior_ord", "prior")).alias("_c"))
+        claimant = left.groupBy("codebase", "prior").agg(F.min(F.struct("ord", "id")).alias("_d"))
+        a, b = choice.select("codebase", "id", F.col("_c.prior").alias("prior")), claimant.select("codebase", F.col("_d.id").alias("id"), "prior")
+        new = cut(a.join(b, ["codebase", "id", "prior"], "left_semi"), spark)
+        found.append(new)
+        rest = left.join(new.select("codebase", "id"), ["codebase", "id"], "left_anti").join(new.select("codebase", "prior"), ["codebase", "prior"], "left_anti")
+        left = cut(rest, spark)
+        if left.isEmpty():
+            break
+    else:
+        s = pairs.schema
+        kind = ", ".join(f"{c} {s[c].dataType.simpleString()}" for c in ("codebase", "id", "prior"))
+        ordered = left.repartition("codebase").sortWithinPartitions("codebase", "ord", "id", "prior_ord", "prior")
+        found.append(ordered.mapInArrow(_claims, kind))
+    return reduce(DataFrame.unionByName, found)
 
 
 def still_open_elsewhere(baseline: DataFrame, matched: DataFrame, key: str) -> DataFrame:

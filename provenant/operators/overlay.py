@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators.graphs import ancestors
+
 
 def delta(old: DataFrame, new: DataFrame, key: list[str], compared: list[str]) -> DataFrame:
     """``key, change`` (added, removed, changed) between two versions; null-safe."""
@@ -42,16 +44,12 @@ def effective_chain(layers: DataFrame, key: str, columns: list[str]) -> DataFram
 def layer_depths(parents: DataFrame, leaf: str) -> DataFrame:
     """``parents(snapshot_id, parent_id)`` -> ``snapshot_id, depth`` of the leaf's chain, 0 at the root. A cycle raises.
 
-    A chain is as long as the number of layers, a short list; each step is one key lookup.
+    The chain is found by doubled pointers, in as many rounds as its length has binary digits.
     """
-    chain, at = [], leaf
-    while at is not None:
-        if at in chain:
-            raise ValueError("the chain of layers has a cycle")
-        chain.append(at)
-        row = parents.where(F.col("snapshot_id") == F.lit(at)).select("parent_id").first()
-        at = row[0] if row else None
-    return parents.sparkSession.createDataFrame([(s, i) for i, s in enumerate(reversed(chain))], "snapshot_id string, depth int")
+    leaves = parents.sparkSession.createDataFrame([(leaf,)], "revision string")
+    chain = ancestors(parents.select(F.col("snapshot_id").alias("revision"), F.col("parent_id").alias("parent")), leaves)
+    deepest = chain.agg(F.max("distance")).scalar()
+    return chain.select(F.col("ancestor").alias("snapshot_id"), (deepest - F.col("distance")).cast("int").alias("depth"))
 
 
 def sparse_layer(base: DataFrame, wanted: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.operators.aggregates import reuse_percentage
-from provenant.operators.graphs import reverse_reach
+from provenant.operators.graphs import ancestors, reverse_reach
 from provenant.operators.joins import overlay_lookup
 from provenant.operators.overlay import capped_union, delta
 
@@ -48,3 +48,14 @@ def prepare(prior_files: DataFrame | None, prior_symbols: DataFrame | None, file
     n, base = moved.count(), prior_symbols.count()
     percent = files.sparkSession.range(1).select(reuse_percentage(F.lit(base), F.lit(n)).alias("v")).first()["v"]
     return Prepared(False, paths, moved, affected, int(percent))
+
+
+def tree_at(wanted: DataFrame, parents: DataFrame, changes: DataFrame) -> DataFrame:
+    """``wanted(revision)``, ``changes(revision, path, content)`` (null content: deleted) -> the files of each wanted revision: ``revision, path, content, since``.
+
+    A path has the version of the nearest revision at or above that changed it; of several changes in one revision the greatest content counts.
+    """
+    line = ancestors(parents, wanted)
+    c = changes.groupBy(F.col("revision").alias("_r"), "path").agg(F.max("content").alias("content"))
+    found = line.join(c, F.col("ancestor") == F.col("_r")).groupBy("revision", "path").agg(F.min_by(F.struct("content", "ancestor"), "distance").alias("_v"))
+    return found.where("_v.content IS NOT NULL").select("revision", "path", F.col("_v.content").alias("content"), F.col("_v.ancestor").alias("since"))

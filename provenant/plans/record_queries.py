@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from provenant.functions import ids
 from provenant.functions import redaction as D
@@ -78,10 +79,10 @@ CONFLICTS = "select o_orderkey, case when o_orderkey % 6 <> 0 then 'removed' els
 
 
 def deleted_keys(spark, d):
-    return V.delete_keys(table(spark, d, "part"), table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"]).select("p_partkey")
+    return V.delete_keys(table(spark, d, "part"), table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"]).select("p_partkey")
 
 
-DELETED = "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R')"
+DELETED = "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 49)"
 
 
 def upgraded_columns(spark, d):
@@ -389,12 +390,36 @@ g as (select * from x where why is null), ok as (select k from g where not t), e
  union all select why, '' from (select distinct case when t then -1 else k end, why from x where why is not null) union all select 'unindexed', f from (select distinct p as f from n where p < 'Brand#5' union select 'empty') where f not in (select p from g)) select what, path, count(*) as n from u group by 1, 2"""
 
 
+def _history(spark, d):
+    """A customer's orders as a line of revisions, their lines as changes of files; returned parts are deleted ones."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    parents = o.select(F.col("o_orderkey").alias("revision"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent"))
+    text = F.concat(F.lit("order "), F.col("l_orderkey"), F.lit(" line "), F.col("l_linenumber"), F.lit(" of "), F.col("l_partkey"), F.lit(" "), F.col("l_linestatus"))
+    kept = F.when(F.col("l_returnflag") != "R", text)
+    changes = li.groupBy(F.col("l_orderkey").alias("revision"), F.concat(F.lit("part/"), _mod("l_partkey", 40)).alias("path")).agg(F.max(kept).alias("content"))
+    return parents, changes, o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("revision"))
+
+
+HISTORY = """with c as (select l_orderkey as revision, 'part/' || l_partkey % 40 as path, max(case when l_returnflag <> 'R' then 'order ' || l_orderkey || ' line ' || l_linenumber || ' of ' || l_partkey || ' ' || l_linestatus end) as content from lineitem group by 1, 2),
+l as (select o_custkey as k, max(o_orderkey) as last from orders group by 1), t as (select last as revision, path, content, c.revision as since from c join orders on o_orderkey = c.revision join l on k = o_custkey), v as (select revision, path, max(since) as since from t group by 1, 2)"""
+
+
+def revision_trees(spark, d):
+    """The whole tree at the last revision of each line."""
+    parents, changes, last = _history(spark, d)
+    return S.tree_at(last, parents, changes).select("revision", "path", F.md5("content").alias("h"), "since")
+
+
+TREES = HISTORY + " select v.revision, v.path, md5(content) as h, v.since from v join t using (revision, path, since) where content is not null"
+
+
 def source_blobs(spark, d):
-    b = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("revision"), F.coalesce("lang", F.lit("none")).alias("path"), F.col("text").alias("content"))
-    return Z.blob(b, "web", "en", 200).select(F.md5("content").alias("h"), "truncated").groupBy("h", "truncated").agg(F.count(F.lit(1)).alias("n"))
+    parents, changes, last = _history(spark, d)
+    requests = last.select("revision", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("n")).select("revision", F.concat(F.lit("part/"), "n").alias("path"))
+    return Z.blobs(requests, parents, changes, 24).select("revision", "path", "content", "truncated")
 
 
-BLOBS = "select md5(left(text, 200)) as h, length(text) > 200 as truncated, count(*) as n from documents where source = 'web' and lang = 'en' group by 1, 2"
+BLOBS = HISTORY + " select v.revision, v.path, left(content, 24) as content, length(content) > 24 as truncated from v join t using (revision, path, since) where content is not null"
 
 
 def sarif_report(spark, d):
@@ -437,6 +462,14 @@ def greedy_pairs(spark, d):
     return J.greedy_match(e, f, "case", lambda a, b: abs(a["v"] - b["v"]) <= 1)
 
 
+def claimed_priors(spark, d):
+    """Each line that came back claims the first other line of its part, of like supplier, that none before it has claimed."""
+    li = table(spark, d, "lineitem").withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey"))
+    e = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("codebase"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
+    f = li.where("l_returnflag <> 'R'").select(F.col("l_partkey").alias("codebase"), F.col("id").alias("prior"), F.col("id").alias("prior_ord"), _mod("l_suppkey", 4).alias("w"))
+    return J.claim_once(e.join(f, "codebase").where("abs(v - w) <= 1")).select("codebase", "id", "prior")
+
+
 def _pairs_sql(expected: str, found: str, matches: str) -> str:
     """``expected`` and ``found``: c, id, v. Each expectation, in order of id, takes the first finding of its case that is still free and matches."""
     return f"""with recursive e as materialized (select c, id, v, row_number() over (partition by c order by id) as i from ({expected})), f as materialized (select c, list(struct_pack(id := id, v := v) order by id) as fs from ({found}) group by 1),
@@ -446,6 +479,7 @@ select c as case, eid as expectation, hit as finding from w where i > 0"""
 
 
 PAIRS = _pairs_sql(*[f"select l_partkey as c, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey as id, l_suppkey % 4 as v from lineitem where l_returnflag {op} 'R'" for op in ("=", "<>")], "abs(x.v - e.v) <= 1")
+CLAIMED = "select \"case\" as codebase, expectation as id, finding as prior from (" + PAIRS + ") where finding is not null"
 MATCHES = _pairs_sql("select o_custkey % 20 as c, o_orderkey as id, o_orderkey % 17 as v from orders", "select user_id % 20 as c, event_id as id, event_id % 17 as v from events", "abs(x.v - e.v) <= 1")
 
 QUERIES = {
@@ -453,13 +487,13 @@ QUERIES = {
     "finding_joins": finding_joins, "slice_packet": slice_packet, "probes": probes, "conditional_counts": conditional_counts, "obligation_ids": obligation_ids, "requirement_obligations": requirement_obligations, "distinct_findings": distinct_findings,
     "frontier": frontier, "greedy_fill": greedy_fill, "all_sources": all_sources, "prepared_snapshot": prepared_snapshot, "renewed_leases": renewed_leases, "expired_artifacts": expired_artifacts, "answered_requests": answered_requests, "state_moves": state_moves,
     "scan_statuses": scan_statuses, "evidence_roles": evidence_roles, "expanded_requests": expanded_requests, "guarded_redaction": guarded_redaction, "path_functions": path_functions, "text_functions": text_functions, "json_functions": json_functions,
-    "admitted_paths": admitted_paths, "route_lines": route_lines, "diff_tables": diff_tables, "status_listing": status_listing, "normalised_graph": normalised_graph, "source_blobs": source_blobs, "sarif_report": sarif_report, "markdown_report": markdown_report,
-    "context_windows": context_windows, "greedy_pairs": greedy_pairs,
+    "admitted_paths": admitted_paths, "route_lines": route_lines, "diff_tables": diff_tables, "status_listing": status_listing, "normalised_graph": normalised_graph, "source_blobs": source_blobs, "revision_trees": revision_trees, "sarif_report": sarif_report, "markdown_report": markdown_report,
+    "context_windows": context_windows, "greedy_pairs": greedy_pairs, "claimed_priors": claimed_priors,
 }
 ORACLES = {
     "key_lookup": KEY, "active_rows": ACTIVE, "touched_rows": TOUCHED, "compact_items": COMPACT, "write_once": ONCE, "insert_conflicts": CONFLICTS, "deleted_keys": DELETED, "upgraded_columns": UPGRADED, "finding_joins": FINDINGS, "slice_packet": PACKET,
     "probes": PROBES, "conditional_counts": CONDITIONAL, "obligation_ids": OBLIGATION, "requirement_obligations": REQUIREMENTS, "distinct_findings": DISTINCT, "frontier": FRONTIER, "greedy_fill": FILL, "all_sources": UNION, "prepared_snapshot": PREPARED,
     "renewed_leases": RENEWED, "expired_artifacts": EXPIRED, "answered_requests": ANSWERED, "state_moves": MOVES, "scan_statuses": STATUSES, "evidence_roles": ROLES, "expanded_requests": EXPANDED, "guarded_redaction": GUARDED, "path_functions": PATHS,
-    "text_functions": TEXTS, "json_functions": JSONS, "admitted_paths": ADMITTED, "route_lines": ROUTES, "diff_tables": DIFFS, "status_listing": LISTING, "normalised_graph": NORMALISED, "source_blobs": BLOBS, "sarif_report": SARIF, "markdown_report": MARKDOWN,
-    "context_windows": CONTEXTS, "greedy_pairs": PAIRS, "greedy_match": MATCHES,
+    "text_functions": TEXTS, "json_functions": JSONS, "admitted_paths": ADMITTED, "route_lines": ROUTES, "diff_tables": DIFFS, "status_listing": LISTING, "normalised_graph": NORMALISED, "source_blobs": BLOBS, "revision_trees": TREES, "sarif_report": SARIF, "markdown_report": MARKDOWN,
+    "context_windows": CONTEXTS, "greedy_pairs": PAIRS, "claimed_priors": CLAIMED, "greedy_match": MATCHES,
 }

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators.snapshots import tree_at
+
 #: Extensions and exact names that count as source, and folders that never do (the caller may pass others).
 EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".java", ".rb", ".rs", ".php", ".cs", ".c", ".cpp", ".h", ".kt", ".scala", ".sql", ".yaml", ".yml", ".json", ".toml")
 NAMES = ("Dockerfile", "Makefile", "Gemfile")
@@ -197,7 +199,10 @@ def normalise_graph(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> dic
     }
 
 
-def blob(blobs: DataFrame, revision: str, path: str, most_chars: int) -> DataFrame:
-    """One file at a revision, its content cut to a size, saying so."""
-    here = blobs.where((F.col("revision") == revision) & (F.col("path") == path))
-    return here.select("revision", "path", F.substring("content", 1, most_chars).alias("content"), (F.length("content") > most_chars).alias("truncated"))
+def blobs(requests: DataFrame, parents: DataFrame, changes: DataFrame, most_chars: int) -> DataFrame:
+    """``requests(revision, path)`` -> ``revision, path, content, truncated``: files as they were at a revision, cut to a size and saying so; none where
+    there was no such file. ``parents(revision, parent)`` and ``changes(revision, path, content)`` as for ``snapshots.tree_at``."""
+    wanted = requests.select("revision", "path").distinct()
+    asked = wanted.select(F.col("path").alias("_p")).distinct()
+    tree = tree_at(wanted, parents, changes.join(asked, F.col("path") == F.col("_p"), "left_semi"))
+    return tree.join(wanted, ["revision", "path"], "left_semi").select("revision", "path", F.substring("content", 1, most_chars).alias("content"), (F.length("content") > most_chars).alias("truncated"))

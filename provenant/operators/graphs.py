@@ -197,6 +197,36 @@ def entry_and_terminal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("node", F.col("_i").isNull().alias("is_entry"), F.col("_o").isNull().alias("is_terminal"))
 
 
+def assembled_traces(steps: DataFrame, support: DataFrame, gaps: DataFrame, root: str, sinks: list[str]) -> DataFrame:
+    """Evidence traces with a row for each step.
+
+    ``steps(trace, pos, role)``, ``support(trace, pos, support, via)`` (the step before it, as ``joins.nearest_by_class`` finds it; null: none),
+    ``gaps(trace, gap)`` -> ``trace, pos, role, source, via, branch, depth, is_entry, is_terminal, complete, n_gaps``. ``branch`` is the position where the
+    chain of supports of a step begins, ``depth`` its length: chains are closed by doubled pointers, in as many rounds as the longest has binary digits. A
+    step without support that isn't its trace's first is a gap. A trace is complete if it has no gap, a step of the role ``root`` and one of ``sinks``.
+    """
+    spark = steps.sparkSession
+    linked = steps.select("trace", "pos", "role").join(support.select("trace", "pos", F.col("support").alias("source"), "via"), ["trace", "pos"], "left")
+    # each step points at its support; those that begin a chain point at themselves
+    at = cut(linked.select("trace", "pos", F.coalesce("source", "pos").alias("up"), F.when(F.col("source").isNull(), 0).otherwise(1).cast("long").alias("far")), spark)
+    while True:
+        above = at.select(F.col("trace").alias("_t"), F.col("pos").alias("_p"), F.col("up").alias("_up"), F.col("far").alias("_far"))
+        further = at.join(above, (F.col("trace") == F.col("_t")) & (F.col("up") == F.col("_p"))).select("trace", "pos", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("moved"))
+        at = cut(further, spark)
+        if at.where("moved").isEmpty():
+            break
+        at = at.drop("moved")
+    onward = linked.where("source IS NOT NULL").select(F.col("trace").alias("_t"), F.col("source").alias("_p")).distinct()
+    marked = linked.join(at.select(F.col("trace").alias("_a"), F.col("pos").alias("_b"), F.col("up").alias("branch"), F.col("far").alias("depth")), (F.col("trace") == F.col("_a")) & (F.col("pos") == F.col("_b"))).join(
+        onward, (F.col("trace") == F.col("_t")) & (F.col("pos") == F.col("_p")), "left").select("trace", "pos", "role", "source", "via", "branch", "depth", F.col("_p").isNull().alias("is_terminal"))
+    known = gaps.where("trim(gap) <> ''").select("trace", F.trim("gap").alias("gap")).distinct().groupBy("trace").agg(F.count(F.lit(1)).alias("_told"))
+    whole = marked.groupBy("trace").agg(
+        F.min("pos").alias("_first"), F.count_if(F.col("source").isNull()).alias("_starts"), F.bool_or(F.col("role") == root).alias("_root"), F.bool_or(F.col("role").isin(*sinks)).alias("_sink")
+    ).join(known, "trace", "left").withColumn("n_gaps", F.col("_starts") - 1 + F.coalesce("_told", F.lit(0)))
+    facts = whole.select(F.col("trace").alias("_w"), "n_gaps", F.coalesce((F.col("n_gaps") == 0) & F.col("_root") & F.col("_sink"), F.lit(False)).alias("complete"))
+    return marked.join(facts, F.col("trace") == F.col("_w")).select("trace", "pos", "role", "source", "via", "branch", "depth", F.col("source").isNull().alias("is_entry"), "is_terminal", "complete", "n_gaps")
+
+
 def nested_values(df: DataFrame, key: str, payload: str, name: str) -> DataFrame:
     """``key, value``: every text under a field of that name, at any depth of a JSON text; in no particular order."""
 

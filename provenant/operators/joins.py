@@ -117,6 +117,20 @@ def nearest_supporting(steps: DataFrame, key: str, supports: Callable[[str, str]
     return b.join(a, on, "left").groupBy(F.col(f"later.{key}").alias(key), F.col("later.pos").alias("pos")).agg(F.max("earlier.pos").alias("support"))
 
 
+def nearest_by_class(steps: DataFrame, key: str) -> DataFrame:
+    """``steps(key, pos, gives, takes)`` (arrays of texts) -> ``key, pos, support, via``: the largest earlier position whose step gives something that
+    this one takes, and the first such thing; null: none.
+
+    Support goes by equal classes, so each class of a key is one sorted run in which a taker looks back at the last giver: no pairs of steps.
+    """
+    gives = steps.select(key, "pos", F.explode(F.array_distinct("gives")).alias("_c"), F.lit(1).alias("_side"))
+    takes = steps.select(key, "pos", F.explode(F.array_distinct("takes")).alias("_c"), F.lit(0).alias("_side"))
+    back = Window.partitionBy(key, "_c").orderBy("pos", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = gives.unionByName(takes).withColumn("_last", F.last(F.when(F.col("_side") == 1, F.col("pos")), ignorenulls=True).over(back))
+    best = run.where("_side = 0 AND _last IS NOT NULL").groupBy(F.col(key).alias("_k"), F.col("pos").alias("_p")).agg(F.min(F.struct((-F.col("_last")).alias("n"), F.col("_c").alias("c"))).alias("_b"))
+    return steps.select(key, "pos").join(best, (F.col(key) == F.col("_k")) & (F.col("pos") == F.col("_p")), "left").select(key, "pos", (-F.col("_b.n")).alias("support"), F.col("_b.c").alias("via"))
+
+
 def aliases(name: Column) -> Column:
     """A name's aliases: itself and its last segment, case-folded."""
     low = F.lower(name)

@@ -116,15 +116,21 @@ def expand_source(requests: DataFrame, files: DataFrame, routes: DataFrame, reac
     from pyspark.sql.window import Window
 
     from provenant.operators.intervals import context_window
+    from provenant.sources.readers import terms_in
 
     f = files.select(F.col("path").alias("_p"), "lines")
     around = requests.where("kind = 'window'").join(f, F.col("path") == F.col("_p")).where((F.col("line") >= 1) & (F.col("line") <= F.size("lines"))).select(
         "id", "kind", F.col("_p").alias("path"), F.col("line"), context_window(F.col("lines"), F.col("line"), F.lit(reach), 16_000)["content"].alias("content"))
     text = f.select(F.col("_p").alias("path"), F.posexplode("lines").alias("_n", "content"))
     wanted = requests.where("kind = 'search' AND length(target) > 1").select("id", "kind", "target")
-    found = text.join(wanted, F.instr(F.col("content"), F.col("target")) > 0).select("id", "kind", "path", (F.col("_n") + 1).alias("line"), "content")
+    held = terms_in(text.select("path", "_n", "content", F.col("content").alias("_c")), wanted.select(F.col("target").alias("term")), "_c")
+    found = held.join(wanted, F.col("term") == F.col("target")).select("id", "kind", "path", (F.col("_n") + 1).alias("line"), "content")
     r = routes.select(F.col("path").alias("_p"), "line_no", "route")
-    at = requests.where("kind = 'route'").select("id", "kind", "target").join(r, F.endswith(F.lower("route"), F.lower("target"))).select(
+    # a registration ends in what is asked for: both meet in the last characters, as many as are asked for
+    asked = requests.where("kind = 'route'").select("id", "kind", F.lower("target").alias("_t"))
+    lengths = F.coalesce(asked.agg(F.array_sort(F.collect_set(F.length("_t")))).scalar(), F.array().cast("array<int>"))
+    endings = r.withColumn("_ls", lengths).withColumn("_l", F.explode("_ls")).drop("_ls").where(F.col("_l") <= F.length("route")).withColumn("_end", F.expr("right(lower(route), _l)"))
+    at = asked.join(endings, (F.col("_t") == F.col("_end")) & (F.length("_t") == F.col("_l"))).select(
         "id", "kind", F.col("_p").alias("path"), F.col("line_no").alias("line"), F.col("route").alias("content"))
     w = Window.partitionBy("id", "kind")
     every = around.unionByName(found).unionByName(at)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators import graphs as G
 from provenant.operators import joins as J
 from provenant.plans.events_queries import table
 from provenant.sources import parsing as P
+from provenant.sources import readers as Z
 
 #: A line of an order as a method of four lines; the strings and comments hold brackets and calls that are none.
 JS_METHOD = "  async {own}(x) {{ // }}\n    const s = \"}}{{ g(\" + '}}';  /* {{ h( */\n    p.{other}(x, \"k(\");\n  }}"
@@ -80,5 +82,54 @@ EDGES = ITEMS + """, s as (select m.*, row_number() over () as id from m), c as
 select s.path, count(distinct (s.id, t.id)) as n from c join s on s.path = c.path and s.own = c.own join s t on t.own = c.other and t.id <> s.id group by 1"""
 
 
-QUERIES = {"parsed_symbols": parsed_symbols, "parsed_calls": parsed_calls, "parsed_references": parsed_references, "parsed_edges": parsed_edges}
-ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES}
+def many_terms(spark, d):
+    """Every longer word that occurs once in the documents as a term, looked for in every line."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\w]+")).alias("term")).where("length(term) between 9 and 40").groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    hits = Z.terms_in(Z.text_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), words.select("term"), "text")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("n_terms"), F.max("line_no").cast("long").alias("last_line"))
+
+
+def _trace_steps(spark, d):
+    """An order's lines as the steps of a trace: a line gives its part's brand and takes that of the one three parts on, or its supplier."""
+    li = table(spark, d, "lineitem")
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    role = F.element_at(F.array(*[F.lit(r) for r in ("ROOT", "TRUST", "ORIGIN", "EFFECT")]), (F.pmod("l_partkey", F.lit(4)) + 1).cast("int"))
+    word = lambda prefix, column, by, n: F.concat(F.lit(prefix), F.pmod(F.col(column) + n, F.lit(by)))
+    return li.select(F.col("l_orderkey").alias("trace"), F.row_number().over(along).cast("long").alias("pos"), role.alias("role"), F.array(word("p", "l_partkey", 3, 0), word("s", "l_suppkey", 2, 0)).alias("gives"),
+                     F.array(word("p", "l_partkey", 3, 1), word("s", "l_suppkey", 2, 0)).alias("takes"))
+
+
+STEPS = """with recursive t as (select l_orderkey as trace, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) as pos,
+ ['ROOT', 'TRUST', 'ORIGIN', 'EFFECT'][l_partkey % 4 + 1] as role, ['p' || l_partkey % 3, 's' || l_suppkey % 2] as gives, ['p' || (l_partkey + 1) % 3, 's' || l_suppkey % 2] as takes from lineitem),
+c as (select b.trace, b.pos, a.pos as source, list_min(list_intersect(a.gives, b.takes)) as via from t b join t a on a.trace = b.trace and a.pos < b.pos and len(list_intersect(a.gives, b.takes)) > 0),
+n as (select trace, pos, max(source) as source, arg_max(via, source) as via from c group by 1, 2)"""
+
+
+def class_support(spark, d):
+    steps = _trace_steps(spark, d)
+    return J.nearest_by_class(steps, "trace")
+
+
+SUPPORT = STEPS + " select t.trace, t.pos, source as support, via from t left join n on n.trace = t.trace and n.pos = t.pos"
+
+
+def assembled_traces(spark, d):
+    steps = _trace_steps(spark, d)
+    gaps = table(spark, d, "orders").where(F.pmod("o_orderkey", F.lit(5)) == 0).select(F.col("o_orderkey").alias("trace"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, " ").otherwise("no route").alias("gap"))
+    return G.assembled_traces(steps, J.nearest_by_class(steps, "trace"), gaps, "ROOT", ["TRUST", "EFFECT"])
+
+
+TRACES = STEPS + """, w(trace, pos, up, far) as (select t.trace, t.pos, coalesce(n.source, t.pos), case when n.source is null then 0 else 1 end from t left join n on n.trace = t.trace and n.pos = t.pos
+ union all select w.trace, w.pos, n.source, w.far + 1 from w join n on n.trace = w.trace and n.pos = w.up and w.far > 0),
+b as (select trace, pos, min(up) as branch, max(far) as depth from w group by 1, 2), g as (select o_orderkey as trace from orders where o_orderkey % 5 = 0 and o_orderkey % 2 <> 0),
+h as (select t.trace, count(*) filter (n.source is null) - 1 + count(distinct g.trace) as n_gaps, bool_or(role = 'ROOT') and bool_or(role in ('TRUST', 'EFFECT')) as roles from t left join n on n.trace = t.trace and n.pos = t.pos left join g on g.trace = t.trace group by 1)
+select t.trace, t.pos, role, n.source, via, branch, depth, n.source is null as is_entry, not exists (select 1 from n m where m.trace = t.trace and m.source = t.pos) as is_terminal, n_gaps = 0 and roles as complete, n_gaps
+from t left join n on n.trace = t.trace and n.pos = t.pos join b on b.trace = t.trace and b.pos = t.pos join h on h.trace = t.trace"""
+
+
+QUERIES = {
+    "parsed_symbols": parsed_symbols, "parsed_calls": parsed_calls, "parsed_references": parsed_references, "parsed_edges": parsed_edges, "many_terms": many_terms, "class_support": class_support,
+    "assembled_traces": assembled_traces,
+}
+#: Thousands of terms in every line are beyond SQL; a test holds ``many_terms`` to a brute force.
+ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES}

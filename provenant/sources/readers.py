@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,8 +77,8 @@ def text_lines(files: DataFrame, path: str = "path", content: str = "content") -
 
 
 MOST_TERMS, MOST_TERM_CHARS = 20, 2000
-#: Queries whose terms are broadcast together: 8 MB at twenty terms of a hundred characters.
-QUERIES_AT_ONCE = 4_000
+#: Bytes of terms that are broadcast together, as one automaton.
+TERM_BYTES = 4 << 20
 
 
 def valid_query(terms: Column) -> Column:
@@ -84,20 +86,60 @@ def valid_query(terms: Column) -> Column:
     return F.size(terms).between(1, MOST_TERMS) & F.forall(terms, lambda t: F.length(t).between(1, MOST_TERM_CHARS) & ~t.rlike(r"[\r\n\x00]"))
 
 
+def _term_batches(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
+    """Texts -> each text's row number in the batch's ids and the terms that it holds, by one Aho-Corasick automaton."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for term in terms.value:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+    for batch in batches:
+        at, hits = [], []
+        for i, text in enumerate(batch.column("_text").to_pylist()):
+            if text:
+                found = {term for _, term in automaton.iter(text)}
+                at += [i] * len(found)
+                hits += found
+        rows = batch.take(pa.array(at, type=pa.int64())).drop_columns(["_text"])
+        yield rows.append_column("_term", pa.array(hits, type=pa.string()))
+
+
+def terms_in(texts: DataFrame, terms: DataFrame, text: str, at_once: int = TERM_BYTES) -> DataFrame:
+    """``texts``, ``terms(term)`` -> the columns of ``texts`` but for ``text``, and ``term``: each distinct term that a text holds, as it stands.
+
+    A text is read once by an automaton of all terms, so the work is that of the text and its hits, not of the number of terms. An automaton holds
+    about ``at_once`` bytes of terms; more terms are dealt by a hash into rounds of that size. Null and empty texts and terms hit nothing.
+    """
+    spark = texts.sparkSession
+    distinct = terms.where("term <> ''").select("term").distinct()
+    size = distinct.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    rounds = max(1, -(-size // at_once))
+    kept = [c for c in texts.columns if c != text]
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != text), "_term string"])
+    rows = texts.select(*kept, F.col(text).alias("_text"))
+    parts = []
+    for i in range(rounds):
+        own = distinct.where(F.pmod(F.xxhash64("term"), F.lit(rounds)) == i) if rounds > 1 else distinct
+        known = spark.sparkContext.broadcast([r[0] for r in own.toLocalIterator()])  # about at_once bytes
+        parts.append(rows.mapInArrow(lambda b, k=known: _term_batches(b, k), kind))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_term", "term")
+
+
 def search(lines: DataFrame, queries: DataFrame, path: str, cap: int, regex: bool = False) -> tuple[DataFrame, DataFrame]:
     """``lines(path, line_no, text)``, ``queries(query_id, terms)`` -> hits ``query_id, path, line_no, truncated`` and the invalid queries.
 
-    Lines are never shuffled but for hits: terms are sent to every task, at most ``QUERIES_AT_ONCE`` queries of twenty terms at a time; more are
-    worked through in rounds of that many. A line that holds any term is a hit; the first ``cap`` of a query stay and say whether more were there.
+    Lines are read where they lie; hits are joined with the queries of their terms. A line that holds any term is a hit; the first ``cap`` of a query
+    stay and say whether more were there. Patterns (``regex``) are tried one by one on every line, as no index serves them all.
     """
     good = queries.where(valid_query(F.col("terms")))
-    rounds = max(1, -(-good.count() // QUERIES_AT_ONCE))
-    ranks = good.select("query_id", "terms", F.pmod(F.xxhash64("query_id"), F.lit(rounds)).alias("_round")) if rounds > 1 else good.select("query_id", "terms", F.lit(0).alias("_round"))
-    terms = ranks.select("query_id", "_round", F.explode("terms").alias("_t"))
-    meet = F.regexp_like("text", F.col("_t")) if regex else F.instr(F.col("text"), F.col("_t")) > 0
-    hits = reduce(DataFrame.unionByName, [lines.join(F.broadcast(terms.where(F.col("_round") == i)), meet).select("query_id", path, "line_no") for i in range(rounds)]).distinct()
+    terms = good.select("query_id", F.explode("terms").alias("term")).distinct()
+    if regex:
+        hits = lines.join(terms, F.regexp_like("text", F.col("term")))
+    else:
+        hits = terms_in(lines.select(path, "line_no", "text"), terms, "text").join(terms, "term")
     w = Window.partitionBy("query_id")
-    ranked = hits.withColumn("_rn", F.row_number().over(w.orderBy(path, "line_no"))).withColumn("truncated", F.count(F.lit(1)).over(w) > cap)
+    ranked = hits.select("query_id", path, "line_no").distinct().withColumn("_rn", F.row_number().over(w.orderBy(path, "line_no"))).withColumn("truncated", F.count(F.lit(1)).over(w) > cap)
     return ranked.where(F.col("_rn") <= cap).drop("_rn"), queries.where(~F.coalesce(valid_query(F.col("terms")), F.lit(False)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +172,33 @@ def flow(edges: DataFrame, start: DataFrame, depth: int, most_edges: int) -> Dat
     return found.groupBy("edge_id", "ord").agg(F.min("depth").alias("depth")).orderBy("depth", "ord").limit(most_edges).select("edge_id", "depth")
 
 
+def flows(requests: DataFrame, edges: DataFrame, depth: int, most_edges: int) -> DataFrame:
+    """``requests(id, node)``, ``edges(edge_id, source, target, ord)`` walked in both directions -> ``id, edge_id, depth, rank, path``.
+
+    All requests are answered together, in ``depth`` joins: the frontier is keyed by request and node. A node keeps the first way (by the orders of its
+    edges) of the least length that leads to it, and an edge's ``path`` is that way and the edge. The first ``most_edges`` of a request by depth, then
+    scan order. Several nodes of one request start together.
+    """
+    spark = edges.sparkSession
+    e = edges.select("edge_id", "ord", F.col("source").alias("_a"), F.col("target").alias("_b"))
+    ends = e.select("edge_id", "ord", F.col("_a").alias("_x"), F.col("_b").alias("_y")).unionByName(e.select("edge_id", "ord", F.col("_b").alias("_x"), F.col("_a").alias("_y")))
+    step = F.struct("ord", "edge_id")
+    none = F.array().cast(edges.select(F.array(step)).schema[0].dataType)
+    frontier = requests.select("id", "node").distinct().withColumn("way", none)
+    seen, found = frontier.select("id", "node"), []
+    for d in range(1, depth + 1):
+        walked = ends.join(frontier, F.col("_x") == F.col("node")).select("id", "edge_id", "ord", F.col("_y").alias("to"), F.lit(d).alias("depth"), F.concat("way", F.array(step)).alias("way"))
+        walked = cut(walked, spark)
+        found.append(walked.groupBy("id", "edge_id", "ord").agg(F.min("depth").alias("depth"), F.min("way").alias("way")))
+        frontier = cut(walked.groupBy("id", F.col("to").alias("node")).agg(F.min("way").alias("way")).join(seen, ["id", "node"], "left_anti"), spark)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select("id", "node"))
+    once = reduce(DataFrame.unionByName, found).groupBy("id", "edge_id", "ord").agg(F.min(F.struct("depth", "way")).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("_b.depth", "ord", "edge_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most_edges).select("id", "edge_id", "_b.depth", "rank", F.transform("_b.way", lambda x: x["edge_id"]).alias("path"))
+
+
 def stale(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """``recorded(owner, kind, key, hash)``, ``current(kind, key, hash)`` -> recorded dependencies that no longer hold. Kind ``unresolved`` never holds."""
     c = current.select(F.col("kind").alias("_k"), F.col("key").alias("_key"), F.col("hash").alias("_h"))

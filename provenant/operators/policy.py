@@ -92,17 +92,37 @@ def evidence_roles(steps: DataFrame, roles: DataFrame) -> DataFrame:
     return steps.join(r, F.col("kind") == F.col("_k"), "left").drop("_k").withColumn("role", F.coalesce("role", F.lit("context")))
 
 
-def expand_requests(requests: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, most: int) -> DataFrame:
-    """``requests(id, kind, target)`` -> ``id, kind, rank, fact, truncated``: definitions, callers, callees and imports of the target, the first ``most``."""
-    from pyspark.sql.window import Window
+def dotted_endings(name: Column) -> Column:
+    """A name and what follows each of its dots, case-folded: all that it may be asked for by."""
+    parts = F.split(F.trim(F.lower(name)), r"\.")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+
+
+def expand_requests(requests: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, most: int, references: DataFrame | None = None) -> DataFrame:
+    """``requests(id, kind, target)`` -> ``id, kind, rank, fact, truncated``: the first ``most`` facts about the target.
 
-    def facts(kind: str, df: DataFrame, on: str, fact: Column) -> DataFrame:
-        side = df.select(F.lower(on).alias("_on"), fact.alias("fact")).distinct()
-        return requests.where(F.col("kind") == kind).join(side, F.lower("target") == F.col("_on")).select("id", "kind", "fact")
+    Kinds: definition (``symbols(name, path, start_line)``), callers, callees and flow (``calls(caller, callee)``; flow takes both sides, as ``caller -> callee``),
+    imports (``imports(path, module)``, by path), sibling_handlers (all symbols of a path; a target that is no path stands for the request's
+    ``changed_path``, if requests have that column). Names match whole or by what follows a dot. A target without callers has its
+    ``references(source, target)`` instead, if they are given.
+    """
+    from pyspark.sql.window import Window
 
-    found = facts("definition", symbols, "name", F.concat_ws(":", "path", "start_line")).unionByName(
-        facts("callers", calls, "callee", F.col("caller"))).unionByName(facts("callees", calls, "caller", F.col("callee"))).unionByName(
-        facts("imports", imports, "path", F.col("module")))
+    def facts(kind: str, df: DataFrame, on: str, fact: Column, whole: bool = False) -> DataFrame:
+        names = F.array(F.trim(F.lower(on))) if whole else dotted_endings(F.col(on))
+        side = df.select(F.explode(names).alias("_on"), fact.alias("fact")).distinct()
+        return requests.where(F.col("kind") == kind).select("id", "kind", F.trim(F.lower("target")).alias("_t")).join(side, F.col("_t") == F.col("_on")).select("id", "kind", "fact")
+
+    place, link = F.concat_ws(":", "path", "start_line"), F.concat_ws(" -> ", "caller", "callee")
+    callers = facts("callers", calls, "callee", F.col("caller"))
+    if references is not None:
+        callers = callers.unionByName(facts("callers", references, "target", F.col("source")).join(callers.select("id").distinct(), "id", "left_anti"))
+    target = F.col("target")
+    if "changed_path" in requests.columns:
+        target = F.when(F.instr("target", "/").cast("boolean") | F.contains("target", F.lit(".")), F.col("target")).otherwise(F.col("changed_path"))
+    beside = requests.where("kind = 'sibling_handlers'").select("id", "kind", target.alias("_t")).join(symbols.select(F.col("path").alias("_p"), F.concat_ws(":", "name", "start_line").alias("fact")).distinct(), F.col("_t") == F.col("_p")).select("id", "kind", "fact")
+    found = facts("definition", symbols, "name", place).unionByName(callers).unionByName(facts("callees", calls, "caller", F.col("callee"))).unionByName(
+        facts("imports", imports, "path", F.col("module"), True)).unionByName(facts("flow", calls, "caller", link).unionByName(facts("flow", calls, "callee", link)).distinct()).unionByName(beside)
     w = Window.partitionBy("id", "kind")
     ranked = found.withColumn("rank", F.row_number().over(w.orderBy("fact"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
     return ranked.where(F.col("rank") <= most)

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from provenant.operators import graphs as G
 from provenant.operators import joins as J
+from provenant.operators import policy as Q
 from provenant.plans.events_queries import table
 from provenant.sources import parsing as P
 from provenant.sources import readers as Z
@@ -127,9 +128,41 @@ select t.trace, t.pos, role, n.source, via, branch, depth, n.source is null as i
 from t left join n on n.trace = t.trace and n.pos = t.pos join b on b.trace = t.trace and b.pos = t.pos join h on h.trace = t.trace"""
 
 
+def request_flows(spark, d):
+    """For every customer the links of the part tree around one part, three steps far, each with the way to it."""
+    tree = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("edge_id"), F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 2).alias("target"), (-F.col("p_partkey")).alias("ord"))
+    asks = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 7, F.lit(150)).alias("node"))
+    found = G.flows(asks, tree, 3, 12)
+    return found.select("id", "edge_id", F.col("depth").cast("long").alias("depth"), F.col("rank").cast("long").alias("rank"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+FLOWS = """with recursive e as (select p_partkey as edge, p_partkey as a, p_partkey // 2 as b from part where p_partkey > 0), x as (select edge, a as f, b as t from e union all select edge, b, a from e),
+r(id, node, depth, way) as (select c_custkey, c_custkey * 7 % 150, 0::bigint, []::bigint[] from customer union all select r.id, x.t, r.depth + 1, list_append(r.way, x.edge) from r join x on x.f = r.node and not list_contains(r.way, x.edge) where r.depth < 3),
+k as (select id, way[-1] as edge_id, depth, way, row_number() over (partition by id order by depth, -way[-1]) as rank from r where depth > 0)
+select id, edge_id, depth, rank, array_to_string(way, '>') as path from k where rank <= 12"""
+
+
+def context_requests(spark, d):
+    """Over parsed files: what stands around the methods of every part and supplier, in the kinds flow, callers, definition and siblings."""
+    p = P.parse(files(spark, d))
+    names = table(spark, d, "lineitem").select(F.concat(F.lit("f"), "l_partkey", F.lit("_"), "l_suppkey").alias("target"), F.col("l_partkey").alias("k"), F.concat(F.lit("src/o"), "l_orderkey", F.lit(".js")).alias("changed_path"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("flow", "callers", "definition", "sibling_handlers")]), (F.pmod("k", F.lit(4)) + 1).cast("int"))
+    asks = names.groupBy("target", "k").agg(F.min("changed_path").alias("changed_path")).select(F.col("target").alias("id"), kind.alias("kind"), "target", "changed_path")
+    found = Q.expand_requests(asks, p.symbols.withColumnRenamed("line", "start_line"), p.calls, p.imports.select("path", F.col("text").alias("module")), 4)
+    return found.select("id", "kind", F.col("rank").cast("long").alias("rank"), "fact", "truncated")
+
+
+CONTEXTS = ITEMS + """, c as (select own, other, path, 'O' || o || '.' || own as caller, case when js then 'p.' else 'self.' end || other as callee, line, js, o from m),
+a as (select 'f' || l_partkey || '_' || l_suppkey as id, l_partkey % 4 as k, min('src/o' || l_orderkey || '.js') as path from lineitem group by 1, 2),
+f as (select distinct id, 'flow' as kind, caller || ' -> ' || callee as fact from a join c on id in (own, other) where k = 0 union select distinct id, 'callers', caller from a join c on id = other where k = 1
+ union select distinct id, 'definition', c.path || ':' || line from a join c on id = own where k = 2
+ union select distinct id, 'sibling_handlers', x.fact from a join (select path, own || ':' || line as fact from m where js union all select distinct path, 'O' || o || ':2' from m where js) x on x.path = a.path where k = 3),
+r as (select *, row_number() over (partition by id, kind order by fact) as rank, count(*) over (partition by id, kind) > 4 as truncated from f) select id, kind, rank, fact, truncated from r where rank <= 4"""
+
+
 QUERIES = {
     "parsed_symbols": parsed_symbols, "parsed_calls": parsed_calls, "parsed_references": parsed_references, "parsed_edges": parsed_edges, "many_terms": many_terms, "class_support": class_support,
-    "assembled_traces": assembled_traces,
+    "assembled_traces": assembled_traces, "request_flows": request_flows, "context_requests": context_requests,
 }
 #: Thousands of terms in every line are beyond SQL; a test holds ``many_terms`` to a brute force.
-ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES}
+ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES, "request_flows": FLOWS, "context_requests": CONTEXTS}

@@ -7,7 +7,9 @@ import re
 from functools import reduce
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from provenant.functions.text import CREDENTIAL_NAME, REDACTIONS
 
@@ -105,6 +107,29 @@ def repaired_json(column):
     return _mapped(one)(column)
 
 
+def structured(df: DataFrame, column: str, schema: StructType, required: list[str]) -> DataFrame:
+    """Adds ``value`` (a struct of ``schema``, null if the text has no JSON object or lacks a required field) and ``reasons``: why it isn't wholly good.
+
+    Reasons: no_json, missing:<field> for required fields, type:<field> for fields whose value is of another type (they are null in ``value``). The object is
+    found as by ``repaired_json`` and read by a permissive typed parse, which keeps the fields that fit.
+    """
+    fields = [f.name for f in schema.fields]
+    row = df.withColumn("_j", repaired_json(F.col(column)))
+    typed = row.withColumn("_t", F.from_json("_j", StructType([*schema.fields, StructField("_corrupt", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+
+    def has(name: str):
+        return F.get_json_object("_j", f"$['{name}']").isNotNull()
+
+    wrong = [F.when(has(f) & F.col("_t").getField(f).isNull(), F.lit(f"type:{f}")) for f in fields]
+    missing = [F.when(~has(f), F.lit(f"missing:{f}")) for f in required]
+    reasons = F.when(F.col("_j").isNull(), F.array(F.lit("no_json"))).otherwise(F.array_compact(F.array(*missing, *wrong)))
+    good = F.col("_j").isNotNull()
+    for f in required:
+        good = good & F.col("_t").getField(f).isNotNull()
+    value = F.when(good, F.struct(*[F.col("_t").getField(f).alias(f) for f in fields]))
+    return typed.withColumn("value", value).withColumn("reasons", reasons).drop("_j", "_t")
+
+
 def field_characters(column, names: list[str]):
     """Characters of all texts under fields of the given names, at any depth of a JSON text."""
 

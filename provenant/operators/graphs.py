@@ -256,31 +256,19 @@ def assembled_traces(steps: DataFrame, support: DataFrame, gaps: DataFrame, root
 
 
 def nested_values(df: DataFrame, key: str, payload: str, name: str) -> DataFrame:
-    """``key, value``: every text under a field of that name, at any depth of a JSON text; in no particular order."""
-
-    @F.pandas_udf("array<string>")
-    def harvest(texts):
-        import json
-
-        def walk(x):
-            if isinstance(x, dict):
-                for k, v in x.items():
-                    if k == name and isinstance(v, str):
-                        yield v
-                    yield from walk(v)
-            elif isinstance(x, list):
-                for v in x:
-                    yield from walk(v)
-
-        def one(t):
-            try:
-                return list(dict.fromkeys(walk(json.loads(t)))) if t else []
-            except ValueError:
-                return []
-
-        return texts.map(one)
-
-    return df.select(key, F.explode(harvest(payload)).alias("value"))
+    """``key, value``: every text under a field of that name, at any depth of a JSON text, once for each key; in no particular order.
+
+    Texts become variants, which are taken apart level by level: as many rounds as the deepest nesting. What isn't JSON has no values.
+    """
+    spark = df.sparkSession
+    level, found = df.select(F.col(key).alias("_k"), F.try_parse_json(payload).alias("_v")).where("_v IS NOT NULL"), []
+    while True:
+        parts = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_k", F.col("key").alias("_name"), F.col("value").alias("_v"), F.schema_of_variant("value").alias("_kind"))
+        parts = cut(parts, spark)
+        found.append(parts.where((F.col("_name") == name) & (F.col("_kind") == "STRING")).select(F.col("_k").alias(key), F.try_variant_get("_v", "$", "string").alias("value")))
+        level = parts.where("_kind LIKE 'OBJECT%' OR _kind LIKE 'ARRAY%'").select("_k", "_v")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 # How each kind of request is answered: mode, relations, direction.

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.functions.text import redact
 from provenant.operators import joins as J
 
 
@@ -231,6 +232,36 @@ def context_window(lines: Column, line: Column, reach: int, most_chars: int) ->
     )
 
 
+def source_windows(requests: DataFrame, files: DataFrame, before: int, after: int, most_chars: int) -> DataFrame:
+    """``requests(id, path, line, hash)`` (the hash that the snapshot has of the file; null: it has no such file), ``files(path, content)`` ->
+    ``id, state, start_line, end_line, content``: the redacted text around a line, or why there is none.
+
+    States: ok, unknown_path, unreadable (no such file or no text), stale_source (the file has another hash by now), invalid_range (no such line), over_budget (more
+    than ``most_chars`` after redaction). Only ok comes with a text: it is never cut.
+    """
+    f = files.select(F.col("path").alias("_p"), "content", F.sha2("content", 256).alias("_h"), F.split("content", "\n").alias("_all"))
+    n = F.size("_all") - F.col("content").endswith("\n").cast("int")
+    got = requests.join(f, F.col("path") == F.col("_p"), "left").withColumn("_n", F.greatest(F.lit(1), n))
+    first, last = F.greatest(F.lit(1), F.col("line") - before).cast("int"), F.least(F.col("_n"), F.col("line") + after).cast("int")
+    exact = F.concat(F.array_join(F.slice("_all", F.col("_first"), F.greatest(F.lit(0), F.col("_last") - F.col("_first") + 1)), "\n"), F.when(F.col("_last") < F.size("_all"), "\n").otherwise(""))
+    state = (
+        F.when(F.col("hash").isNull(), "unknown_path").when(F.col("_h").isNull(), "unreadable").when(F.col("_h") != F.col("hash"), "stale_source")
+        .when(F.coalesce((F.col("line") < 1) | (F.col("_last") < F.col("_first")), F.lit(True)), "invalid_range").otherwise("ok")
+    )
+    stated = got.withColumn("_first", first).withColumn("_last", last).withColumn("_s", state)
+    read = stated.withColumn("_t", F.when(F.col("_s") == "ok", redact(exact)))
+    final = F.when(F.length("_t") > most_chars, "over_budget").otherwise(F.col("_s"))
+    fine = final == "ok"
+    return read.select("id", final.alias("state"), F.when(fine, F.col("_first")).alias("start_line"), F.when(fine, F.col("_last")).alias("end_line"), F.when(fine, F.col("_t")).alias("content"))
+
+
+def add_uncovered(registrations: DataFrame, regions: DataFrame, counters: Observation | None = None) -> DataFrame:
+    """``registrations(path, id, start, end)`` of symbols, ``regions(path, start, end, anchor_type)`` -> the parts that no region covers, as regions to
+    add: ``path, id, start, end``. Regions of routes cover nothing. ``counters``, if given, has ``added`` (parts) and ``lines`` once the result was computed."""
+    parts = subtract(registrations, regions.where("anchor_type <> 'route'"), "path")
+    return parts if counters is None else parts.observe(counters, F.count(F.lit(1)).alias("added"), F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("lines"))
+
+
 def group_worksets(regions: DataFrame) -> DataFrame:
     """``regions(region_id, surface_type, surface_id, path, start_line, end_line, content_id)`` -> worksets of slices, equal ones once.
 

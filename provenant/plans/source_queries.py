@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from provenant.functions import redaction as D
+from provenant.functions import text as T
 from provenant.operators import graphs as G
+from provenant.operators import intervals as I
 from provenant.operators import joins as J
 from provenant.operators import policy as Q
 from provenant.plans.events_queries import table
@@ -160,9 +164,65 @@ f as (select distinct id, 'flow' as kind, caller || ' -> ' || callee as fact fro
 r as (select *, row_number() over (partition by id, kind order by fact) as rank, count(*) over (partition by id, kind) > 4 as truncated from f) select id, kind, rank, fact, truncated from r where rank <= 4"""
 
 
+def source_windows(spark, d):
+    """Documents as files: some are unknown to the snapshot, some have changed since, some requests lie behind the end."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "doc_id")
+    k = F.col("doc_id")
+    known = F.when(F.pmod(k, F.lit(7)) == 0, None).when(F.pmod(k, F.lit(5)) == 0, F.sha2(F.lit("before"), 256)).otherwise(F.sha2("content", 256))
+    asks = docs.select(k.alias("id"), "path", F.pmod(k, F.lit(9)).alias("line"), known.alias("hash"))
+    found = I.source_windows(asks, docs.select("path", "content"), 2, 1, 2000)
+    return found.select("id", "state", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.sha2("content", 256).alias("content"))
+
+
+def _redacted_sql(column: str) -> str:
+    out = column
+    for pattern, to in T.REDACTIONS:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return out
+
+
+WINDOWS = f"""with f as (select doc_id, doc_id % 9 as line, text, string_split(text, chr(10)) as l from documents), n as (select *, greatest(1, len(l) - case when text like '%' || chr(10) then 1 else 0 end) as n from f),
+w as (select *, greatest(1, line - 2) as a, least(n, line + 1) as b from n), t as (select *, array_to_string(l[a:b], chr(10)) || case when b < len(l) then chr(10) else '' end as t from w), r as (select *, {_redacted_sql('t')} as x from t),
+s as (select *, case when doc_id % 7 = 0 then 'unknown_path' when text is null then 'unreadable' when doc_id % 5 = 0 then 'stale_source' when line < 1 or b < a then 'invalid_range' when length(x) > 2000 then 'over_budget' else 'ok' end as state from r)
+select doc_id as id, state, case when state = 'ok' then a end::bigint as start_line, case when state = 'ok' then b end::bigint as end_line, case when state = 'ok' then sha256(x) end as content from s"""
+
+
+def uncovered_registrations(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    start = F.pmod("o_orderkey", F.lit(500))
+    registrations = o.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("id"), start.alias("start"), (start + F.pmod("o_orderkey", F.lit(40))).alias("end"))
+    at = F.pmod("l_partkey", F.lit(500))
+    regions = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("path"), at.alias("start"), (at + F.col("l_linenumber") * 3).alias("end"), F.when(F.col("l_linenumber") == 1, "route").otherwise("symbol").alias("anchor_type"))
+    return I.add_uncovered(registrations, regions)
+
+
+UNCOVERED = """with g as (select o_custkey as path, o_orderkey as id, o_orderkey % 500 as a, o_orderkey % 500 + o_orderkey % 40 as b from orders), c as (select distinct o_custkey as path, l_partkey % 500 as s, l_partkey % 500 + l_linenumber * 3 as e from lineitem join orders on l_orderkey = o_orderkey where l_linenumber <> 1),
+p as (select path, id, unnest(range(a, b + 1)) as n from g), u as (select path, id, n, n - row_number() over (partition by path, id order by n) as i from p where not exists (select 1 from c where c.path = p.path and p.n between c.s and c.e))
+select path, id, min(n) as start, max(n) as "end" from u group by path, id, i"""
+
+
+def structured_answers(spark, d):
+    """Each part as an answer in one of six forms, good and bad."""
+    k = F.col("p_partkey")
+    good = F.concat(F.lit('{"name": "'), "p_brand", F.lit('", "size": '), "p_size", F.lit(', "tags": ["a", "b"]}'))
+    forms = F.array(
+        good, F.concat(F.lit("Here:\n```json\n"), good, F.lit("\n```")), F.concat(F.lit('{"name": "'), "p_brand", F.lit('", "size": "large"}')), F.lit('{"size": 3, "tags": 5}'), F.lit("no answer"),
+        F.concat(F.lit('{"name": "'), "p_brand", F.lit('", "size": null}')))
+    said = table(spark, d, "part").select("p_partkey", F.element_at(forms, (F.pmod(k, F.lit(6)) + 1).cast("int")).alias("text"))
+    found = D.structured(said, "text", StructType.fromDDL("name string, size int, tags array<string>"), ["name", "size"])
+    return found.select("p_partkey", "value.name", F.col("value.size").cast("long").alias("size"), F.size("value.tags").cast("long").alias("n_tags"), F.array_join("reasons", ",").alias("reasons"))
+
+
+STRUCTURED = """select p_partkey, case when p_partkey % 6 < 2 then p_brand end as name, case when p_partkey % 6 < 2 then p_size end::bigint as size, case when p_partkey % 6 < 2 then 2 end::bigint as n_tags,
+['', '', 'type:size', 'missing:name,type:tags', 'no_json', 'missing:size'][p_partkey % 6 + 1] as reasons from part"""
+
+
 QUERIES = {
     "parsed_symbols": parsed_symbols, "parsed_calls": parsed_calls, "parsed_references": parsed_references, "parsed_edges": parsed_edges, "many_terms": many_terms, "class_support": class_support,
     "assembled_traces": assembled_traces, "request_flows": request_flows, "context_requests": context_requests,
+    "source_windows": source_windows, "uncovered_registrations": uncovered_registrations, "structured_answers": structured_answers,
 }
 #: Thousands of terms in every line are beyond SQL; a test holds ``many_terms`` to a brute force.
-ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES, "request_flows": FLOWS, "context_requests": CONTEXTS}
+ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES, "request_flows": FLOWS, "context_requests": CONTEXTS, "source_windows": WINDOWS,
+    "uncovered_registrations": UNCOVERED, "structured_answers": STRUCTURED,
+}

@@ -422,10 +422,25 @@ def source_blobs(spark, d):
 BLOBS = HISTORY + " select v.revision, v.path, left(content, 24) as content, length(content) > 24 as truncated from v join t using (revision, path, since) where content is not null"
 
 
-def sarif_report(spark, d):
-    f = table(spark, d, "part").select(
+def _sarif_findings(spark, d):
+    return table(spark, d, "part").select(
         F.col("p_partkey").alias("ord"), F.col("p_brand").alias("rule_id"), F.col("p_type").alias("title"), F.element_at(F.array(F.lit("critical"), F.lit("Medium"), F.lit("low"), F.lit("odd")), (_mod("p_partkey", 4) + 1).cast("int")).alias("severity"), F.col("p_name").alias("path"), F.col("p_size").alias("start_line"),
         (F.col("p_size") + 1).alias("end_line"), F.md5("p_name").alias("fingerprint"), F.array(F.struct(F.lit("o").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))).alias("others"))
+
+
+def sarif_parts(spark, d):
+    """The report line by line, as it is written in parts: what each line begins with and how long it is."""
+    lines = W.sarif_lines(_sarif_findings(spark, d), "tool", "1")
+    return lines.groupBy("section", F.left("value", F.lit(1)).alias("begins")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
+PARTS = """with f as (select p_partkey as ord, p_brand as rule from part), r as (select min(ord) as ord from f group by rule), l as (select 0 as section, 0 as ord, '{' as begins union all select 2, 0, ']' union all select 4, 0, ']'
+ union all select 1, ord, case when ord = (select min(ord) from r) then '{' else ',' end from r union all select 3, ord, case when ord = (select min(ord) from f) then '{' else ',' end from f)
+select section::integer as section, begins, count(*) as n, min(ord)::bigint as first, max(ord)::bigint as last from l group by 1, 2"""
+
+
+def sarif_report(spark, d):
+    f = _sarif_findings(spark, d)
     doc = W.sarif(f, "tool", "1").select(F.from_json("value", Z.SARIF).alias("d"))
     r = doc.select(F.explode("d.runs").alias("r")).select(F.explode("r.results").alias("x"))
     at = F.col("x.locations")[0]["physicalLocation"]
@@ -487,13 +502,13 @@ QUERIES = {
     "finding_joins": finding_joins, "slice_packet": slice_packet, "probes": probes, "conditional_counts": conditional_counts, "obligation_ids": obligation_ids, "requirement_obligations": requirement_obligations, "distinct_findings": distinct_findings,
     "frontier": frontier, "greedy_fill": greedy_fill, "all_sources": all_sources, "prepared_snapshot": prepared_snapshot, "renewed_leases": renewed_leases, "expired_artifacts": expired_artifacts, "answered_requests": answered_requests, "state_moves": state_moves,
     "scan_statuses": scan_statuses, "evidence_roles": evidence_roles, "expanded_requests": expanded_requests, "guarded_redaction": guarded_redaction, "path_functions": path_functions, "text_functions": text_functions, "json_functions": json_functions,
-    "admitted_paths": admitted_paths, "route_lines": route_lines, "diff_tables": diff_tables, "status_listing": status_listing, "normalised_graph": normalised_graph, "source_blobs": source_blobs, "revision_trees": revision_trees, "sarif_report": sarif_report, "markdown_report": markdown_report,
+    "admitted_paths": admitted_paths, "route_lines": route_lines, "diff_tables": diff_tables, "status_listing": status_listing, "normalised_graph": normalised_graph, "source_blobs": source_blobs, "revision_trees": revision_trees, "sarif_report": sarif_report, "sarif_parts": sarif_parts, "markdown_report": markdown_report,
     "context_windows": context_windows, "greedy_pairs": greedy_pairs, "claimed_priors": claimed_priors,
 }
 ORACLES = {
     "key_lookup": KEY, "active_rows": ACTIVE, "touched_rows": TOUCHED, "compact_items": COMPACT, "write_once": ONCE, "insert_conflicts": CONFLICTS, "deleted_keys": DELETED, "upgraded_columns": UPGRADED, "finding_joins": FINDINGS, "slice_packet": PACKET,
     "probes": PROBES, "conditional_counts": CONDITIONAL, "obligation_ids": OBLIGATION, "requirement_obligations": REQUIREMENTS, "distinct_findings": DISTINCT, "frontier": FRONTIER, "greedy_fill": FILL, "all_sources": UNION, "prepared_snapshot": PREPARED,
     "renewed_leases": RENEWED, "expired_artifacts": EXPIRED, "answered_requests": ANSWERED, "state_moves": MOVES, "scan_statuses": STATUSES, "evidence_roles": ROLES, "expanded_requests": EXPANDED, "guarded_redaction": GUARDED, "path_functions": PATHS,
-    "text_functions": TEXTS, "json_functions": JSONS, "admitted_paths": ADMITTED, "route_lines": ROUTES, "diff_tables": DIFFS, "status_listing": LISTING, "normalised_graph": NORMALISED, "source_blobs": BLOBS, "revision_trees": TREES, "sarif_report": SARIF, "markdown_report": MARKDOWN,
+    "text_functions": TEXTS, "json_functions": JSONS, "admitted_paths": ADMITTED, "route_lines": ROUTES, "diff_tables": DIFFS, "status_listing": LISTING, "normalised_graph": NORMALISED, "source_blobs": BLOBS, "revision_trees": TREES, "sarif_report": SARIF, "sarif_parts": PARTS, "markdown_report": MARKDOWN,
     "context_windows": CONTEXTS, "greedy_pairs": PAIRS, "claimed_priors": CLAIMED, "greedy_match": MATCHES,
 }

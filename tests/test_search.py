@@ -83,3 +83,87 @@ def test_many_terms_query(spark, sf_dir):
         lines = (d["text"] or "").split("\n")
         hits = [(i, w) for i, x in enumerate(lines) for w in once if w in x]
         assert got.get(d["doc_id"], (0, 0)) == (len(hits), len({w for _, w in hits}))
+
+
+def test_flows_of_many_requests(spark):
+    rng = random.Random(8)
+    edges = sorted({(i, rng.randrange(30), rng.randrange(30)) for i in range(45)})
+    asks = [(r, rng.randrange(30)) for r in range(40)] + [(3, 4), (99, 1000)]
+    got = G.flows(spark.createDataFrame(asks, "id long, node long"), spark.createDataFrame([(i, a, b, 100 - i) for i, a, b in edges], "edge_id long, source long, target long, ord long"), 4, 20).collect()
+    for r in {i for i, _ in asks}:
+        far, way = {n: 0 for i, n in asks if i == r}, {}
+        for d in range(1, 5):
+            for _, a, b in edges:
+                for x, y in ((a, b), (b, a)):
+                    if far.get(x) == d - 1 and y not in far:
+                        far[y] = d
+        depth = {i: min(far.get(a, 9), far.get(b, 9)) + 1 for i, a, b in edges}
+        want = sorted((d, 100 - i, i) for i, d in depth.items() if d <= 4)[:20]
+        mine = sorted((x["rank"], x["depth"], x["edge_id"], x["path"]) for x in got if x["id"] == r)
+        assert [(d, e) for _, d, e, _ in mine] == [(d, i) for d, _, i in want]
+        ends = {i: {a, b} for i, a, b in edges}
+        for _, d, e, path in mine:
+            assert len(path) == d and path[-1] == e and all(ends[x] & ends[y] for x, y in zip(path, path[1:])) and ends[path[0]] & {n for i, n in asks if i == r}
+
+
+def test_requests_by_kind(spark):
+    symbols = spark.createDataFrame([("Shop.buy", "a.js", 3), ("buy", "b.js", 1), ("Shop", "a.js", 1)], "name string, path string, start_line int")
+    calls = spark.createDataFrame([("Shop.buy", "db.save"), ("main", "Shop.Buy")], "caller string, callee string")
+    refs = spark.createDataFrame([("routes", "main")], "source string, target string")
+    imports = spark.createDataFrame([("a.js", "fs")], "path string, module string")
+    asks = [(1, "definition", "buy", "x"), (2, "callers", "buy", "x"), (3, "callers", "main", "x"), (4, "callees", "shop.buy", "x"), (5, "flow", "buy", "x"), (6, "sibling_handlers", "a.js", "x"), (7, "sibling_handlers", "handlers", "b.js"), (8, "imports", "A.js", "x"), (9, "what", "buy", "x"), (10, "callers", "uy", "x")]
+    found = P.expand_requests(spark.createDataFrame(asks, "id long, kind string, target string, changed_path string"), symbols, calls, imports, 5, refs)
+    got = {}
+    for r in found.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["fact"])
+    assert got == {1: ["a.js:3", "b.js:1"], 2: ["main"], 3: ["routes"], 4: ["db.save"], 5: ["Shop.buy -> db.save", "main -> Shop.Buy"], 6: ["Shop.buy:3", "Shop:1"], 7: ["buy:1"], 8: ["fs"]}
+
+
+def test_windows_registrations_and_answers(spark):
+    import hashlib
+
+    from pyspark.sql import Observation
+    from pyspark.sql.types import StructType
+
+    from provenant.functions import redaction as D
+    from provenant.operators import intervals as I
+
+    text = "one\ntwo\npassword = 'hunter2hunter2'\nfour\n"
+    h = hashlib.sha256(text.encode()).hexdigest()
+    asks = [(1, "f", 3, h), (2, "f", 3, "old"), (3, "f", 3, None), (4, "g", 1, h), (5, "f", 9, h), (6, "f", 0, h), (7, "f", 4, h), (8, "long", 1, hashlib.sha256(b"x" * 50).hexdigest()), (9, "f", None, h)]
+    files = spark.createDataFrame([("f", text), ("long", "x" * 50)], "path string, content string")
+    got = {r["id"]: r for r in I.source_windows(spark.createDataFrame(asks, "id long, path string, line int, hash string"), files, 1, 1, 45).collect()}
+    assert {i: r["state"] for i, r in got.items()} == {1: "ok", 2: "stale_source", 3: "unknown_path", 4: "unreadable", 5: "invalid_range", 6: "invalid_range", 7: "ok", 8: "over_budget", 9: "invalid_range"}
+    assert "hunter2" not in got[1]["content"] and got[1]["content"].startswith("two\n") and got[1]["content"].endswith("four\n") and got[2]["content"] is None
+    seen = Observation("added")
+    parts = I.add_uncovered(
+        spark.createDataFrame([("p", 1, 1, 20), ("p", 2, 30, 31), ("q", 3, 5, 5)], "path string, id long, start long, end long"),
+        spark.createDataFrame([("p", 4, 6, "symbol"), ("p", 5, 12, "line_range"), ("p", 1, 40, "route")], "path string, start long, end long, anchor_type string"), seen)
+    assert sorted((r["id"], r["start"], r["end"]) for r in parts.collect()) == [(1, 1, 3), (1, 13, 20), (2, 30, 31), (3, 5, 5)]
+    assert seen.get == {"added": 4, "lines": 14}
+    said = [(1, '{"n": 1, "t": "x"}'), (2, "so: ```json\n{\"n\": 2, \"t\": \"y\", \"more\": [1]}\n```"), (3, '{"n": "one", "t": "z"}'), (4, '{"t": "z"}'), (5, "nothing"), (6, None), (7, "[1, 2]")]
+    answers = {r["id"]: (r["value"] and tuple(r["value"]), r["reasons"]) for r in D.structured(spark.createDataFrame(said, "id long, text string"), "text", StructType.fromDDL("n int, t string"), ["n"]).collect()}
+    assert answers == {1: ((1, "x"), []), 2: ((2, "y"), []), 3: (None, ["type:n"]), 4: (None, ["missing:n"]), 5: (None, ["no_json"]), 6: (None, ["no_json"]), 7: (None, ["no_json"])}
+
+
+def test_nested_values(spark):
+    deep = '{"ref":"top","a":' * 1 + '[{"ref":"x"},{"b":{"ref":{"ref":"y"}}},[["z",{"ref":"x"}]],{"ref":5},{"ref":null}]' + "}"
+    rows = [(1, deep), (2, "no json"), (3, None), (4, "[]"), (5, '"ref"'), (6, '{"ref":""}')]
+    got = sorted(tuple(r) for r in G.nested_values(spark.createDataFrame(rows, "k long, p string"), "k", "p", "ref").collect())
+    assert got == [(1, "top"), (1, "x"), (1, "y"), (6, "")]
+
+
+def test_sarif_in_parts(spark, tmp_path):
+    import json
+
+    from provenant.sources import sinks as W
+
+    rows = [(i, f"r{i % 7}", f'a "title" {i}', ["critical", "low", "odd"][i % 3], f"p{i}.py", i, i + 1, f"f{i}", [("q", 1, 2)] if i % 2 else []) for i in range(5, 400)]
+    findings = spark.createDataFrame(rows, "ord long, rule_id string, title string, severity string, path string, start_line int, end_line int, fingerprint string, others array<struct<path:string,start_line:int,end_line:int>>")
+    W.write_sarif(findings.repartition(5), 'my "tool"', "1", str(tmp_path / "out"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*")))
+    doc = json.loads(text)
+    run = doc["runs"][0]
+    assert [r["partialFingerprints"]["primary"] for r in run["results"]] == [f"f{i}" for i in range(5, 400)] and [r["id"] for r in run["tool"]["driver"]["rules"]] == [f"r{i % 7}" for i in range(5, 12)]
+    assert run["tool"]["driver"]["name"] == 'my "tool"' and json.loads(W.sarif(findings, 'my "tool"', "1").first()[0]) == doc
+    assert json.loads(W.sarif(findings.where("false"), "t", "1").first()[0])["runs"][0]["results"] == []

@@ -42,6 +42,20 @@ def resolve_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.join(callees, F.col("_t") == F.col("_last")).where("source_id <> target_id").select("source_id", "target_id").distinct()
 
 
+def resolved_names(calls: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``resolve_edges`` in two factors, distinct: ``source_id, name`` and ``name, target_id``. Joined on the name, without loops, they are its edges.
+
+    A name that many symbols call and many have costs a row for each of these, not one for each pair; whoever reads edges from a few sources or to a few targets
+    joins only those.
+    """
+    callers = symbols.select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.col("symbol_id").alias("source_id"))
+    targets = symbols.select(last_segment(F.col("name")).alias("name"), F.col("symbol_id").alias("target_id")).distinct()
+    called = calls.select("path", "caller", last_segment(F.col("callee")).alias("name")).distinct()
+    sources = called.join(callers, (F.col("path") == F.col("_p")) & (F.col("caller") == F.col("_n"))).select("source_id", "name").distinct()
+    known = targets.select("name").distinct()
+    return sources.join(known, "name", "left_semi").select("source_id", "name"), targets.join(sources.select("name").distinct(), "name", "left_semi").select("name", "target_id")
+
+
 def resolve_edge_totals(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``resolve_edges`` by source: ``source_id, n, targets`` (number and sum of the distinct targets); each symbol_id must have one row.
 

@@ -217,12 +217,38 @@ STRUCTURED = """select p_partkey, case when p_partkey % 6 < 2 then p_brand end a
 ['', '', 'type:size', 'missing:name,type:tags', 'no_json', 'missing:size'][p_partkey % 6 + 1] as reasons from part"""
 
 
+def edge_factors(spark, d):
+    """The edges between the callers of common names and all symbols that have them, in factors: every line's call, to names that a fifth of all symbols share."""
+    word = F.concat(F.lit("f"), F.pmod("p_size", F.lit(5)))
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("path"), F.concat_ws(".", F.replace("p_type", F.lit(" "), F.lit("_")), word).alias("name"))
+    calls = table(spark, d, "lineitem").join(s.select(F.col("symbol_id").alias("l_partkey"), "path", "name"), "l_partkey").select("path", F.col("name").alias("caller"), F.concat(F.lit("m.f"), F.pmod("l_suppkey", F.lit(7))).alias("callee"))
+    sources, targets = J.resolved_names(calls, s)
+    return sources.select(F.lit("source").alias("side"), F.col("source_id").alias("symbol_id"), "name").unionByName(targets.select(F.lit("target").alias("side"), F.col("target_id").alias("symbol_id"), "name"))
+
+
+FACTORS = """with s as (select p_partkey as id, p_brand as path, replace(p_type, ' ', '_') || '.f' || (p_size % 5) as name, 'f' || (p_size % 5) as last from part),
+c as (select distinct path, name as caller, 'f' || (l_suppkey % 7) as callee from lineitem join s on id = l_partkey), x as (select distinct a.id, c.callee from c join s a on a.path = c.path and a.name = c.caller where c.callee in (select last from s))
+select 'source' as side, id as symbol_id, callee as name from x union all select 'target', id, last from s where last in (select callee from x)"""
+
+
+def components_by_edge(spark, d):
+    """Customers share a node by threes; nodes are joined to the next where a customer is of one nation."""
+    c = table(spark, d, "customer")
+    node = F.floor(F.col("c_custkey") / 3)
+    return G.target_groups(c.select(F.col("c_custkey").alias("target"), node.alias("node")), c.where("c_nationkey = 3").select(node.alias("source"), (node + 1).alias("target")))
+
+
+BY_EDGE = """with recursive n as (select distinct c_custkey // 3 as n from customer), e as (select distinct c_custkey // 3 as a, c_custkey // 3 + 1 as b from customer where c_nationkey = 3 and c_custkey // 3 + 1 in (select n from n)),
+r(x, y) as (select n, n from n union select r.x, e.a from r join e on e.b = r.y), g as (select x, min(y) as low from r group by 1), h as (select c_custkey // 3 as n, min(c_custkey) as first from customer group by 1)
+select c_custkey as target, first as component from customer join g on x = c_custkey // 3 join h on h.n = low"""
+
+
 QUERIES = {
     "parsed_symbols": parsed_symbols, "parsed_calls": parsed_calls, "parsed_references": parsed_references, "parsed_edges": parsed_edges, "many_terms": many_terms, "class_support": class_support,
     "assembled_traces": assembled_traces, "request_flows": request_flows, "context_requests": context_requests,
-    "source_windows": source_windows, "uncovered_registrations": uncovered_registrations, "structured_answers": structured_answers,
+    "source_windows": source_windows, "uncovered_registrations": uncovered_registrations, "structured_answers": structured_answers, "edge_factors": edge_factors, "components_by_edge": components_by_edge,
 }
 #: Thousands of terms in every line are beyond SQL; a test holds ``many_terms`` to a brute force.
 ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES, "request_flows": FLOWS, "context_requests": CONTEXTS, "source_windows": WINDOWS,
-    "uncovered_registrations": UNCOVERED, "structured_answers": STRUCTURED,
+    "uncovered_registrations": UNCOVERED, "structured_answers": STRUCTURED, "edge_factors": FACTORS, "components_by_edge": BY_EDGE,
 }

@@ -167,3 +167,12 @@ def test_sarif_in_parts(spark, tmp_path):
     assert [r["partialFingerprints"]["primary"] for r in run["results"]] == [f"f{i}" for i in range(5, 400)] and [r["id"] for r in run["tool"]["driver"]["rules"]] == [f"r{i % 7}" for i in range(5, 12)]
     assert run["tool"]["driver"]["name"] == 'my "tool"' and json.loads(W.sarif(findings, 'my "tool"', "1").first()[0]) == doc
     assert json.loads(W.sarif(findings.where("false"), "t", "1").first()[0])["runs"][0]["results"] == []
+
+
+def test_factored_edges(spark):
+    symbols = [(i, f"p{i % 4}", f"{'ab'[i % 2]}.f{i % 3}") for i in range(60)]
+    calls = [(f"p{i % 4}", f"{'ab'[i % 2]}.f{i % 3}", f"x.y.f{(i * 5 + 1) % 4}") for i in range(60)]
+    s, c = spark.createDataFrame(symbols, "symbol_id long, path string, name string"), spark.createDataFrame(calls, "path string, caller string, callee string")
+    sources, targets = J.resolved_names(c, s)
+    whole = sources.join(targets, "name").where("source_id <> target_id").select("source_id", "target_id").distinct()
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, J.resolve_edges(c, s).collect())) and whole.count() > 100

@@ -11,6 +11,7 @@ from provenant.functions import text as T
 from provenant.operators import graphs as G
 from provenant.operators import intervals as I
 from provenant.operators import joins as J
+from provenant.operators import ledger as N
 from provenant.operators import policy as Q
 from provenant.plans.events_queries import table
 from provenant.sources import parsing as P
@@ -243,12 +244,48 @@ r(x, y) as (select n, n from n union select r.x, e.a from r join e on e.b = r.y)
 select c_custkey as target, first as component from customer join g on x = c_custkey // 3 join h on h.n = low"""
 
 
+def path_kinds(spark, d):
+    """Every part's name as a path of one of eight shapes: which are sensitive, which generated."""
+    shapes = F.array(*[F.lit(x) for x in ("src/#.py", ".env.#", "keys/#.PEM", "dist/#.js", "a/#.min.css", "b/#_pb2.py", "id_rsa", "deep/build/#.go")])
+    k = F.col("p_partkey")
+    paths = table(spark, d, "part").select("p_partkey", F.replace(F.element_at(shapes, (F.pmod(k, F.lit(8)) + 1).cast("int")), F.lit("#"), F.concat(F.lit("n"), k)).alias("path"))
+    return paths.select("p_partkey", Z.is_sensitive(F.col("path")).alias("sensitive"), Z.is_generated(F.col("path")).alias("generated"))
+
+
+KINDS = "select p_partkey, p_partkey % 8 in (1, 2, 6) as sensitive, p_partkey % 8 in (3, 4, 5, 7) as generated from part"
+
+
+def first_paths(spark, d):
+    """The first hundred paths of a listing."""
+    return Z.listing(table(spark, d, "orders").select(F.concat(F.lit("src/o"), "o_orderkey", F.lit(".py")).alias("path")), 100)
+
+
+LISTING = "select 'src/o' || o_orderkey || '.py' as path from orders order by 1 limit 100"
+
+
+def cache_lookups(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.pmod("o_custkey", F.lit(3)).cast("int").alias("version"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("payload"))
+    return N.cached(o, 2).select("o_orderkey", "payload")
+
+
+CACHED = "select o_orderkey, o_orderstatus as payload from orders where o_custkey % 3 = 2 and o_orderstatus <> 'P'"
+
+
+def surface_obligations(spark, d):
+    return N.surface_obligations(table(spark, d, "lineitem").select(F.concat(F.lit("w"), F.col("l_partkey")).alias("workset_id")))
+
+
+OBLIGATIONS = "select distinct 'w' || l_partkey as workset_id, sha256('surface' || chr(29) || 'w' || l_partkey) as canonical_id, 'REQUIRED' as importance from lineitem"
+
+
 QUERIES = {
     "parsed_symbols": parsed_symbols, "parsed_calls": parsed_calls, "parsed_references": parsed_references, "parsed_edges": parsed_edges, "many_terms": many_terms, "class_support": class_support,
     "assembled_traces": assembled_traces, "request_flows": request_flows, "context_requests": context_requests,
     "source_windows": source_windows, "uncovered_registrations": uncovered_registrations, "structured_answers": structured_answers, "edge_factors": edge_factors, "components_by_edge": components_by_edge,
+    "path_kinds": path_kinds, "first_paths": first_paths, "cache_lookups": cache_lookups, "surface_obligations": surface_obligations,
 }
 #: Thousands of terms in every line are beyond SQL; a test holds ``many_terms`` to a brute force.
 ORACLES = {"parsed_symbols": SYMBOLS, "parsed_calls": CALLS, "parsed_references": REFERENCES, "parsed_edges": EDGES, "class_support": SUPPORT, "assembled_traces": TRACES, "request_flows": FLOWS, "context_requests": CONTEXTS, "source_windows": WINDOWS,
     "uncovered_registrations": UNCOVERED, "structured_answers": STRUCTURED, "edge_factors": FACTORS, "components_by_edge": BY_EDGE,
+    "path_kinds": KINDS, "first_paths": LISTING, "cache_lookups": CACHED, "surface_obligations": OBLIGATIONS,
 }

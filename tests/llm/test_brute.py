@@ -14,7 +14,7 @@ import xxhash
 
 import corpus_pipeline
 from provenant.llm import packing, secrets
-from tests.llm.test_operators import DOCS, WORD, brute_chunks, brute_fingerprint, brute_targets, common_key, find_all
+from tests.llm.test_operators import DOCS, WORD, brute_fingerprint, brute_removed, brute_targets, common_key, find_all
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -54,16 +54,9 @@ def brute_language(docs):
 
 
 def brute_line_stage(docs):
-    first, cut = {}, [(d, brute_chunks(d[1])) for d in docs]
-    for d, chunks in sorted(cut, key=lambda x: (x[0][0] is None, x[0][0] or 0, common_key(x[0][1]))):
-        for n, c in enumerate(chunks):
-            if len(c) >= 2 and any(x.strip() for x in c):
-                first.setdefault(tuple(c), (d[0], d[1], n))
     out = []
-    for d, chunks in cut:
-        kept = [c for n, c in enumerate(chunks) if len(c) < 2 or not any(x.strip() for x in c) or first[tuple(c)] == (d[0], d[1], n)]
-        text = "\n".join(x for c in kept for x in c)
-        if len(kept) == len(chunks) or text.strip(SPACE):
+    for d, (_, text, _, gone) in zip(docs, brute_removed([d[:2] for d in docs])):
+        if not gone or text.strip(SPACE):
             out.append((d[0], text, d[2], d[3], len(text)))
     return out
 

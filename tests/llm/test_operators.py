@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from provenant.llm import common, components, cws, embeddings, langid, lines, mixing, packing, secrets, simhash, substring, warc
+from provenant.llm import common, components, cws, embeddings, langid, lines, mixing, packing, queries, secrets, simhash, substring, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -534,33 +534,61 @@ def test_suffix_automaton():
 # -- 9: line dedup ------------------------------------------------------------
 
 
-def brute_chunks(text):
-    """The chunks of a text, line by line: a chunk ends after two lines or more whose last two hash to a multiple of four, if two lines are left."""
-    found, out, mask, factor = text.split("\n"), [[]], (1 << 64) - 1, 0x9E3779B97F4A7C15
-    for i, line in enumerate(found):
-        out[-1].append(line)
-        if i >= 1 and len(out[-1]) >= 2 and len(found) - i - 1 >= 2:
-            last, before = (xxhash.xxh3_64_intdigest(x.encode()) for x in (line, found[i - 1]))
-            rolling = last + before * factor & mask
-            if ((rolling ^ rolling >> 29) * factor & mask) >> 40 & 3 == 0:
-                out.append([])
+def brute_spans(found):
+    """Chunks by whole-number arithmetic, line by line."""
+    hashes, mask = [xxhash.xxh3_64_intdigest(x.encode()) for x in found], (1 << 64) - 1
+    starts, ends = {0}, {len(found)}
+    for size in (1, 2):
+        for at in range(len(found) - size + 1):
+            rolling = size
+            for h in hashes[at : at + size]:
+                rolling = (rolling * 0x9E3779B97F4A7C15 + h) & mask
+            mixed = (rolling ^ rolling >> 29) * 0x9E3779B97F4A7C15 & mask
+            wide = sum(len(x.split()) for x in found[at : at + size]) >= 10
+            if wide or not mixed >> 40 & 1:
+                starts.add(at)
+            if wide or not mixed >> 50 & 1:
+                ends.add(at + size)
+    return [(a, min(e for e in ends if e >= a + 2)) for a in sorted(starts) if a + 2 <= len(found)]
+
+
+def brute_removed(rows):
+    """First occurrences by a scan in order; each later one walks outward from its chunk, no further than the chunks beside it."""
+    cut = [(doc, text, text.split("\n") if text else [], brute_spans(text.split("\n")) if text else []) for doc, text in rows]
+    first = {}
+    for doc, text, found, spans in sorted(cut, key=lambda c: (c[0] is None, c[0] or 0, common_key(c[1]))):
+        for n, (a, b) in enumerate(spans):
+            first.setdefault(tuple(found[a:b]), (doc, text, found, spans, n))
+    out = []
+    for doc, text, found, spans in cut:
+        drop = set()
+        for n, (a, b) in enumerate(spans):
+            if not any(x.strip() for x in found[a:b]):
+                continue
+            other, other_text, theirs, their_spans, m = first[tuple(found[a:b])]
+            if (other, other_text, m) == (doc, text, n):
+                continue
+            a2, b2 = their_spans[m]
+            low, low2 = (s[k - 1][0] if k else 0 for s, k in ((spans, n), (their_spans, m)))
+            high, high2 = (s[k + 1][1] if k + 1 < len(s) else len(f) for s, k, f in ((spans, n, found), (their_spans, m, theirs)))
+            while a > low and a2 > low2 and found[a - 1] == theirs[a2 - 1]:
+                a, a2 = a - 1, a2 - 1
+            while b < high and b2 < high2 and found[b] == theirs[b2]:
+                b, b2 = b + 1, b2 + 1
+            drop.update(range(a, b))
+        blank = [i for i, x in enumerate(found) if not x.strip() and i not in drop]
+        for i in blank:
+            left = next((k for k in range(i, -1, -1) if k not in blank), -1)
+            right = next((k for k in range(i, len(found)) if k not in blank), -1)
+            if left in drop and right in drop:
+                drop.add(i)
+        kept = [x for i, x in enumerate(found) if i not in drop]
+        out.append((doc, "\n".join(kept) if text else text, len(found), len(drop)))
     return out
 
 
 def brute_lines(rows):
-    cut = [(r[0], r[1], brute_chunks(r[1]) if r[1] else []) for r in rows]
-    first = {}
-    for doc, text, chunks in sorted(cut, key=lambda c: (c[0] is None, c[0] or 0, common_key(c[1]))):
-        for n, c in enumerate(chunks):
-            if len(c) >= 2 and any(x.strip() for x in c):
-                first.setdefault(tuple(c), (doc, text, n))
-    out = []
-    for doc, text, chunks in cut:
-        keep = [c for n, c in enumerate(chunks) if not (len(c) >= 2 and any(x.strip() for x in c)) or first[tuple(c)] == (doc, text, n)]
-        kept = "\n".join(x for c in keep for x in c) if chunks else text
-        n = sum(map(len, chunks))
-        out.append((doc, kept, n, n - sum(map(len, keep))))
-    return sorted(out, key=str)
+    return sorted(brute_removed(rows), key=str)
 
 
 def common_key(text):
@@ -577,7 +605,7 @@ def test_line_chunks(spark):
         rows.append((i, "\n".join([f"own {i}", *pool[start : start + 9], *(["extra"] if i % 4 == 0 else []), *pool[5:25], f"end {i}"])))
     rows += [(70, None), (71, ""), (72, "one line"), (73, "one line"), (74, "\n\n\n"), (75, "\n\n\n"), (None, rows[0][1]), rows[1], (76, "a\nb\n" * 50)]
     df = frame(spark, rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("gone", F.lit(1))
-    for clash in ("key", "chunks", "starts", "row", "_d", "_k", "_a", "a.b"):
+    for clash in ("key", "chunks", "starts", "ats", "at", "stop", "before", "after", "span", "row", "_d", "_k", "_a", "a.b"):
         df = df.withColumn(clash, F.lit(clash))
     got = lines.remove_repeats(df)
     assert {(r["gone"], r["key"], r["row"], r["a.b"]) for r in got.collect()} == {(1, "key", "row", "a.b")}
@@ -586,12 +614,31 @@ def test_line_chunks(spark):
     assert lines.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_line_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = queries.op9_line_chunks(spark, sf_dir).collect()
+    want = brute_lines([(r[0], r[1]) for r in docs.collect()])
+    assert sorted((r["doc_id"], r["n_lines"], r["n_lines_removed"], r["kept_sha256"]) for r in got) == sorted(
+        (doc, n, gone, hashlib.sha256((kept or "").encode()).hexdigest()) for doc, kept, n, gone in want)
+    assert sum(r["n_lines_removed"] for r in got) > 0
+
+
+def test_hot_chunk_with_other_neighbours(spark):
+    """One chunk in every document; only those that share the lines beside it with the first lose these too."""
+    hot = ["shared header of every document in this table, it has words", "and a second line that goes with it as well"]
+    rows = [(i, "\n".join([f"own {i} a", *(["the same lead"] if i % 2 == 0 else []), *hot, f"own {i} b"])) for i in range(3000)]
+    got = lines.remove_repeats(frame(spark, rows, "doc_id long, text string"))
+    removed = {r["doc_id"]: r["n_lines_removed"] for r in got.collect()}
+    assert removed == {i: 0 if i == 0 else 3 if i % 2 == 0 else 2 for i in range(3000)}
+
+
 def test_boundaries_resist_shifts():
     rng = np.random.default_rng(1)
-    hashes = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-    a = set(lines.boundaries(hashes))
-    b = {x - 3 for x in lines.boundaries(np.concatenate([rng.integers(0, 1 << 63, 3, dtype=np.uint64), hashes]))}
-    assert len(a ^ b) <= 3 and len(a) > 40
+    hashes, words = rng.integers(0, 1 << 63, 400, dtype=np.uint64), rng.integers(0, 5, 400)
+    more, wider = np.concatenate([rng.integers(0, 1 << 63, 3, dtype=np.uint64), hashes]), np.concatenate([[1, 1, 1], words])
+    for one, two in zip(lines.boundaries(hashes, words), lines.boundaries(more, wider)):
+        a, b = set(np.flatnonzero(one)), {x - 3 for x in np.flatnonzero(two)}
+        assert len((a ^ b) - {-3, -2, -1}) <= 1 and 40 < len(a) < 390
 
 
 # -- 10: secrets --------------------------------------------------------------

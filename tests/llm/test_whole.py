@@ -61,14 +61,28 @@ def test_passages_go_whole(spark):
                 rows.append((n, "\n".join([*(words(rng, 6) for _ in range(rng.randrange(1, 5))), *shared, *(words(rng, 6) for _ in range(rng.randrange(1, 5)))]), size))
                 n += 1
     rows += [(n, "one\n\n\n\ntwo\nown a", 0), (n + 1, "one\n\n\n\ntwo\nown b", 0), (n + 2, None, 0), (n + 3, "\n\n", 0), (n + 4, "\n\n", 0)]
-    got = {r["doc_id"]: r for r in lines.remove_passages(spark.createDataFrame(rows, "doc_id long, text string, size int")).collect()}
+    got = {r["doc_id"]: r for r in lines.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, size int")).collect()}
     for i, _, size in rows[:n]:
         assert got[i]["n_lines_removed"] == (size if i % 2 else 0)
     assert (got[n]["n_lines_removed"], got[n + 1]["text"], got[n + 2]["text"], got[n + 4]["text"]) == (0, "own b", None, "\n\n")
 
 
 def test_no_chunk_of_one_line():
-    rng = np.random.default_rng(3)
+    rng = random.Random(3)
     for n in (1, 2, 3, 50, 400):
-        ends = lines.boundaries(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        assert ends[-1] == n and (n < 2 or min(np.diff([0, *ends])) >= lines.LEAST_LINES)
+        found = lines.spans([words(rng, rng.randrange(7)) for _ in range(n)])
+        assert all(lines.LEAST_LINES <= b - a and b <= n for a, b in found) and (n < 2 or found[0][0] == 0)
+
+
+def test_passages_hold_a_chunk():
+    """Recall by length: whether two documents that share a passage of short lines share a chunk of it."""
+    rng = random.Random(4)
+    least = {2: 0.5, 3: 0.8, 4: 0.93, 5: 0.97, 8: 0.99, 20: 1.0}
+    for size, share in least.items():
+        hits = 0
+        for _ in range(400):
+            passage = [words(rng, 2, 10**6) for _ in range(size)]
+            both = [[*(words(rng, 2, 10**6) for _ in range(3)), *passage, *(words(rng, 2, 10**6) for _ in range(3))] for _ in range(2)]
+            one, two = ({tuple(found[a:b]) for a, b in lines.spans(found)} for found in both)
+            hits += bool(one & two)
+        assert hits >= share * 400, (size, hits)

@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     gone = repeated_chunks(base.select("doc_id", "key", "text")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "gone")
-    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("row", "text", "gone")
+    joined = base.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("row", "text", "gone")
     schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_lines_removed", LongType())])
     done = joined.mapInArrow(_rebuild_batches, schema)
     return done.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)

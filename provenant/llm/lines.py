@@ -26,6 +26,8 @@ LEAST_LINES = 2
 #: A window of so many words is always a boundary: two lines that hold as many are a chunk wherever they occur. In passages without such a
 #: pair, hashes leave 43 % of two lines, 15 % of three, 4 % of four, 1 % of five and 0.1 % of eight without a chunk.
 WIDE_WORDS = 10
+#: Chunks that leave a Python worker together.
+BATCH_ROWS = 2048
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 HASHES = "doc_id long, key long, at int, hash_a long, hash_b long"
@@ -70,6 +72,11 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
     fields = [x.split() for x in (BODIES if with_text else HASHES).split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     columns_of = ("doc_id", "key", "text", "ats") if with_text else ("doc_id", "key", "text")
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
     for batch in batches:
         rows: list[tuple] = []
         for doc, key, text, *wanted in zip(*(batch.column(n).to_pylist() for n in columns_of)):
@@ -89,8 +96,10 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
                     after = found[stop : cut[no + 1][1] if no + 1 < len(cut) else len(found)]
                     row = (*row, stop, body, before, after)
                 rows.append(row)
-        columns = list(zip(*rows)) if rows else [[] for _ in fields]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+                if len(rows) == BATCH_ROWS:
+                    yield packed(rows)
+                    rows = []
+        yield packed(rows)
 
 
 def without_lines(found: list[str], gone: list[dict]) -> list[str]:

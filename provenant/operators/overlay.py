@@ -65,10 +65,11 @@ def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
 
 
-def replace_rows(old: DataFrame, writes: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Whole rows replaced; of several writes to a key the last in ``order`` counts."""
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
-    last = writes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order)
+def replace_rows(old: DataFrame, writes: DataFrame, key: list[str], order: str, place: str | None = None) -> DataFrame:
+    """Whole rows replaced; of several writes to a key the last in ``order`` counts, of equal ones the first in ``place``, if given."""
+    ties = [] if place is None else [place]
+    w = Window.partitionBy(*key).orderBy(F.desc(order), *ties)
+    last = writes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order, *ties)
     return old.join(last.select(*key), key, "left_anti").unionByName(last)
 
 

@@ -76,8 +76,10 @@ INSERT = f"with {O} select o_orderkey, o_custkey, o_orderstatus, case when o_ord
 def replace_rows(spark, d):
     o = _orders(spark, d).drop("o_custkey")
     key = F.when(F.pmod("l_suppkey", F.lit(2)) == 0, F.col("l_orderkey")).otherwise(-F.col("l_orderkey"))
-    writes = table(spark, d, "lineitem").select(key.alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_partkey").cast("long").alias("cents"), F.col("l_linenumber").alias("w"))
-    return V.replace_rows(o, writes, ["o_orderkey"], "w")
+    # an order has lines of one number: of these the first in the table counts, wherever it is read
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    writes = table(spark, d, "lineitem").select(key.alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_partkey").cast("long").alias("cents"), F.col("l_linenumber").alias("w"), place)
+    return V.replace_rows(o, writes, ["o_orderkey"], "w", "place")
 
 
 REPLACE = f"""with {O}, l as (select case when l_suppkey % 2 = 0 then l_orderkey else -l_orderkey end as l_orderkey, l_returnflag, l_partkey, l_linenumber from lineitem), w as (select l_orderkey, l_returnflag, l_partkey from l qualify row_number() over (partition by l_orderkey order by l_linenumber desc) = 1)

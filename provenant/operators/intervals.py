@@ -16,7 +16,8 @@ from provenant.operators import joins as J
 def merge_near(df: DataFrame, key: str, gap: int) -> DataFrame:
     """``df(key, start, end)`` -> islands ``key, start, end, n``: intervals whose start lies within ``gap`` after the furthest end so far."""
     before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # equal intervals are numbered together, in whatever order each pass meets them
+    upto = Window.partitionBy(key).orderBy("start", "end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     far = F.max("end").over(before)
     flagged = df.withColumn("_new", F.when(far.isNull() | (F.col("start") - far > gap), 1).otherwise(0))
     return flagged.withColumn("_i", F.sum("_new").over(upto)).groupBy(key, "_i").agg(

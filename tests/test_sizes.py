@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from provenant.operators import joins as J
 from provenant.plans import registry
 
 
@@ -28,3 +29,12 @@ def test_equal_windows_are_one_island_whatever_their_order(spark):
     df = spark.createDataFrame([(7, s, s + 5) for s in starts], "k long, start long, end long").repartition(8)
     got = sorted(tuple(r) for r in I.merge_near(df, "k", 200).collect())
     assert got == [(7, 0, 105, 120), (7, 1000, 1005, 60)]
+
+
+def test_unique_resolution_counts_targets_once(spark):
+    """Twenty thousand rows and as many targets of one name: four hundred million pairs, which nobody needs."""
+    left = spark.range(20_000).selectExpr("id", "'x' as a", "id % 2 as b").unionByName(spark.createDataFrame([(-1, "y", 0), (-2, None, 0), (-3, "z", 0)], "id long, a string, b long"))
+    targets = spark.range(20_000).selectExpr("id as t", "'x' as c", "id % 2 as e").unionByName(spark.createDataFrame([(7, "y", 0), (7, "y", 0), (8, None, 0)], "t long, c string, e long"))
+    got = J.resolve_unique(left, targets, [("a", "c"), ("b", "e")], "id", "t")
+    assert got.where("id >= 0").groupBy("n_targets", "target").count().collect() == [(10_000, None, 20_000)]
+    assert sorted((r["id"], r["n_targets"], r["target"]) for r in got.where("id < 0").collect()) == [(-3, 0, None), (-2, 0, None), (-1, 1, 7)]

@@ -38,3 +38,16 @@ def test_unique_resolution_counts_targets_once(spark):
     got = J.resolve_unique(left, targets, [("a", "c"), ("b", "e")], "id", "t")
     assert got.where("id >= 0").groupBy("n_targets", "target").count().collect() == [(10_000, None, 20_000)]
     assert sorted((r["id"], r["n_targets"], r["target"]) for r in got.where("id < 0").collect()) == [(-3, 0, None), (-2, 0, None), (-1, 1, 7)]
+
+
+def test_alias_totals_are_those_of_the_pairs(spark):
+    names = ["a.X", "x", "b.x", "X.y", "y", "y.", "", ".", None, "a.x"]
+    left = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "id long, name string")
+    right = spark.createDataFrame([(100 + i, x) for i, x in enumerate(names)], "id long, name string")
+    alias = lambda x: {x.lower(), x.lower().split(".")[-1]} if x is not None else set()
+    want = sorted((i, 100 + j) for i, a in enumerate(names) for j, b in enumerate(names) if alias(a) & alias(b))
+    assert sorted(tuple(r) for r in J.alias_join(left, right, "name", "name").collect()) == want
+    totals = {i: (len(p), sum(p)) for i in {i for i, _ in want} for p in [[b for a, b in want if a == i]]}
+    assert {r[0]: (r[1], r[2]) for r in J.alias_totals(left, right, "name", "name").collect()} == totals
+    many = spark.range(50_000).selectExpr("id", "concat('m', id % 3, '.F') as name")
+    assert J.alias_totals(many, many, "name", "name").select("n", "rights").distinct().collect() == [(50_000, 50_000 * 49_999 // 2)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,8 @@ def reverse_reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def cut(df: DataFrame, spark) -> DataFrame:
-    """Cut the lineage in the folder that driver and executors share. Where none is set, one of this machine stands in if Spark runs on it alone (tests)."""
+def _shared(spark) -> str:
+    """The checkpoint folder that driver and executors share. Where none is set, one of this machine stands in if Spark runs on it alone (tests)."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
@@ -39,9 +40,30 @@ def cut(df: DataFrame, spark) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="provenant-")
         spark.sparkContext.setCheckpointDir(shared)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame, spark) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    _shared(spark)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table below the folder of ``cut``: in columns and compressed, where a checkpoint is rows as they are; the shuffle files
+    that led to it go at once. It stays until the driver ends."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    run = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}/stored-{spark.sparkContext.applicationId}")
+    run.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(run)
+    path, before = f"{run.toString()}/{uuid.uuid4().hex}", spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ancestors(parents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``parents(revision, parent)`` (null: a root), ``wanted(revision)`` -> ``revision, ancestor, distance``, itself at 0. A cycle raises.
 

@@ -64,11 +64,14 @@ def dedupe_references(refs: DataFrame, fields: list[str], cap: int, per: str) ->
     return once.withColumn("_rn", F.row_number().over(Window.partitionBy(per).orderBy("ord"))).where(F.col("_rn") <= cap).drop("_rn")
 
 
+#: A route's registration: its method and path.
+ROUTE = r"\b(?:app|router|api|server|routes)\.(get|post|put|patch|delete|head|options|all)\(\s*[\"']([^\"']+)"
+
+
 def routes(lines: DataFrame) -> DataFrame:
     """``lines(path, line_no, text)`` -> route registrations ``path, line_no, route`` (METHOD path). Approximate: by text, not by syntax."""
-    pattern = r"\b(?:app|router|api|server|routes)\.(get|post|put|patch|delete|head|options|all)\(\s*[\"']([^\"']+)"
-    method, at = F.upper(F.regexp_extract("text", pattern, 1)), F.regexp_extract("text", pattern, 2)
-    return lines.where(F.col("text").rlike(pattern)).select("path", "line_no", F.concat_ws(" ", method, at).alias("route"))
+    method, at = F.upper(F.regexp_extract("text", ROUTE, 1)), F.regexp_extract("text", ROUTE, 2)
+    return lines.where(F.col("text").rlike(ROUTE)).select("path", "line_no", F.concat_ws(" ", method, at).alias("route"))
 
 
 def text_lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -51,3 +51,17 @@ def test_alias_totals_are_those_of_the_pairs(spark):
     assert {r[0]: (r[1], r[2]) for r in J.alias_totals(left, right, "name", "name").collect()} == totals
     many = spark.range(50_000).selectExpr("id", "concat('m', id % 3, '.F') as name")
     assert J.alias_totals(many, many, "name", "name").select("n", "rights").distinct().collect() == [(50_000, 50_000 * 49_999 // 2)]
+
+
+def test_parsing_shuffles_whole_files_once(spark, monkeypatch):
+    """Lines travel once with their path and once with their definitions; without hashes no text is cut out again, and the rest is the same."""
+    from provenant.sources import parsing as P
+
+    text = "class A:\n    def m(self):\n        self.n(1)\n\n    def n(self, x):\n        def inner():\n            return m(x)\n        return inner()\nm(2)\n"
+    files = spark.createDataFrame([("a.py", text), ("b.py", "x = f(1)\n"), ("c.js", "function f(a) {\n  g(a);\n}\nh();\n"), ("d.txt", "one\ntwo\n")], "path string, content string")
+    plain, whole = P.parse(files, hashes=False), P.parse(files)
+    assert sorted(tuple(r) for r in plain.symbols.collect()) == sorted(tuple(r) for r in whole.symbols.drop("content_hash").collect())
+    assert sorted((r.path, r.caller, r.callee, r.line) for r in plain.calls.collect()) == [
+        ("a.py", "A.m", "self.n", 3), ("a.py", "A.n", "inner", 8), ("a.py", "A.n.inner", "m", 7), ("a.py", "a.py", "m", 9), ("b.py", "b.py", "f", 1), ("c.js", "c.js", "h", 4), ("c.js", "f", "g", 2)]
+    plan = plain.calls._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

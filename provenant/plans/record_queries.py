@@ -474,7 +474,7 @@ def greedy_pairs(spark, d):
     li = table(spark, d, "lineitem").withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey"))
     e = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("case"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
     f = li.where("l_returnflag <> 'R'").select(F.col("l_partkey").alias("case"), "id", F.col("id").alias("ord"), _mod("l_suppkey", 4).alias("v"))
-    return J.greedy_match(e, f, "case", lambda a, b: abs(a["v"] - b["v"]) <= 1)
+    return J.greedy_match_within(e, f, 1)
 
 
 def claimed_priors(spark, d):

@@ -103,3 +103,33 @@ def test_claims_of_small_and_large_codebases(spark, monkeypatch):
     count, cuts = J.cut, []
     monkeypatch.setattr(J, "cut", lambda df, s: cuts.append(1) or count(df, s))
     assert known() == want and len(cuts) == 1
+
+
+def _shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_similar_pairs_do_not_carry_their_sets(spark, monkeypatch):
+    """Equal to brute force with copies, blocks and small chunks; then 300 near copies of one long text: a set travels a few times, not once for each of 44,850 pairs."""
+    import random
+
+    from provenant.operators import resolution as E
+
+    r = random.Random(11)
+    base = [[f"w{r.randrange(60)}" for _ in range(r.randrange(1, 25))] for _ in range(12)]
+    sets = [(i, r.choice(("x", "y", None)), list(dict.fromkeys([w if r.random() < 0.9 else f"v{r.randrange(40)}" for w in r.choice(base)]))) for i in range(150)] + [(900, "x", []), (901, "x", ["a|b"]), (902, "x", ["a", "b"])]
+    want = []
+    for i, p, a in sets:
+        for j, q, b in sets:
+            n = len(set(a) & set(b))
+            if i < j and p == q and p is not None and n and n >= len(set(a) | set(b)) * 0.6:
+                want.append((i, j, n))
+    df = spark.createDataFrame(sets, "id long, p string, t array<string>")
+    monkeypatch.setattr(E, "CHUNK_SETS", 3)
+    assert sorted((x.a, x.b, x.shared) for x in E.similar_pairs(df, ["p"], "t", 0.6).collect()) == sorted(want) and len(want) > 100
+    monkeypatch.undo()
+    words = [f"word{i:05}" for i in range(1500)]
+    near = spark.createDataFrame([(i, "x", words[i:] + [f"own{i}"]) for i in range(300)], "id long, p string, t array<string>")
+    before = _shuffled(spark)
+    assert E.similar_pairs(near, ["p"], "t", 0.6).count() == 44_850
+    assert _shuffled(spark) - before < 60e6

@@ -321,12 +321,13 @@ def typed_lookup(requests: DataFrame, nodes: DataFrame, edges: DataFrame, most:
 
     definition: nodes of that label (in the path, if one is given); relationship: their neighbours by the kind's relations and direction;
     label_search: nodes whose label holds every term of the query. The first ``most`` by path, line and id. Windows and unknown kinds give no node.
-    Equal requests are answered once. A search joins labels by the first characters of its longest term before it looks at whole terms.
+    Equal requests are answered once. A search joins distinct labels by the first characters of its longest term before it looks at whole terms. A table of nodes looks small by
+    its file and isn't, the less with the characters of its labels: the joins are hinted so that neither nodes nor requests go through the driver.
     """
     table = requests.sparkSession.createDataFrame([(k, m, list(r), d) for k, (m, r, d) in RESOLVERS.items()], "kind string, mode string, relations array<string>, direction string")
     what = F.struct("kind", "path", "symbol", "query")
     asked = requests.select("kind", "path", "symbol", "query", what.alias("what")).distinct().join(F.broadcast(table), "kind")  # the table has twenty rows
-    n = nodes.select("node_id", "label", F.col("path").alias("_p"), "line")
+    n = nodes.select("node_id", "label", F.col("path").alias("_p"), "line").hint("merge")
     here = F.col("path").isNull() | (F.col("path") == "") | (F.col("path") == F.col("_p"))
     seeds = asked.where("mode IN ('definition', 'relationship')").join(n, (F.col("symbol") == F.col("label")) & here)
     found = seeds.where("mode = 'definition'").select("what", "node_id")
@@ -337,10 +338,11 @@ def typed_lookup(requests: DataFrame, nodes: DataFrame, edges: DataFrame, most:
     words = F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z0-9_$.-]+)"), F.lit(1)), lambda w: F.length(w) > 1)
     longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     wanted = asked.where("mode = 'label_search'").withColumn("_w", words).where("size(_w) > 0").withColumn("_g", F.substring(longest, 1, 3))
-    indexed = n.select("*", F.explode(_grams(F.col("label"))).alias("_n"))
-    matched = wanted.join(indexed, (F.col("_g") == F.col("_n")) & here & F.forall("_w", lambda w: F.instr(F.lower(F.col("label")), w) > 0)).select("what", "node_id")
-    every = found.unionByName(out).unionByName(back).unionByName(matched).distinct().join(nodes.select("node_id", "path", "line"), "node_id")
+    indexed = nodes.select(F.col("label").alias("_label")).distinct().select("_label", F.explode(_grams(F.col("_label"))).alias("_n")).hint("merge")
+    holding = wanted.join(indexed, (F.col("_g") == F.col("_n")) & F.forall("_w", lambda w: F.instr(F.lower(F.col("_label")), w) > 0)).select("what", "path", "_label")
+    matched = holding.join(n, (F.col("_label") == F.col("label")) & here).select("what", "node_id")
+    every = found.unionByName(out).unionByName(back).unionByName(matched).distinct().join(nodes.select("node_id", "path", "line").hint("merge"), "node_id")
     w = Window.partitionBy("what")
     ranked = every.withColumn("rank", F.row_number().over(w.orderBy("path", "line", "node_id"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
     answers = ranked.where(F.col("rank") <= most).select(F.col("what").alias("_what"), "node_id", F.col("rank").cast("long").alias("rank"), "truncated")
-    return requests.select("id", what.alias("what")).join(answers, F.col("what") == F.col("_what")).select("id", "node_id", "rank", "truncated")
+    return requests.select("id", what.alias("what")).hint("merge").join(answers, F.col("what") == F.col("_what")).select("id", "node_id", "rank", "truncated")

@@ -133,3 +133,18 @@ def test_similar_pairs_do_not_carry_their_sets(spark, monkeypatch):
     before = _shuffled(spark)
     assert E.similar_pairs(near, ["p"], "t", 0.6).count() == 44_850
     assert _shuffled(spark) - before < 60e6
+
+
+def test_typed_lookup_broadcasts_no_nodes(spark):
+    """A small file of nodes has many rows once their labels are taken apart; only the table of kinds goes through the driver."""
+    from provenant.operators import graphs as G
+
+    nodes = spark.createDataFrame([(i, f"label_{i % 5}", f"p{i % 3}", i) for i in range(60)], "node_id long, label string, path string, line long")
+    edges = spark.createDataFrame([(i, (i * 7) % 60, "Calls") for i in range(60)], "source long, target long, relation string")
+    asks = spark.createDataFrame([(1, "definition", "p1", "label_2", ""), (2, "callees", "", "label_3", ""), (3, "search", "", "", "LABEL_4"), (4, "search", "p2", "", "label bel_4")], "id long, kind string, path string, symbol string, query string")
+    found = G.typed_lookup(asks, nodes, edges, 100)
+    got = {i: sorted(x.node_id for x in found.collect() if x.id == i) for i in (1, 2, 3, 4)}
+    assert got == {1: [i for i in range(60) if i % 5 == 2 and i % 3 == 1], 2: sorted({i * 7 % 60 for i in range(60) if i % 5 == 3}), 3: [i for i in range(60) if i % 5 == 4], 4: [i for i in range(60) if i % 5 == 4 and i % 3 == 2]}
+    whole = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in whole.splitlines() if "Join Inner" in x]
+    assert len(joins) >= 6 and all("merge" in x or "broadcast" in x for x in joins if "_rel" not in x)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,19 +86,27 @@ def prefix_within(df: DataFrame, key: str, order: list[str], size: str, budget:
     return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
+def _filled(batches: Iterator[pa.RecordBatch], key: str, size: str, budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key and place -> those that still fit, with what is used then. Of a key only that number is kept."""
+    at, used = object(), 0
+    for batch in batches:
+        kept, totals = [], []
+        for i, (k, n) in enumerate(zip(batch.column(key).to_pylist(), batch.column(size).to_pylist())):
+            if k != at:
+                at, used = k, 0
+            if n is not None and used + n <= budget:
+                used += n
+                kept.append(i)
+                totals.append(used)
+        yield batch.take(pa.array(kept, type=pa.int64())).append_column("used", pa.array(totals, type=pa.int64()))
+
+
 def fill_within(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
     """As prefix_within, but a row that does not fit is skipped and the next is tried."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, used, keep = pdf.sort_values(order), 0, []
-        for n in pdf[size]:
-            keep.append(used + n <= budget)
-            used += n if keep[-1] else 0
-        out = pdf[keep].copy()
-        out["used"] = out[size].cumsum()
-        return out
-
-    return df.groupBy(key).applyInPandas(fill, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "used long"]))
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "used long"])
+    ordered = df.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order])
+    return ordered.mapInArrow(lambda batches: _filled(batches, key, size, budget), kind)
 
 
 def truncate_within(df: DataFrame, key: str, order: list[str], text: str, budget: int) -> DataFrame:

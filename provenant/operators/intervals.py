@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from provenant.functions.text import redact
@@ -25,14 +27,27 @@ def merge_near(df: DataFrame, key: str, gap: int) -> DataFrame:
     ).drop("_i")
 
 
-def _grouped(df: DataFrame, key: str, work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """An order-dependent pass over the rows of each key; the key is the unit of scale (a file's windows)."""
-    names = [p.strip().split(" ")[0] for p in schema.split(",")]
+def _worked(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[list[dict]], list[dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key -> what the work makes of each key's rows; many small keys leave in one batch."""
+    at, rows = None, []
+    for batch in batches:
+        out: list[dict] = []
+        for row in batch.to_pylist():
+            if rows and row[key] != at:
+                out += work(rows)
+                rows = []
+            at = row[key]
+            rows.append(row)
+        yield pa.RecordBatch.from_pylist(out, schema)
+    if rows:
+        yield pa.RecordBatch.from_pylist(work(rows), schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(work(pdf.to_dict("records")), columns=names)
 
-    return df.groupBy(key).applyInPandas(run, schema)
+def _grouped(df: DataFrame, key: str, work: Callable[[list[dict]], list[dict]], schema: str, first: list[str] | None = None) -> DataFrame:
+    """An order-dependent pass over the rows of each key (``first``: columns that order them, if the work asks for an order); the key is the unit of scale (a file's windows)."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    ordered = df.repartition(key).sortWithinPartitions(key, *(first or []))
+    return ordered.mapInArrow(lambda batches: _worked(batches, key, work, kinds), schema)
 
 
 def _tags(*sets) -> list[str]:
@@ -69,13 +84,14 @@ def merge_anchored(regions: DataFrame, files: DataFrame, ratio: float = 0.5, gap
     """
 
     def work(rows: list[dict]) -> list[dict]:
-        lines = rows[0]["lines"]
-        at, total = [0], 0
-        for line in lines:
-            total += len(line) + 1
+        lines, at, total = rows[0]["_lengths"], [0], 0
+        if lines is None:
+            return []
+        for n in lines:
+            total += n + 1
             at.append(total)
         out: list[dict] = []
-        for r in sorted(rows, key=lambda r: (r["start_line"], r["end_line"], r["anchor_id"])):
+        for r in sorted((r for r in rows if r["_lengths"] is None), key=lambda r: (r["start_line"], r["end_line"], r["anchor_id"])):
             last = out[-1] if out else None
             if last is not None:
                 shared = min(last["end_line"], r["end_line"]) - max(last["start_line"], r["start_line"]) + 1
@@ -90,8 +106,11 @@ def merge_anchored(regions: DataFrame, files: DataFrame, ratio: float = 0.5, gap
             out.append({**r, "task_ids": _tags(r["task_ids"]), "n": 1})
         return out
 
-    both = regions.join(files.select("path", "lines"), "path")
-    return _grouped(both, "path", work, "path string, start_line int, end_line int, anchor_type string, anchor_id string, task_ids array<string>, n int")
+    # a file's line lengths come once, before its regions
+    lengths = files.where("path IS NOT NULL AND lines IS NOT NULL").select("path", F.transform("lines", F.length).alias("_lengths"))
+    both = lengths.unionByName(regions.select("path", "start_line", "end_line", "anchor_type", "anchor_id", "task_ids"), allowMissingColumns=True)
+    known = both.withColumn("_late", F.col("_lengths").isNull())
+    return _grouped(known, "path", work, "path string, start_line int, end_line int, anchor_type string, anchor_id string, task_ids array<string>, n int", ["_late"])
 
 
 def subtract(ranges: DataFrame, covered: DataFrame, key: str) -> DataFrame:

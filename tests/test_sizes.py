@@ -148,3 +148,26 @@ def test_typed_lookup_broadcasts_no_nodes(spark):
     whole = found._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in whole.splitlines() if "Join Inner" in x]
     assert len(joins) >= 6 and all("merge" in x or "broadcast" in x for x in joins if "_rel" not in x)
+
+
+def test_ordered_passes_stream_past_many_small_keys(spark):
+    """3,000 keys of a few rows in each pass: keys share batches, a key's rows may come in several, and a file's lines are not repeated for each of its regions."""
+    from provenant.operators import intervals as I
+    from provenant.operators import ranking as R
+
+    many = spark.range(9000).selectExpr("if(id = 0, null, id % 3000) as k", "id as ord", "int(4 + id % 3) as chars")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        packed, filled = I.pack_batches(many, "k", 2, 10), R.fill_within(many, "k", ["ord"], "chars", 10)
+        rows, kept = packed.collect(), filled.collect()
+        regions = spark.range(3000).selectExpr("concat('f', id % 40) as path", "int(id) as start_line", "int(id + 5) as end_line", "'line_range' as anchor_type", "'' as anchor_id", "array('t') as task_ids")
+        files = spark.range(39).selectExpr("concat('f', id) as path", "array_repeat('xxxx', 4000) as lines")
+        merged = I.merge_anchored(regions, files)
+        assert merged.count() == 3000 * 39 // 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 9000 and all(r.batch == r.ord // 3000 // (1 if r.chars == 6 else 2) for r in rows if r.k)
+    assert all(r.used == r.chars if r.ord < 3000 else r.used <= 10 for r in kept) and {r.ord for r in kept} >= set(range(3000))
+    for df in (packed, filled, merged):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "Join" not in plan

@@ -69,6 +69,25 @@ def test_one_path_with_all_rows(spark):
         heads += [] if near else [i]
 
 
+def test_crowded_place_meets_heads(spark, monkeypatch):
+    """A place where nearly all rows match: its pairs are not formed, only those of its first rows and of heads."""
+    edges, inner = [], R.covered_rows
+    monkeypatch.setattr(R, "covered_rows", lambda e, *rest: (edges.append(e.count()), inner(e, *rest))[1])
+    n, rng = 6000, random.Random(3)
+    at, words = [rng.randrange(40) for _ in range(n)], [rng.sample(range(12), 5) for _ in range(n)]
+    rows = [("one" if i % 60 else "small", i, i, 0.5, "", "", [], [f"w{w}" for w in words[i]], at[i], at[i] + 9) for i in range(n)]
+    kind = "path string, id long, ord long, confidence double, structural_key string, semantic_key string, classes array<string>, words array<string>, start_line long, end_line long"
+    got = {(r["path"], r["id"]): r["cluster"] for r in R.admit(spark.createDataFrame(rows, kind)).collect()}
+    heads, want = {"one": [], "small": []}, {}
+    for path, i, *_ in rows:
+        shared = {h: len(set(words[h]) & set(words[i])) for h in heads[path]}
+        near = [h for h in heads[path] if (abs(at[h] - at[i]) <= 6 and shared[h] > 0) or (abs(at[h] - at[i]) <= 9 and shared[h] > 1)]
+        want[path, i] = near[0] if near else i
+        heads[path] += [] if near else [i]
+    assert got == want
+    assert sum(edges) < n
+
+
 def test_trees(spark):
     rng = random.Random(4)
     parents = [(0, None)] + [(i, rng.randrange(max(0, i - 3), i)) for i in range(1, 120)]

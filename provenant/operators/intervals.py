@@ -116,15 +116,22 @@ def merge_anchored(regions: DataFrame, files: DataFrame, ratio: float = 0.5, gap
 def subtract(ranges: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     """``ranges(key, id, start, end)`` minus ``covered(key, start, end)`` -> the uncovered parts ``key, id, start, end``.
 
-    Covered intervals are merged first, so each range meets disjoint ones and its gaps are their neighbours' ends.
+    Covered intervals are merged first, in one sorted run whose last row of an island is the island; so each range meets disjoint ones, in order, and its
+    gaps are their neighbours' ends, the last one's after it, too. Covered intervals without a line cover nothing.
     """
-    c = merge_near(covered, key, 1).select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = ranges.join(c, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col("end")) & (F.col("_e") >= F.col("start")), "left")
+    run = Window.partitionBy("_k").orderBy("_s", "_e")
+    c = covered.where("start <= end").select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    far = F.max("_e").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = c.withColumn("_far", far).withColumn("_new", F.col("_far").isNull() | (F.col("_s") - F.col("_far") > 1))
+    begun = F.max(F.when(F.col("_new"), F.col("_s"))).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    islands = flagged.select("_k", begun.alias("_first"), F.greatest("_far", "_e").alias("_end"), F.lead("_new", 1, True).over(run).alias("_last")).where("_last").select("_k", F.col("_first").alias("_s"), F.col("_end").alias("_e"))
+    hit = ranges.join(islands, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col("end")) & (F.col("_e") >= F.col("start")), "left")
     w = Window.partitionBy(key, "id").orderBy("_s")
-    gap_from = F.coalesce(F.lag("_e").over(w) + 1, F.col("start"))
-    before = hit.select(key, "id", gap_from.alias("_a"), F.coalesce(F.col("_s") - 1, F.col("end")).alias("_b"))
-    after = hit.where("_s IS NOT NULL").groupBy(key, "id", "end").agg((F.max("_e") + 1).alias("_a")).select(key, "id", "_a", F.col("end").alias("_b"))
-    return before.unionByName(after).where("_a <= _b").select(key, "id", F.col("_a").alias("start"), F.col("_b").alias("end"))
+    gap = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    before = gap(F.coalesce(F.lag("_e").over(w) + 1, F.col("start")), F.coalesce(F.col("_s") - 1, F.col("end")))
+    after = F.when(F.col("_s").isNotNull() & F.lead("_s").over(w).isNull(), gap(F.col("_e") + 1, F.col("end")))
+    gaps = hit.select(key, "id", F.array(before, after).alias("_g")).select(key, "id", F.explode("_g").alias("_g")).where("_g.a <= _g.b")
+    return gaps.select(key, "id", F.col("_g.a").alias("start"), F.col("_g.b").alias("end"))
 
 
 def first_covering(segments: DataFrame, regions: DataFrame, key: str, ratio: float) -> DataFrame:

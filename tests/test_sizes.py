@@ -171,3 +171,26 @@ def test_ordered_passes_stream_past_many_small_keys(spark):
     for df in (packed, filled, merged):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroups" not in plan and "Join" not in plan
+
+
+def _stages(df):
+    """The operators of the plan that is run, by name."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return {name: text.count(name) for name in ("Aggregate", "Join", "Window", "Distinct", "Union")}
+
+
+def test_subtract_in_one_run(spark):
+    import random
+
+    from provenant.operators import intervals as I
+
+    rng = random.Random(8)
+    ranges = [(k, i, a, a + rng.randrange(30)) for k in range(4) for i in range(20) for a in [rng.randrange(100)]]
+    covered = [(k, a, a + rng.randrange(-1, 6)) for k in range(3) for a in (rng.randrange(120) for _ in range(18))]
+    out = I.subtract(spark.createDataFrame(ranges, "k long, id long, start long, end long"), spark.createDataFrame(covered, "k long, start long, end long"), "k")
+    want = []
+    for k, i, a, b in ranges:
+        free = [n for n in range(a, b + 1) if not any(q == k and s <= n <= e for q, s, e in covered)]
+        want += [(k, i, n, next(m for m in range(n, b + 2) if m not in free) - 1) for n in free if n - 1 not in free]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    assert _stages(out)["Join"] == 1 and _stages(out)["Union"] == 0 and _stages(out)["Aggregate"] == 0

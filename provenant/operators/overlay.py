@@ -22,9 +22,9 @@ def delta(old: DataFrame, new: DataFrame, key: list[str], compared: list[str]) -
 
 def set_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """Whole rows added and removed; equal rows count once."""
-    tag = lambda df, t: df.distinct().withColumn("_t", F.lit(t))
-    g = tag(old, -1).unionByName(tag(new, 1)).groupBy(*old.columns).agg(F.sum("_t").alias("_t"))
-    return g.where("_t <> 0").select(*old.columns, F.when(F.col("_t") > 0, "added").otherwise("removed").alias("change"))
+    # one pass over both sides: a bit says where a row was seen, so repeats need no pass of their own
+    g = old.withColumn("_t", F.lit(1)).unionByName(new.withColumn("_t", F.lit(2))).groupBy(*old.columns).agg(F.bit_or("_t").alias("_t"))
+    return g.where("_t <> 3").select(*old.columns, F.when(F.col("_t") == 2, "added").otherwise("removed").alias("change"))
 
 
 def effective(base: DataFrame, overlay: DataFrame, key: str, columns: list[str]) -> DataFrame:

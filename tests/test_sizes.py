@@ -194,3 +194,12 @@ def test_subtract_in_one_run(spark):
         want += [(k, i, n, next(m for m in range(n, b + 2) if m not in free) - 1) for n in free if n - 1 not in free]
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     assert _stages(out)["Join"] == 1 and _stages(out)["Union"] == 0 and _stages(out)["Aggregate"] == 0
+
+
+def test_set_delta_in_one_pass(spark):
+    from provenant.operators import overlay as V
+
+    rows = lambda x: spark.createDataFrame([(i % 7, i) for i in x], "a long, b long")
+    out = V.set_delta(rows([1, 1, 2, 3]), rows([3, 4, 4]))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "removed"), (2, 2, "removed"), (4, 4, "added")]
+    assert _stages(out)["Aggregate"] == 1

@@ -203,3 +203,16 @@ def test_set_delta_in_one_pass(spark):
     out = V.set_delta(rows([1, 1, 2, 3]), rows([3, 4, 4]))
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "removed"), (2, 2, "removed"), (4, 4, "added")]
     assert _stages(out)["Aggregate"] == 1
+
+
+def test_calls_are_counted_before_symbols_meet_them(spark):
+    symbols = spark.createDataFrame([(i, "p", f"x.f{i % 2}") for i in range(50)], "symbol_id long, path string, name string")
+    calls = spark.createDataFrame([("p", f"x.f{i % 2}", f"m.f{i % 3}") for i in range(30)], "path string, caller string, callee string")
+    totals = J.resolve_edge_totals(calls, symbols)
+    pairs = {(i, j) for i in range(50) for j in range(50) if i != j}
+    assert {r["source_id"]: (r["n"], r["targets"]) for r in totals.collect()} == {i: (49, sum(j for a, j in pairs if a == i)) for i in range(50)}
+    sources, targets = J.resolved_names(calls, symbols)
+    assert {tuple(r) for r in sources.collect()} == {(i, f"f{n}") for i in range(50) for n in range(2)} and targets.count() == 50
+    # nothing is grouped after the join that multiplies rows by symbols
+    top = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert top.index("Join") < top.index("Aggregate")

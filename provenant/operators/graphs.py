@@ -255,17 +255,21 @@ def assembled_traces(steps: DataFrame, support: DataFrame, gaps: DataFrame, root
     chain of supports of a step begins, ``depth`` its length: chains are closed by doubled pointers, in as many rounds as the longest has binary digits. A
     step without support that isn't its trace's first is a gap. A trace is complete if it has no gap, a step of the role ``root`` and one of ``sinks``.
     """
-    spark = steps.sparkSession
-    linked = steps.select("trace", "pos", "role").join(support.select("trace", "pos", F.col("support").alias("source"), "via"), ["trace", "pos"], "left")
+    linked = stored(steps.select("trace", "pos", "role").join(support.select("trace", "pos", F.col("support").alias("source"), "via"), ["trace", "pos"], "left"))
     # each step points at its support; those that begin a chain point at themselves
-    at = cut(linked.select("trace", "pos", F.coalesce("source", "pos").alias("up"), F.when(F.col("source").isNull(), 0).otherwise(1).cast("long").alias("far")), spark)
+    moving = linked.where("source IS NOT NULL").select("trace", "pos", F.col("source").alias("up"), F.lit(1).cast("long").alias("far"))
+    closed = []
     while True:
-        above = at.select(F.col("trace").alias("_t"), F.col("pos").alias("_p"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        further = at.join(above, (F.col("trace") == F.col("_t")) & (F.col("up") == F.col("_p"))).select("trace", "pos", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("moved"))
-        at = cut(further, spark)
-        if at.where("moved").isEmpty():
+        # what points at a beginning is closed: it is looked up, but looks up nothing any more
+        above = reduce(DataFrame.unionByName, [*closed, moving]).select(F.col("trace").alias("_t"), F.col("pos").alias("_p"), F.col("up").alias("_up"), F.col("far").alias("_far"))
+        moved = stored(moving.join(above, (F.col("trace") == F.col("_t")) & (F.col("up") == F.col("_p")), "left").select(
+            "trace", "pos", F.coalesce("_up", "up").alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_up").isNotNull().alias("_open")))
+        closed.append(moved.where("NOT _open").drop("_open"))
+        moving = moved.where("_open").drop("_open")
+        if moving.isEmpty():
             break
-        at = at.drop("moved")
+    begun = linked.where("source IS NULL").select("trace", "pos", F.col("pos").alias("up"), F.lit(0).cast("long").alias("far"))
+    at = reduce(DataFrame.unionByName, [*closed, begun])
     onward = linked.where("source IS NOT NULL").select(F.col("trace").alias("_t"), F.col("source").alias("_p")).distinct()
     marked = linked.join(at.select(F.col("trace").alias("_a"), F.col("pos").alias("_b"), F.col("up").alias("branch"), F.col("far").alias("depth")), (F.col("trace") == F.col("_a")) & (F.col("pos") == F.col("_b"))).join(
         onward, (F.col("trace") == F.col("_t")) & (F.col("pos") == F.col("_p")), "left").select("trace", "pos", "role", "source", "via", "branch", "depth", F.col("_p").isNull().alias("is_terminal"))

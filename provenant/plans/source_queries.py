@@ -91,7 +91,8 @@ select s.path, count(distinct (s.id, t.id)) as n from c join s on s.path = c.pat
 def many_terms(spark, d):
     """Every longer word that occurs once in the documents as a term, looked for in every line."""
     words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\w]+")).alias("term")).where("length(term) between 9 and 40").groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    hits = Z.terms_in(Z.text_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), words.select("term"), "text")
+    words = G.stored(words.select("term"))
+    hits = Z.terms_in(Z.text_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), words, "text")
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("n_terms"), F.max("line_no").cast("long").alias("last_line"))
 
 

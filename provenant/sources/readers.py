@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provenant.operators.graphs import stored
 from provenant.operators.snapshots import tree_at
+from provenant.sources.terms import filter_words, may_hold, starts_of
 
 #: Extensions and exact names that count as source, and folders that never do (the caller may pass others).
 EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".java", ".rb", ".rs", ".php", ".cs", ".c", ".cpp", ".h", ".kt", ".scala", ".sql", ".yaml", ".yml", ".json", ".toml")
@@ -80,8 +83,8 @@ def text_lines(files: DataFrame, path: str = "path", content: str = "content") -
 
 
 MOST_TERMS, MOST_TERM_CHARS = 20, 2000
-#: Bytes of terms that are broadcast together, as one automaton.
-TERM_BYTES = 4 << 20
+#: Bytes of terms that are broadcast together, as one automaton, and of the filter that stands for more (a power of two).
+TERM_BYTES, FILTER_BYTES = 4 << 20, 32 << 20
 
 
 def valid_query(terms: Column) -> Column:
@@ -108,25 +111,37 @@ def _term_batches(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.Recor
         yield rows.append_column("_term", pa.array(hits, type=pa.string()))
 
 
-def terms_in(texts: DataFrame, terms: DataFrame, text: str, at_once: int = TERM_BYTES) -> DataFrame:
+def terms_in(texts: DataFrame, terms: DataFrame, text: str, at_once: int = TERM_BYTES, most: int = FILTER_BYTES) -> DataFrame:
     """``texts``, ``terms(term)`` -> the columns of ``texts`` but for ``text``, and ``term``: each distinct term that a text holds, as it stands.
 
-    A text is read once by an automaton of all terms, so the work is that of the text and its hits, not of the number of terms. An automaton holds
-    about ``at_once`` bytes of terms; more terms are dealt by a hash into rounds of that size. Null and empty texts and terms hit nothing.
+    Up to about ``at_once`` bytes of terms are one automaton. More become a filter of their hashes, with a byte or more for each and each of their starts: a text is
+    read once, and what passes is joined with the terms. Only terms beyond ``most`` bytes of filter are dealt by a hash into rounds of that size. So the work is
+    that of the text and its hits, not of the number of terms. Null and empty texts and terms hit nothing.
     """
     spark = texts.sparkSession
     distinct = terms.where("term <> ''").select("term").distinct()
-    size = distinct.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    rounds = max(1, -(-size // at_once))
     kept = [c for c in texts.columns if c != text]
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != text), "_term string"])
     rows = texts.select(*kept, F.col(text).alias("_text"))
+    if (distinct.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0) <= at_once:
+        known = spark.sparkContext.broadcast([r[0] for r in distinct.toLocalIterator()])  # about at_once bytes
+        return rows.mapInArrow(lambda b: _term_batches(b, known), kind).withColumnRenamed("_term", "term")
+    distinct = stored(distinct)
+    sizes = {r[0]: r[1] for r in distinct.groupBy(F.octet_length("term")).count().collect()}
+    lengths, starts = sorted(sizes), starts_of(sizes)
+    entries = sum(n * (1 + sum(start <= size for start in starts)) for size, n in sizes.items())
+    rounds = -(-entries // most)
+    words = min(most >> 3, 1 << max(10, (entries // rounds // 4).bit_length()))  # 16 to 32 bits for an entry, 8 at least
     parts = []
     for i in range(rounds):
         own = distinct.where(F.pmod(F.xxhash64("term"), F.lit(rounds)) == i) if rounds > 1 else distinct
-        known = spark.sparkContext.broadcast([r[0] for r in own.toLocalIterator()])  # about at_once bytes
-        parts.append(rows.mapInArrow(lambda b, k=known: _term_batches(b, k), kind))
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_term", "term")
+        ones = own.mapInArrow(lambda b: filter_words(b, starts, words), "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()
+        bits = np.zeros(words, dtype=np.uint64)
+        bits[ones.column("word").to_numpy()] = ones.column("ones").to_numpy().view(np.uint64)
+        known = spark.sparkContext.broadcast(bits)  # most bytes at the most
+        found = rows.mapInArrow(lambda b, k=known: may_hold(b, starts, lengths, k), kind)
+        parts.append(found.join(own, F.col("_term") == F.col("term")).drop("_term"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search(lines: DataFrame, queries: DataFrame, path: str, cap: int, regex: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -22,6 +22,20 @@ def test_many_terms(spark):
     assert got == want and len(want) > 300
 
 
+def test_text_is_read_once(spark):
+    """Terms beyond an automaton don't add passes over the text; short and long terms, long rows, batches with nulls, terms across rows' ends, and filters that are full."""
+    rng = random.Random(16)
+    word = lambda n: "".join(rng.choice("abé日 ") for _ in range(n))
+    texts = [(i, word(rng.choice([0, 3, 40, 200]))) for i in range(200)] + [(500, None), (501, ""), (502, word(300_000)), (503, "ab"), (503, "ab"), (504, "é")]
+    terms = {word(rng.randrange(6, 30)) for _ in range(2000)} | {t[a : a + n] for _, t in texts if t for a, n in [(rng.randrange(len(t)), rng.choice([1, 2, 5, 9, 17, 33, 150])) for _ in range(5)]} - {""} | {"ab", texts[202][1][131_000:131_200]}
+    df, known = spark.createDataFrame(texts, "id long, text string").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted((i, t) for i, text in texts if text for t in terms if t in text)
+    found = Z.terms_in(df, known, "text", 1 << 10)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 3000
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, Z.terms_in(df, known, "text", 1 << 10, 1 << 13).collect())) == want
+
+
 def test_hot_term_and_cap(spark):
     lines = spark.createDataFrame([("f", i, "hot line" if i % 2 else "cold hot") for i in range(1, 2001)], "path string, line_no int, text string")
     queries = spark.createDataFrame([("q", ["hot", "line"]), ("same", ["hot"]), ("none", ["x"]), ("bad", ["a\nb"]), ("empty", [])], "query_id string, terms array<string>")

@@ -178,30 +178,31 @@ def diff_hunks(lines: DataFrame, key: str) -> DataFrame:
 
     Lines are sessionised by running counts of file and hunk headers. A length left out means 1; a deleted file keeps its old path.
     """
-    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto, file = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(key, "_f")
     head = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-    is_file, is_hunk = F.col("text").startswith("diff --git "), F.col("text").rlike(head)
-    rows = lines.withColumn("_f", F.count_if(is_file).over(upto)).withColumn("_h", F.count_if(is_hunk).over(upto))
-    new = F.when(F.col("text").rlike(r"^\+\+\+ ") & ~F.col("text").endswith("/dev/null"), F.regexp_replace("text", r"^\+\+\+ (b/)?", ""))
-    old = F.when(F.col("text").rlike("^--- ") & ~F.col("text").endswith("/dev/null"), F.regexp_replace("text", "^--- (a/)?", ""))
-    paths = rows.groupBy(key, "_f").agg(F.coalesce(F.max(new), F.max(old)).alias("path"))
-    heads = rows.where(is_hunk).select(
-        key, "_f", "_h", *[F.regexp_extract("text", head, i).alias(f"_g{i}") for i in (1, 2, 3, 4)]
-    )
-    is_body = ~is_hunk & (F.col("_h") > 0)
-    body = rows.where(is_body).groupBy(key, "_f", "_h").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("text").rlike(r"^\+(?!\+\+)"), F.struct("line_no", F.expr("substring(text, 2)").alias("t"))))), lambda s: s["t"]).alias("added"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("text").rlike(r"^-(?!--)"), F.struct("line_no", F.expr("substring(text, 2)").alias("t"))))), lambda s: s["t"]).alias("removed"),
-    )
+    text = F.col("text")
+    is_file, is_hunk = text.startswith("diff --git "), text.startswith("@@ -") & text.rlike(head)
+    rows = lines.where(F.col(key).isNotNull()).withColumn("_f", F.count_if(is_file).over(upto)).withColumn("_h", F.count_if(is_hunk).over(upto))
+    new = F.when(text.startswith("+++ ") & ~text.endswith("/dev/null"), F.regexp_replace("text", r"^\+\+\+ (b/)?", ""))
+    old = F.when(text.startswith("--- ") & ~text.endswith("/dev/null"), F.regexp_replace("text", "^--- (a/)?", ""))
 
-    def length(c: str) -> Column:
-        return F.when(F.col(c) == "", 1).otherwise(F.expr(f"try_cast({c} AS INT)"))
+    def body(sign: str) -> Column:
+        own = F.when(text.startswith(sign) & ~text.startswith(sign * 3), F.struct("line_no", F.expr("substring(text, 2)").alias("t")))
+        return F.transform(F.array_sort(F.collect_list(own)), lambda s: s["t"])
 
-    none = F.array().cast("array<string>")
-    return heads.join(body, [key, "_f", "_h"], "left").join(paths, [key, "_f"]).select(
-        key, "path", F.col("_h").alias("hunk"), F.col("_g1").cast("int").alias("old_start"), length("_g2").alias("old_lines"),
-        F.col("_g3").cast("int").alias("new_start"), length("_g4").alias("new_lines"), F.coalesce("added", none).alias("added"), F.coalesce("removed", none).alias("removed"),
-    )
+    # what comes between two headers is one group, so lines are ordered and grouped once; a file's names are in one of its groups
+    parts = rows.groupBy(key, "_f", "_h").agg(
+        F.max(F.when(is_hunk, text)).alias("_head"), F.max(new).alias("_new"), F.max(old).alias("_old"), body("+").alias("added"), body("-").alias("removed"))
+    hunks = parts.withColumn("path", F.coalesce(F.max("_new").over(file), F.max("_old").over(file))).where("_head IS NOT NULL")
+
+    def part(i: int) -> Column:
+        return F.regexp_extract("_head", head, i)
+
+    def length(i: int) -> Column:
+        return F.when(part(i) == "", 1).otherwise(part(i).try_cast("int"))
+
+    return hunks.select(
+        key, "path", F.col("_h").alias("hunk"), part(1).cast("int").alias("old_start"), length(2).alias("old_lines"), part(3).cast("int").alias("new_start"), length(4).alias("new_lines"), "added", "removed")
 
 
 SARIF = """runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,name:string,helpUri:string>>>>,

@@ -110,6 +110,36 @@ diff --git a/gone.py b/gone.py
     assert values(S.name_status(status), "path") == [("deleted", "gone.py", None), ("renamed", "new.py", "old.py"), ("modified", "x.py", None)]
 
 
+def test_diff_lines_are_ordered_once(spark):
+    """Many diffs with several files, odd headers, null lines and names only in another part, by a plain reading; the plan sorts lines once and joins nothing."""
+    import random
+    import re
+
+    rng, head = random.Random(26), r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    kinds = ["diff --git a/q b/q", "--- a/x.py", "+++ b/y.py", "+++ /dev/null", "--- /dev/null", "@@ -1 +2 @@", "@@ -3,4 +5,0 @@ f", "@@ -x +1 @@", "@@ -1,99999999999 +1 @@", "+new", "-old", "+", "-", "++two", "--two", " same", "", None]
+    rows = [(k, i, rng.choice(kinds)) for k in [*range(60), None] for i in range(rng.randrange(30))]
+    want = []
+    for k in range(60):
+        f, paths, found = 0, {}, []
+        for _, _, t in (r for r in rows if r[0] == k and r[2] is not None):
+            f += t.startswith("diff --git ")
+            if t.startswith(("+++ ", "--- ")) and not t.endswith("/dev/null"):
+                paths.setdefault((f, t[0]), []).append(re.sub(r"^(\+\+\+ (b/)?|--- (a/)?)", "", t))
+            if m := re.match(head, t):
+                n = [1 if x is None else int(x) if int(x) < 1 << 31 else None for x in m.groups()]
+                found.append((f, len(found) + 1, n, [], []))
+            elif found and found[-1][0] == f and re.match(r"\+(?!\+\+)|-(?!--)", t):
+                found[-1][3 if t[0] == "+" else 4].append(t[1:])
+        for at, h, n, added, removed in found:
+            names = paths.get((at, "+")) or paths.get((at, "-"))
+            want.append((k, names and max(names), h, *n, added, removed))
+    rng.shuffle(rows)
+    got = S.diff_hunks(frame(spark, rows, "k int, line_no int, text string"), "k")
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[2])) == want and len(want) > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+
+
 def test_occurrences(spark):
     df = frame(spark, [("a", 1, "observed", 1), ("a", 2, "fixed", 2), ("a", 3, "observed", 3), ("b", 1, "observed", 5), ("b", 2, "fixed", 4), ("c", 1, "observed", 1), ("c", 2, "closed", 2), ("c", 3, "observed", 3)], "key string, ord long, outcome string, at long")
     assert values(L.occurrence_fold(df), "key") == [("a", "open", 1, 3), ("b", "open", 0, 5), ("c", "closed", 0, 1)]

@@ -108,21 +108,32 @@ def expand_requests(requests: DataFrame, symbols: DataFrame, calls: DataFrame, i
     """
     from pyspark.sql.window import Window
 
-    def facts(kind: str, df: DataFrame, on: str, fact: Column, whole: bool = False) -> DataFrame:
+    def first(side: DataFrame) -> DataFrame:
+        """``_on, fact`` -> ``_on, _facts``: a name's first facts in order; one more than asked for tells that there are others. A name's facts
+        are cut where they lie, before they meet, and no request takes more of them along."""
+        w = Window.partitionBy("_on").orderBy("fact")
+        ranked = side.where("_on IS NOT NULL").distinct().withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most + 1)
+        return ranked.groupBy("_on").agg(F.array_sort(F.collect_list(F.struct("_rn", "fact"))).alias("_facts"))
+
+    def side(df: DataFrame, on: str, fact: Column, whole: bool = False) -> DataFrame:
         names = F.array(F.trim(F.lower(on))) if whole else dotted_endings(F.col(on))
-        side = df.select(F.explode(names).alias("_on"), fact.alias("fact")).distinct()
-        return requests.where(F.col("kind") == kind).select("id", "kind", F.trim(F.lower("target")).alias("_t")).join(side, F.col("_t") == F.col("_on")).select("id", "kind", "fact")
+        return df.select(F.explode(names).alias("_on"), fact.alias("fact"))
+
+    def facts(kind: str, known: DataFrame, target: Column = F.trim(F.lower("target"))) -> DataFrame:
+        asked = requests.where(F.col("kind") == kind).select("id", "kind", target.alias("_t"))
+        return asked.join(first(known), F.col("_t") == F.col("_on")).select("id", "kind", F.explode("_facts.fact").alias("fact"))
 
     place, link = F.concat_ws(":", "path", "start_line"), F.concat_ws(" -> ", "caller", "callee")
-    callers = facts("callers", calls, "callee", F.col("caller"))
+    callers = facts("callers", side(calls, "callee", F.col("caller")))
     if references is not None:
-        callers = callers.unionByName(facts("callers", references, "target", F.col("source")).join(callers.select("id").distinct(), "id", "left_anti"))
+        callers = callers.unionByName(facts("callers", side(references, "target", F.col("source"))).join(callers.select("id").distinct(), "id", "left_anti"))
     target = F.col("target")
     if "changed_path" in requests.columns:
         target = F.when(F.instr("target", "/").cast("boolean") | F.contains("target", F.lit(".")), F.col("target")).otherwise(F.col("changed_path"))
-    beside = requests.where("kind = 'sibling_handlers'").select("id", "kind", target.alias("_t")).join(symbols.select(F.col("path").alias("_p"), F.concat_ws(":", "name", "start_line").alias("fact")).distinct(), F.col("_t") == F.col("_p")).select("id", "kind", "fact")
-    found = facts("definition", symbols, "name", place).unionByName(callers).unionByName(facts("callees", calls, "caller", F.col("callee"))).unionByName(
-        facts("imports", imports, "path", F.col("module"), True)).unionByName(facts("flow", calls, "caller", link).unionByName(facts("flow", calls, "callee", link)).distinct()).unionByName(beside)
+    beside = facts("sibling_handlers", symbols.select(F.col("path").alias("_on"), F.concat_ws(":", "name", "start_line").alias("fact")), target)
+    flow = facts("flow", side(calls, "caller", link).unionByName(side(calls, "callee", link))).distinct()
+    found = facts("definition", side(symbols, "name", place)).unionByName(callers).unionByName(facts("callees", side(calls, "caller", F.col("callee")))).unionByName(
+        facts("imports", side(imports, "path", F.col("module"), True))).unionByName(flow).unionByName(beside)
     w = Window.partitionBy("id", "kind")
     ranked = found.withColumn("rank", F.row_number().over(w.orderBy("fact"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
     return ranked.where(F.col("rank") <= most)

@@ -133,6 +133,43 @@ def test_requests_by_kind(spark):
     assert got == {1: ["a.js:3", "b.js:1"], 2: ["main"], 3: ["routes"], 4: ["db.save"], 5: ["Shop.buy -> db.save", "main -> Shop.Buy"], 6: ["Shop.buy:3", "Shop:1"], 7: ["buy:1"], 8: ["fs"]}
 
 
+def test_facts_are_cut_before_they_meet(spark):
+    """Names with many facts, asked for often; requests with one id, null facts, references in place of callers: by a plain reading. No request takes all facts of its name along."""
+    rng = random.Random(28)
+    names = ["a", "x.a", "b", "y.b.a", "C", "c.B", " a "]
+    symbols = sorted({(rng.choice(names), rng.choice(["p", "q.py", "a"]), rng.randrange(9)) for _ in range(60)})
+    calls = [(rng.choice([*names, None]), rng.choice([*names, None])) for _ in range(40)] + [(f"c{i:03}", "hot") for i in range(300)]
+    refs = [(f"r{rng.randrange(9)}", rng.choice(["d", "a", "z.d"])) for _ in range(30)]
+    imports = [(rng.choice(["p", "P ", None, "q.py"]), rng.choice(["m", "n", "o", "k", None])) for _ in range(20)]
+    kinds = ["definition", "callers", "callees", "flow", "imports", "sibling_handlers"]
+    asks = [(rng.randrange(30), rng.choice(kinds), rng.choice(["a", "b", " B", "b.a", "d", "p", "q.py", "hot", "none", None]), rng.choice(["p", "a"])) for _ in range(120)] + [(100 + i, "callers", "hot", "p") for i in range(200)]
+    low = lambda t: t and t.strip().lower()
+    ends = lambda t: set() if t is None else {".".join(low(t).split(".")[i:]) for i in range(t.count(".") + 1)}
+    link = lambda a, b: " -> ".join(x for x in (a, b) if x is not None)
+    called = {i for i, kind, t, _ in asks if kind == "callers" and any(low(t) in ends(b) for _, b in calls)}
+    want, flow = {}, {}
+    for i, kind, t, changed in asks:
+        if kind == "definition":
+            got = {f"{p}:{n}" for s, p, n in symbols if low(t) in ends(s)}
+        elif kind == "callers":
+            got = {a for a, b in calls if low(t) in ends(b)} if i in called else {a for a, b in refs if low(t) in ends(b)}
+        elif kind == "callees":
+            got = {b for a, b in calls if low(t) in ends(a)}
+        elif kind == "flow":
+            got = {link(a, b) for a, b in calls if low(t) in ends(a) | ends(b)} - flow.get(i, set())
+            flow.setdefault(i, set()).update(got)
+        elif kind == "imports":
+            got = {m for p, m in imports if p is not None and low(t) == low(p)}
+        else:
+            got = {f"{s}:{n}" for s, p, n in symbols if p == (t if t and ("/" in t or "." in t) else changed)}
+        want.setdefault((i, kind), []).extend(got)
+    want = sorted((i, kind, n + 1, fact or "", len(every) > 3) for (i, kind), every in want.items() for n, fact in enumerate(sorted(every, key=lambda x: (x is not None, x))[:3]))
+    frame = spark.createDataFrame
+    found = P.expand_requests(frame(asks, "id long, kind string, target string, changed_path string"), frame(symbols, "name string, path string, start_line int"), frame(calls, "caller string, callee string"), frame(imports, "path string, module string"), 3, frame(refs, "source string, target string"))
+    assert sorted((r["id"], r["kind"], r["rank"], r["fact"] or "", r["truncated"]) for r in found.collect()) == want and len(want) > 600
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") >= 7
+
+
 def test_windows_registrations_and_answers(spark):
     import hashlib
 

@@ -47,7 +47,7 @@ m as (select o, own, coalesce(nxt, own) as other, 3 + 4 * (j - 1) as line, o % 3
 
 
 def parsed_symbols(spark, d):
-    found = P.parse(files(spark, d), hashes=False).symbols
+    found = P.parse(files(spark, d), hashes=False, wanted=["symbols"]).symbols
     return found.select("path", "name", "qualified", "kind", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "signature")
 
 
@@ -57,7 +57,7 @@ union all select 'src/o' || o || '.sql', 'src/o' || o || '.sql', 'src/o' || o ||
 
 
 def parsed_calls(spark, d):
-    p = P.parse(files(spark, d), hashes=False)
+    p = P.parse(files(spark, d), hashes=False, wanted=["calls", "imports"])
     calls = p.calls.select("path", F.lit("call").alias("what"), F.col("caller").alias("source"), F.col("callee").alias("target"), F.col("line").cast("long").alias("line"))
     imports = p.imports.select("path", F.lit("import").alias("what"), F.col("path").alias("source"), F.col("text").alias("target"), F.col("line").cast("long").alias("line"))
     return calls.unionByName(imports)
@@ -68,7 +68,7 @@ union all select distinct path, 'import', path, case when js then 'import { p }
 
 
 def parsed_references(spark, d):
-    refs = P.parse(files(spark, d), hashes=False).references
+    refs = P.parse(files(spark, d), hashes=False, wanted=["references"]).references
     return refs.groupBy("path", "source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("first"), F.max(F.col("line").cast("long")).alias("last_line"))
 
 
@@ -79,7 +79,7 @@ select path, source, count(*) as n, min(target) as first, max(line) as last_line
 
 def parsed_edges(spark, d):
     """From files to the graph: calls are resolved to the symbols of their names."""
-    p = P.parse(files(spark, d), hashes=False)
+    p = P.parse(files(spark, d), hashes=False, wanted=["symbols", "calls"])
     edges = J.resolve_edges(p.calls, p.symbols.select("symbol_id", "path", F.col("qualified").alias("name")))
     return edges.join(p.symbols.select("symbol_id", "path"), F.col("source_id") == F.col("symbol_id")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -150,7 +150,7 @@ select id, edge_id, depth, rank, array_to_string(way, '>') as path from k where
 
 def context_requests(spark, d):
     """Over parsed files: what stands around the methods of every part and supplier, in the kinds flow, callers, definition and siblings."""
-    p = P.parse(files(spark, d), hashes=False)
+    p = P.parse(files(spark, d), hashes=False, wanted=["symbols", "calls", "imports"])
     names = table(spark, d, "lineitem").select(F.concat(F.lit("f"), "l_partkey", F.lit("_"), "l_suppkey").alias("target"), F.col("l_partkey").alias("k"), F.concat(F.lit("src/o"), "l_orderkey", F.lit(".js")).alias("changed_path"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("flow", "callers", "definition", "sibling_handlers")]), (F.pmod("k", F.lit(4)) + 1).cast("int"))
     asks = names.groupBy("target", "k").agg(F.min("changed_path").alias("changed_path")).select(F.col("target").alias("id"), kind.alias("kind"), "target", "changed_path")

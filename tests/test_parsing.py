@@ -76,3 +76,20 @@ def test_a_file_with_most_rows(spark):
     got = {r["qualified"]: (r["line"], r["end_line"]) for r in found.symbols.collect()}
     assert len(got) == 4002 and got["Big"] == (1, 12_002) and all(got[f"Big.m{i}"] == (2 + 3 * i, 4 + 3 * i) for i in range(4000))
     assert sorted((r["caller"], r["callee"]) for r in found.calls.collect()) == sorted((f"Big.m{i}", f"other.m{i + 1}") for i in range(4000))
+
+
+def test_files_are_parsed_where_they_lie(spark):
+    """No line is shuffled, sorted or joined; line ends of other systems, unknown languages and missing paths are read as Spark's functions do."""
+    files = spark.createDataFrame([
+        ("w.py", "class K:\r\n    def m(self):  # x(\r\n        return f(1)\r\n"), ("v.JS", "function f(a) {\u2028  g(a); // h(\u0085}\n} k(`(`)\n"), (None, "q(1)\n\n"), ("x.py", None), ("y.py", "x = \"\"\" a(\nb( \"\"\" + c('(')\nd(\n")],
+        "path string, content string")
+    found = P.parse(files)
+    assert sorted((r["path"], r["line"], r["caller"], r["callee"]) for r in found.calls.collect()) == [
+        ("v.JS", 1, "f", "g"), ("v.JS", 1, "f", "h"), ("v.JS", 2, "v.JS", "k"), ("w.py", 3, "K.m", "f"), ("y.py", 2, "y.py", "c"), ("y.py", 3, "y.py", "d")]
+    assert sorted((str(r["path"]), r["qualified"], r["kind"], r["line"], r["end_line"]) for r in found.symbols.collect()) == [
+        ("None", None, "file", 1, 2), ("v.JS", "f", "function", 1, 1), ("w.py", "K", "class", 1, 3), ("w.py", "K.m", "function", 2, 3)]
+    for df in (found.symbols, found.calls, found.references, found.imports, found.routes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Exchange", "Sort", "Join"))
+    only = P.parse(files, wanted=["calls"])
+    assert only.calls.count() == 6 and only.symbols.isEmpty() and only.references.isEmpty()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions.text import lookup
 from provenant.operators.aggregates import first_by_precedence
+from provenant.operators.graphs import stored
 
 # Fixed values of the default merge policy.
 BLOCKING_RELATIONSHIPS = ("INTRODUCED", "REGRESSED", "MODIFIED_EXISTING")
@@ -105,9 +108,14 @@ def expand_requests(requests: DataFrame, symbols: DataFrame, calls: DataFrame, i
     imports (``imports(path, module)``, by path), sibling_handlers (all symbols of a path; a target that is no path stands for the request's
     ``changed_path``, if requests have that column). Names match whole or by what follows a dot. A target without callers has its
     ``references(source, target)`` instead, if they are given.
+
+    Requests are written to the shared folder, as each kind reads them; of kinds that nobody asks for nothing is read.
     """
     from pyspark.sql.window import Window
 
+    requests = stored(requests)
+    kinds = {r["kind"] for r in requests.where(F.col("kind").isin("definition", "callers", "callees", "flow", "imports", "sibling_handlers")).select("kind").distinct().collect()}
+
     def first(side: DataFrame) -> DataFrame:
         """``_on, fact`` -> ``_on, _facts``: a name's first facts in order; one more than asked for tells that there are others. A name's facts
         are cut where they lie, before they meet, and no request takes more of them along."""
@@ -125,15 +133,18 @@ def expand_requests(requests: DataFrame, symbols: DataFrame, calls: DataFrame, i
 
     place, link = F.concat_ws(":", "path", "start_line"), F.concat_ws(" -> ", "caller", "callee")
     callers = facts("callers", side(calls, "callee", F.col("caller")))
-    if references is not None:
+    if references is not None and "callers" in kinds:
         callers = callers.unionByName(facts("callers", side(references, "target", F.col("source"))).join(callers.select("id").distinct(), "id", "left_anti"))
     target = F.col("target")
     if "changed_path" in requests.columns:
         target = F.when(F.instr("target", "/").cast("boolean") | F.contains("target", F.lit(".")), F.col("target")).otherwise(F.col("changed_path"))
-    beside = facts("sibling_handlers", symbols.select(F.col("path").alias("_on"), F.concat_ws(":", "name", "start_line").alias("fact")), target)
-    flow = facts("flow", side(calls, "caller", link).unionByName(side(calls, "callee", link))).distinct()
-    found = facts("definition", side(symbols, "name", place)).unionByName(callers).unionByName(facts("callees", side(calls, "caller", F.col("callee")))).unionByName(
-        facts("imports", side(imports, "path", F.col("module"), True))).unionByName(flow).unionByName(beside)
+    known = {
+        "definition": lambda: facts("definition", side(symbols, "name", place)), "callers": lambda: callers, "callees": lambda: facts("callees", side(calls, "caller", F.col("callee"))),
+        "imports": lambda: facts("imports", side(imports, "path", F.col("module"), True)),
+        "flow": lambda: facts("flow", side(calls, "caller", link).unionByName(side(calls, "callee", link))).distinct(),
+        "sibling_handlers": lambda: facts("sibling_handlers", symbols.select(F.col("path").alias("_on"), F.concat_ws(":", "name", "start_line").alias("fact")), target),
+    }
+    found = reduce(DataFrame.unionByName, [known[kind]() for kind in known if kind in kinds] or [callers])
     w = Window.partitionBy("id", "kind")
     ranked = found.withColumn("rank", F.row_number().over(w.orderBy("fact"))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
     return ranked.where(F.col("rank") <= most)

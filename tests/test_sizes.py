@@ -216,3 +216,16 @@ def test_calls_are_counted_before_symbols_meet_them(spark):
     # nothing is grouped after the join that multiplies rows by symbols
     top = totals._jdf.queryExecution().optimizedPlan().toString()
     assert top.index("Join") < top.index("Aggregate")
+
+
+def test_kinds_that_nobody_asks_for_are_not_read(spark):
+    from provenant.operators import policy as Q
+
+    symbols = spark.createDataFrame([("a.f", "p", 1), ("f", "q", 2)], "name string, path string, start_line int")
+    calls = spark.createDataFrame([("a.f", "g")], "caller string, callee string")
+    imports = spark.createDataFrame([("p", "m")], "path string, module string")
+    asks = spark.createDataFrame([(1, "definition", "F"), (2, "other", "f"), (3, None, "f")], "id long, kind string, target string")
+    found = Q.expand_requests(asks, symbols, calls, imports, 4)
+    assert sorted((r["id"], r["rank"], r["fact"]) for r in found.collect()) == [(1, 1, "p:1"), (1, 2, "q:2")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 1
+    assert Q.expand_requests(asks.where("id > 1"), symbols, calls, imports, 4).isEmpty()

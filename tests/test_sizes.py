@@ -229,3 +229,14 @@ def test_kinds_that_nobody_asks_for_are_not_read(spark):
     assert sorted((r["id"], r["rank"], r["fact"]) for r in found.collect()) == [(1, 1, "p:1"), (1, 2, "q:2")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 1
     assert Q.expand_requests(asks.where("id > 1"), symbols, calls, imports, 4).isEmpty()
+
+
+def test_similar_pairs_leave_no_words_behind(spark):
+    """Pairs are there before sets travel: nothing that is left to run takes words apart or joins heads with heads, so their shuffle files are gone."""
+    from provenant.operators import resolution as E
+
+    df = spark.createDataFrame([(i, "x", [f"w{j}" for j in range(i % 3, 9)]) for i in range(12)], "id long, p string, t array<string>")
+    found = E.similar_pairs(df, ["p"], "t", 0.6)
+    assert found.count() == 66
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
